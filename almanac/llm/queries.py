@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import cuckoo_dedup, embedding_dedup, mixing, packing, simhash_dedup, suffix_dedup, token_counts
+from . import cuckoo_dedup, embedding_dedup, language_id, mixing, packing, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
