@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo_dedup, embedding_dedup, language_id, mixing, packing, simhash_dedup, suffix_dedup, token_counts
+from . import cuckoo_dedup, embedding_dedup, language_id, mixing, packing, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_exact_dedup": cuckoo_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
