@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo_dedup, embedding_dedup, language_id, mixing, packing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import cuckoo_dedup, embedding_dedup, language_id, lm_scoring, mixing, packing, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_exact_dedup": cuckoo_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
