@@ -59,14 +59,13 @@ def hypergeometric(good: Column, total: Column, n: Column, u: Column) -> Column:
         return F.struct(at.alias("at"), top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(at - top)).alias("sum"))
 
     mass = F.aggregate(steps, start, add)
-    log_total = lambda m: m["top"] + F.log(m["sum"])
-    # the first k whose cumulative probability reaches u
-    scan = F.struct(F.lit(0.0).alias("at"), F.exp(-log_total(mass)).alias("p"), lo.alias("k"))
+    # the first k whose cumulative probability reaches u; what all steps need travels in the state, worked out once
+    scan = F.transform(F.array(mass), lambda m: F.struct(F.lit(0.0).alias("at"), F.exp(-(m["top"] + F.log(m["sum"]))).alias("p"), lo.alias("k"), (m["top"] + F.log(m["sum"])).alias("all")))[0]
 
     def walk(acc: Column, k: Column) -> Column:
         at = acc["at"] + _log_ratio(k, good, total, n)
-        p = F.when(acc["p"] >= u, acc["p"]).otherwise(acc["p"] + F.exp(at - log_total(mass)))
-        return F.struct(at.alias("at"), p.alias("p"), F.when(acc["p"] >= u, acc["k"]).otherwise(k + 1).alias("k"))
+        p = F.when(acc["p"] >= u, acc["p"]).otherwise(acc["p"] + F.exp(at - acc["all"]))
+        return F.struct(at.alias("at"), p.alias("p"), F.when(acc["p"] >= u, acc["k"]).otherwise(k + 1).alias("k"), acc["all"].alias("all"))
 
     return F.aggregate(steps, scan, walk)["k"]
 
@@ -91,11 +90,12 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def one(acc: Column, x: Column) -> Column:  # called at once, with this level
             got = hypergeometric(x["quota"], acc["total"], acc["draw"], uniform(F.col("node"), x["source_rank"], F.lit(level), F.lit(seed)))
-            return F.struct(
+            after = lambda k: F.struct(
                 (acc["total"] - x["quota"]).alias("total"),
-                (acc["draw"] - got).alias("draw"),
-                F.concat(acc["out"], F.array(F.struct(x["source_rank"].alias("source_rank"), got.alias("quota")))).alias("out"),
+                (acc["draw"] - k).alias("draw"),
+                F.concat(acc["out"], F.array(F.struct(x["source_rank"].alias("source_rank"), k.alias("quota")))).alias("out"),
             )
+            return F.transform(F.array(got), after)[0]
 
         drawn = node.withColumn("left", F.aggregate("own", start, one)["out"])
         right = F.zip_with("own", "left", lambda a, b: F.struct(a["source_rank"].alias("source_rank"), (a["quota"] - b["quota"]).alias("quota")))
