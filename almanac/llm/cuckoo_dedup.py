@@ -141,11 +141,15 @@ def _after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([last] * len(index.store), index.store)
 
 
+def text_sha(text: F.Column) -> F.Column:
+    """SHA-256 of a text without its white space; null counts as empty."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, "").cast("binary"), 256)
+
+
 def digests(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, len, text_sha256, digest, bucket of each row; null text counts as empty."""
     text = F.coalesce("text", F.lit(""))
-    sha = F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)
-    return docs.select("doc_id", F.length(text).cast("long").alias("len"), sha.alias("text_sha256")).withColumns({"digest": F.unhex("text_sha256"), "bucket": F.pmod(F.conv(F.substring("text_sha256", 57, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")})
+    return docs.select("doc_id", F.length(text).cast("long").alias("len"), text_sha(text).alias("text_sha256")).withColumns({"digest": F.unhex("text_sha256"), "bucket": F.pmod(F.conv(F.substring("text_sha256", 57, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")})
 
 
 def build_index(rows: DataFrame) -> DataFrame:
