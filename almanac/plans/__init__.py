@@ -1,0 +1,6 @@
+"""All registered queries of the library: importing this module fills the registry."""
+
+from ..operators import pages, summaries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
