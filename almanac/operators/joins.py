@@ -64,9 +64,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
 
 # fixed values: ecliptic longitude in degrees at which the Sun enters each constellation, in order
 CONSTELLATIONS: list[tuple[str, float, float]] = [
-    ("Aries", 29.0, 53.5), ("Taurus", 53.5, 90.0), ("Gemini", 90.0, 118.0), ("Cancer", 118.0, 138.0), ("Leo", 138.0, 174.0),
+    ("Aries", 28.7, 53.5), ("Taurus", 53.5, 90.4), ("Gemini", 90.4, 118.0), ("Cancer", 118.0, 138.0), ("Leo", 138.0, 174.0),
     ("Virgo", 174.0, 218.0), ("Libra", 218.0, 241.0), ("Scorpius", 241.0, 248.0), ("Ophiuchus", 248.0, 266.0),
-    ("Sagittarius", 266.0, 300.0), ("Capricornus", 300.0, 328.0), ("Aquarius", 328.0, 352.0), ("Pisces", 352.0, 29.0),
+    ("Sagittarius", 266.0, 300.0), ("Capricornus", 300.0, 327.7), ("Aquarius", 327.7, 351.6), ("Pisces", 351.6, 28.7),
 ]
 
 
