@@ -1,6 +1,6 @@
 """All registered queries of the library: importing this module fills the registry."""
 
-from ..operators import annotations, calendar_tables, joins, pages, summaries  # noqa: F401
+from ..operators import annotations, calendar_tables, claims, joins, pages, retrieval, summaries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
