@@ -1,6 +1,8 @@
 """All registered queries of the library: importing this module fills the registry."""
 
 from ..operators import annotations, calendar_tables, claims, joins, pages, retrieval, summaries  # noqa: F401
+from ..sources import intake  # noqa: F401
+from ..streaming import logs  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
