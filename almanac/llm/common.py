@@ -54,15 +54,16 @@ def held_out(remainder: int) -> F.Column:
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n vertices over the edges a-b: minimum labels with pointer jumping."""
+    """Smallest index reachable from each of n vertices over the edges a-b: roots hook to smaller roots, then all jump.
+
+    Only roots move, so a vertex never leaves its tree, and an edge is done with once both its ends have one root.
+    """
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        was = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, was[a], low)
-        np.minimum.at(label, was[b], low)
+        ra, rb = label[a], label[b]
+        low = np.minimum(ra, rb)
+        np.minimum.at(label, ra, low)
+        np.minimum.at(label, rb, low)
         while (jumped := label[label] != label).any():
             label[jumped] = label[label[jumped]]
         keep = label[a] != label[b]
