@@ -151,15 +151,21 @@ _TISHRI_ORDER = [7, 8, 9, 10, 11, 12, 13, 1, 2, 3, 4, 5, 6]
 
 
 def from_hebrew(y: Column, m: Column, d: Column) -> Column:
-    place = F.when(m >= 7, m - 7).otherwise(m + 6).cast("int")
-    return let(hebrew_new_year(y), lambda ny: ny + _hebrew_month_starts(y, hebrew_new_year(y + 1) - ny)[place] + d - 1)
+    def within(x: Column) -> Column:
+        place = F.when(x["m"] >= 7, x["m"] - 7).otherwise(x["m"] + 6).cast("int")
+        return x["ny"] + _hebrew_month_starts(x["y"], x["next"] - x["ny"])[place] + x["d"] - 1
+
+    # each argument once: they may be large expressions themselves
+    with_new_years = lambda x: F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d"), hebrew_new_year(x["y"]).alias("ny"), hebrew_new_year(x["y"] + 1).alias("next"))
+    return let(let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), with_new_years), within)
 
 
 def to_hebrew(rd: Column) -> Column:
     guess = F.floor((rd - HEBREW_EPOCH) * 98496 / 35975351).cast("long") + 1
 
     def body(y: Column) -> Column:
-        return let(hebrew_new_year(y), lambda ny: let(_hebrew_month_starts(y, hebrew_new_year(y + 1) - ny), lambda s: within(s, y, rd - ny)))
+        both = F.struct(hebrew_new_year(y).alias("ny"), hebrew_new_year(y + 1).alias("next"))
+        return let(both, lambda n: let(_hebrew_month_starts(y, let(n["next"] - n["ny"], lambda x: x)), lambda s: within(s, y, rd - n["ny"])))
 
     def within(starts: Column, y: Column, day: Column) -> Column:
         # the last month that starts on or before the day; of two that start together (no Adar II) the later
