@@ -19,7 +19,7 @@ import unicodedata
 
 import numpy as np
 
-CHUNK, SPAN, LEXICON = 256, 1 << 20, 400_000
+CHUNK, SPAN, LEXICON = 128, 1 << 18, 150_000
 _LEAD = 12
 _OTHER_LETTER, _STMD, _R, _V, _L, _E, _NUMBER, _SIGN, _QUOTE, _SPACE, _BLANK, _END = range(12)
 _START, _WORD, _DIGITS, _SIGNS, _AP, _APR, _APL, _SP1, _SPN, _WS1, _WSN = range(11)
