@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from almanac.functions import calendars as cal
 from almanac.functions import sky
 from almanac.functions import text as tx
-from almanac.operators import annotations, claims, joins, retrieval, sky_tables
+from almanac.operators import annotations, claims, joins, lunations, retrieval, sky_tables
 from almanac.sources import intake
 from almanac.streaming import logs
 
@@ -132,3 +132,22 @@ def test_seasons_and_delta_t(spark):
     expected = [(-500.0, 17203.7, 60.0), (0.0, 10583.6, 10.0), (1000.0, 1574.2, 5.0), (1700.0, 8.83, 1.0), (1900.0, -2.79, 1.0), (2000.0, 63.86, 0.5)]
     df = spark.createDataFrame(expected, "y double, want double, tolerance double")
     assert all(abs(r["got"] - r["want"]) <= r["tolerance"] for r in df.withColumn("got", sky.delta_t(F.col("y"))).collect())
+
+
+def test_lunar_phases(spark):
+    got = {(r["lunation"], r["phase"]): r["jd_tt"] for r in lunations.phases(spark, 1977, 1977).collect() + lunations.phases(spark, 2044, 2044).collect()}
+    assert abs(got[-283, "new moon"] - 2443192.65118) < 1e-4
+    assert abs(got[544, "last quarter"] - 2467636.49186) < 1e-4
+    new = sorted(v for (k, p), v in got.items() if p == "new moon" and v < 2.45e6)
+    assert all(29.2 < b - a < 29.9 for a, b in zip(new, new[1:], strict=False))
+
+
+def test_known_eclipses(spark):
+    modern = {(r["body"], r["date"]["year"], r["date"]["month"], r["date"]["day"]): r for r in lunations.eclipses(spark, 1999, 2019).collect()}
+    assert abs(modern["solar", 1999, 8, 11]["gamma"] - 0.5062) < 1e-3 and modern["solar", 1999, 8, 11]["kind"] == "total"
+    assert abs(modern["lunar", 2019, 1, 21]["magnitude"] - 1.1953) < 5e-3
+    # 28 May 585 BCE and 15 June 763 BCE in the Julian calendar
+    for year, month, day in ((-584, 5, 28), (-762, 6, 15)):
+        rd = spark.range(1).select(cal.from_julian(cal.long(year), cal.long(month), cal.long(day))).first()[0]
+        found = lunations.eclipses(spark, year, year).where((F.col("body") == "solar") & (F.col("rd") == rd))
+        assert found.count() == 1
