@@ -1,6 +1,6 @@
 """All registered queries of the library: importing this module fills the registry."""
 
-from ..operators import annotations, calendar_tables, claims, joins, lunations, pages, retrieval, sky_tables, summaries  # noqa: F401
+from ..operators import annotations, calendar_tables, claims, joins, lunations, pages, readers, retrieval, sky_tables, summaries  # noqa: F401
 from ..sources import intake  # noqa: F401
 from ..streaming import logs  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
