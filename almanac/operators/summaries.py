@@ -144,7 +144,7 @@ def quota(users: DataFrame, uses: DataFrame, free: int = 5) -> DataFrame:
 
 
 @query("d10_stage_rollup", """
-SELECT l_orderkey AS analysis_id, sum(coalesce(l_partkey, 0)) AS tokens,
+SELECT l_orderkey AS analysis_id, sum(coalesce(l_partkey, 0))::BIGINT AS tokens,
        CASE WHEN bool_and(l_returnflag = 'R') THEN 'failed' WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'completed' END AS status
 FROM lineitem GROUP BY l_orderkey""")
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
