@@ -10,6 +10,8 @@ from .common import cut, read
 
 #: Blocks of a source, and output shards (a power of two).
 BLOCKS, SHARDS = 1024, 64
+#: Words of a shard that are shuffled together; a larger shard is dealt to several tasks.
+PIECE_WORDS = 4_000_000
 #: Up to how many rows the table of blocks is broadcast (about 60 bytes each); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -178,8 +180,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     """
     _, by_block = plan(docs, weights, most, blocks, shards, seed)
     out = _with_plan(docs, by_block, seed, blocks).select(*docs.columns, F.posexplode("_shards").alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed + 5), "doc_id", "_copy")
-    return out.repartition(shards, "_shard").sortWithinPartitions("_shard", order).drop("_copy", "_shard")
+    total = by_block.groupBy("source").agg(F.first("target").alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
+    out = out.withColumn("_order", F.xxhash64(F.lit(seed + 5), "doc_id", "_copy")).withColumn("_piece", F.pmod("_order", F.lit(1 + int(total / shards / PIECE_WORDS))))
+    return out.repartition("_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_order").drop("_copy", "_shard", "_order", "_piece")
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
