@@ -23,9 +23,8 @@ from .common import cut, held_out, read, trained_on
 HEAD = 150_000
 #: Words with an output of their own, words of a class, classes of rarer words by spelling, size of the state.
 WORDS, PER_CLASS, TAILS, HIDDEN = 2000, 50, 32, 16
-#: Share of the training documents that the network reads, but FLOOR words at least; words of a training task; rounds,
-#: after each of which the weights of all tasks are averaged.
-SHARE, FLOOR, TASK_WORDS, ROUNDS = 1 / 40, 500_000, 150_000, 2
+#: Words of a block of training documents; rounds, after each of which the weights of all blocks are averaged.
+TASK_WORDS, ROUNDS = 150_000, 2
 RATE = 0.2
 #: Counts held before they are sent on; tokens whose words are held at once.
 FLUSH, TOKENS = 200_000, 1_000_000
@@ -120,14 +119,51 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(total, distinct, {w: k for k, (w, _) in enumerate(top)}, c, ids, np.log10(c + 0.5) - log_all, inner, mass, shape, log_tail, log_all)
 
 
+def _encode(sent):
+    """doc_id and the ids of the words of each text, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            ids = [own.ids_of(tokens(t))[1].astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's texts as one row; as several where a repeated text makes the task larger than twice the wanted size."""
+    ids, sizes, words = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(ids)], pa.binary()), pa.array([sizes], pa.list_(pa.int32()))], names=["ids", "sizes"])
+
+    for batch in batches:
+        for own in batch.column(0).to_pylist():
+            ids.append(own)
+            sizes.append(len(own) // 2)
+            words += sizes[-1] + 1
+            if words > 2 * TASK_WORDS:
+                yield flush()
+                ids, sizes, words = [], [], 0
+    if sizes:
+        yield flush()
+
+
 def _learn(sent, flat):
-    """A task's texts, one pass: the new weights times the words learnt from, in slices."""
+    """One pass over each block from the same weights: their mean by words learnt from, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = sent.value, flat.value
-        texts = [own.ids_of(tokens(t))[1] for b in batches for t in b.column(0).to_pylist()]
-        if texts:
-            weights, n = recurrent.train(own.shape, start, texts, RATE)
+        total, n = np.zeros(len(start)), 0
+        for batch in batches:
+            for ids, sizes in zip(batch.column("ids"), batch.column("sizes"), strict=True):
+                texts = np.split(np.frombuffer(ids.as_py(), "<u2"), np.cumsum(sizes.as_py())[:-1])
+                weights, learnt = recurrent.train(own.shape, start, texts, RATE)
+                total += weights.astype(np.float64) * learnt
+                n += learnt
+        if n:
+            weights = (total / n).astype(np.float32)
             parts = [weights[k : k + 4096] for k in range(0, len(weights), 4096)]
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.float32()))], names=["slot", "part", "n", "w"])
@@ -140,19 +176,23 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [rows["slot"].iloc[0]], "part": [0], "n": [rows["n"].sum()], "w": [w.astype(np.float32)]})
 
 
+def blocks(docs: DataFrame, own: Lexicon, sent) -> DataFrame:
+    """All of docs (doc_id, text) in rows of about TASK_WORDS words: the ids of the words and the sizes of the texts."""
+    parts = max(1, math.ceil(own.total / TASK_WORDS))
+    ids = docs.select("doc_id", "text").mapInArrow(_encode(sent), "doc_id long, ids binary")
+    dealt = ids.select("ids", F.xxhash64(F.lit(12), "doc_id", "ids").alias("h")).repartition(parts, "h").sortWithinPartitions("h", "ids")
+    return cut(dealt.select("ids").mapInArrow(_block, "ids binary, sizes array<int>"))
+
+
 def fit(docs: DataFrame, own: Lexicon, sent) -> np.ndarray:
-    """Network weights. Every task trains on its part of the read share of docs (doc_id, text) from the last round's
-    weights, and the results are averaged by words learnt from, 64 tasks at a time and then all; only the averaged
-    weights, whose size is fixed, come to the driver."""
+    """Network weights, learnt from every row of docs (doc_id, text). Each block is trained on from the last round's
+    weights, and the results are averaged by words learnt from, within a task, 64 tasks at a time and then all; only
+    the averaged weights, whose size is fixed, come to the driver."""
     flat = recurrent.initial(own.shape, own.mass)
-    share = min(1.0, max(SHARE, FLOOR / max(1, own.total)))
-    parts = max(1, math.ceil(own.total * share / TASK_WORDS))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    some = cut(some.select("text", F.xxhash64(F.lit(12), "doc_id").alias("h")))
-    some = some.repartition(parts, "h").sortWithinPartitions("h", "text").select("text")
+    read_all = blocks(docs, own, sent)
     schema = "slot int, part int, n long, w array<float>"
     for _ in range(ROUNDS):
-        trained = some.mapInArrow(_learn(sent, docs.sparkSession.sparkContext.broadcast(flat)), schema)
+        trained = read_all.mapInArrow(_learn(sent, docs.sparkSession.sparkContext.broadcast(flat)), schema)
         some_means = trained.groupBy("slot", (F.col("part") % 64).alias("_p")).applyInPandas(_average, schema)
         means = some_means.groupBy("slot").applyInPandas(_average, schema).collect()
         if means:

@@ -201,8 +201,9 @@ def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], rate: float =
             grad["wx"][ids[order][first]] = np.add.reduceat(da_all.reshape(len(ids), -1)[order], first)
             grad_flat /= max(1, valid.sum()) ** 0.5
             np.clip(grad_flat, -5, 5, out=grad_flat)
-            touched = np.nonzero(grad_flat)[0]
-            memory[touched] += grad_flat[touched] ** 2
-            flat[touched] -= rate * grad_flat[touched] / np.sqrt(memory[touched])
+            memory += grad_flat * grad_flat
+            grad_flat *= rate
+            grad_flat /= np.sqrt(memory)
+            flat -= grad_flat
             learnt += int(valid.sum())
     return flat, learnt

@@ -228,6 +228,23 @@ def test_op6_counts_and_probabilities(spark, docs, empty):
     assert lm_scoring.likelihoods(empty, F.lit(True), F.lit(False)).count() == 0
 
 
+def test_op6_network_learns_from_every_training_document(spark):
+    # only the documents that a hash sample of 500,000 words would pass over have their words in order
+    rng, share = random.Random(6), int(500_000 / 701_000 * (1 << 20))
+    ids = spark.range(700).select("id", (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < share).alias("sampled")).collect()
+    ordered, loose = WORDS * 55, lambda: [rng.choice(WORDS) for _ in range(1000)]
+    rows = [(r["id"], " ".join(loose() if r["sampled"] else ordered[:1000])) for r in ids] + [(1000, " ".join(ordered[:1000])), (1001, " ".join(loose()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    training = docs.where("doc_id < 1000")
+    own = lm_scoring.lexicon(lm_scoring.word_counts(training))
+    sent = spark.sparkContext.broadcast(own)
+    dealt = [(np.frombuffer(r["ids"], "<u2").tolist(), r["sizes"]) for r in lm_scoring.blocks(training, own, sent).collect()]
+    assert sum(len(sizes) for _, sizes in dealt) == 700 and sum(len(x) for x, _ in dealt) == own.total - 700
+    got = by_id(lm_scoring.likelihoods(docs, F.col("doc_id") < 1000, F.col("doc_id") >= 1000))
+    gain = {k: (got[k]["score"] - got[k]["base_score"]) / 1001 for k in (1000, 1001)}
+    assert gain[1000] > 0.4 > 0.2 > abs(gain[1001])
+
+
 def test_op6_network_is_normalised_and_learns():
     shape = recurrent.Shape(10, 4, 3, 5)
     flat = recurrent.initial(shape, np.ones(shape.start))
