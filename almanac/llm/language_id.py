@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import held_out, read, trained_on
 
@@ -165,6 +166,17 @@ def train(docs: DataFrame, keep: F.Column | None = None, per_language: int = SAM
     return fit([r["text"] for r in rows], [r["y"] for r in rows], landmarks) if rows else None
 
 
+def _has_letters(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+@F.pandas_udf(BooleanType())
+def has_letters(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Whether a text has any letter; false for null."""
+    for t in texts:
+        yield pd.Series([_has_letters(x) for x in t], dtype=bool)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and lang_score (0 to 1); columns of these names are replaced, all others stay.
 
@@ -178,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         own = sent.value
         for texts in batches:
             out = pd.DataFrame({"lang": "und", "score": 0.0}, index=range(len(texts)))
-            known = [k for k, t in enumerate(texts) if own and t and any(map(str.isalpha, t))]
+            known = [k for k, t in enumerate(texts) if own and _has_letters(t)]
             for lo in range(0, len(known), ROWS):
                 part = known[lo : lo + ROWS]
                 langs, scores = own.predict([texts.iloc[k] for k in part])

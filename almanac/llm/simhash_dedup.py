@@ -165,6 +165,18 @@ def links(prints: DataFrame, distance: int = 3, cell: int = CELL) -> DataFrame:
     return cut(tiles.mapInArrow(_meet(distance), "u long, v long").distinct())
 
 
+def near_groups(docs: DataFrame, distance: int = 3, *more: F.Column) -> DataFrame:
+    """doc_id, print, component_id, component and the further columns for each row of docs; component is the smallest
+    fingerprint of the row's component, which names it whatever the ids are."""
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("print"), *more))
+    prints = rows.groupBy("print").agg(F.min("doc_id").alias("low"))
+    parts = components(links(prints.select("print"), distance)).withColumnRenamed("vertex", "print")
+    classes = prints.join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = cut(classes.join(lows, "component").select("print", "component_id", "component"))
+    return rows.join(classes, "print")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of docs (doc_id long, text string, ...).
 
@@ -173,13 +185,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     text share its component; rows without doc_id take part, and a component of such rows alone has a null id. An
     empty table gives an empty result; further columns are ignored.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("print")))
-    prints = rows.groupBy("print").agg(F.min("doc_id").alias("low"))
-    parts = components(links(prints.select("print"), distance)).withColumnRenamed("vertex", "print")
-    classes = prints.join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = cut(classes.join(lows, "component").select("print", "component_id"))
-    return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_groups(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

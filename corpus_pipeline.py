@@ -16,8 +16,12 @@ from almanac.llm.token_counts import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: null texts and those without any letter."""
-    found = language_id.identify(docs, language_id.train(docs, trained_on(0)))
+    """Drops the documents without a language: null texts and those without any letter, also where no row has a lang
+    to learn from."""
+    model = language_id.train(docs, trained_on(0))
+    if model is None:
+        return docs.where(language_id.has_letters("text"))
+    found = language_id.identify(docs, model)
     return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
@@ -52,14 +56,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of smallest doc_id."""
-    found = cut(simhash_dedup.near_duplicates(docs))
+    """One document of each SimHash group: the one of smallest doc_id (null last), then of smallest text hash."""
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    found = cut(simhash_dedup.near_groups(docs, 3, sha.alias("sha")))
     if _unique(found):
         return _with_ids(docs, found.select(F.col("component_id").alias("doc_id")).distinct())
-    one = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("_print"))
-    named = docs.withColumn("_own", F.lower(F.lpad(F.hex(simhash_dedup.fingerprints("text")), 16, "0")))
-    rows = named.join(one, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_own") == F.col("_print")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    # ids repeat: groups go by their fingerprint, and rows are told apart by their text
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("_id"), F.col("sha").isNull(), F.col("sha").alias("_of"))
+    one = found.groupBy("component").agg(F.min(rank).alias("_best")).select("_best._id", "_best._of")
+    named = docs.withColumn("_sha", sha)
+    rows = named.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_sha").eqNullSafe(F.col("_of")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

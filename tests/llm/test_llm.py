@@ -404,3 +404,21 @@ def test_pipeline_stages(spark, docs):
     twice = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("quite another text than before")))
     assert corpus_pipeline.exact(spark, twice, "").count() == len(exact) + 1
     assert corpus_pipeline.packed(spark, near, "").columns[:2] == ["doc_id", "piece"]
+
+
+def test_pipeline_near_keeps_one_row_of_each_group_whatever_the_ids(spark, docs):
+    # null ids, one id for unrelated texts, an id alone, and a row that is there twice
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts())]
+    rows += [(7, rows[0][1]), rows[4], (None, rows[2][1])]
+    prints = [slow_fingerprint(t) for _, t in rows]
+    of = groups(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 3])
+    rank = lambda r: (r[0] is None, r[0] or 0, r[1] is None, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    want = [min((r for r, o in zip(rows, of, strict=True) if o == g), key=rank) for g in set(of)]
+    df = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, df, "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_pipeline_language_without_any_labels(spark, docs):
+    kept = by_id(corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), ""))
+    assert set(kept) == {k for k, r in by_id(docs).items() if any(map(str.isalpha, r["text"] or ""))}
