@@ -44,6 +44,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of df as one struct: beside it, columns of any name can be added without a clash."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def trained_on(remainder: int) -> F.Column:
     """Rows to learn from: crc32(doc_id as text) mod 5 differs from remainder. Rows without doc_id are not learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != remainder, F.lit(False))

@@ -9,13 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import held_out, read, trained_on
+from .tables import Numbers
 
-#: Bound of the training sample: texts of each language, and how many of them are landmarks. The texts of smallest
-#: hash are taken, whole.
-SAMPLE, LANDMARKS = 400, 40
+#: Bounds of the training sample: distinct texts of each language, and how many of them are landmarks; texts of all
+#: languages together; bytes of a text that counts as long, and bytes of a language's texts together. Of a language the
+#: texts of smallest hash are taken, whole, those that aren't long first; a language has one at least.
+SAMPLE, LANDMARKS, TOGETHER, LONG, BYTES = 400, 40, 20_000, 1 << 16, 1 << 22
 #: n-gram lengths of the kernel; ridge; documents scored by one matrix product; characters worked on at once.
 LENGTHS, RIDGE, ROWS = 3, 1e-3, 256
 SPAN = 1 << 18
@@ -23,7 +25,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spectrum(texts: list[str], lengths: int = LENGTHS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash of every n-gram of the lower-cased texts, index of its text) for each n and block of about SPAN characters.
+    """(hash of every n-gram of the lower-cased texts, index of its text) of all n for each block of about SPAN characters.
 
     n-grams stay within a text. Long texts are cut into parts that overlap by lengths - 1 characters, so that every
     n-gram is met.
@@ -36,89 +38,71 @@ def spectrum(texts: list[str], lengths: int = LENGTHS) -> Iterator[tuple[np.ndar
             who.append(k)
             size += len(part[-1])
             if size >= SPAN:
-                yield from _grams(part, who, lengths)
+                yield _grams(part, who, lengths)
                 part, who, size = [], [], 0
-    yield from _grams(part, who, lengths)
+    if part:
+        yield _grams(part, who, lengths)
 
 
-def _grams(parts: list[str], who: list[int], lengths: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(parts: list[str], who: list[int], lengths: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = [len(p) for p in parts]
-    place, owner = np.repeat(np.arange(len(parts)), sizes), np.repeat(np.array(who, int), sizes)
+    place, owner = np.repeat(np.arange(len(parts)), sizes), np.repeat(np.array(who, np.int64), sizes)
     value = np.zeros(len(points), np.uint64)
-    for n in range(1, lengths + 1):
-        if len(points) < n:
-            return
+    values, owners = [value[:0]], [owner[:0]]
+    for n in range(1, min(lengths, len(points)) + 1):
         value = (value[: len(points) - n + 1] * np.uint64(0x1000193) + points[n - 1 :] + np.uint64(n)) * _FACTOR
         value ^= value >> np.uint64(32)
         inside = place[: len(value)] == place[n - 1 :]
-        yield value[inside], owner[: len(value)][inside]
-
-
-class Grams:
-    """A fixed set of n-grams, numbered, in an open hash table that is probed for whole arrays."""
-
-    def __init__(self, grams: np.ndarray) -> None:
-        self.size = len(grams)
-        bits = max(10, int(self.size * 8).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key, self.number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.probes, todo = 0, np.arange(self.size)
-        while len(todo):
-            at = self._home(grams[todo]) + self.probes & self.mask
-            free = self.number[at] < 0
-            place, one = np.unique(at[free], return_index=True)
-            won = np.nonzero(free)[0][one]
-            self.key[place], self.number[place] = grams[todo[won]], todo[won]
-            todo = np.delete(todo, won)
-            self.probes += 1
-
-    def _home(self, grams: np.ndarray) -> np.ndarray:
-        return ((grams * _FACTOR) >> self.shift).astype(np.int64)
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Numbers of the n-grams; -1 where one isn't in the set."""
-        home = self._home(grams)
-        out = np.where(self.key[home] == grams, self.number[home], -1)
-        left = np.nonzero((out < 0) & (self.number[home] >= 0))[0]
-        for k in range(1, self.probes):
-            at = home[left] + k & self.mask
-            hit = self.key[at] == grams[left]
-            out[left[hit]] = self.number[at[hit]]
-            left = left[~hit & (self.number[at] >= 0)]
-        return out
-
-
-def presence(grams: Grams, texts: list[str]) -> np.ndarray:
-    """Which of the n-grams each text holds, as a 0/1 matrix."""
-    out = np.zeros((len(texts), grams.size), np.float32)
-    flat = out.ravel()
+        values.append(value[inside])
+        owners.append(owner[: len(value)][inside])
+    return np.concatenate(values), np.concatenate(owners)
+
+
+def presence(grams: Numbers, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the n-grams each of up to ROWS texts holds, as a 0/1 matrix, and how many different n-grams it holds,
+    those outside the set included."""
+    out = np.zeros((len(texts), grams.used), np.float32)
+    flat, count = out.ravel(), np.zeros(len(texts), np.int64)
+    low, seen, owner = np.uint64(ROWS - 1), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def close(keys: np.ndarray) -> None:
+        nonlocal count
+        count += np.bincount((keys & low).astype(np.int64), minlength=len(texts))
+
     for value, owner in spectrum(texts):
         number = grams.find(value)
         hit = number >= 0
-        flat[owner[hit] * grams.size + number[hit]] = 1
-    return out
+        flat[owner[hit] * grams.used + number[hit]] = 1
+        # 56 bits of the n-gram over the text's number; the last text may go on in the next block
+        keys = np.sort(np.concatenate([(value & ~low) | owner.astype(np.uint64), seen]))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        last = (keys & low) == np.uint64(owner.max(initial=0))
+        close(keys[~last])
+        seen = keys[last]
+    close(seen)
+    return out, count
 
 
 @dataclasses.dataclass
 class Model:
     """Kernel between texts x and y: the n-grams of 1 to LENGTHS characters that both hold, over the root of the
-    product of how many each holds. The set of n-grams is that of the landmarks: no other can add to a kernel value
-    with a landmark."""
+    product of how many each holds. Only n-grams of the landmarks can be held by both, so only these are numbered;
+    sizes counts all that each landmark holds."""
 
     languages: list[str]
-    grams: Grams
+    grams: Numbers
     landmarks: np.ndarray
+    sizes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
 
-    def kernel(self, held: np.ndarray) -> np.ndarray:
-        own = held.sum(axis=1)
-        product = held @ self.landmarks.T
-        return product / np.sqrt(np.maximum(own, 1)[:, None] * np.maximum(self.landmarks.sum(axis=1), 1))
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        held, own = presence(self.grams, texts)
+        return held @ self.landmarks.T / np.sqrt(np.maximum(own, 1)[:, None] * np.maximum(self.sizes, 1))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        scores = self.kernel(presence(self.grams, texts)) @ self.weights + self.bias
+        scores = self.kernel(texts) @ self.weights + self.bias
         share = np.exp(4 * (scores - scores.max(axis=1, keepdims=True)))
         return [self.languages[k] for k in scores.argmax(axis=1)], share.max(axis=1) / share.sum(axis=1)
 
@@ -127,13 +111,16 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     """One ridge regression against the rest for each language, on the Nyström features of the landmarks."""
     languages = sorted(set(langs))
     marks = [k for l in languages for k in [k for k, x in enumerate(langs) if x == l][:landmarks]]
-    values = np.unique(np.concatenate([v for v, _ in spectrum([texts[k] for k in marks])] or [np.zeros(0, np.uint64)]))
-    model = Model(languages, Grams(values), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    model.landmarks = presence(model.grams, [texts[k] for k in marks])
-    among = model.kernel(model.landmarks).astype(np.float64)
+    held = [texts[k] for k in marks]
+    values = np.unique(np.concatenate([v for v, _ in spectrum(held)] or [np.zeros(0, np.uint64)]))
+    model = Model(languages, Numbers(values), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    parts = [presence(model.grams, held[k : k + ROWS]) for k in range(0, len(held), ROWS)]
+    model.landmarks, model.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kernel = lambda some: np.concatenate([model.kernel(some[k : k + ROWS]) for k in range(0, len(some), ROWS)])
+    among = kernel(held).astype(np.float64)
     scale, vectors = np.linalg.eigh(among)
     root = vectors / np.sqrt(np.maximum(scale, 1e-6 * max(scale.max(), 1e-6)))
-    features = np.concatenate([model.kernel(presence(model.grams, texts[k : k + ROWS])) for k in range(0, len(texts), ROWS)]) @ root
+    features = kernel(texts) @ root
     goal = np.array([[1.0 if x == l else -1.0 for l in languages] for x in langs])
     # rows weigh so that every language counts alike
     weight = np.array([1 / langs.count(x) for x in langs])[:, None]
@@ -144,24 +131,38 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     return model
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int, keep: F.Column) -> list:
-    """Up to per_label rows (text, label) of each label, those of smallest hash of doc_id; null texts are left out."""
-    rows = docs.where(keep & F.col(label).isNotNull() & F.col("text").isNotNull()).select("text", F.col(label).alias("y"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)).alias("h"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    near = F.lit(False)
-    for y, n in counts.items():  # about twice as many as wanted pass by hash, then the first by hash stay
-        near |= (F.col("y") == y) & (F.col("h") < int((1 << 30) * min(1.0, (2 * per_label + 50) / n)))
-    found = sorted(rows.where(near).collect(), key=lambda r: (r["h"], r["text"]))
-    left, out = dict.fromkeys(counts, per_label), []
+def training_sample(docs: DataFrame, label: str, per_label: int, keep: F.Column, together: int = TOGETHER, long: int = LONG, bytes_of_label: int = BYTES) -> list:
+    """Rows (text, y) to learn from: of each label up to per_label different texts, those of smallest hash.
+
+    All labels that have a text are learnt; together bounds the texts of all labels, of which each label has one at
+    least. Texts of more than long bytes are taken only where a label has no others, and then one; the texts of a
+    label hold bytes_of_label bytes together, or are a single one. Null texts are left out. Copies count once, whatever
+    their ids, so neither repeated nor missing ids can empty or swell the sample. Only the sample and one count for
+    each label come to the driver.
+    """
+    rows = docs.where(keep & F.col(label).isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("text", F.col(label).alias("y"), F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)).alias("h"), (F.octet_length("text") > long).alias("long"))
+    counts = rows.groupBy("y").agg(F.approx_count_distinct(F.when(~F.col("long"), F.col("h")), 0.05).alias("n"), F.min(F.when(F.col("long"), F.col("h"))).alias("one")).collect()
+    if not counts:
+        return []
+    per_label = max(1, min(per_label, together // len(counts)))
+    # about twice as many as wanted pass by hash, then the first by hash stay
+    bounds = [(r["y"], int((1 << 30) * min(1.0, (2 * per_label + 50) / r["n"])) if r["n"] else -1, None if r["n"] else r["one"]) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(bounds, StructType([StructField("_y", rows.schema["y"].dataType), StructField("_below", LongType()), StructField("_one", LongType())]))
+    chosen = rows.join(F.broadcast(bounds), F.col("y") == F.col("_y")).where((~F.col("long") & (F.col("h") < F.col("_below"))) | (F.col("long") & (F.col("h") == F.col("_one"))))
+    found = sorted(chosen.select("y", "h", "text").distinct().collect(), key=lambda r: (r["h"], r["text"]))
+    left, room, out = {r["y"]: per_label for r in counts}, {r["y"]: bytes_of_label for r in counts}, []
     for r in found:
-        if left[r["y"]]:
+        size = len(r["text"].encode("utf-8", "surrogatepass"))
+        if left[r["y"]] and (size <= room[r["y"]] or left[r["y"]] == per_label):
             left[r["y"]] -= 1
+            room[r["y"]] -= size
             out.append(r)
     return out
 
 
 def train(docs: DataFrame, keep: F.Column | None = None, per_language: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
-    """A model from a bounded sample of docs (doc_id, text, lang) with a language; None if there is none."""
+    """A model from a bounded sample of docs (text, lang, and what keep reads) with a language; None if there is none."""
     rows = training_sample(docs, "lang", per_language, F.lit(True) if keep is None else keep)
     return fit([r["text"] for r in rows], [r["y"] for r in rows], landmarks) if rows else None
 

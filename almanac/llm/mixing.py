@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read
+from .common import cut, read, whole_row
 
 #: Blocks of a source, and output shards (a power of two).
 BLOCKS, SHARDS = 1024, 64
@@ -113,20 +113,26 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def block_of(seed: int, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(blocks)).cast("int")
+def block_of(seed: int, blocks: int, own: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), own), F.lit(blocks)).cast("int")
 
 
-def place_of(seed: int) -> Column:
+def place_of(seed: int, own: Column) -> Column:
     """Where a document stands in the permutation of its block."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+    return F.xxhash64(F.lit(seed), own)
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    """What names a document: its id and its text, so that missing or repeated ids do not tie documents together."""
+    return F.xxhash64(doc_id, text)
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(rows, block plan). rows: doc_id, source, size, block, place of each document. Block plan: one row for each block
     of each source with source_size, target, whole (copies of all its documents), until (one more copy of the documents
     whose place is at most this), also (the place of one document more) and the shards of its copies."""
-    rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), block_of(seed, blocks).alias("block"), place_of(seed).alias("place")))
+    rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text")).alias("own")))
+    rows = rows.withColumns({"block": block_of(seed, blocks, F.col("own")), "place": place_of(seed, F.col("own"))})
     sums = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumn("source_rank", F.xxhash64("source"))
     # copies in full for all blocks, and one more for the first blocks of the source's permutation, the last in part
@@ -164,25 +170,28 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.
 
 
 def _with_plan(rows: DataFrame, blocks: DataFrame, seed: int, n: int) -> DataFrame:
-    """rows (doc_id, source, ...) with _plan, the plan of their block, and _shards, one for each copy of the row."""
-    side = _small(blocks).select(F.col("source").alias("_of"), F.col("block").alias("_bk"), F.struct("source_size", "target", "whole", "until", "also", "shards").alias("_plan"))
-    out = rows.join(side, F.col("source").eqNullSafe(F.col("_of")) & (block_of(seed, n) == F.col("_bk"))).drop("_of", "_bk")
-    copies = F.col("_plan.whole") + F.when((place_of(seed) <= F.col("_plan.until")) | (place_of(seed) == F.col("_plan.also")), 1).otherwise(0)
-    return out.withColumn("_shards", F.when(copies > 0, F.slice("_plan.shards", 1, copies)).otherwise(F.array().cast("array<int>")))
+    """rows (source, own, ...) with plan, that of their block, and shards, one for each copy of the row."""
+    side = _small(blocks).select(F.col("source").alias("of"), F.col("block").alias("bk"), F.struct("source_size", "target", "whole", "until", "also", "shards").alias("plan"))
+    out = rows.join(side, F.col("source").eqNullSafe(F.col("of")) & (block_of(seed, n, F.col("own")) == F.col("bk"))).drop("of", "bk")
+    place = place_of(seed, F.col("own"))
+    copies = F.col("plan.whole") + F.when((place <= F.col("plan.until")) | (place == F.col("plan.also")), 1).otherwise(0)
+    return out.withColumn("shards", F.when(copies > 0, F.slice("plan.shards", 1, copies)).otherwise(F.array().cast("array<int>")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The mixed corpus: the columns of docs, each document as often as it is drawn, dealt to shards and shuffled there.
 
-    docs: doc_id, text, source, ... Every source gives about its target in words; no document is
-    drawn more than `most` times. Null texts have no words; documents without words are drawn with their block. Rows
-    that repeat a doc_id, or have none, share its place and are drawn together. An empty table gives an empty result.
+    docs: doc_id, text, source, and any further columns, whatever their names. Every source gives about its target in
+    words; no document is drawn more than `most` times. Null texts have no words; documents without words are drawn
+    with their block. Rows without a doc_id, or with one that repeats, are told apart by their text; rows that repeat
+    both share a place and are drawn together. An empty table gives an empty result.
     """
     _, by_block = plan(docs, weights, most, blocks, shards, seed)
-    out = _with_plan(docs, by_block, seed, blocks).select(*docs.columns, F.posexplode("_shards").alias("_copy", "_shard"))
+    rows = docs.select("source", key_of(F.col("doc_id"), F.col("text")).alias("own"), whole_row(docs).alias("row"))
+    out = _with_plan(rows, by_block, seed, blocks).select("row", "own", F.posexplode("shards").alias("copy", "shard"))
     total = by_block.groupBy("source").agg(F.first("target").alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
-    out = out.withColumn("_order", F.xxhash64(F.lit(seed + 5), "doc_id", "_copy")).withColumn("_piece", F.pmod("_order", F.lit(1 + int(total / shards / PIECE_WORDS))))
-    return out.repartition("_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_order").drop("_copy", "_shard", "_order", "_piece")
+    out = out.withColumn("order", F.xxhash64(F.lit(seed + 5), "own", "copy")).withColumn("piece", F.pmod("order", F.lit(1 + int(total / shards / PIECE_WORDS))))
+    return out.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "order").select("row.*")
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 17) -> DataFrame:
@@ -192,8 +201,8 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3
     """
     rows, by_block = plan(docs, weights, most, blocks, shards, seed)
     out = _with_plan(rows, by_block, seed, blocks)
-    copies = F.size("_shards")
-    return out.select("doc_id", "size", "_plan.source_size", "_plan.target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+    copies = F.size("shards")
+    return out.select("doc_id", "size", "plan.source_size", "plan.target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Byte-level BPE compiled to tables: a deterministic transducer finds the pieces, a lexicon holds what each piece emits.
+"""A byte-level BPE tokenizer compiled to a deterministic transducer that is run over arrays of texts.
 
-Pieces. The splitting rule of the tokenizer (contractions, a blank joined to the word, number or sign run after it,
+Borders. The splitting rule of the tokenizer (contractions, a blank joined to the word, number or sign run after it,
 blank runs that give their last character away) is a machine of eleven states over twelve character classes. A
 transition says whether a piece starts at the character read or at the one before. A text is dealt into chunks; each
 chunk's map from any start state to its end state is worked out for all chunks at once, the maps are composed by a
 parallel prefix scan, and a second pass over all chunks, now from known states, writes the piece starts.
 
-Emission. What a piece emits (its token ids, and so their number) is compiled when the piece is first met, by running
-the merges for all new pieces of a batch together, and is then one lookup for a whole piece.
+Pieces. Within a piece the transducer walks a tree of states, one for each beginning of a piece; transitions are keyed
+by state and character, whole, so that two pieces never share a state. The transition that leaves a state at a border
+carries the number of tokens emitted there and their ids. States and transitions are made when they are first needed,
+the merges being run for all pieces that are new in a block together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ import unicodedata
 
 import numpy as np
 
-CHUNK, SPAN, LEXICON = 128, 1 << 18, 150_000
+from .tables import Numbers
+
+#: Characters of a chunk and of a block; states kept from block to block; pieces of more characters than REACH have a
+#: state of their own, found by the whole piece, and are kept up to KEPT characters in all.
+CHUNK, SPAN, STATES, REACH, KEPT = 128, 1 << 18, 400_000, 48, 4_000_000
 _LEAD = 12
 _OTHER_LETTER, _STMD, _R, _V, _L, _E, _NUMBER, _SIGN, _QUOTE, _SPACE, _BLANK, _END = range(12)
 _START, _WORD, _DIGITS, _SIGNS, _AP, _APR, _APL, _SP1, _SPN, _WS1, _WSN = range(11)
@@ -98,46 +104,26 @@ class Transducer:
             self.byte_id[byte] = vocab[name]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right, made = (np.array(x, np.uint64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), strict=True))
-        self._pairs((left << np.uint64(32)) | right, made)
+        self.ranks, self.made = Numbers((left << np.uint64(32)) | right), made.astype(np.int64)
         self.added = added
         self._find_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._mark = {s: chr(0xD801 + k) for k, s in enumerate(added)}
         self._mark_id = np.array([*added.values()], np.int64)
         self.next, self.starts = _machine()
         self.classes = _classes()
-        self.power = self.inverse = np.ones(1, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.n, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        """Forget all states but the first, which every piece starts from."""
+        self.edges, self.long, self.kept = Numbers(), {}, 0
+        self.states, self.used = 1, 0
+        self.at, self.n, self.ids = np.zeros(1 << 16, np.int64), np.full(1 << 16, -1, np.int64), np.zeros(1 << 18, np.int32)
 
     # -- merges
 
-    def _pairs(self, key: np.ndarray, made: np.ndarray) -> None:
-        """An open hash table from a pair of ids to its rank."""
-        self.bits = np.uint64(64 - 20)
-        self.slot_key, self.slot_rank = np.full(1 << 20, np.uint64(2**64 - 1)), np.zeros(1 << 20, np.int64)
-        self.probes, todo = 0, np.arange(len(key))
-        while len(todo):
-            at = ((key[todo] * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64) + self.probes & (1 << 20) - 1
-            free = self.slot_key[at] == np.uint64(2**64 - 1)
-            place, one = np.unique(at[free], return_index=True)
-            won = np.nonzero(free)[0][one]
-            self.slot_key[place], self.slot_rank[place] = key[todo[won]], todo[won]
-            todo = np.delete(todo, won)
-            self.probes += 1
-        self.made = made.astype(np.int64)
-
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        home = ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
-        rank = np.full(len(key), len(self.made))
-        for k in range(self.probes):
-            at = home + k & (1 << 20) - 1
-            hit = self.slot_key[at] == key
-            rank[hit] = self.slot_rank[at[hit]]
-        return rank
+        rank = self.ranks.find((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)).astype(np.int64)
+        return np.where(rank < 0, len(self.made), rank)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces in one array, and their number for each piece; pieces are not empty."""
@@ -209,31 +195,51 @@ class Transducer:
         here[:-1] |= (marks[1:] & 2).astype(bool)
         return np.nonzero(here)[0]
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            base = 0x5851F42D4C957F2D
-            grow = lambda b: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64)))
-            self.power, self.inverse = grow(base), grow(pow(base, -1, 1 << 64))
-
-    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a string of texts with their stops: lexicon entries of its pieces, and where each text's first piece is."""
+    def _new_states(self, n: int) -> np.ndarray:
+        while self.states + n > len(self.n):
+            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.full_like(self.n, -1)])
+        self.states += n
+        return np.arange(self.states - n, self.states)
+
+    def _walk(self, text: str, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The state that each piece ends in; all pieces advance together, a character at a time."""
+        state = np.zeros(len(starts), np.int64)
+        live, k = np.nonzero(size <= REACH)[0], 0
+        now, at = state[live], starts[live]
+        while len(live):
+            key = (now.astype(np.uint64) << np.uint64(21)) | points[at + k]
+            now = self.edges.find(key).astype(np.int64)
+            if len(new := np.nonzero(now < 0)[0]):
+                fresh, back = np.unique(key[new], return_inverse=True)
+                numbers = self._new_states(len(fresh))
+                self.edges.add(fresh, numbers)
+                now[new] = numbers[back]
+            state[live] = now
+            k += 1
+            stay = size[live] > k
+            live, now, at = live[stay], now[stay], at[stay]
+        for k in np.nonzero(size > REACH)[0].tolist():
+            piece = text[starts[k] : starts[k] + size[k]]
+            if piece not in self.long:
+                self.long[piece] = int(self._new_states(1)[0])
+                self.kept += len(piece)
+            state[k] = self.long[piece]
+        return state
+
+    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of a string of texts with their stops: the state that each piece ends in, and which pieces are stops."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = self._starts(points)
-        ends = np.append(starts[1:], len(points))
-        self._powers(len(points))
-        value = (points.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0xFF51AFD7ED558CCD)
-        value ^= value >> np.uint64(29)
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(value * self.power[: len(points)]))
-        name = (total[ends] - total[starts]) * self.inverse[starts]
-        name ^= (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        names, one, back = np.unique(name, return_index=True, return_inverse=True)
-        entry = np.fromiter(map(self.known.get, names.tolist(), [-1] * len(names)), np.int64, len(names))
-        if len(new := np.nonzero(entry < 0)[0]):
-            entry[new] = self._learn(names[new], [text[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-        stops = np.nonzero(points[starts] == 0xD800)[0]
-        return entry[back], stops, starts
-
-    def _learn(self, names: np.ndarray, pieces: list[str]) -> np.ndarray:
+        size = np.diff(np.append(starts, len(points)))
+        state = self._walk(text, points, starts, size)
+        if len(new := np.nonzero(self.n[state] < 0)[0]):
+            fresh, one = np.unique(state[new], return_index=True)
+            one = new[one]
+            self._learn(fresh, [text[a : a + n] for a, n in zip(starts[one].tolist(), size[one].tolist(), strict=True)])
+        return state, np.nonzero(points[starts] == 0xD800)[0]
+
+    def _learn(self, states: np.ndarray, pieces: list[str]) -> None:
+        """What the transitions that leave these states at a border emit."""
         marks = np.array(["\ud800" <= p[0] <= "\udfff" for p in pieces])
         sizes, ids = np.zeros(len(pieces), np.int64), np.zeros(0, np.int32)
         if not marks.all():
@@ -249,12 +255,7 @@ class Transducer:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        entry = np.arange(len(self.known), len(self.known) + len(names))
-        while len(self.known) + len(names) > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
-        self.at[entry], self.n[entry] = at, sizes
-        self.known.update(zip(names.tolist(), entry.tolist(), strict=True))
-        return entry
+        self.at[states], self.n[states] = at, sizes
 
     def _parts(self, text: str) -> list[str]:
         """A text in parts of about SPAN characters, cut before blanks that follow no blank: a piece starts there anyway."""
@@ -267,7 +268,7 @@ class Transducer:
         return [*parts, text[lo:]]
 
     def _blocks(self, texts: list[str]):
-        """(entries, first piece of each part, text of each part) in blocks of about SPAN characters."""
+        """(states that pieces end in, first piece of each part, text of each part) in blocks of about SPAN characters."""
         parts, of, size = [], [], 0
         for k, text in enumerate(texts):
             for part in self._parts(text or ""):
@@ -281,24 +282,24 @@ class Transducer:
             yield self._flush(parts), np.array(of)
 
     def _flush(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > LEXICON:
+        if self.states > STATES or self.kept > KEPT:
             self.clear()
-        entry, stops, _ = self._block(_STOP.join(parts) + _STOP)
-        return entry, np.concatenate([[0], stops[:-1] + 1])
+        state, stops = self._block(_STOP.join(parts) + _STOP)
+        return state, np.concatenate([[0], stops[:-1] + 1])
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
         out = np.zeros(len(texts), np.int64)
-        for (entry, first), of in self._blocks(texts):
-            np.add.at(out, of, np.add.reduceat(self.n[entry], first))
+        for (state, first), of in self._blocks(texts):
+            np.add.at(out, of, np.add.reduceat(self.n[state], first))
         return out
 
     def encode(self, texts: list[str]):
         """For block after block: (indices of texts, token ids of all its parts, first id of each part and the end)."""
-        for (entry, first), of in self._blocks(texts):
-            n = self.n[entry]
+        for (state, first), of in self._blocks(texts):
+            n = self.n[state]
             end = np.cumsum(n)
-            ids = self.ids[np.repeat(self.at[entry] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+            ids = self.ids[np.repeat(self.at[state] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
             yield of, ids, np.append((end - n)[first], end[-1])
 
 

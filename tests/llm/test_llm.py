@@ -140,11 +140,37 @@ def test_op3_learns_and_rejects(spark, docs, empty):
 
 
 def test_op3_kernel_by_hand():
-    a, b = "abab", "abc"
-    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    model = language_id.fit([a, b, "zzz", "yyy"], ["x", "x", "y", "y"], landmarks=2)
-    k = model.kernel(language_id.presence(model.grams, [a, b]))
-    assert abs(k[0, 1] - len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))) < 1e-6
+    marks, probe = ["abab", "abc", "zzz", "yyy"], ["abxq" * 40, "abab", "", "Ab", "z" * 700]
+    grams = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    model = language_id.fit(marks, ["x", "x", "y", "y"], landmarks=2)
+    old = language_id.SPAN
+    for language_id.SPAN in (old, 64):
+        k = model.kernel(probe)
+        for i, a in enumerate(probe):
+            for j, b in enumerate(marks):
+                assert abs(k[i, j] - len(grams(a) & grams(b)) / math.sqrt(max(1, len(grams(a))) * len(grams(b)))) < 1e-6
+    language_id.SPAN = old
+
+
+def test_op3_and_op10_samples_hold_every_label(spark):
+    # one id for all French texts, none for all German ones, a label with a long text only, copies of one text
+    rows = [(1, f"texte {k}", "fr") for k in range(3000)] + [(None, f"wort {k}", "de") for k in range(50)] + [(k, "copy", "en") for k in range(5000)]
+    rows += [(7, "long " * 400, "la"), (8, "long " * 401, "la"), (9, None, "it"), (10, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = language_id.training_sample(df, "lang", 100, F.lit(True), long=1000)
+    n = Counter(r["y"] for r in found)
+    assert (n["fr"], n["de"], n["en"], n["la"]) == (100, 50, 1, 1) and len(n) == 4
+    assert len(found) == len({(r["y"], r["text"]) for r in found})
+    few = Counter(r["y"] for r in language_id.training_sample(df, "lang", 100, F.lit(True), together=40, long=1000))
+    assert few == {"fr": 10, "de": 10, "en": 1, "la": 1}
+    assert sum(len(r["text"]) for r in language_id.training_sample(df, "lang", 100, F.lit(True), bytes_of_label=55) if r["y"] == "fr") <= 55
+
+
+def test_op3_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    rows = language_id.identify(docs.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0), model).select("lang", "lang_pred").collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
 
 
 def test_op4_targets_and_mix(spark, docs, empty):
@@ -215,6 +241,38 @@ def test_op5_and_transducer_equal_the_library(spark, docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_op5_and_op9_tell_apart_texts_with_equal_polynomial_hashes(spark):
+    # Thue-Morse words collide under any polynomial hash modulo a power of two
+    path = token_counts.vocabulary()
+    tok, machine = Tokenizer.from_file(path), transducer.load(path)
+    for a, b in ("eq", "an", "st", "10", ".,"):
+        for n in (40, 48, 512, 1024, 4096):
+            pair = ["".join(x[bin(k).count("1") % 2] for k in range(n)) for x in ((a, b), (b, a))]
+            for some in (pair, pair[::-1]):
+                machine.clear()
+                want = [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+                assert machine.count(some).tolist() == list(map(len, want))
+                assert np.concatenate([ids for _, ids, _ in machine.encode(some)]).tolist() == sum(want, [])
+    pair = ["".join(x[bin(k).count("1") % 2] for k in range(2048)) for x in ("eq", "qe")]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string").coalesce(1), path).collect()
+    ids = [tok.encode(t, add_special_tokens=False).ids + [2] for t in pair]
+    assert sum(r["length"] for r in rows) == sum(map(len, ids))
+    assert all(zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
+def test_op5_forgets_states_without_changing_counts():
+    path = token_counts.vocabulary()
+    machine, old = transducer.Transducer(path), transducer.STATES
+    some = [f"{w}{k} {w}" for k in range(300) for w in WORDS]
+    want = machine.count(some).tolist()
+    transducer.STATES, span = 100, transducer.SPAN
+    transducer.SPAN = 200
+    try:
+        assert machine.count(some).tolist() == want and machine.states < len(some)
+    finally:
+        transducer.STATES, transducer.SPAN = old, span
+
+
 def test_op6_counts_and_probabilities(spark, docs, empty):
     got = by_id(lm_scoring.likelihoods(docs, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1))
     tokens = {k: (t or "").encode().lower().split() + [b""] for k, t in enumerate(texts())}
@@ -422,3 +480,25 @@ def test_pipeline_near_keeps_one_row_of_each_group_whatever_the_ids(spark, docs)
 def test_pipeline_language_without_any_labels(spark, docs):
     kept = by_id(corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), ""))
     assert set(kept) == {k for k, r in by_id(docs).items() if any(map(str.isalpha, r["text"] or ""))}
+
+
+ODD = ["_id", "_of", "_bk", "_plan", "_shard", "_copy", "_order", "_sha", "own", "row", "copy", "order", "plan", "lang_pred", "lang_score", "sha", "component", "kept"]
+
+
+def test_pipeline_stages_let_columns_of_any_name_through(spark, docs, empty):
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ODD})
+    repeated = odd.unionByName(odd.where("doc_id < 3")).withColumn("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (odd, repeated, odd.limit(0)):
+            out = stage(spark, rows, "")
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == odd.columns and all(r[c].startswith(c) for r in got for c in ODD)
+            assert bool(got) == (rows is not odd.limit(0) and rows.count() > 0)
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_mixing_tells_rows_without_ids_apart(spark):
+    rows = [(None, " ".join(random.Random(k).choices(WORDS, k=20)), "en", "a" if k < 900 else "b", 1) for k in range(1000)]
+    got = mixing.taken(spark.createDataFrame(rows, SCHEMA), blocks=16, shards=4).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert len(got) == 2 and all(abs(r["n"] - r["target"]) < 0.05 * r["target"] for r in got)
