@@ -23,9 +23,9 @@ from .common import cut, held_out, read, trained_on
 HEAD = 150_000
 #: Words with an output of their own, words of a class, classes of rarer words by spelling, size of the state.
 WORDS, PER_CLASS, TAILS, HIDDEN = 2000, 50, 32, 16
-#: Words of a block of training documents; rounds, after each of which the weights of all blocks are averaged.
-TASK_WORDS, ROUNDS = 150_000, 2
-RATE = 0.2
+#: Words of a block of training documents; slices of the training documents, each of which is learnt from once: after
+#: each the weights of its blocks are averaged, and the next slice goes on from there; words that make a block anyway.
+TASK_WORDS, SLICES, SMALLEST = 250_000, 8, 25_000
 #: Counts held before they are sent on; tokens whose words are held at once.
 FLUSH, TOKENS = 200_000, 1_000_000
 
@@ -132,11 +132,13 @@ def _encode(sent):
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's texts as one row; as several where a repeated text makes the task larger than twice the wanted size."""
+    """A task's texts as one row; as several where a repeated text makes the task larger than twice the wanted size.
+    All rows of a task are of one slice."""
     ids, sizes, words = [], [], 0
+    slice_ = TaskContext.get().partitionId() % SLICES
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b"".join(ids)], pa.binary()), pa.array([sizes], pa.list_(pa.int32()))], names=["ids", "sizes"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(ids)], pa.binary()), pa.array([sizes], pa.list_(pa.int32())), pa.array([slice_], pa.int32())], names=["ids", "sizes", "slice"])
 
     for batch in batches:
         for own in batch.column(0).to_pylist():
@@ -159,7 +161,7 @@ def _learn(sent, flat):
         for batch in batches:
             for ids, sizes in zip(batch.column("ids"), batch.column("sizes"), strict=True):
                 texts = np.split(np.frombuffer(ids.as_py(), "<u2"), np.cumsum(sizes.as_py())[:-1])
-                weights, learnt = recurrent.train(own.shape, start, texts, RATE)
+                weights, learnt = recurrent.train(own.shape, start, texts)
                 total += weights.astype(np.float64) * learnt
                 n += learnt
         if n:
@@ -177,26 +179,27 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def blocks(docs: DataFrame, own: Lexicon, sent) -> DataFrame:
-    """All of docs (doc_id, text) in rows of about TASK_WORDS words: the ids of the words and the sizes of the texts."""
-    parts = max(1, math.ceil(own.total / TASK_WORDS))
+    """All of docs (doc_id, text) in rows of about TASK_WORDS words (fewer where that gives a row for each slice): the
+    ids of the words, the sizes of the texts, and the slice."""
+    parts = max(1, math.ceil(own.total / TASK_WORDS), min(SLICES, own.total // SMALLEST))
     ids = docs.select("doc_id", "text").mapInArrow(_encode(sent), "doc_id long, ids binary")
     dealt = ids.select("ids", F.xxhash64(F.lit(12), "doc_id", "ids").alias("h")).repartition(parts, "h").sortWithinPartitions("h", "ids")
-    return cut(dealt.select("ids").mapInArrow(_block, "ids binary, sizes array<int>"))
+    return cut(dealt.select("ids").mapInArrow(_block, "ids binary, sizes array<int>, slice int"))
 
 
 def fit(docs: DataFrame, own: Lexicon, sent) -> np.ndarray:
-    """Network weights, learnt from every row of docs (doc_id, text). Each block is trained on from the last round's
-    weights, and the results are averaged by words learnt from, within a task, 64 tasks at a time and then all; only
-    the averaged weights, whose size is fixed, come to the driver."""
+    """Network weights, learnt from every row of docs (doc_id, text) once. The blocks of a slice are trained on from the
+    weights that the slice before left, and the results are averaged by words learnt from, within a task, 64 tasks at
+    a time and then all; only the averaged weights, whose size is fixed, come to the driver."""
     flat = recurrent.initial(own.shape, own.mass)
     read_all = blocks(docs, own, sent)
     schema = "slot int, part int, n long, w array<float>"
-    for _ in range(ROUNDS):
-        trained = read_all.mapInArrow(_learn(sent, docs.sparkSession.sparkContext.broadcast(flat)), schema)
+    for number in sorted(r["slice"] for r in read_all.select("slice").distinct().collect()):
+        some = read_all.where(F.col("slice") == number)
+        trained = some.mapInArrow(_learn(sent, docs.sparkSession.sparkContext.broadcast(flat)), schema)
         some_means = trained.groupBy("slot", (F.col("part") % 64).alias("_p")).applyInPandas(_average, schema)
         means = some_means.groupBy("slot").applyInPandas(_average, schema).collect()
-        if means:
-            flat = np.concatenate([np.array(r["w"], np.float32) for r in sorted(means, key=lambda r: r["slot"])])
+        flat = np.concatenate([np.array(r["w"], np.float32) for r in sorted(means, key=lambda r: r["slot"])])
     return flat
 
 

@@ -7,8 +7,8 @@ import dataclasses
 import numpy as np
 
 #: Steps that the state is carried on for scoring before the outputs are worked out, and the words that make it worth
-#: while: with few texts left, more steps; steps and texts of a training window; learning rate.
-WINDOW, WORTH, STEPS, TEXTS, RATE = 8, 16_384, 20, 32, 0.1
+#: while: with few texts left, more steps; steps and most lanes of a training window; learning rate.
+WINDOW, WORTH, STEPS, LANES, RATE = 8, 16_384, 20, 256, 0.3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,38 +73,41 @@ def initial(shape: Shape, mass: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
-    return x
+def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each row's goal, and the exponentials of x (in its place) and their sums."""
+    if np.abs(x).max(initial=0) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), goal]
+    e = np.exp(x, out=x)
+    total = e @ np.ones(x.shape[1], x.dtype)
+    return picked - np.log(total), e, total
 
 
 def _outputs(shape: Shape, p: dict, h: np.ndarray, goal: np.ndarray, grad: dict | None = None):
     """Natural log probability of each goal given its state; with grad, gradients are added and that of h returned."""
     kind = shape.class_of(goal)
-    rows = np.arange(len(goal))
-    logc = _log_softmax(h @ p["wc"] + p["bc"])
-    out = logc[rows, kind]
+    out, d, total = _softmax(h @ p["wc"] + p["bc"], kind)
     dh = None
     if grad is not None:
-        d = np.exp(logc)
-        d[rows, kind] -= 1
+        d /= total[:, None]
+        d[np.arange(len(goal)), kind] -= 1
         grad["wc"] += h.T @ d
         grad["bc"] += d.sum(axis=0)
         dh = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
     edges = np.searchsorted(kind[order], np.arange(shape.heads + 1))
-    for k in np.nonzero(np.diff(edges))[0]:
-        at = order[edges[k] : edges[k + 1]]
-        logw = _log_softmax(h[at] @ p["ww"][k] + p["bw"][k])
-        word, n = goal[at] - k * shape.per, np.arange(len(at))
-        out[at] += logw[n, word]
+    sorted_h, word = h[order], goal[order] % shape.per
+    for k in np.nonzero(np.diff(edges))[0].tolist():
+        lo, hi = edges[k], edges[k + 1]
+        own = sorted_h[lo:hi]
+        got, d, total = _softmax(own @ p["ww"][k] + p["bw"][k], word[lo:hi])
+        out[order[lo:hi]] += got
         if grad is not None:
-            d = np.exp(logw)
-            d[n, word] -= 1
-            grad["ww"][k] += h[at].T @ d
+            d /= total[:, None]
+            d[np.arange(hi - lo), word[lo:hi]] -= 1
+            grad["ww"][k] += own.T @ d
             grad["bw"][k] += d.sum(axis=0)
-            dh[at] += d @ p["ww"][k].T
+            dh[order[lo:hi]] += d @ p["ww"][k].T
     return out, dh
 
 
@@ -148,62 +151,80 @@ def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], rate: float = RATE) -> tuple[np.ndarray, int]:
+def gradients(shape: Shape, p: dict, inputs: np.ndarray, goals: np.ndarray, valid: np.ndarray, h: np.ndarray, grad: dict) -> np.ndarray:
+    """Adds the gradients of minus the log probability of a window (steps x lanes) to grad; returns the state after it.
+
+    States are columns here (hidden x lanes), so that the parts of the gates are whole rows. A lane's state is zero
+    where its input is the start of a text, and no gradient flows back over that place.
+    """
+    n, k = len(inputs), shape.hidden
+    given = np.ascontiguousarray(p["wx"][inputs].transpose(0, 2, 1))
+    keep, u = (inputs != shape.start).astype(h.dtype), np.ascontiguousarray(p["u"].T)
+    before, states, gates, rest = (np.empty((n, m, inputs.shape[1]), h.dtype) for m in (k, k, 2 * k, k))
+    own = np.empty_like(states)
+    for t in range(n):
+        np.multiply(h, keep[t], out=before[t])
+        g = u @ before[t]
+        np.add(given[t, : 2 * k], g[: 2 * k], out=gates[t])
+        gates[t] = 1 / (1 + np.exp(np.minimum(-gates[t], 80)))
+        rest[t] = g[2 * k :]
+        np.tanh(given[t, 2 * k :] + gates[t, :k] * rest[t], out=own[t])
+        h = own[t] + gates[t, k:] * (before[t] - own[t])
+        states[t] = h
+    r, z = gates[:, :k], gates[:, k:]
+    dh_all = np.zeros((*inputs.shape, k), h.dtype)
+    _, dh_all[valid] = _outputs(shape, p, states.transpose(0, 2, 1)[valid], goals[valid], grad)
+    dh_all = np.ascontiguousarray(dh_all.transpose(0, 2, 1))
+    # what a state's gradient is multiplied by, for all steps at once
+    to_own = (1 - z) * (1 - own * own)
+    factor = np.concatenate([to_own * rest * r * (1 - r), (before - own) * z * (1 - z), to_own], axis=1).reshape(n, 3, k, -1)
+    dh, da, back = np.zeros_like(h), np.empty_like(factor), np.ascontiguousarray(p["u"])
+    dg = np.empty_like(given)
+    for t in reversed(range(n)):
+        dh = dh + dh_all[t]
+        np.multiply(factor[t], dh, out=da[t])
+        dg[t, : 2 * k] = da[t, :2].reshape(2 * k, -1)
+        np.multiply(da[t, 2], r[t], out=dg[t, 2 * k :])
+        dh = (dh * z[t] + back @ dg[t]) * keep[t]
+    grad["u"] += before.transpose(1, 0, 2).reshape(k, -1) @ dg.transpose(1, 0, 2).reshape(3 * k, -1).T
+    ids, rows = inputs.ravel(), da.reshape(n, 3 * k, -1).transpose(0, 2, 1).reshape(-1, 3 * k)
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    first = np.nonzero(np.append(True, ids[order][1:] != ids[order][:-1]))[0]
+    grad["wx"][ids[order][first]] += np.add.reduceat(rows[order], first)
+    return h
+
+
+def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], rate: float = RATE, lanes: int = LANES) -> tuple[np.ndarray, int]:
     """One pass of truncated backpropagation over the texts; returns new weights and the number of tokens learnt from.
 
-    TEXTS texts run side by side; gradients flow within a window of STEPS words, the state flows on to the next.
+    The texts, each with its end, are laid end to end and dealt to lanes of equal length that run side by side, with
+    fewer lanes where the texts are few. Gradients flow within a window of STEPS words, the state flows on to the next
+    window, and starts anew with every text.
     """
     flat = flat.copy()
     p = unpack(shape, flat)
     memory = np.full_like(flat, 1e-2)
-    texts = sorted(texts, key=len)
-    groups = [texts[k : k + TEXTS] for k in range(0, len(texts), TEXTS)]
-    learnt = 0
-    for turn in np.random.default_rng(len(texts)).permutation(len(groups)):
-        group = groups[turn][::-1]
-        sizes = np.array([len(t) + 1 for t in group])
-        goals = np.full((len(group), sizes[0]), shape.end, np.int64)
-        for row, t in zip(goals, group, strict=True):
-            row[: len(t)] = t
-        inputs = np.concatenate([np.full((len(group), 1), shape.start), goals[:, :-1]], axis=1)
-        h = np.zeros((len(group), shape.hidden), np.float32)
-        for t0 in range(0, int(sizes[0]), STEPS):
-            live = int((sizes > t0).sum())
-            h = h[:live]
-            span = range(t0, min(t0 + STEPS, int(sizes[0])))
-            kept, before = [], []
-            for t in span:
-                before.append(h)
-                h, gates = _step(p, shape.hidden, inputs[:live, t], h)
-                kept.append((h, *gates))
-            valid = (np.arange(span.start, span.stop)[:, None] < sizes[:live][None, :]).ravel()
-            grad_flat = np.zeros_like(flat)
-            grad = unpack(shape, grad_flat)
-            states = np.stack([k[0] for k in kept]).reshape(-1, shape.hidden)
-            dh_all = np.zeros_like(states)
-            _, dh_all[valid] = _outputs(shape, p, states[valid], goals[:live, span.start : span.stop].T.ravel()[valid], grad)
-            dh_all = dh_all.reshape(len(span), live, shape.hidden)
-            dh = np.zeros_like(h)
-            da_all = np.empty((len(span), live, 3 * shape.hidden), np.float32)
-            for k in reversed(range(len(span))):
-                _, r, z, c, g = kept[k]
-                dh = dh + dh_all[k]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before[k] - c) * z * (1 - z)
-                dr = dc * g * r * (1 - r)
-                da_all[k] = np.concatenate([dr, dz, dc], axis=1)
-                dg = np.concatenate([dr, dz, dc * r], axis=1)
-                grad["u"] += before[k].T @ dg
-                dh = dh * z + dg @ p["u"].T
-            ids = inputs[:live, span.start : span.stop].T.ravel()
-            order = np.argsort(ids, kind="stable")
-            first = np.nonzero(np.append(True, ids[order][1:] != ids[order][:-1]))[0]
-            grad["wx"][ids[order][first]] = np.add.reduceat(da_all.reshape(len(ids), -1)[order], first)
-            grad_flat /= max(1, valid.sum()) ** 0.5
-            np.clip(grad_flat, -5, 5, out=grad_flat)
-            memory += grad_flat * grad_flat
-            grad_flat *= rate
-            grad_flat /= np.sqrt(memory)
-            flat -= grad_flat
-            learnt += int(valid.sum())
-    return flat, learnt
+    total = sum(map(len, texts)) + len(texts)
+    lanes = max(1, min(lanes, total // (16 * STEPS)))
+    length = -(-total // lanes)
+    goals, inputs = np.full(lanes * length, shape.end), np.full(lanes * length, shape.start)
+    at = 0
+    for turn in np.random.default_rng(total).permutation(len(texts)):
+        n = len(texts[turn])
+        goals[at : at + n] = texts[turn]
+        inputs[at + 1 : at + n + 1] = texts[turn]
+        at += n + 1
+    valid = np.arange(lanes * length) < total
+    goals, inputs, valid = (x.reshape(lanes, length).T for x in (goals, inputs, valid))
+    h = np.zeros((shape.hidden, lanes), np.float32)
+    grad_flat = np.empty_like(flat)
+    grad = unpack(shape, grad_flat)
+    for t0 in range(0, length, STEPS):
+        span = slice(t0, t0 + STEPS)
+        grad_flat[:] = 0
+        h = gradients(shape, p, inputs[span], goals[span], valid[span], h, grad)
+        grad_flat /= max(1, valid[span].sum()) ** 0.5
+        np.clip(grad_flat, -5, 5, out=grad_flat)
+        memory += grad_flat * grad_flat
+        flat -= rate * grad_flat / np.sqrt(memory)
+    return flat, total

@@ -339,6 +339,55 @@ def test_op6_gradients():
     assert abs((loss(flat, h + step) - loss(flat, h - step)) / 2e-5 - dh[1, 2]) < 1e-4
 
 
+def test_op6_backward_pass_against_differences():
+    shape, rng = recurrent.Shape(6, 3, 2, 3), np.random.default_rng(1)
+    flat = recurrent.initial(shape, np.ones(shape.start)).astype(np.float64) + rng.normal(0, 0.3, sum(int(np.prod(s)) for s in shape.sizes().values()))
+    goals = rng.integers(0, shape.start, (7, 4))
+    inputs = np.concatenate([np.full((1, 4), shape.start), goals[:-1]])
+    inputs[3, 1] = inputs[5, 2] = shape.start
+    valid = np.ones((7, 4), bool)
+    valid[5:, 3] = False
+    h0 = rng.normal(size=(3, 4))
+
+    def loss(f):
+        """Minus the log probability, word by word in plain Python."""
+        p, total = recurrent.unpack(shape, f), 0.0
+        sigmoid = lambda x: 1 / (1 + math.exp(-x))
+        for lane in range(4):
+            h = list(h0[:, lane])
+            for t in range(7):
+                if inputs[t, lane] == shape.start:
+                    h = [0.0] * 3
+                x, g = p["wx"][inputs[t, lane]], [sum(h[i] * p["u"][i, j] for i in range(3)) for j in range(9)]
+                r, z = ([sigmoid(x[j] + g[j]) for j in range(k, k + 3)] for k in (0, 3))
+                c = [math.tanh(x[6 + j] + r[j] * g[6 + j]) for j in range(3)]
+                h = [c[j] + z[j] * (h[j] - c[j]) for j in range(3)]
+                if not valid[t, lane]:
+                    continue
+                goal = goals[t, lane]
+                kind = goal // 3 if goal < 6 else 2 + goal - 6
+                logit = [sum(h[i] * p["wc"][i, j] for i in range(3)) + p["bc"][j] for j in range(shape.classes)]
+                total -= logit[kind] - math.log(sum(map(math.exp, logit)))
+                if goal < 6:
+                    logit = [sum(h[i] * p["ww"][kind][i, j] for i in range(3)) + p["bw"][kind][j] for j in range(3)]
+                    total -= logit[goal % 3] - math.log(sum(map(math.exp, logit)))
+        return total
+
+    grad = np.zeros_like(flat)
+    recurrent.gradients(shape, recurrent.unpack(shape, flat), inputs, goals, valid, h0, recurrent.unpack(shape, grad))
+    for k in range(0, len(flat), 3):
+        step = np.zeros_like(flat)
+        step[k] = 1e-5
+        assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - grad[k]) < 1e-5
+    # the same forward pass as scoring takes
+    texts_ = [goals[:6, lane][goals[:6, lane] < shape.end] for lane in range(4)]
+    goals = np.full((7, 4), shape.end)
+    for lane, t in enumerate(texts_):
+        goals[: len(t), lane] = t
+    inputs, valid = np.concatenate([np.full((1, 4), shape.start), goals[:-1]]), np.arange(7)[:, None] <= np.array([len(t) for t in texts_])
+    assert abs(loss(flat) + recurrent.score(shape, flat, texts_).sum()) < 1e-4
+
+
 def slow_fingerprint(text):
     words = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 3]), 42) for k in range(max(1, len(words) - 2))] if words else []
