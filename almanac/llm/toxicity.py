@@ -9,6 +9,7 @@ at least one word must score above the margin, in a clean text none may.
 from __future__ import annotations
 
 import dataclasses
+import math
 import re
 import zlib
 from collections import Counter
@@ -24,8 +25,9 @@ from .language_id import training_sample
 
 #: Bound of the training sample (texts of each label), landmarks, and negatives kept for a round of training.
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 1500, 256, 20_000, 4
-#: How much more than others the negatives count that came near the margin.
-HARD = 10.0
+#: How much more than others the negatives count that came near the margin; how many times more often than in clean
+#: texts a word must occur in toxic ones to tell them.
+HARD, TIMES = 10.0, 8
 #: Weight of each character that an occurrence covers, and the most it may cover.
 DECAY, REACH = 0.6, 6
 #: Longer words are scored by overlapping windows of this many characters. Words remembered by a task.
@@ -126,9 +128,9 @@ class Model:
 
 def _dense(items: list[str], marks: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Kernel of the words with the landmarks; marks: their subsequences x landmarks, row: a subsequence's row."""
-    out = np.zeros((len(items), marks.shape[1]))
-    for lo in range(0, len(items), 2000):
-        who, what, weight = features(items[lo : lo + 2000])
+    out = np.zeros((len(items), marks.shape[1]), np.float32)
+    for lo in range(0, len(items), 250):
+        who, what, weight = features(items[lo : lo + 250])
         first = np.nonzero(np.append(True, who[1:] != who[:-1]))[0] if len(who) else who
         if len(who):
             out[lo + who[first]] = np.add.reduceat(weight[:, None] * marks[row[what]], first)
@@ -160,6 +162,13 @@ def _variants(word: str) -> list[str]:
     return [f"{word[:h]}x{word[h:]}", f"{word[: h - 1]}o{word[h - 1 :]}", f"{word[: h + 1]}{word[h:]}"]
 
 
+def _log_tail(n: int, total: int, share: float) -> float:
+    """Log probability of n or more of total draws being toxic if each is with probability share."""
+    terms = [math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(share) + (total - k) * math.log1p(-share) for k in range(n, total + 1)]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model | None:
     """A model from texts of both labels; None if one label has none."""
     clear = lambda t: {c for w in words(t) if len(c := _NOISE.sub("", w)) > 2 and len(c) <= WINDOW}
@@ -168,12 +177,14 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
     if not p or not q:
         return None
     odds = {w: np.log((n + 0.5) / (len(bags) + 1)) - np.log((q[w] + 0.5) / (len(rest) + 1)) for w, n in p.items()}
-    # words that chance would not put into so many toxic texts and no clean one, whatever their number; besides, of
-    # each toxic text without such a word, the one that tells most
+    # words that chance would not put into so many toxic texts and so few clean ones, however many words are tried;
+    # besides, of each toxic text without such a word, the one that tells most. Clean texts with a word count against
+    # it, but some of them (a wrong label, a quotation) don't clear it
     share = len(bags) / (len(bags) + len(rest))
     tried = sum(n > 1 for n in p.values())
-    tells = {w: odds[w] * np.log1p(n) for w, n in p.items() if not q[w] and n > 1}
-    positive = {w for w in tells if p[w] * -np.log(share) > np.log(20 * tried)}
+    telling = lambda w: p[w] * len(rest) >= TIMES * q[w] * len(bags)
+    tells = {w: odds[w] * np.log1p(n) for w, n in p.items() if n > 1 and telling(w)}
+    positive = {w for w in tells if _log_tail(p[w], p[w] + q[w], share) < -np.log(20 * tried)}
     positive |= {max(b & tells.keys(), key=lambda w: (tells[w], w)) for b in bags if b & tells.keys() and not b & positive and len(bags) > 200}
     positive = positive or {max(p, key=lambda w: (odds[w], w))}
     common = sorted(q, key=lambda w: (-q[w], w))
@@ -209,7 +220,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
         for b in bags:
             own = sorted(b)
             f = model.decide(own)
-            if len(own) and f.max() > 0 and not q[own[f.argmax()]]:
+            if len(own) and f.max() > 0 and telling(own[f.argmax()]):
                 positive.add(own[f.argmax()])
     top = lambda texts: np.array([model.decide(sorted(words(t))).max(initial=model.floor) for t in texts])
     high, low = top(toxic), top(clean)
@@ -232,8 +243,11 @@ def _calibrate(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, per_label: int = SAMPLE) -> Model | None:
-    """A model from a bounded sample of docs (doc_id, text) with labels (doc_id, toxic 0 or 1)."""
-    marked = labels.select(F.col("doc_id").alias("_of"), "toxic").where("toxic is not null").dropDuplicates(["_of"])
+    """A model from a bounded sample of docs (doc_id, text) with labels (doc_id, toxic 0 or 1).
+
+    Where labels of one doc_id differ, 1 counts. Labels without a doc_id mark no document.
+    """
+    marked = labels.groupBy(F.col("doc_id").alias("_of")).agg(F.max("toxic").alias("toxic")).where("toxic is not null and _of is not null")
     rows = training_sample(docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_of")), "toxic", per_label, F.lit(True) if keep is None else keep)
     return fit([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]])
 

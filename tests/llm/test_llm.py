@@ -100,7 +100,7 @@ def test_op2_against_all_strings(spark):
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(rows)] + [(None, rows[1], 1)], "doc_id long, text string, h int").repartition(4)
     raw = [(t or "").encode() for t in [*rows, rows[1]]]
     seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
-    for limit in (20_000, 0):
+    for limit in (20_000, 3, 0):
         got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, forms_of_a_task=limit).collect()}
         assert len(got) == len(raw)
         for i, b in [*enumerate(raw[:-1]), (None, raw[-1])]:
@@ -116,14 +116,34 @@ def test_op2_against_all_strings(spark):
 
 
 def test_op2_levels_find_all_matches():
-    rng = np.random.default_rng(0)
-    rows = rng.integers(0, 3, size=(500, 6), dtype=np.uint8)
-    index, hit = suffix_dedup.SuffixLevels(6), set()
-    for k in range(0, 500, 37):
-        hit |= set(index.add(rows[k : k + 37], np.arange(k, min(500, k + 37))).tolist())
-    count = Counter(map(bytes, rows))
-    assert {bytes(rows[k]) for k in hit} == {b for b, n in count.items() if n > 1}
-    assert all(len(a[0]) > 2 * len(b[0]) for a, b in zip(index.levels, index.levels[1:], strict=False))
+    rng, old = np.random.default_rng(0), suffix_dedup.STRETCH
+    for suffix_dedup.STRETCH in (old, 7):
+        rows = rng.integers(0, 3, size=(500, 6), dtype=np.uint8)
+        index, names = suffix_dedup.SuffixLevels(6), {}
+        for k in range(0, 500, 37):
+            places = np.array([index.hold(r.tobytes()) for r in rows[k : k + 37]])
+            names |= dict(zip(places.tolist(), map(bytes, rows[k : k + 37]), strict=True))
+            index.add(places)
+        count = Counter(map(bytes, rows))
+        assert all(index.repeated[p] == (count[b] > 1) for p, b in names.items())
+        assert sorted(names[p] for p in index.distinct().tolist()) == sorted(count)
+        assert all(len(a) > 2 * len(b) for a, b in zip(index.levels, index.levels[1:], strict=False))
+        # every level is a suffix array
+        assert all([names[p] for p in level.tolist()] == sorted(names[p] for p in level.tolist()) for level in index.levels)
+    suffix_dedup.STRETCH = old
+
+
+def test_op2_one_anchor_with_very_many_forms(spark):
+    # every text holds one passage, with other bytes around it and, in every fourth, a longer one
+    rng, letters = random.Random(2), "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rng.choice(letters) for _ in range(210))
+    rest = "".join(rng.choice(letters) for _ in range(60))
+    rows = ["".join(rng.choices(letters, k=70)) + passage + (rest if k % 4 == 0 else "".join(rng.choices(letters, k=60))) for k in range(21_000)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
+    for r in got.collect():
+        want = 270 if r["doc_id"] % 4 == 0 else 210
+        assert want <= r["n_removed"] <= want + 14 and r["n_spans"] == 1
+    assert got.count() == 21_000
 
 
 def test_op3_learns_and_rejects(spark, docs, empty):
@@ -498,6 +518,44 @@ def test_op10_finds_gapped_insults(spark, docs, empty):
     assert toxicity.train(docs, labels) is None and {r["toxicity"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_op10_kernel_by_hand():
+    """Gap-weighted subsequences of three characters, summed over all occurrences by brute force."""
+    words = ["idiot", "ixdiot", "loser", "aaaa", "ab", "blockhead", "bl0ckhead"]
+
+    def phi(w):
+        out = Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.REACH)):
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    cosine = lambda a, b: sum(a[x] * b[x] for x in a) / math.sqrt(max(1e-12, sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
+    who, what, weight = toxicity.features(words)
+    dense = np.zeros((len(words), 64**3))
+    dense[who, what] = weight
+    got, want = dense @ dense.T, [[cosine(phi(a), phi(b)) for b in words] for a in words]
+    assert np.allclose(got, want)
+
+
+def test_op10_held_out_noise_and_clashing_labels(spark):
+    rng, insults = random.Random(12), ["blockhead", "nincompoop", "dunderhead", "ignoramus"]
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(50))
+    rude = lambda: f"{text()} {rng.choice(insults)} {text()}."
+    # three of a hundred clean texts quote an insult, and one toxic text in fifty holds none
+    toxic, clean = [rude() if k % 50 else text() for k in range(200)], [text() if k % 33 else rude() for k in range(200)]
+    model = toxicity.fit(toxic, clean)
+    gapped = ["block-head", "b.l.o.c.k.h.e.a.d", "nincomzpoop", "nincommpoop", "d u n d e r h e a d", "ignoqramus", "ignooramus"]
+    probe = [rude() for _ in range(100)] + [f"{text()} {w} {text()}" for w in gapped] + [text() for _ in range(200)]
+    marked = model.score(np.array([model.decide(sorted(toxicity.words(t))).max() for t in probe])) >= 0.5
+    assert marked[:100].all() and marked[100:107].sum() >= 6 and marked[107:].sum() <= 2
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(200)] + [(k, 0) for k in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    one = toxicity.train(docs, labels, per_label=300)
+    two = toxicity.train(docs, labels.repartition(3), per_label=300)
+    assert np.allclose(one.weights, two.weights) and one.shift == two.shift
+
+
 def test_pipeline_stages(spark, docs):
     kept = by_id(corpus_pipeline.language(spark, docs.withColumn("lang", F.lit("en")), ""))
     rows = by_id(docs)
