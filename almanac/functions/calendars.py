@@ -135,7 +135,7 @@ def hebrew_new_year(y: Column) -> Column:
     return let(three, lambda a: HEBREW_EPOCH + a[1] + F.when(a[2] - a[1] == 356, 2).when(a[1] - a[0] == 382, 1).otherwise(0))
 
 
-def _hebrew_month_starts(y: Column, length: Column) -> Column:
+def hebrew_month_starts(y: Column, length: Column) -> Column:
     """Days before each month of a Hebrew year of the given length, in the order from Tishri."""
     leap = hebrew_leap(y)
     marheshvan, kislev = F.when(F.pmod(length, long(10)) == 5, 30).otherwise(29), F.when(F.pmod(length, long(10)) == 3, 29).otherwise(30)
@@ -147,13 +147,13 @@ def _hebrew_month_starts(y: Column, length: Column) -> Column:
     return F.array(*out)
 
 
-_TISHRI_ORDER = [7, 8, 9, 10, 11, 12, 13, 1, 2, 3, 4, 5, 6]
+TISHRI_ORDER = [7, 8, 9, 10, 11, 12, 13, 1, 2, 3, 4, 5, 6]
 
 
 def from_hebrew(y: Column, m: Column, d: Column) -> Column:
     def within(x: Column) -> Column:
         place = F.when(x["m"] >= 7, x["m"] - 7).otherwise(x["m"] + 6).cast("int")
-        return x["ny"] + _hebrew_month_starts(x["y"], x["next"] - x["ny"])[place] + x["d"] - 1
+        return x["ny"] + hebrew_month_starts(x["y"], x["next"] - x["ny"])[place] + x["d"] - 1
 
     # each argument once: they may be large expressions themselves
     with_new_years = lambda x: F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d"), hebrew_new_year(x["y"]).alias("ny"), hebrew_new_year(x["y"] + 1).alias("next"))
@@ -165,12 +165,12 @@ def to_hebrew(rd: Column) -> Column:
 
     def body(y: Column) -> Column:
         both = F.struct(hebrew_new_year(y).alias("ny"), hebrew_new_year(y + 1).alias("next"))
-        return let(both, lambda n: let(_hebrew_month_starts(y, let(n["next"] - n["ny"], lambda x: x)), lambda s: within(s, y, rd - n["ny"])))
+        return let(both, lambda n: let(hebrew_month_starts(y, let(n["next"] - n["ny"], lambda x: x)), lambda s: within(s, y, rd - n["ny"])))
 
     def within(starts: Column, y: Column, day: Column) -> Column:
         # the last month that starts on or before the day; of two that start together (no Adar II) the later
         place = F.size(F.filter(starts, lambda x: x <= day)) - 1
-        return let(place, lambda p: ymd(y, F.element_at(F.array(*map(F.lit, _TISHRI_ORDER)), p + 1), day - starts[p] + 1))
+        return let(place, lambda p: ymd(y, F.element_at(F.array(*map(F.lit, TISHRI_ORDER)), p + 1), day - starts[p] + 1))
 
     return let(settled(guess, rd, hebrew_new_year), body)
 
@@ -288,6 +288,10 @@ SYSTEMS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+#: Systems whose arithmetic stands for a calendar that was observed, so that a day may be off by one.
+OBSERVED = ["islamic", "persian"]
+
+
 def register(system: str, from_ymd: Callable, to_ymd: Callable) -> None:
     SYSTEMS[system] = (from_ymd, to_ymd)
 

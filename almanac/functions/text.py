@@ -64,10 +64,12 @@ def unicode_form(form: str) -> Callable[[Column], Column]:
 def normalise(c: Column, fold: Callable[[Column], Column] | None = None) -> Column:
     """For storage: NFC, no control and zero-width characters, line ends as newline, blank runs as one, trimmed."""
     c = (fold or unicode_form("NFC"))(c)
-    c = F.regexp_replace(c, r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}]", "")
-    c = F.regexp_replace(c, r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    gone = F.regexp_replace(c, r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+    runs = F.regexp_replace(F.regexp_replace(gone, r"\r\n?", "\n"), r"[ \t]+", " ")
+    clean = F.regexp_replace(F.regexp_replace(runs, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    # most texts need none of this: one test instead of five passes
+    dirty = c.rlike(r"[\x{0}-\x{8}\x{B}-\x{1F}\x{7F}\x{200B}-\x{200D}\x{2060}\x{FEFF}\t]|  |\n\n\n|\A\s|\s\z")
+    return F.when(dirty, clean).otherwise(c)
 
 
 def matching_form(c: Column, fold: Callable[[Column], Column] | None = None) -> Column:
@@ -111,7 +113,9 @@ def script_counts(c: Column) -> Column:
     parts = [F.struct(count(r"[\p{L}&&[\x{0}-\x{24F}]]").alias("n"), F.lit(0).alias("place"), F.lit("Latin").alias("script"))]
     for k, (name, lo, hi, _) in enumerate(SCRIPTS):
         parts.append(F.struct(count(rf"[\p{{L}}&&[\x{{{lo:X}}}-\x{{{hi:X}}}]]").alias("n"), F.lit(-k - 1).alias("place"), F.lit(name).alias("script")))
-    return F.filter(F.array(*parts), lambda x: x["n"] > 0)
+    # one test decides whether any other script than Latin needs counting
+    counted = F.when(c.rlike(r"[\p{L}&&[^\x{0}-\x{24F}]]"), F.array(*parts)).otherwise(F.array(parts[0]))
+    return F.filter(counted, lambda x: x["n"] > 0)
 
 
 def script(counts: Column) -> Column:
@@ -121,7 +125,8 @@ def script(counts: Column) -> Column:
 
 def language(c: Column) -> Column:
     """code, script, confidence, register of a text: by script, or by function words of Latin-script languages."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0)))
+    telling = sorted({w for ws in PROFILES.values() for w in ws} | set(ARCHAIC))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0)), lambda w: w.isin(telling)))
 
     def judge(x: Column) -> Column:
         counts, own = x["counts"], x["words"]
@@ -141,37 +146,3 @@ def language(c: Column) -> Column:
         )
 
     return F.transform(F.array(F.struct(script_counts(c).alias("counts"), words.alias("words"))), judge)[0]
-
-
-def matches(c: Column, pattern: str) -> Column:
-    """All matches of a pattern that never matches nothing: array of (start, stop, surface), counted in characters.
-
-    The gaps of the split and the matches themselves add up to the text, so their lengths give the offsets.
-    """
-    found = F.array(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
-    # most texts have no match: then the second pass is spared
-    both = F.transform(found, lambda h: F.struct(h.alias("hits"), F.when(F.size(h) > 0, F.split(c, pattern, -1)).otherwise(F.array().cast("array<string>")).alias("gaps")))
-
-    def walk(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,surface:string>>)").alias("out"))
-
-        def add(acc: Column, pair: Column) -> Column:
-            lo = acc["at"] + F.length(pair["gaps"])
-            hi = lo + F.length(pair["hits"])
-            return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("stop"), pair["hits"].alias("surface")))).alias("out"))
-
-        return F.aggregate(F.filter(F.arrays_zip(x["hits"], x["gaps"]), lambda p: p["hits"].isNotNull()), start, add)["out"]
-
-    return F.transform(both, walk)[0]
-
-
-def without_overlaps(spans: Column, same: Callable[[Column, Column], Column] | None = None, unique: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Of spans (start, stop, ...) in order, longest first on ties, those that no accepted one overlaps.
-
-    same: pairs that can clash at all; unique: pairs of which only the first stays even apart from each other. A fold
-    within the row: a text has few spans, and each decision depends on those before it.
-    """
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
-    clash = lambda k, x: (x["start"] < k["stop"]) & (k["start"] < x["stop"]) & (same(k, x) if same else F.lit(True))
-    bad = (lambda k, x: clash(k, x) | unique(k, x)) if unique else clash
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: bad(k, x)), acc).otherwise(F.concat(acc, F.array(x))))

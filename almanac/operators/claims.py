@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import views
+from ..plans.views import SECTIONS
 from ..plans.registry import query
 from .summaries import confidence, is_evidence
 
@@ -19,14 +20,6 @@ RESTRICTED_PRODUCERS = ["astronomical_dating", "advanced_dating"]
 FORBIDDEN_WHEN_RESTRICTED = ["verified_history", "astronomical_calculation"]
 FUTURE = r"(?i)\bwill (?:certainly|definitely|surely) \w+|\bis going to happen\b|\bthe world will end\b|\bwill occur on\b|\bis prophesied to happen in \d{4}\b"
 
-# fixed values: report sections in order
-SECTIONS = [
-    "executive_summary", "original_text", "detected_language", "translation", "source_identification", "historical_context",
-    "astronomical_references", "dating_candidates", "calendar_conversion", "timeline", "key_entities", "symbolism",
-    "traditional_interpretations", "scholarly_views", "alternative_interpretations", "evidence", "confidence_ratings", "references", "further_reading",
-]
-
-
 def states_the_future(statement: Column) -> Column:
     return F.coalesce(statement.rlike(FUTURE), F.lit(False))
 

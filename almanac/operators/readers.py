@@ -12,7 +12,7 @@ from .lunations import _years, phases
 
 # fixed values: wording of totality, numbers of days, words of seasons (found anywhere in a text)
 TOTALITY = r"(?i)\btotal(?:ly)?\s+(?:eclipse|dark|obscur)|\bblack as sackcloth\b|\bthe sun (?:was|became) (?:wholly |utterly |completely )?(?:black|dark)|\bcomplete darkness\b|\bday (?:became|turned to) night\b"
-DARK_DAYS = [r"(?i)\b(?:darkness|dark)\b[^.]{0,60}?\b(one|two|three|four|five|\d+)\s+days?\b", r"(?i)\b(one|two|three|four|five|\d+)\s+days?\s+of\s+(?:thick\s+)?darkness\b"]
+DARK_DAYS = r"(?i)\b(?:darkness|dark)\b[^.]{0,60}?\b(one|two|three|four|five|\d+)\s+days?\b|\b(one|two|three|four|five|\d+)\s+days?\s+of\s+(?:thick\s+)?darkness\b"
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 SEASON_WORDS = {
     "spring": ["spring", "springtime", "the month of abib", "barley harvest"],
@@ -30,10 +30,28 @@ def claims_totality(text: Column) -> Column:
 
 
 def darkness_days(text: Column) -> Column:
-    """The number of days of darkness that a text tells of; null if none."""
+    """The number of days of darkness that a text tells of first; null if none."""
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    found = [F.nullif(F.lower(F.regexp_extract(text, p, 1)), F.lit("")) for p in DARK_DAYS]
-    return F.coalesce(*[F.coalesce(words[f], f.try_cast("int")) for f in found])
+    said = lambda group: F.nullif(F.lower(F.regexp_extract(text, DARK_DAYS, group)), F.lit(""))
+    found = F.coalesce(said(1), said(2))
+    return F.coalesce(words[found], found.try_cast("int"))
+
+
+# fixed values: wording of how often something happened
+REPETITIONS = [(r"(?i)\b(?:triple|thrice|a third time|three times|third occasion)\b", 3), (r"(?i)\b(?:twice|a second time|two times|again)\b", 2)]
+
+
+def repetitions(text: Column) -> Column:
+    """How many times a text says that something happened; null if it names no number."""
+    return F.coalesce(*[F.when(text.rlike(p), n) for p, n in REPETITIONS])
+
+
+def years_in(text: Column) -> Column:
+    """The years with an era that a text names, in astronomical counting, from -3000 to 3000."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(\d{1,4})\s*(?:BCE|BC|CE|AD)\b"), F.lit(0))
+    number = lambda x: F.regexp_extract(x, r"^\d+", 0).cast("int")
+    years = F.transform(found, lambda x: F.when(x.rlike("(?i)BCE?$"), 1 - number(x)).otherwise(number(x)))
+    return F.filter(years, lambda y: y.between(-3000, 3000))
 
 
 def season_word(text: Column) -> Column:
@@ -61,11 +79,11 @@ def entitlement(requests: DataFrame) -> DataFrame:
 
 
 @query("h20_readers", views.WITH + """
-SELECT doc_id, text LIKE '%sun was dark%' AS totality, CASE WHEN text LIKE '%darkened%' THEN NULL END::INT AS days, CASE WHEN lower(text) LIKE '%spring%' THEN 'spring' END AS season FROM dated""")
+SELECT doc_id, doc_id % 12 IN (1, 6) AS totality, CASE doc_id % 12 WHEN 1 THEN 2 END AS days, CASE doc_id % 12 WHEN 5 THEN 'spring' WHEN 6 THEN 'winter' WHEN 9 THEN 'autumn' END AS season,
+  CASE doc_id % 12 WHEN 8 THEN 3 END AS times, CASE doc_id % 12 WHEN 0 THEN - (doc_id % 900) WHEN 1 THEN 1 + doc_id % 900 END AS year FROM dated""")
 def h20(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    # the dated texts have "the sun was darkened; 40 days": the number follows a word that only begins like "dark"
-    return views.dated(spark, sf_dir).select("doc_id", claims_totality(c).alias("totality"), darkness_days(c).alias("days"), season_word(c).alias("season"))
+    return views.dated(spark, sf_dir).select("doc_id", claims_totality(c).alias("totality"), darkness_days(c).alias("days"), season_word(c).alias("season"), repetitions(c).alias("times"), F.get(years_in(c), F.lit(0)).cast("long").alias("year"))
 
 
 @query("h21_labels", "SELECT o_orderkey, CASE WHEN y <= 0 THEN concat(1 - y, ' BCE') ELSE concat(y, ' CE') END AS label FROM (SELECT o_orderkey, o_orderkey % 4000 - 2000 AS y FROM orders)")

@@ -1,17 +1,107 @@
-"""Retrieval: hashed lexical vectors, cosine and overlap, candidates over shared tokens, ranking, source identification."""
+"""Retrieval: lexical hash vectors, cosine and overlap, exact and approximate top-k in blocks, source identification."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+import unicodedata
+from collections.abc import Iterator
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..plans.registry import query, table
+from ..sources.intake import upsert
 
+# fixed values: vector length, floors of cosine and overlap, and what makes a match strong or moderate
 DIMENSIONS, FLOOR, OVERLAP_FLOOR = 384, 0.18, 0.02
-#: Tokens in more than this share of the corpus texts find no candidates of their own.
-COMMON = 0.2
+STRONG, STRONG_OVERLAP, MODERATE = 0.45, 0.20, 0.25
+#: Queries and rows of a tile of the exact search.
+QUERIES, ROWS = 512, 8192
+#: Cells of the approximate search, the rows that they are fitted on at most, and cells that a query looks into.
+CELLS, FITTED, PROBES = 64, 4096, 24
+
+_TOKEN = re.compile(r"[\wͰ-῿Ⲁ-ⷿ]+")
+_STOP = frozenset(tx.STOP_WORDS)
+
+
+class Embedder(Protocol):
+    """What turns texts into vectors: any object that can be sent to tasks and has these."""
+
+    dimensions: int
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of functions.text.tokens(), for code inside tasks."""
+    return [t for t in _TOKEN.findall(unicodedata.normalize("NFKC", text).lower()) if t not in _STOP]
+
+
+def digest(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+class HashEmbedder:
+    """Words, word pairs and the character 4-grams of words of five letters or more, hashed with a sign to buckets.
+
+    A feature weighs 1 + ln(count), a 4-gram counts half; vectors have unit length, or are zero.
+    """
+
+    def __init__(self, dimensions: int = DIMENSIONS) -> None:
+        self.dimensions, self._places = dimensions, {}
+
+    def _place(self, feature: str) -> tuple[int, float]:
+        if feature not in self._places:
+            if len(self._places) > 200_000:
+                self._places.clear()
+            value = digest(feature)
+            self._places[feature] = value % self.dimensions, 1.0 if value >> 63 else -1.0
+        return self._places[feature]
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [self._embed(t or "") for t in texts]
+
+    def _embed(self, text: str) -> list[float]:
+        words = tokens_of(text)
+        counts: dict[str, float] = {}
+        for f in [f"w:{w}" for w in words] + [f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False)]:
+            counts[f] = counts.get(f, 0.0) + 1.0
+        for w in words:
+            if len(w) >= 5:
+                padded = f"^{w}$"
+                for k in range(len(padded) - 3):
+                    f = f"c:{padded[k : k + 4]}"
+                    counts[f] = counts.get(f, 0.0) + 0.5
+        out = np.zeros(self.dimensions)
+        for f, n in counts.items():
+            at, sign = self._place(f)
+            out[at] += sign * (1.0 + math.log(n))
+        norm = math.sqrt(float(out @ out))
+        return (out / norm if norm else out).tolist()
+
+
+def embed(texts: DataFrame, key: str, embedder: Embedder | None = None, keep: list[str] | None = None) -> DataFrame:
+    """key, vector, tokens (hashes of the different tokens, sorted) and the kept columns for texts (key, text).
+
+    Null and blank texts have the zero vector and no tokens. Any Embedder takes the place of the hashing one.
+    """
+    own = embedder or HashEmbedder()
+
+    @F.pandas_udf("vector array<double>, tokens array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            sets = [sorted({digest(w) - (1 << 63) for w in tokens_of(t or "")}) for t in some]
+            yield pd.DataFrame({"vector": own.embed_batch(list(some)), "tokens": sets})
+
+    return texts.select(key, *(keep or []), run("text").alias("_e")).select(key, *(keep or []), "_e.vector", "_e.tokens")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,26 +118,83 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def strength(score: Column, overlap: Column) -> Column:
-    return F.when((score >= 0.45) & (overlap >= 0.20), "strong").when(score >= 0.25, "moderate").otherwise("weak")
-
-
-def features(texts: DataFrame, key: str) -> DataFrame:
-    """(key, feature, weight): words, word pairs and character 4-grams, weighing 1 + ln(count), 4-grams count half."""
-    words = tx.tokens(tx.matching_form(F.col("text")))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
-    grams = F.flatten(F.transform(F.filter("w", lambda t: F.length(t) >= 5), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.concat(F.lit("c:"), F.substring(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(4))))))
-    all_ = F.concat(F.transform("w", lambda t: F.struct(F.concat(F.lit("w:"), t).alias("f"), F.lit(1.0).alias("n"))), F.transform(pairs, lambda t: F.struct(t.alias("f"), F.lit(1.0).alias("n"))), F.transform(grams, lambda t: F.struct(t.alias("f"), F.lit(0.5).alias("n"))))
-    found = texts.select(F.col(key).alias("key"), words.alias("w")).select("key", F.explode(all_).alias("x"))
-    return found.groupBy("key", F.col("x.f").alias("feature")).agg((1 + F.log(F.sum("x.n"))).alias("weight"))
-
-
-def embed(texts: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, vector) as sparse pairs (dimension, value) of unit length: features hashed with a sign."""
-    hashed = F.xxhash64("feature")
-    rows = features(texts, key).select("key", F.pmod(hashed, F.lit(dimensions)).cast("int").alias("at"), F.when(hashed < 0, -F.col("weight")).otherwise(F.col("weight")).alias("v"))
-    sums = rows.groupBy("key", "at").agg(F.sum("v").alias("v"))
-    w = Window.partitionBy("key")
-    return sums.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(w)))
+    return F.when((score >= STRONG) & (overlap >= STRONG_OVERLAP), "strong").when(score >= MODERATE, "moderate").otherwise("weak")
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
+
+
+def _tile(k: int, floor: float, overlap: float | None, itself: bool):
+    """The k best rows of a tile for each of its queries."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        asked = np.asarray(tile["asked"])
+        ids = np.asarray(tile["id"])
+        vectors, tokens = tile["vector"].to_pylist(), tile["tokens"].to_pylist() if overlap is not None else None
+        out: list[tuple] = []
+        sizes = np.array([len(v or ()) for v in vectors])
+        for size in np.unique(sizes[asked]):
+            if not size:
+                continue
+            q, r = np.nonzero(asked & (sizes == size))[0], np.nonzero(~asked & (sizes == size))[0]
+            if not len(r):
+                continue
+            r = r[np.argsort(ids[r], kind="stable")]
+            a, b = (np.array([vectors[x] for x in some], np.float64) for some in (q, r))
+            for m in (a, b):
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                np.divide(m, norm, out=m, where=norm > 0)
+            scores = np.round(np.clip(a @ b.T, -1, 1), 9)
+            for x, row in zip(q.tolist(), scores, strict=True):
+                row = np.where((ids[r] == ids[x]) & (not itself) | ~(row >= floor), -2.0, row)
+                if overlap is None and len(row) > k:  # no row below the k-th best can stay
+                    near = np.nonzero(row >= max(floor, np.partition(row, len(row) - k)[len(row) - k]))[0]
+                else:
+                    near = np.nonzero(row >= floor)[0]
+                kept = 0
+                for y in near[np.argsort(-row[near], kind="stable")].tolist():
+                    shared = None if overlap is None else _overlap(np.array(tokens[x]), np.array(tokens[r[y]]))
+                    if shared is None or shared >= overlap:
+                        out.append((ids[x], ids[r[y]], row[y], shared))
+                        kept += 1
+                        if kept == k:
+                            break
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
+
+    return run
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, by: str | None = None, overlap: float | None = None, itself: bool = False) -> DataFrame:
+    """query_id, row_id, score (cosine, to nine digits), overlap, place: the k best of all rows for each query.
+
+    queries and rows: id long, vector, with `tokens` where a least overlap is asked for, and the column `by` where a
+    query only sees rows that are equal in it (null: rows without it). Both sides are dealt to blocks of bounded size;
+    every pair of blocks is one tile that keeps k rows a query, and the best of these are taken by a second grouping,
+    so neither a large table nor a hot group meets in one task. A row never answers a query of its id, unless
+    itself is set, as it is where queries and rows are of two tables. Ties go to the smaller id.
+    """
+    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    side = lambda df, asked: df.select("id", "vector", (F.col("tokens") if overlap is not None else F.lit(None).cast("array<long>")).alias("tokens"), group.alias("g"), F.lit(asked).alias("asked"))
+    q, r = side(queries, True), side(rows, False)
+    blocks = lambda df, n, name: df.groupBy("g").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    counts = blocks(q, QUERIES, "nq").withColumnRenamed("g", "gq").join(blocks(r, ROWS, "nr"), F.col("gq").eqNullSafe(F.col("g")), "inner").drop("g")
+    counts = counts.withColumnRenamed("gq", "of")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    with_counts = lambda df: df.join(counts, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    a = with_counts(q).withColumn("i", own("nq")).withColumn("j", every("nr"))
+    b = with_counts(r).withColumn("j", own("nr")).withColumn("i", every("nq"))
+    tiles = a.unionByName(b).drop("nq", "nr")
+    found = tiles.groupBy("g", "i", "j").applyInArrow(_tile(k, floor, overlap, itself), "query_id long, row_id long, score double, overlap double")
+    return best(found, "query_id", [F.desc("score"), F.col("row_id")], k)
 
 
 def best(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -55,35 +202,101 @@ def best(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
 
 
-def quoted(docs: DataFrame, corpus: DataFrame, common: float = COMMON) -> DataFrame:
-    """doc_id, item_id, shared, overlap for documents (doc_id, text) and corpus texts (item_id, text).
+def _cells(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centres of a sample by a few rounds of spherical k-means."""
+    x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(1).permutation(len(x))[:cells]]
+    for _ in range(8):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    return centres
+
+
+def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
+    """top_k() over an index: rows lie in the cell of their nearest centre, queries look into the cells of their
+    nearest ones and then rank exactly. The centres are fitted on FITTED rows by hash; every row is indexed."""
+    sample = rows.where("vector is not null").select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
+    if not sample:
+        return top_k(queries, rows, k, floor)
+    centres = rows.sparkSession.sparkContext.broadcast(_cells(np.array([r["vector"] for r in sample], np.float64), cells))
+
+    def near(n: int):
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for some in batches:
+                own = centres.value
+                zero = np.zeros(own.shape[1])
+                x = np.array([zero if v is None or len(v) != own.shape[1] else v for v in some], np.float64)
+                yield pd.Series(np.argsort(-(x @ own.T), axis=1, kind="stable")[:, :n].astype(np.int32).tolist())
+
+        return run
+
+    a = queries.withColumn("cell", F.explode(near(min(probes, cells))("vector")))
+    b = rows.withColumn("cell", near(1)("vector")[0])
+    # a row lies in one cell, so a query meets it once at most
+    return top_k(a.select("id", "vector", "cell"), b.select("id", "vector", "cell"), k, floor, by="cell")
+
+
+def identify_sources(docs: DataFrame, corpus: DataFrame, k: int = 4) -> DataFrame:
+    """doc_id, item_id, place, score, overlap, strength, identified, claim_type, confidence: the works that each text of
+    docs (doc_id, text) may come from, of corpus (item_id, text).
+
+    Hits have a cosine of at least 0.18 and share at least 0.02 of their tokens. The best is an identification if it is
+    strong; the next three are named beside it. Texts without a hit have a row without an item. Equal corpus texts are
+    looked up once and all named.
+    """
+    works = corpus.groupBy("text").agg(F.min("item_id").alias("id"))
+    hits = top_k(embed(docs.select(F.col("doc_id").alias("id"), "text"), "id"), embed(works, "id"), k, FLOOR, overlap=OVERLAP_FLOOR, itself=True)
+    found = docs.select("doc_id").distinct().join(hits, F.col("doc_id") == F.col("query_id"), "left")
+    grade = strength(F.col("score"), F.col("overlap"))
+    known = F.coalesce((F.col("place") == 1) & (grade == "strong"), F.lit(False))
+    sure = F.when(F.col("row_id").isNull(), 0.8).when(F.col("place") == 1, F.least("score", F.lit(0.9))).otherwise(F.least("score", F.lit(0.5)))
+    kind = F.when(F.col("row_id").isNull(), "uncertain").when(known, "scholarly_interpretation").otherwise("ai_hypothesis")
+    return found.select("doc_id", F.col("row_id").alias("item_id"), F.coalesce("place", F.lit(1)).alias("place"), "score", "overlap", F.when(F.col("row_id").isNotNull(), grade).alias("strength"), known.alias("identified"), kind.alias("claim_type"), sure.alias("confidence"))
+
+
+def chunks(passages: DataFrame, sources: DataFrame) -> DataFrame:
+    """kind, source_key, title, content, citation: what is indexed for retrieval.
 
-    An inverted index on the tokens of the corpus that are not common gives the candidates, so no pair without a
-    telling token is looked at. overlap is the share of the corpus text's telling tokens that the document holds.
+    passages: source_key, label, text, note (may be null); sources: source_key, title, author, description. A passage
+    is a chunk, its note another, and every source has one of its profile; a citation names the source and the place.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(tx.tokens(tx.matching_form(F.col("text"))))).alias("token"))
-    index = words(corpus, "item_id")
-    n = corpus.agg(F.count("*").alias("items"))
-    frequent = index.groupBy("token").agg(F.count("*").alias("in_items")).crossJoin(F.broadcast(n)).where(F.col("in_items") > F.greatest(F.lit(1.0), F.col("items") * common))  # n is one row
-    telling = index.join(frequent.select("token"), "token", "left_anti")
-    sizes = telling.groupBy("item_id").agg(F.count("*").alias("telling"))
-    shared = words(docs, "doc_id").join(telling, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    return shared.join(sizes, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("telling")).alias("overlap"))
+    cited = passages.join(sources.select("source_key", F.col("title").alias("of"), "author"), "source_key")
+    named = F.concat("of", F.lit(", "), "label")
+    citation = F.concat("author", F.lit(", "), named)
+    body = cited.select(F.lit("passage").alias("kind"), "source_key", named.alias("title"), F.col("text").alias("content"), citation.alias("citation"))
+    notes = cited.where("note is not null and trim(note) <> ''").select(F.lit("note").alias("kind"), "source_key", F.concat(named, F.lit(" (note)")).alias("title"), F.col("note").alias("content"), citation.alias("citation"))
+    profile = sources.select(F.lit("source").alias("kind"), "source_key", "title", F.concat_ws(". ", "title", "author", "description").alias("content"), F.concat("author", F.lit(", "), "title").alias("citation"))
+    return body.unionByName(notes).unionByName(profile)
+
+
+def further_reading(hits: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Of hits (doc_id, citation, score) and fixed references (citation, place) each document's citations once, hits by
+    score, then the fixed ones in their order."""
+    named = hits.select("doc_id", "citation", F.struct(F.lit(0).alias("kind"), (-F.col("score")).alias("by")).alias("at"))
+    always = hits.select("doc_id").distinct().join(F.broadcast(fixed)).select("doc_id", "citation", F.struct(F.lit(1).alias("kind"), F.col("place").cast("double").alias("by")).alias("at"))
+    first = named.unionByName(always).groupBy("doc_id", "citation").agg(F.min("at").alias("at"))
+    return first.select("doc_id", "citation", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "citation")).alias("place"))
+
+
+def refreshed(index: DataFrame, analyses: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """The index (analysis_id, vector) with the vectors of title and summary of the given analyses, one row each; those
+    that were there are replaced."""
+    texts = analyses.select("analysis_id", F.concat_ws(". ", "title", "summary").alias("text"))
+    return upsert(index, embed(texts, "analysis_id", embedder).select("analysis_id", "vector"), ["analysis_id"])
 
 
 _WORDS = lambda t, k: f"SELECT DISTINCT {k}, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x NOT IN ({', '.join(repr(w) for w in tx.STOP_WORDS)}))) AS token FROM {t}"
-_QUOTED = f"""WITH d AS ({_WORDS("documents", "doc_id")}), b AS ({_WORDS("benchmark", "item_id")}),
-t AS (SELECT * FROM b WHERE token NOT IN (SELECT token FROM b GROUP BY token HAVING count(*) > greatest(1.0, 0.2 * (SELECT count(*) FROM benchmark)))),
-q AS (SELECT doc_id, item_id, count(*) AS shared, count(*)::DOUBLE / (SELECT count(*) FROM t t2 WHERE t2.item_id = t.item_id) AS overlap FROM d JOIN t USING (token) GROUP BY doc_id, item_id)"""
+_COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9)"
 
 
-@query("m6_source_identification", _QUOTED + """
-SELECT doc_id, item_id, overlap, overlap >= 0.5 AS identified, CAST(place AS INT) AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, shared DESC, item_id) AS place FROM q WHERE overlap >= 0.1) WHERE place <= 4""")
+@query("m6_source_identification")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = quoted(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    ranked = best(pairs.where("overlap >= 0.1"), "doc_id", [F.desc("overlap"), F.desc("shared"), F.col("item_id")], 4)
-    return ranked.select("doc_id", "item_id", "overlap", (F.col("overlap") >= 0.5).alias("identified"), "place")
+    """SQL has no such vectors; tests compare with brute force."""
+    return identify_sources(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 @query("g3_token_jaccard", f"""WITH b AS (SELECT item_id, list(DISTINCT token) AS w FROM ({_WORDS("benchmark", "item_id")}) GROUP BY item_id)
@@ -101,32 +314,92 @@ def h17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 9).alias("cosine"))
 
 
-@query("e7_top_k", """
-SELECT query_id, vec_id, round(cosine, 9) AS cosine, CAST(place AS INT) AS place FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS place
-FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE place <= 5""")
+@query("h18_match_strength", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 100 >= 45 AND l_suppkey % 100 >= 20 THEN 'strong' WHEN l_partkey % 100 >= 25 THEN 'moderate' ELSE 'weak' END AS strength FROM lineitem")
+def h18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grade = strength((F.col("l_partkey") % 100).cast("double") / 100, (F.col("l_suppkey") % 100).cast("double") / 100)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", grade.alias("strength"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+_TOP = """SELECT query_id, vec_id, cosine, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, {cos} AS cosine FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id {on}) WHERE cosine >= 0.18) WHERE place <= 5"""
+
+
+@query("e7_top_k", _TOP.format(cos=_COS, on=""))
 def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact search of a stated query set, every twentieth vector, within its label."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    q = v.where("vec_id % 20 = 0").withColumnsRenamed({"vec_id": "query_id", "embedding": "eq"})
-    pairs = v.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", cosine(F.col("eq"), F.col("embedding")).alias("cosine"))
-    return best(pairs, "query_id", [F.desc("cosine"), F.col("vec_id")], 5).select("query_id", "vec_id", F.round("cosine", 9).alias("cosine"), "place")
+    """Exact search of a stated query set, every twentieth vector, against all rows."""
+    v = _vectors(spark, sf_dir)
+    return top_k(v.where("id % 20 = 0"), v, 5).select("query_id", F.col("row_id").alias("vec_id"), F.col("score").alias("cosine"), "place")
 
 
-@query("h16_hash_embedding")
-def h16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of the corpus texts, sparse; tests check norms and self-similarity."""
-    return embed(table(spark, sf_dir, "benchmark"), "item_id")
+@query("e12_owner_scoped", _TOP.format(cos=_COS, on="AND q.label IS NOT DISTINCT FROM v.label"))
+def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e7, but a query sees only the rows of its own owner, here the label; those without one see each other."""
+    v = _vectors(spark, sf_dir)
+    return top_k(v.where("id % 20 = 0"), v, 5, by="label").select("query_id", F.col("row_id").alias("vec_id"), F.col("score").alias("cosine"), "place")
+
+
+@query("e9_approximate_top_k")
+def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e7 over an index; tests measure its recall."""
+    v = _vectors(spark, sf_dir)
+    return approximate_top_k(v.where("id % 20 = 0"), v, 5).select("query_id", F.col("row_id").alias("vec_id"), F.col("score").alias("cosine"), "place")
 
 
-@query("g2_merged_search", """
-SELECT doc_id, kind, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, kind, doc_id) AS n FROM (
-  SELECT doc_id, 'keyword' AS kind, 1.0::DOUBLE AS score FROM documents WHERE lower(text) LIKE '%license%'
-  UNION ALL SELECT d.doc_id, 'length', 1.0 / (1 + length(d.text)) FROM documents d WHERE length(d.text) < 200 AND NOT lower(d.text) LIKE '%license%')) WHERE n <= 50""")
+@query("h16_hash_embedding")
+def h16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors of the corpus texts; SQL lacks the hash function, tests compare with a plain version."""
+    return embed(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "vector")
+
+
+_CHUNKS = """WITH s AS (SELECT 's' || s_suppkey AS source_key, s_name AS title, n_name AS author, CASE WHEN s_acctbal > 0 THEN 'a source in credit' ELSE 'a source in debt' END AS description FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+p AS (SELECT 's' || l_suppkey AS source_key, concat(l_orderkey, '.', l_linenumber) AS label, concat('part ', l_partkey) AS text, CASE WHEN l_returnflag = 'R' THEN 'returned' END AS note FROM lineitem),
+c AS (SELECT p.*, s.title AS of, author FROM p JOIN s USING (source_key))
+SELECT 'passage' AS kind, source_key, concat(of, ', ', label) AS title, text AS content, concat(author, ', ', of, ', ', label) AS citation FROM c
+UNION ALL SELECT 'note', source_key, concat(of, ', ', label, ' (note)'), note, concat(author, ', ', of, ', ', label) FROM c WHERE note IS NOT NULL
+UNION ALL SELECT 'source', source_key, title, concat_ws('. ', title, author, description), concat(author, ', ', title) FROM s"""
+
+
+@query("a13_chunks", _CHUNKS)
+def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("author"))
+    s = table(spark, sf_dir, "supplier").join(nations, "s_nationkey")
+    s = s.select(F.concat(F.lit("s"), "s_suppkey").alias("source_key"), F.col("s_name").alias("title"), "author", F.when(F.col("s_acctbal") > 0, "a source in credit").otherwise("a source in debt").alias("description"))
+    p = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source_key"), F.concat_ws(".", "l_orderkey", "l_linenumber").alias("label"), F.concat(F.lit("part "), "l_partkey").alias("text"), F.when(F.col("l_returnflag") == "R", "returned").alias("note"))
+    return chunks(p, s)
+
+
+@query("g4_further_reading", """
+WITH h AS (SELECT l_orderkey AS doc_id, concat('work ', l_suppkey % 20) AS citation, l_discount::DOUBLE AS score FROM lineitem), f AS (SELECT * FROM (VALUES ('work 3', 0), ('calendar arithmetic', 1), ('lunar series', 2)) AS t(citation, place)),
+u AS (SELECT doc_id, citation, 0 AS kind, -score AS by FROM h UNION ALL SELECT doc_id, citation, 1, place::DOUBLE FROM (SELECT DISTINCT doc_id FROM h), f),
+m AS (SELECT doc_id, citation, min((kind, by)) AS at FROM u GROUP BY ALL)
+SELECT doc_id, citation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at, citation) AS INT) AS place FROM m""")
+def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("work "), F.col("l_suppkey") % 20).alias("citation"), F.col("l_discount").cast("double").alias("score"))
+    fixed = spark.createDataFrame([("work 3", 0), ("calendar arithmetic", 1), ("lunar series", 2)], "citation string, place int")
+    return further_reading(hits, fixed)
+
+
+@query("e13_refreshed_index")
+def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of all corpus texts, those of a third of them replaced by a rerun's; tests compare with a plain version."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("analysis_id"), F.concat(F.lit("Item "), "item_id").alias("title"), F.col("text").alias("summary"))
+    index = embed(items.select("analysis_id", F.concat_ws(". ", "title", "summary").alias("text")), "analysis_id").select("analysis_id", "vector")
+    return refreshed(index, items.where("analysis_id % 3 = 0").withColumn("summary", F.concat(F.lit("Revised. "), "summary")))
+
+
+@query("g2_merged_search", f"""
+WITH hits AS (SELECT d.doc_id, 'keyword' AS kind, 1.0::DOUBLE AS score FROM documents d WHERE contains(lower(text), 'tion the'),
+near AS (SELECT v.vec_id AS doc_id, 'semantic' AS kind, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id <> 0 JOIN documents d ON d.doc_id = v.vec_id)
+SELECT doc_id, kind, score FROM (SELECT * FROM hits UNION ALL SELECT * FROM near WHERE score >= 0.12 AND doc_id NOT IN (SELECT doc_id FROM hits)) ORDER BY score DESC, kind, doc_id LIMIT 50""")
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword hits, then scored hits that are not among them, best first."""
-    docs = table(spark, sf_dir, "documents")
-    keyword = docs.where(F.lower("text").contains("license")).select("doc_id")
-    scored = docs.where("length(text) < 200").select("doc_id", (F.lit(1.0).cast("double") / (1 + F.length("text"))).alias("score")).join(keyword, "doc_id", "left_anti")
-    union = keyword.select("doc_id", F.lit("keyword").alias("kind"), F.lit(1.0).alias("score")).unionByName(scored.select("doc_id", F.lit("length").alias("kind"), "score"))
+    """Keyword hits, then the documents near the query's vector that are not among them, best first."""
+    docs, v = table(spark, sf_dir, "documents"), _vectors(spark, sf_dir)
+    keyword = docs.where(F.lower("text").contains("tion the")).select("doc_id")
+    others = docs.select("doc_id").join(keyword, "doc_id", "left_anti")
+    near = top_k(v.where("id = 0"), v.join(others, F.col("id") == F.col("doc_id"), "left_semi"), 50, 0.12).select(F.col("row_id").alias("doc_id"), "score")
+    union = keyword.select("doc_id", F.lit("keyword").alias("kind"), F.lit(1.0).alias("score")).unionByName(near.select("doc_id", F.lit("semantic").alias("kind"), "score"))
     return union.orderBy(F.desc("score"), "kind", "doc_id").limit(50)

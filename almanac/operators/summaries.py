@@ -70,26 +70,40 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("d2_usage_window", views.WITH + f"""
-SELECT count(*) AS analyses, count(*) FILTER (WHERE status = 'completed') AS completed, round(avg(duration_ms), 3) AS mean_ms,
-       (SELECT round(CAST(count(*) FILTER (WHERE claim_type IN ({_EVIDENCE_LIST})) AS DOUBLE) / count(*), 3) FROM claims) AS evidence_ratio
-FROM analyses WHERE created_at >= TIMESTAMP '1999-01-01' AND created_at < TIMESTAMP '1999-02-01'""")
-def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = views.analyses(spark, sf_dir).where("created_at >= timestamp_ntz'1999-01-01' and created_at < timestamp_ntz'1999-02-01'")
-    usage = window.agg(F.count("*").alias("analyses"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(F.avg("duration_ms"), 3).alias("mean_ms"))
-    ratio = views.claims(spark, sf_dir).agg(F.round(F.count_if(is_evidence()) / F.count("*"), 3).alias("evidence_ratio"))
-    return usage.crossJoin(F.broadcast(ratio))  # one row each
+_FROM, _TO = "1999-01-01", "1999-02-01"
 
 
-@query("d3_dashboard", views.WITH + """
+@query("d2_usage_window", views.WITH + f""", w AS (SELECT * FROM analyses WHERE created_at >= TIMESTAMP '{_FROM}' AND created_at < TIMESTAMP '{_TO}'),
+first AS (SELECT owner_id, min(created_at) AS since FROM analyses GROUP BY owner_id)
+SELECT count(*) AS analyses, count(*) FILTER (WHERE status = 'completed') AS completed, round(avg(duration_ms), 3) AS mean_ms, count(*) FILTER (WHERE is_favorite) AS uploads, count(*) FILTER (WHERE analysis_id % 11 = 0) AS ocr_documents,
+       (SELECT count(*) FROM first WHERE since >= TIMESTAMP '{_FROM}' AND since < TIMESTAMP '{_TO}') AS new_users,
+       (SELECT round(CAST(count(*) FILTER (WHERE claim_type IN ({_EVIDENCE_LIST})) AS DOUBLE) / count(*), 3) FROM claims JOIN w USING (analysis_id)) AS evidence_ratio
+FROM w""")
+def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened in a window of days: analyses, uploads and documents read by OCR, users seen first, evidence."""
+    a = views.analyses(spark, sf_dir)
+    within = lambda c: F.expr(f"{c} >= timestamp_ntz'{_FROM}' and {c} < timestamp_ntz'{_TO}'")
+    window = a.where(within("created_at"))
+    usage = window.agg(
+        F.count("*").alias("analyses"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(F.avg("duration_ms"), 3).alias("mean_ms"),
+        F.count_if("is_favorite").alias("uploads"), F.count_if(F.col("analysis_id") % 11 == 0).alias("ocr_documents"),
+    )
+    users = a.groupBy("owner_id").agg(F.min("created_at").alias("since")).agg(F.count_if(within("since")).alias("new_users"))
+    ratio = views.claims(spark, sf_dir).join(window.select("analysis_id"), "analysis_id").agg(F.round(F.count_if(is_evidence()) / F.count("*"), 3).alias("evidence_ratio"))
+    return usage.crossJoin(F.broadcast(users)).crossJoin(F.broadcast(ratio))  # one row each
+
+
+@query("d3_dashboard", views.WITH + """, unread AS (SELECT user_id AS owner_id, count(*) AS unread FROM events WHERE event_type = 'view' GROUP BY user_id)
+SELECT owner_id, total, favorites, coalesce(unread, 0) AS unread, mean_confidence, newest FROM (
 SELECT owner_id, count(*) AS total, count(*) FILTER (WHERE is_favorite) AS favorites, round(avg(overall_confidence), 6) AS mean_confidence,
        array_to_string((array_agg(CAST(analysis_id AS VARCHAR) ORDER BY created_at DESC, analysis_id))[1:5], ',') AS newest
-FROM analyses GROUP BY owner_id""")
+FROM analyses GROUP BY owner_id) LEFT JOIN unread USING (owner_id)""")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.analyses(spark, sf_dir)
     newest = a.withColumn("_n", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("created_at"), "analysis_id"))).withColumn("_id", F.when(F.col("_n") <= 5, F.struct("_n", "analysis_id")))
     out = newest.groupBy("owner_id").agg(F.count("*").alias("total"), F.count_if("is_favorite").alias("favorites"), F.round(F.avg("overall_confidence"), 6).alias("mean_confidence"), F.array_sort(F.collect_list("_id")).alias("ids"))
-    return out.select("owner_id", "total", "favorites", "mean_confidence", F.array_join(F.transform("ids", lambda x: x["analysis_id"].cast("string")), ",").alias("newest"))
+    unread = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("owner_id")).agg(F.count("*").alias("unread"))
+    return out.join(unread, "owner_id", "left").select("owner_id", "total", "favorites", F.coalesce("unread", F.lit(0)).alias("unread"), "mean_confidence", F.array_join(F.transform("ids", lambda x: x["analysis_id"].cast("string")), ",").alias("newest"))
 
 
 @query("d4_stuck_runs", views.WITH + " SELECT count(*) AS stuck FROM analyses WHERE status = 'running' AND created_at < TIMESTAMP '2001-01-01' - INTERVAL 30 MINUTE")
@@ -192,17 +206,6 @@ def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("lineage")).agg(F.count("*").cast("int").alias("version"), newest.alias("analysis_id"), (F.count("*") + 1).alias("next_version"))
 
 
-@query("g1_timeline", views.WITH + """
-SELECT doc_id, year, kind, description FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, year, description ORDER BY kind) AS n FROM (
-  SELECT l_orderkey AS doc_id, year(l_shipdate) AS year, 'ship' AS kind, l_returnflag AS description FROM lineitem
-  UNION ALL SELECT o_orderkey, year(o_orderdate), 'order', o_orderstatus FROM orders)) WHERE n = 1""")
-def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ships = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.year("l_shipdate").cast("long").alias("year"), F.lit("ship").alias("kind"), F.col("l_returnflag").alias("description"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").cast("long").alias("year"), F.lit("order").alias("kind"), F.col("o_orderstatus").alias("description"))
-    # the smallest kind of each event: an aggregate with map-side combine instead of a window
-    return ships.unionByName(orders).groupBy("doc_id", "year", "description").agg(F.min("kind").alias("kind")).select("doc_id", "year", "kind", "description")
-
-
 @query("m13_claim_vocabulary", views.WITH + f"""
 SELECT claim_type, claim_type IN ({_EVIDENCE_LIST}) AS is_evidence, claim_type IN ('verified_history', 'scholarly_interpretation') AS requires_citation, count(*) AS claims
 FROM claims GROUP BY claim_type""")

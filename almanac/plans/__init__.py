@@ -1,8 +1,15 @@
-"""All registered queries of the library: importing this module fills the registry."""
+"""All registered queries of the library. They are imported when first asked for: operators use parts of this package."""
 
-from ..operators import annotations, calendar_tables, claims, joins, lunations, pages, readers, retrieval, sky_tables, summaries  # noqa: F401
-from ..sources import intake  # noqa: F401
-from ..streaming import logs  # noqa: F401
-from .registry import ORACLE_SQL, QUERIES
+from __future__ import annotations
+
+from . import registry
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def __getattr__(name: str) -> dict:
+    if name not in __all__:
+        raise AttributeError(name)
+    from . import registered  # noqa: F401
+
+    return getattr(registry, name)

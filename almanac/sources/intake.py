@@ -150,27 +150,83 @@ def first_documents(docs: DataFrame) -> DataFrame:
     return named.groupBy("source", "content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def claim_lines(claims: DataFrame) -> DataFrame:
-    """Claims as rows of the CSV export, all text; write with option quoteAll."""
-    evidence = F.when(F.col("claim_type").isin("source_text", "verified_history", "astronomical_calculation"), "yes").otherwise("no")
-    return claims.select(
-        F.col("analysis_id").cast("string").alias("analysis"), F.col("ordering").cast("string").alias("ordering"), "claim_type", "statement",
-        evidence.alias("evidence"), F.format_string("%.3f", "confidence").alias("confidence"), F.coalesce("engine", F.lit("")).alias("engine"),
-        F.substring(F.coalesce("quoted_text", F.lit("")), 1, 2000).alias("quote"),
-    )
+# fixed values: how claim types are called in exports
+LABELS = {
+    "source_text": "Source text",
+    "verified_history": "Verified history",
+    "astronomical_calculation": "Astronomical calculation",
+    "astronomical_dating_candidate": "Dating candidate",
+    "textual_analysis": "Textual analysis",
+    "traditional_interpretation": "Traditional interpretation",
+    "scholarly_interpretation": "Scholarly interpretation",
+    "ai_hypothesis": "AI hypothesis",
+    "uncertain": "Uncertain",
+}
+
+
+def label(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[kind]
+
 
+def cited(citations: DataFrame, keys: list[str]) -> DataFrame:
+    """Citations (keys, place, citation, verified) as one line for each claim, those not verified marked."""
+    line = F.concat("citation", F.when(F.col("verified"), "").otherwise(" [unverified]"))
+    lines = citations.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x"))
+    return lines.select(*keys, F.array_join(F.transform("x", lambda r: r["line"]), " | ").alias("citations"))
 
-def documents_as_json(analyses: DataFrame, claims: DataFrame) -> DataFrame:
-    """One nested row for each analysis with its claims in order; write as JSON."""
-    own = claims.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordering", "claim_type", "statement", "confidence"))).alias("claims"))
-    return analyses.join(own, "analysis_id", "left")
+
+def claim_lines(claims: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the thirteen columns of the CSV export, all text; write without the keys, with option quoteAll."""
+    evidence = F.when(F.col("claim_type").isin("source_text", "verified_history", "astronomical_calculation"), "yes").otherwise("no")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return claims.join(cited(citations, keys), keys, "left").select(
+        *keys, "section", "claim_type", label(F.col("claim_type")).alias("claim_type_label"), evidence.alias("is_evidence"), "statement", text("reasoning"), F.format_string("%.3f", "confidence").alias("confidence"),
+        text("confidence_basis"), "produced_by", text("engine"), text("algorithm_reference"), F.substring(F.coalesce("quoted_text", F.lit("")), 1, 2000).alias("quoted_text"), text("citations"),
+    )
 
 
-def report_text(claims: DataFrame) -> DataFrame:
-    """A Markdown text for each analysis: a heading and its claims as a labelled list, in order."""
-    line = F.format_string("- [%s] %s (%.2f)", "claim_type", "statement", "confidence")
-    lines = claims.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordering", line.alias("line")))).alias("x"))
-    return lines.select("analysis_id", F.concat(F.format_string("# Analysis %d\n\n", "analysis_id"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("report"))
+def documents_as_json(analyses: DataFrame, claims: DataFrame, entities: DataFrame, citations: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One nested row for each analysis: its columns, report (summary), claims in order, entities by name and distinct
+    references, verified ones first; write as JSON. Analyses without any have empty arrays."""
+    listed = lambda df, name, *c: df.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    parts = [
+        listed(claims, "claims", "ordering", "part", "claim_type", "statement", "confidence"),
+        listed(entities, "entities", "name", "kind", "mentions"),
+        listed(citations.groupBy("analysis_id", "citation").agg((~F.bool_or("verified")).alias("unverified")), "references", "unverified", "citation"),
+        summaries.select("analysis_id", F.struct("summary").alias("report")),
+    ]
+    out = analyses
+    for part in parts:
+        out = out.join(part, "analysis_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.slice(F.array(F.element_at(c, 1)), 1, 0)).alias(c)
+    return out.select(*analyses.columns, "report", *[empty(c) for c in ("claims", "entities", "references")])
+
+
+def report_text(claims: DataFrame, events: DataFrame, trace: DataFrame) -> DataFrame:
+    """A Markdown text for each analysis: a heading, each section that has claims with them as a labelled list, a table
+    of its events (analysis_id, year, description) and the stages (analysis_id, stage, claims) that made it.
+
+    Lines are rows with an order of their own until they are put together, a bounded number for each analysis.
+    """
+    place = F.array_position(F.array(*map(F.lit, views.SECTIONS)), F.col("section"))
+    row = lambda df, a, b, c, line: df.select("analysis_id", F.lit(a).alias("a") if isinstance(a, int) else a.cast("int").alias("a"), b.cast("long").alias("b"), c.cast("string").alias("c"), line.alias("line"))
+    none, word = F.lit(0), F.lit("")
+    ids = claims.select("analysis_id").distinct()
+    said = F.concat(F.lit("**["), label(F.col("claim_type")), F.lit("]** "), F.col("statement"), F.format_string(" (%.2f)", "confidence"))
+    lines = [
+        row(ids, 0, none, word, F.format_string("# Analysis %d", "analysis_id")),
+        row(claims.select("analysis_id", "section").distinct(), place, F.lit(-1), word, F.concat(F.lit("## "), F.initcap(F.translate("section", "_", " ")))),
+        row(claims, place, F.col("ordering"), said, said),
+        row(events.select("analysis_id").distinct(), 100, none, word, F.lit("| Year | Event |\n|---|---|")),
+        row(events, 101, F.col("year"), F.col("description"), F.format_string("| %d | %s |", "year", "description")),
+        row(trace.select("analysis_id").distinct(), 200, none, word, F.lit("## How this report was produced")),
+        row(trace, 201, none, F.col("stage"), F.format_string("- %s (%d claims)", "stage", "claims")),
+    ]
+    every = lines[0]
+    for part in lines[1:]:
+        every = every.unionByName(part)
+    whole = every.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "c", "line"))).alias("x"))
+    return whole.select("analysis_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("report"))
 
 
 @query("a2_document_scan", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 1000")
@@ -203,23 +259,57 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", readable(F.col("html")).alias("text"))
 
 
-@query("a8_claim_csv", views.WITH + """
-SELECT CAST(analysis_id AS VARCHAR) AS analysis, CAST(ordering AS VARCHAR) AS ordering, claim_type, statement, CASE WHEN claim_type IN ('source_text', 'verified_history', 'astronomical_calculation') THEN 'yes' ELSE 'no' END AS evidence,
-  printf('%.3f', confidence) AS confidence, coalesce(engine, '') AS engine, coalesce(quoted_text, '') AS quote FROM claims""")
+_WITH = views.WITH + f", citations AS ({views.CITATIONS_SQL})"
+_LABEL = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+
+
+@query("a8_claim_csv", _WITH + f""", x AS (SELECT analysis_id, ordering, part, string_agg(concat(citation, CASE WHEN verified THEN '' ELSE ' [unverified]' END), ' | ' ORDER BY place) AS citations FROM citations GROUP BY ALL)
+SELECT analysis_id, ordering, part, section, claim_type, {_LABEL} AS claim_type_label, CASE WHEN claim_type IN ('source_text', 'verified_history', 'astronomical_calculation') THEN 'yes' ELSE 'no' END AS is_evidence, statement, coalesce(reasoning, '') AS reasoning,
+  printf('%.3f', confidence) AS confidence, coalesce(confidence_basis, '') AS confidence_basis, produced_by, coalesce(engine, '') AS engine, coalesce(algorithm_reference, '') AS algorithm_reference, coalesce(quoted_text, '') AS quoted_text, coalesce(citations, '') AS citations
+FROM claims LEFT JOIN x USING (analysis_id, ordering, part)""")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claim_lines(views.claims(spark, sf_dir))
+    return claim_lines(views.claims(spark, sf_dir), views.citations(spark, sf_dir), ["analysis_id", "ordering", "part"])
+
+
+_ENTITIES = "SELECT l_orderkey AS analysis_id, l_returnflag AS name, l_linestatus AS kind, count(*) AS mentions FROM lineitem GROUP BY ALL"
+
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("analysis_id"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("kind")).agg(F.count("*").alias("mentions"))
 
-@query("a9_nested_json", views.WITH + " SELECT analysis_id, status, (SELECT count(*) FROM claims c WHERE c.analysis_id = a.analysis_id) AS n FROM analyses a")
+
+@query("a9_nested_json", _WITH + f""", c AS (SELECT analysis_id, string_agg(concat(claim_type, ':', statement), ';' ORDER BY ordering, part) AS claims, concat(count(*), ' claims') AS summary FROM claims GROUP BY 1),
+e AS (SELECT analysis_id, string_agg(concat(name, kind, mentions), ';' ORDER BY name, kind) AS entities FROM ({_ENTITIES}) GROUP BY 1),
+r AS (SELECT analysis_id, string_agg(citation, ';' ORDER BY v, citation) AS refs FROM (SELECT analysis_id, citation, NOT bool_or(verified) AS v FROM citations GROUP BY ALL) GROUP BY 1)
+SELECT analysis_id, status, summary, coalesce(claims, '') AS claims, coalesce(entities, '') AS entities, coalesce(refs, '') AS refs FROM analyses LEFT JOIN c USING (analysis_id) LEFT JOIN e USING (analysis_id) LEFT JOIN r USING (analysis_id)""")
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = documents_as_json(views.analyses(spark, sf_dir), views.claims(spark, sf_dir))
-    return nested.select("analysis_id", "status", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n"))
+    """The nested rows, their arrays written out for comparison."""
+    claims = views.claims(spark, sf_dir)
+    summaries = claims.groupBy("analysis_id").agg(F.concat(F.count("*"), F.lit(" claims")).alias("summary"))
+    nested = documents_as_json(views.analyses(spark, sf_dir), claims, _entities(spark, sf_dir), views.citations(spark, sf_dir), summaries)
+    text = lambda c, f: F.array_join(F.transform(c, f), ";").alias
+    return nested.select(
+        "analysis_id", "status", "report.summary", text("claims", lambda x: F.concat(x["claim_type"], F.lit(":"), x["statement"]))("claims"),
+        text("entities", lambda x: F.concat(x["name"], x["kind"], x["mentions"]))("entities"), text("references", lambda x: x["citation"])("refs"),
+    )
+
+
+_PLACE = "CASE section " + " ".join(f"WHEN '{x}' THEN {k + 1}" for k, x in enumerate(views.SECTIONS)) + " END"
+_HEADING = "CASE section " + " ".join(f"WHEN '{x}' THEN '## {x.replace('_', ' ').title()}'" for x in views.SECTIONS) + " END"
 
 
-@query("a10_report_text", views.WITH + """
-SELECT analysis_id, concat('# Analysis ', analysis_id, chr(10), chr(10), string_agg(concat('- [', claim_type, '] ', statement, ' (', printf('%.2f', confidence), ')'), chr(10) ORDER BY ordering, concat('- [', claim_type, '] ', statement, ' (', printf('%.2f', confidence), ')'))) AS report FROM claims GROUP BY analysis_id""")
+@query("a10_report_text", views.WITH + f""", said AS (SELECT analysis_id, {_PLACE} AS a, ordering AS b, concat('**[', {_LABEL}, ']** ', statement, ' (', printf('%.2f', confidence), ')') AS line FROM claims),
+events AS (SELECT DISTINCT analysis_id, year(shipped_at) AS year, claim_type AS description FROM claims), trace AS (SELECT analysis_id, produced_by AS stage, count(*) AS n FROM claims GROUP BY ALL),
+lines AS (SELECT DISTINCT analysis_id, 0 AS a, 0 AS b, '' AS c, concat('# Analysis ', analysis_id) AS line FROM claims UNION ALL SELECT DISTINCT analysis_id, {_PLACE}, -1, '', {_HEADING} FROM claims
+  UNION ALL SELECT analysis_id, a, b, line, line FROM said UNION ALL SELECT DISTINCT analysis_id, 100, 0, '', concat('| Year | Event |', chr(10), '|---|---|') FROM events
+  UNION ALL SELECT analysis_id, 101, year, description, concat('| ', year, ' | ', description, ' |') FROM events UNION ALL SELECT DISTINCT analysis_id, 200, 0, '', '## How this report was produced' FROM trace
+  UNION ALL SELECT analysis_id, 201, 0, stage, concat('- ', stage, ' (', n, ' claims)') FROM trace)
+SELECT analysis_id, string_agg(line, chr(10) ORDER BY a, b, c, line) AS report FROM lines GROUP BY analysis_id""")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_text(views.claims(spark, sf_dir))
+    claims = views.claims(spark, sf_dir)
+    events = claims.select("analysis_id", F.year("shipped_at").alias("year"), F.col("claim_type").alias("description")).distinct()
+    trace = claims.groupBy("analysis_id", F.col("produced_by").alias("stage")).agg(F.count("*").alias("claims"))
+    return report_text(claims, events, trace)
 
 
 @query("a11_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 3 = 1")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.statements import claims_of_annotations
 from ..plans import views
 from ..plans.registry import query, table
 
@@ -26,8 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def replay(spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The result of a streaming job over all that a table's folder holds now, through a Parquet sink or, for complete
-    and update mode, the last state by batch."""
+    """The result of a streaming job over all that a table's folder holds now: all rows that it appends, or in complete
+    mode the last state, which each batch writes whole."""
+    if mode not in ("append", "complete"):
+        raise ValueError("mode must be append or complete: update mode would need a sink that replaces rows by key")
     source = table(spark, sf_dir, name)
     out = shared_folder(spark)
     # a glob, so that a table that is one file and a folder of part files can both be watched
@@ -40,6 +43,23 @@ def replay(spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def annotate_new(spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What job makes of the rows of a table, worked out once for each row as its files arrive.
+
+    Each micro-batch is written to a folder of its own number, so a batch that is run again after a failure replaces
+    what it wrote before: every row is annotated exactly once.
+    """
+    source = table(spark, sf_dir, name)
+    out = shared_folder(spark)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parque*")
+
+    def one(df: DataFrame, number: int) -> None:
+        job(df).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(one).start().awaitTermination()
+    return spark.read.schema(job(source.limit(0)).schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows").drop("batch")
+
+
 def request_windows(requests: DataFrame) -> DataFrame:
     """Requests of each identity and bucket in each hour."""
     return requests.groupBy("identity", "bucket", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("identity", "bucket", F.col("w.start").alias("start"), "n")
@@ -80,13 +100,18 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(events).dropDuplicates(["event_id"])
 
 
+def account_state(events: DataFrame) -> DataFrame:
+    """user_id, state (of the last subscription event), purchases, and tier: who has ever bought stays a customer."""
+    own = events.where(F.col("event_type").isin("signup", "purchase", "error"))
+    bought = F.count_if(F.col("event_type") == "purchase")
+    return own.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), bought.alias("purchases"), F.when(bought > 0, "customer").otherwise("guest").alias("tier"))
+
+
 @query("s4_account_state", """
-SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (WHERE event_type = 'purchase') AS purchases
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'customer' ELSE 'guest' END AS tier
 FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The account state after all subscription events, in order of time."""
-    own = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
-    return own.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return account_state(table(spark, sf_dir, "events"))
 
 
 @query("s5_audit_counts", "SELECT CAST(ts AS DATE) AS day, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
@@ -116,6 +141,18 @@ def stream_audit(events: DataFrame) -> DataFrame:
     return timed.groupBy(F.window("ts", "1 day").alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "action", "n")
 
 
+def stream_accounts(events: DataFrame) -> DataFrame:
+    """S4 as a stream in complete mode: the account state after all subscription events."""
+    return account_state(events)
+
+
+@query("s6_annotated_documents")
+def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the documents as their files arrive; tests compare with the batch operator."""
+    job = lambda df: claims_of_annotations(df).select("doc_id", "ordering", "section", "claim_type", "confidence", "quoted_text", "start")
+    return annotate_new(spark, sf_dir, "documents", job)
+
+
 def stream_usage(events: DataFrame) -> DataFrame:
     """S7 as a stream in complete mode: events used by each user."""
     return events.groupBy("user_id").agg(F.count("*").alias("used"))

@@ -1,11 +1,18 @@
 """Golden values, round trips, stream and batch equality, intake."""
 
+import hashlib
+import math
+import random
+import re
+import unicodedata
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from almanac.functions import calendars as cal
 from almanac.functions import sky
 from almanac.functions import text as tx
-from almanac.operators import annotations, claims, joins, lunations, retrieval, sky_tables
+from almanac.operators import annotations, catalogues, claims, dating, joins, lunations, readers, retrieval, sky_tables, statements
 from almanac.sources import intake
 from almanac.streaming import logs
 
@@ -43,11 +50,57 @@ def test_known_dates(spark):
     assert spark.range(1).select(cal.to_rd(F.lit("nowhere"), F.lit(1), F.lit(1), F.lit(1))).first()[0] is None
 
 
-def test_matches_have_offsets(spark):
-    text = "Ten days, été λόγος; 40 days and 1260 days."
-    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(tx.matches(F.col("t"), r"\d+").alias("m")).collect()
-    assert [(m["start"], m["stop"]) for m in got[0]["m"]] == [(text.index("40"), text.index("40") + 2), (text.index("1260"), text.index("1260") + 4)]
-    assert got[1]["m"] == []
+TEXTS = [
+    "Ten days, été λόγος; 40 days and 1260 days.",
+    "THE SUN was darkened; the ſun hid his light, İstanbul and Kush. Blood moon! moon became as blood",
+    "In the 3rd year of Cyrus, 12.19.6.15.2, A.M. 5784 and AH 1445; six hundred threescore and six. The morning star.",
+    "Qur'an, sha'ban, tzolk'in and the seals; seals ed with wax, a horn of plenty, hornets. 144,000 and 3:16 and 7.5",
+    "the third day of Nisan in the first year of Darius the Great, 586 BC, 70 AD, Olympiad 5, the 14th day of the 7th month",
+    "Babylon babylonian Mystery Babylon, the whore of Babylon; Hebrew calendar, hebrew, sin, sins, ra, Ra. era",
+    "thus saith the Lord: behold I will; BEHOLD, I WILL. prophet prophecy foretold foretell in the latter days",
+    "", " ", "no portent", "xx" * 3000 + " comet " + "y" * 5000,
+]
+
+
+def plain_spans(patterns, text, flags):
+    """All matches of all patterns, one pattern after the other, in order of start, longest first."""
+    found = [(m.start(), m.end(), k) for k, p in enumerate(patterns) for m in re.finditer(p, text, flags)]
+    return sorted(found, key=lambda x: (x[0], x[0] - x[1], x[2]))
+
+
+def plain_apart(spans, group=lambda k: None):
+    kept = []
+    for s in spans:
+        if not any(s[0] < k[1] and k[0] < s[1] and group(s[2]) == group(k[2]) for k in kept):
+            kept.append(s)
+    return kept
+
+
+def test_scans_equal_the_plain_patterns(spark):
+    real = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()][:40]
+    some = TEXTS + real + [f"{a} {b}" for a in TEXTS[:7] for b in TEXTS[:7]]
+    docs = spark.createDataFrame([*enumerate(some), (-1, None)], "doc_id long, text string").repartition(3)
+    by = lambda df, *c: sorted(tuple(r[x] for x in ("doc_id", "start", "stop", *c)) for r in df.collect())
+    rules = [(p, name, kind) for name, kind, patterns, *_ in annotations.lexicon() for p in patterns]
+    bounded = [rf"\b{re.escape(p)}\b" if re.fullmatch(r"[\w' ]+", p) else p for p, _, _ in rules]
+    want = [(k, s[0], s[1], *rules[s[2]][1:]) for k, t in enumerate(some) for s in plain_apart(plain_spans(bounded, t, re.I), lambda r: rules[r][2])]
+    assert by(annotations.entities(docs), "name", "kind") == sorted(want)
+    want = [(k, s[0], s[1], annotations.DATES[s[2]][1]) for k, t in enumerate(some) for s in plain_apart(plain_spans([p for p, _ in annotations.DATES], t, 0))]
+    assert by(annotations.dates(docs), "kind") == sorted(want)
+    want = [(k, s[0], s[1], annotations.MARKERS[s[2]][1]) for k, t in enumerate(some) for s in plain_spans([p for p, _ in annotations.MARKERS], t, re.I)]
+    assert by(annotations.markers(docs), "marker") == sorted(want)
+    want = []
+    for k, t in enumerate(some):
+        found = [(m.start(), m.end(), m[0].replace(",", "")) for m in re.finditer(r"\b(\d[\d,]{0,9})\b", t) if not set(".:") & set(t[max(0, m.start() - 1) : m.end() + 1])]
+        found = [f for f in found if f[2] in annotations.NUMERALS] + [(m.start(), m.end(), n) for p, n in annotations.SPELLED for m in re.finditer(rf"\b{p}\b", t, re.I)]
+        kept = []
+        for f in sorted(found, key=lambda x: (x[0], x[0] - x[1])):
+            if not any(f[0] < x[1] and x[0] < f[1] for x in kept) and f[2] not in {x[2] for x in kept}:
+                kept.append(f)
+        want += [(k, *f) for f in kept]
+    assert by(annotations.numbers(docs), "number") == sorted(want)
+    empty = docs.limit(0)
+    assert not any(f(empty).count() for f in (annotations.entities, annotations.dates, annotations.markers, annotations.numbers))
 
 
 def test_dates_numbers_and_entities(spark):
@@ -90,10 +143,81 @@ def test_future_claims_and_caps(spark):
     assert got == [("uncertain", 0.55, 2), ("ai_hypothesis", 0.5, 1), ("source_text", 1.0, 0)]
 
 
-def test_vectors_are_unit_and_self_similar(spark):
-    texts = spark.createDataFrame([(1, "the moon shall be darkened"), (2, "the moon shall be darkened"), (3, "")], "k int, text string")
-    got = retrieval.embed(texts, "k").groupBy("key").agg(F.sum(F.col("v") * F.col("v")).alias("n")).collect()
-    assert {r["key"] for r in got} == {1, 2} and all(abs(r["n"] - 1) < 1e-9 for r in got)
+def plain_vector(text, dimensions=384):
+    words = [w for w in re.findall(r"[\wͰ-῿Ⲁ-ⷿ]+", unicodedata.normalize("NFKC", text).lower()) if w not in tx.STOP_WORDS]
+    counts = {}
+    for f, n in [(f"w:{w}", 1) for w in words] + [(f"b:{a}_{b}", 1) for a, b in zip(words, words[1:], strict=False)] + [(f"c:{f'^{w}$'[k : k + 4]}", 0.5) for w in words if len(w) > 4 for k in range(len(w) - 1)]:
+        counts[f] = counts.get(f, 0) + n
+    out = [0.0] * dimensions
+    for f, n in counts.items():
+        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+        out[h % dimensions] += (1 if h >> 63 else -1) * (1 + math.log(n))
+    norm = math.sqrt(sum(v * v for v in out))
+    return [v / norm for v in out] if norm else out, set(words)
+
+
+def test_vectors_equal_a_plain_version(spark):
+    texts = ["the moon shall be darkened", "ΛΌΓΟΣ ﬁnal Nebuchadnezzar", "", None, "moon moon moon"]
+    got = {r["k"]: r for r in retrieval.embed(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k").collect()}
+    for k, t in enumerate(texts):
+        want, words = plain_vector(t or "")
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[k]["vector"], want, strict=True)) and len(got[k]["tokens"]) == len(words)
+
+    class Lengths:
+        dimensions = 1
+
+        def embed_batch(self, texts):
+            return [[float(len(t or ""))] for t in texts]
+
+    own = retrieval.embed(spark.createDataFrame([(1, "abc")], "k int, text string"), "k", Lengths()).first()
+    assert own["vector"] == [3.0]
+
+
+def test_sources_equal_brute_force(spark):
+    rng, words = random.Random(5), "moon sun star king temple river prophet darkness blood egypt babylon horse crown lamb seal".split()
+    works = [(k, " ".join(rng.choices(words, k=30))) for k in range(12)] + [(50, ""), (51, None)]
+    works += [(60, works[3][1])]
+    docs = [(k, f"{works[k % 12][1]} {' '.join(rng.choices(words, k=3))}") for k in range(8)] + [(20, "quite other things entirely"), (21, None), (22, " ".join(rng.choices(words, k=10)))]
+    got = {}
+    for r in retrieval.identify_sources(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(works, "item_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["place"], r["item_id"], r["score"], r["identified"]))
+    for d, t in docs:
+        v, ws = plain_vector(t or "")
+        hits = []
+        for i, w in works[:-1]:
+            u, us = plain_vector(w or "")
+            score = round(sum(a * b for a, b in zip(v, u, strict=True)), 9)
+            overlap = len(ws & us) / len(ws | us) if ws and us else 0
+            if score >= 0.18 and overlap >= 0.02:
+                hits.append((-score, i, overlap))
+        want = [(k + 1, i, -s, k == 0 and -s >= 0.45 and o >= 0.2) for k, (s, i, o) in enumerate(sorted(hits)[:4])] or [(1, None, None, False)]
+        mine = sorted(got[d])
+        assert [(p, i, y) for p, i, _, y in mine] == [(p, i, y) for p, i, _, y in want] and all(s is None or abs(s - x[2]) < 1e-8 for (_, _, s, _), x in zip(mine, want, strict=True))
+
+
+def test_top_k_in_blocks_and_recall_of_the_index(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 16))
+    vectors = [(k, (base[k % 30] + rng.normal(size=16) * 0.6).tolist(), ["a", "b", None][k % 3]) for k in range(900)] + [(1000, None, "a"), (1001, [0.0] * 16, "a"), (1002, [1.0, 2.0], "b")]
+    df = spark.createDataFrame(vectors, "id long, vector array<double>, label string")
+    old = retrieval.QUERIES, retrieval.ROWS
+    retrieval.QUERIES, retrieval.ROWS = 7, 100
+    try:
+        for by in (None, "label"):
+            got = {}
+            for r in retrieval.top_k(df.where("id % 20 = 0"), df, 5, 0.18, by=by).collect():
+                got.setdefault(r["query_id"], []).append((r["place"], r["row_id"]))
+            x = np.array([v for _, v, _ in vectors[:900]])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for q in range(0, 900, 20):
+                scores = sorted((-round(float(x[q] @ x[k]), 9), k) for k in range(900) if k != q and (by is None or k % 3 == q % 3))
+                assert [k for _, k in sorted(got.get(q, []))] == [k for s, k in scores[:5] if -s >= 0.18]
+    finally:
+        retrieval.QUERIES, retrieval.ROWS = old
+    real = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    pairs = lambda found: {(r["query_id"], r["row_id"]) for r in found.collect()}
+    exact, near = pairs(retrieval.top_k(real.where("id % 20 = 0"), real, 5)), pairs(retrieval.approximate_top_k(real.where("id % 20 = 0"), real, 5))
+    assert len(exact & near) >= 0.9 * len(exact)
 
 
 def test_file_types(spark, tmp_path):
@@ -151,3 +275,95 @@ def test_known_eclipses(spark):
         rd = spark.range(1).select(cal.from_julian(cal.long(year), cal.long(month), cal.long(day))).first()[0]
         found = lunations.eclipses(spark, year, year).where((F.col("body") == "solar") & (F.col("rd") == rd))
         assert found.count() == 1
+
+
+def test_as_of_and_interval_joins_equal_brute_force(spark):
+    rng = random.Random(4)
+    left = [(k, "ab"[k % 2], rng.uniform(0, 100)) for k in range(60)]
+    right = [("ab"[k % 2], rng.uniform(0, 100), k) for k in range(40)]
+    l, r = spark.createDataFrame(left, "id int, u string, t double"), spark.createDataFrame(right, "u string, at double, v int")
+    for stretch in (None, 7.0):
+        got = {x["id"]: x["v"] for x in joins.asof_join(l, r, ["u"], "t", "at", ["v"], stretch).collect()}
+        for i, u, t in left:
+            assert got[i] == max(((at, v) for w, at, v in right if w == u and at <= t), default=(None, None))[1]
+    arcs = [(k, rng.uniform(0, 360), rng.uniform(0, 360)) for k in range(30)]
+    points = spark.createDataFrame([(k, rng.uniform(0, 360)) for k in range(50)], "p int, x double")
+    want = {(p["p"], k) for p in points.collect() for k, a, b in arcs if (a <= p["x"] < b if a <= b else p["x"] >= a or p["x"] < b)}
+    old = joins.FEW
+    try:
+        for joins.FEW in (old, 0):
+            assert {(x["p"], x["k"]) for x in joins.interval_join(points, spark.createDataFrame(arcs, "k int, a double, b double"), "x", "a", "b", 360).collect()} == want
+    finally:
+        joins.FEW = old
+
+
+def test_readers_take_the_leftmost(spark):
+    rows = [("three days of darkness came, and it was dark for two days", 3), ("it was dark for two days, then three days of darkness", 2), ("darkness. 4 days", None), (None, None), ("DARKNESS for 12 days", 12)]
+    got = [r["d"] for r in spark.createDataFrame(rows, "t string, n int").select(readers.darkness_days(F.col("t")).alias("d")).collect()]
+    assert got == [n for _, n in rows]
+    years = spark.createDataFrame([("587 BCE and 70 AD, 4000 BC, 1 bc",)], "t string").select(readers.years_in(F.col("t")).alias("y")).first()["y"]
+    assert years == [-586, 70, 0]
+
+
+def test_dating_over_real_eclipses(spark):
+    docs = spark.createDataFrame([(1, "In 585 BC the sun was darkened in the spring, a total eclipse; three days of darkness."), (2, "A comet in 66 AD."), (3, "In A.H. 200 the moon was darkened at full moon."), (4, "nothing"), (5, None)], "doc_id long, text string")
+    asked = dating.criteria(docs).join(dating.spans(docs), "doc_id")
+    rows = {r["doc_id"]: r for r in asked.collect()}
+    assert (rows[1]["eclipse"], rows[1]["total"], rows[1]["season"], rows[1]["dark_days"], rows[1]["first"], rows[1]["last"]) == ("solar", True, "spring", 3, -784, -384)
+    assert rows[3]["phase"] == "full" and rows[3]["first"] == 815 - 200 and (rows[4]["first"], rows[4]["last"]) == (-550, -51)
+    days = dating.sky_days(spark, -784, 1015)
+    table = {(d["kind"], d["year"], d["month"], d["day"]): d for d in days.where("year in (-584, 66)").collect()}
+    # 28 May 585 BCE (Julian) is 22 May in the Gregorian reckoning: a total eclipse in spring
+    assert table["solar", -584, 5, 22]["is_total"] and table["solar", -584, 5, 22]["season"] == "spring"
+    found = dating.candidates(asked, days)
+    best = {}
+    for r in found.collect():
+        best.setdefault(r["doc_id"], []).append(r)
+    assert set(best) == {1, 2, 3} and all(len(v) <= 10 for v in best.values())
+    one = sorted(best[1], key=lambda r: r["place"])
+    assert one[0]["fit"] == 1.0 and one[0]["unsearchable"] == ["unusual_darkness"] and all(r["weak"] for r in one) and abs(one[0]["confidence"] - 0.55) < 1e-9
+    assert [r["fit"] for r in one] == sorted((r["fit"] for r in one), reverse=True)
+    assert {r["year"] for r in best[2]} <= {-86, -11, 66, 141, 218, -43} and best[2][0]["fit"] == 1.0
+    claims_ = dating.candidate_claims(found)
+    assert claims.problems(claims_).where("size(problems) > 0").count() == 0
+    assert dating.candidates(asked.limit(0), days).count() == 0
+
+
+def test_catalogues_and_facts_of_dates(spark):
+    dates = spark.createDataFrame([(1, 1066, 1, 1), (2, 1604, 8, 12), (3, 500, 2, 10)], "date_id long, year int, month int, day int")
+    got = {}
+    for r in catalogues.near_dates(dates).collect():
+        got.setdefault(r["date_id"], set()).add((r["what"], r["name"], r["off"]))
+    assert got[1] == {("comet", "1P/1066 G1", 0), ("shower", "Quadrantids", 2)}
+    assert ("supernova", "SN 1604", 0) in got[2] and ("shower", "Perseids", 0) in got[2] and ("comet", "1P/1607 S1", 3) in got[2] and 3 not in got
+    day = spark.createDataFrame([(1, 1999, 8, 11)], "date_id long, year long, month int, day int").withColumn("rd", cal.from_gregorian(F.col("year"), cal.long(8), cal.long(11)))
+    facts = catalogues.facts_of_dates(day, 1999, 1999).first()
+    assert facts["new_moon"] == facts["rd"] and len(facts["seasons"]) == 4 and any(e["erd"] == facts["rd"] and e["event_type"] == "solar_eclipse" for e in facts["eclipses"])
+    assert facts["time"]["note"] == "exact"
+    events = catalogues.sky_events(spark, 1999, 1999)
+    assert events.where("event_type = 'season'").count() == 4 and events.where("event_type = 'solar_eclipse' and month = 8 and day = 11 and hour between 10 and 12").count() == 1
+
+
+def test_claims_of_texts_and_their_stream(spark):
+    docs = spark.createDataFrame([(1, "In 585 BC the sun was darkened. Seven seals. Thus saith the Lord."), (2, "The moon became as blood."), (3, None), (4, "")], "doc_id long, text string")
+    rows = {}
+    for r in statements.claims_of_annotations(docs).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    assert set(rows) == {1, 2, 4}
+    kinds = [(r["section"], r["claim_type"], r["quoted_text"]) for r in sorted(rows[1], key=lambda r: r["ordering"])]
+    assert kinds[0][0] == "original_text" and ("key_entities", "source_text", "Seven") in kinds and ("calendar_conversion", "astronomical_calculation", "585 BC") in kinds
+    assert any(r["claim_type"] == "ai_hypothesis" for r in rows[1]) and any(r["claim_type"] == "uncertain" and r["section"] == "astronomical_references" for r in rows[2])
+    assert all(sorted(r["ordering"] for r in v) == list(range(1, len(v) + 1)) for v in rows.values())
+    sky = [r["statement"] for r in statements.claims_of_sky(docs).collect()]
+    assert any("solar eclipse on -584-05-22" in s for s in sky) and 0 < len(sky) <= 6
+    line = {(r["kind"], r["year"]) for r in statements.timeline(docs).collect()}
+    assert ("calendar_conversion", -584) in line and ("astronomical_event", -584) in line
+    stream = logs.s6(spark, DATA)
+    batch = statements.claims_of_annotations(spark.read.parquet(f"{DATA}/documents.parquet")).select(*stream.columns)
+    assert stream.count() == batch.count() and stream.exceptAll(batch).count() == 0
+
+
+def test_account_states_stream_as_in_batch(spark):
+    got = logs.replay(spark, DATA, "events", logs.stream_accounts, "complete")
+    want = logs.s4(spark, DATA)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
