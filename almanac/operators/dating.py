@@ -178,7 +178,7 @@ _CRITERIA_SQL = views.WITH + """, criteria AS (SELECT doc_id, CASE doc_id % 12 W
   CASE doc_id % 12 WHEN 8 THEN 3 END AS times, CASE doc_id % 12 WHEN 3 THEN 'full' WHEN 9 THEN 'new' END AS phase, doc_id % 12 = 2 AS comet, CASE doc_id % 12 WHEN 1 THEN 2 END AS dark_days,
   CASE doc_id % 12 WHEN 5 THEN 'spring' WHEN 6 THEN 'winter' WHEN 9 THEN 'autumn' END AS season FROM dated),
 centres AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN - (doc_id % 900) WHEN 1 THEN 1 + doc_id % 900 WHEN 3 THEN 1 + doc_id % 900 WHEN 6 THEN -775 + (doc_id % 900) * 4 END AS centre FROM dated),
-spans AS (SELECT doc_id, coalesce(greatest(centre - 200, -3000), -550) AS first, coalesce(least(centre + 200, 3000), -51) AS last FROM centres)"""
+spans AS (SELECT doc_id, CASE WHEN centre IS NULL THEN -550 ELSE greatest(centre - 200, -3000) END AS first, CASE WHEN centre IS NULL THEN -51 ELSE least(centre + 200, 3000) END AS last FROM centres)"""
 
 
 @query("j1_criteria", _CRITERIA_SQL + " SELECT * FROM criteria")
