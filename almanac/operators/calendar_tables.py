@@ -23,7 +23,7 @@ hn AS (SELECT y, ny, size, leap, ny + 118 + CASE WHEN size % 10 = 5 THEN 30 ELSE
 
 
 #: Days before each month of a Hebrew year in the order from Tishri, and its number, from hn's columns.
-_HEBREW_MONTHS = """SELECT y, ny, k, [7, 8, 9, 10, 11, 12, 13, 1, 2, 3, 4, 5, 6][k] AS month, ny + list_sum(lengths[1:k - 1])::BIGINT AS start, lengths[k] AS len FROM (
+_HEBREW_MONTHS = """SELECT y, ny, k, [7, 8, 9, 10, 11, 12, 13, 1, 2, 3, 4, 5, 6][k] AS month, ny + coalesce(list_sum(lengths[1:k - 1]), 0)::BIGINT AS start, lengths[k] AS len FROM (
   SELECT y, ny, [30, CASE WHEN size % 10 = 5 THEN 30 ELSE 29 END, CASE WHEN size % 10 = 3 THEN 29 ELSE 30 END, 29, 30, CASE WHEN leap THEN 30 ELSE 29 END, CASE WHEN leap THEN 29 ELSE 0 END, 30, 29, 30, 29, 30, 29] AS lengths FROM hn), range(1, 14) AS t(k)"""
 
 

@@ -374,9 +374,9 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g4_further_reading", """
 WITH h AS (SELECT l_orderkey AS doc_id, concat('work ', l_suppkey % 20) AS citation, l_discount::DOUBLE AS score FROM lineitem), f AS (SELECT * FROM (VALUES ('work 3', 0), ('calendar arithmetic', 1), ('lunar series', 2)) AS t(citation, place)),
-u AS (SELECT doc_id, citation, 0 AS kind, -score AS by FROM h UNION ALL SELECT doc_id, citation, 1, place::DOUBLE FROM (SELECT DISTINCT doc_id FROM h), f),
-m AS (SELECT doc_id, citation, min((kind, by)) AS at FROM u GROUP BY ALL)
-SELECT doc_id, citation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at, citation) AS INT) AS place FROM m""")
+u AS (SELECT doc_id, citation, 0 AS kind, -score AS ahead FROM h UNION ALL SELECT doc_id, citation, 1, place::DOUBLE FROM (SELECT DISTINCT doc_id FROM h), f),
+m AS (SELECT doc_id, citation, min((kind, ahead)) AS pos FROM u GROUP BY ALL)
+SELECT doc_id, citation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, citation) AS INT) AS place FROM m""")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("work "), F.col("l_suppkey") % 20).alias("citation"), F.col("l_discount").cast("double").alias("score"))
     fixed = spark.createDataFrame([("work 3", 0), ("calendar arithmetic", 1), ("lunar series", 2)], "citation string, place int")
@@ -392,7 +392,7 @@ def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g2_merged_search", f"""
-WITH hits AS (SELECT d.doc_id, 'keyword' AS kind, 1.0::DOUBLE AS score FROM documents d WHERE contains(lower(text), 'tion the'),
+WITH hits AS (SELECT d.doc_id, 'keyword' AS kind, 1.0::DOUBLE AS score FROM documents d WHERE contains(lower(text), 'tion the')),
 near AS (SELECT v.vec_id AS doc_id, 'semantic' AS kind, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id <> 0 JOIN documents d ON d.doc_id = v.vec_id)
 SELECT doc_id, kind, score FROM (SELECT * FROM hits UNION ALL SELECT * FROM near WHERE score >= 0.12 AND doc_id NOT IN (SELECT doc_id FROM hits)) ORDER BY score DESC, kind, doc_id LIMIT 50""")
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
