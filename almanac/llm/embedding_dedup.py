@@ -86,18 +86,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     """
     good = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = vectors.select("vec_id", "embedding", F.col("label").alias("label"), F.coalesce(good, F.lit(False)).alias("good"))
-    keyed = rows.select("vec_id", F.when(F.col("good"), F.xxhash64("label", "embedding")).alias("key"), "label", "embedding")
+    # a vector is named by 128 bits of hash; the different ones get numbers when they are written
+    name = [F.when(F.col("good"), F.xxhash64(F.lit(seed), "label", "embedding")).alias(f"name{seed}") for seed in (1, 2)]
+    keyed = rows.select("vec_id", *name, "label", "embedding")
     # one row for each different vector of a label, counted before the shuffle
-    distinct = keyed.where("key is not null").groupBy("key", "label", F.size("embedding").alias("dim")).agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
-    distinct = cut(distinct)
-    tiles = tiled(distinct.drop("low"), ["label", "dim"], block, F.col("key"))
+    distinct = keyed.where("name1 is not null").groupBy("name1", "name2", "label", F.size("embedding").alias("dim")).agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
+    distinct = cut(distinct.withColumn("key", F.monotonically_increasing_id()))
+    tiles = tiled(distinct.select("key", "label", "dim", "embedding", "copies"), ["label", "dim"], block, F.col("key"))
     met = cut(tiles.groupBy("label", "dim", "_i", "_j").applyInArrow(_tile(threshold), "u long, v long, n long"))
     parts = components(met.select("u", "v"))
     found = met.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
-    classes = distinct.select("key", "copies", "low").join(found, "key", "left").join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = distinct.select("key", "name1", "name2", "copies", "low").join(found, "key", "left").join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = cut(classes.join(lows, "component").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
-    out = keyed.select("vec_id", "key").join(classes, "key", "left")
+    classes = cut(classes.join(lows, "component").select("name1", "name2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    out = keyed.select("vec_id", "name1", "name2").join(classes, ["name1", "name2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

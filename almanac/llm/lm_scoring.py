@@ -25,7 +25,7 @@ HEAD = 150_000
 WORDS, PER_CLASS, TAILS, HIDDEN = 2000, 50, 32, 16
 #: Words of a block of training documents; slices of the training documents, each of which is learnt from once: after
 #: each the weights of its blocks are averaged, and the next slice goes on from there; words that make a block anyway.
-TASK_WORDS, SLICES, SMALLEST = 250_000, 8, 25_000
+TASK_WORDS, SLICES, SMALLEST = 400_000, 8, 25_000
 #: Counts held before they are sent on; tokens whose words are held at once.
 FLUSH, TOKENS = 200_000, 1_000_000
 
@@ -152,16 +152,16 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _learn(sent, flat):
+def _learn(shape: recurrent.Shape, flat):
     """One pass over each block from the same weights: their mean by words learnt from, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, start = sent.value, flat.value
+        start = flat.value
         total, n = np.zeros(len(start)), 0
         for batch in batches:
             for ids, sizes in zip(batch.column("ids"), batch.column("sizes"), strict=True):
                 texts = np.split(np.frombuffer(ids.as_py(), "<u2"), np.cumsum(sizes.as_py())[:-1])
-                weights, learnt = recurrent.train(own.shape, start, texts)
+                weights, learnt = recurrent.train(shape, start, texts)
                 total += weights.astype(np.float64) * learnt
                 n += learnt
         if n:
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, own: Lexicon, sent) -> np.ndarray:
     schema = "slot int, part int, n long, w array<float>"
     for number in sorted(r["slice"] for r in read_all.select("slice").distinct().collect()):
         some = read_all.where(F.col("slice") == number)
-        trained = some.mapInArrow(_learn(sent, docs.sparkSession.sparkContext.broadcast(flat)), schema)
+        trained = some.mapInArrow(_learn(own.shape, docs.sparkSession.sparkContext.broadcast(flat)), schema)
         some_means = trained.groupBy("slot", (F.col("part") % 64).alias("_p")).applyInPandas(_average, schema)
         means = some_means.groupBy("slot").applyInPandas(_average, schema).collect()
         flat = np.concatenate([np.array(r["w"], np.float32) for r in sorted(means, key=lambda r: r["slot"])])

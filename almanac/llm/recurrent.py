@@ -8,11 +8,13 @@ import numpy as np
 
 #: Steps that the state is carried on for scoring before the outputs are worked out, and the words that make it worth
 #: while: with few texts left, more steps; steps and most lanes of a training window; learning rate.
-WINDOW, WORTH, STEPS, LANES, RATE = 8, 16_384, 20, 256, 0.3
+WINDOW, WORTH, STEPS, LANES, RATE = 8, 16_384, 20, 384, 0.3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    out = np.exp(-x)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 @dataclasses.dataclass
@@ -119,6 +121,7 @@ def _step(p: dict, hidden: int, ids: np.ndarray, h: np.ndarray):
     return c + z * (h - c), (r, z, c, g[:, 2 * hidden :])
 
 
+@np.errstate(over="ignore")
 def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of whole texts (arrays of word ids, without the end). All texts advance together, the
     longest first; the state is carried from window to window to the end of each."""
@@ -151,6 +154,7 @@ def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray
     return out
 
 
+@np.errstate(over="ignore")
 def gradients(shape: Shape, p: dict, inputs: np.ndarray, goals: np.ndarray, valid: np.ndarray, h: np.ndarray, grad: dict) -> np.ndarray:
     """Adds the gradients of minus the log probability of a window (steps x lanes) to grad; returns the state after it.
 
@@ -166,14 +170,21 @@ def gradients(shape: Shape, p: dict, inputs: np.ndarray, goals: np.ndarray, vali
         np.multiply(h, keep[t], out=before[t])
         g = u @ before[t]
         np.add(given[t, : 2 * k], g[: 2 * k], out=gates[t])
-        gates[t] = 1 / (1 + np.exp(np.minimum(-gates[t], 80)))
+        # far below zero the exponential overflows to infinity, and the gate is zero
+        gate = np.exp(-gates[t])
+        gate += 1
+        np.divide(1, gate, out=gates[t])
         rest[t] = g[2 * k :]
         np.tanh(given[t, 2 * k :] + gates[t, :k] * rest[t], out=own[t])
         h = own[t] + gates[t, k:] * (before[t] - own[t])
         states[t] = h
     r, z = gates[:, :k], gates[:, k:]
     dh_all = np.zeros((*inputs.shape, k), h.dtype)
-    _, dh_all[valid] = _outputs(shape, p, states.transpose(0, 2, 1)[valid], goals[valid], grad)
+    by_word = np.ascontiguousarray(states.transpose(0, 2, 1))
+    if valid.all():
+        dh_all = _outputs(shape, p, by_word.reshape(-1, k), goals.ravel(), grad)[1].reshape(dh_all.shape)
+    else:
+        _, dh_all[valid] = _outputs(shape, p, by_word[valid], goals[valid], grad)
     dh_all = np.ascontiguousarray(dh_all.transpose(0, 2, 1))
     # what a state's gradient is multiplied by, for all steps at once
     to_own = (1 - z) * (1 - own * own)
