@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import calendars as cal
 
+# fixed values: signs of thirty degrees from the vernal point, in order
 SIGNS = ["Aries", "Taurus", "Gemini", "Cancer", "Leo", "Virgo", "Libra", "Scorpio", "Sagittarius", "Capricorn", "Aquarius", "Pisces"]
 
 # fixed values: ΔT in seconds (Espenak and Meeus): from this decimal year on, the polynomial in (y - origin) / scale, lowest power first

@@ -34,7 +34,10 @@ def mime(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 16))
     start = F.hex(F.substring(content, 1, 8192))
     docx = start.contains(b"word/document.xml".hex().upper()) | F.substring(start, 1, 8192).contains(b"[Content_Types].xml".hex().upper())
+    # a character may be cut at the end of the sample
     valid = F.is_valid_utf8(F.substring(content, 1, 8192).cast("string"))
+    for n in (8191, 8190, 8189):
+        valid |= (F.octet_length(content) > 8192) & F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
     html = F.substring(content, 1, 8192).cast("string").rlike(r"(?i)<\s*(?:script|iframe|html|svg)\b")
     out = F.when(valid & html, "text/html").when(valid, "text/plain").otherwise("application/octet-stream")
     out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").otherwise(out)
@@ -92,12 +95,15 @@ def page_text(html: Column) -> Column:
 
 
 def readable(html: Column) -> Column:
-    """The readable part of a page: without navigation and forms, its article or main element where that is long enough."""
+    """The readable part of a page: without navigation and forms, of its article, main element, main role, and what is
+    named or classed content the first that is long enough."""
     c = html
     for tag in _BLOCKS.split("|"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     plain = lambda x: F.trim(F.regexp_replace(page_text(x), r"[ \t]*\n\s*", "\n"))
     parts = [plain(F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)) for tag in ("article", "main")]
+    marks = [r"role\s*=\s*[\"']?main\b", r"id\s*=\s*[\"']?content\b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?content\b"]
+    parts += [plain(F.regexp_extract(c, rf"(?is)<(\w+)\b[^>]*\s{mark}[^>]*>(.*)</\1>", 2)) for mark in marks]
     return F.coalesce(*[F.when(F.length(p) > 200, p) for p in parts], plain(F.coalesce(F.nullif(F.regexp_extract(c, r"(?is)<body\b[^>]*>(.*)</body>", 1), F.lit("")), c)))
 
 
@@ -234,6 +240,28 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("n_chars > 1000").select("doc_id", "lang", "source", "n_chars")
 
 
+_SAMPLES = [
+    ("", "text/plain"), ("255044462D", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383961", "image/gif"), ("4D4D002A", "image/tiff"),
+    ("524946460000000057454250", "image/webp"), ("504B0304" + b"[Content_Types].xml".hex().upper(), TYPES[-1]), ("504B030400", "application/zip"), ("FF00FF", "application/octet-stream"), (b"<script>".hex().upper(), "text/html"),
+]
+
+
+@query("a3_file_types", "SELECT doc_id, (" + repr([k for _, k in _SAMPLES]) + f")[doc_id % {len(_SAMPLES)} + 1] AS mime FROM documents")
+def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of files that are the documents behind the first bytes of each kind."""
+    prefix = F.unhex(F.element_at(F.array(*[F.lit(h) for h, _ in _SAMPLES]), (F.col("doc_id") % len(_SAMPLES) + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", mime(F.concat(prefix, F.coalesce("text", F.lit("")).cast("binary"))).alias("mime"))
+
+
+@query("a5_decoded_texts", r"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 2 THEN concat('é', regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', '', 'g')) ELSE coalesce(text, '') END) AS text_md5 FROM documents")
+def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts read back from UTF-8, from UTF-16 with an order mark, and from Latin-1."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    plain = F.concat(F.lit("é"), F.regexp_replace(text, r"[^\x20-\x7E]", ""))
+    content = F.when(k == 0, text.cast("binary")).when(k == 1, F.encode(text, "UTF-16")).otherwise(F.encode(plain, "ISO-8859-1"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(decoded(content).cast("binary")).alias("text_md5"))
+
+
 @query("a4_refused_names", """
 SELECT p_partkey, CASE WHEN p_size = 1 THEN 'empty' WHEN p_size = 2 THEN 'too large' WHEN p_size % 5 = 0 THEN 'extension' WHEN p_size % 7 = 0 THEN 'name' WHEN p_size % 3 = 0 THEN 'type' END AS refused FROM part""")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
