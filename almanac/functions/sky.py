@@ -73,6 +73,33 @@ def delta_t(year: Column) -> Column:
     return out
 
 
+def decimal_year_of(jd: Column) -> Column:
+    return 2000 + (jd - 2451545.0) / 365.2425
+
+
+def tt_to_ut(jd: Column) -> Column:
+    return jd - delta_t(decimal_year_of(jd)) / 86400
+
+
+def ut_to_tt(jd: Column) -> Column:
+    return jd + delta_t(decimal_year_of(jd)) / 86400
+
+
+def jd_of(rd: Column, hour: Column) -> Column:
+    """The Julian day of an hour (0 to 24) of a day."""
+    return rd - cal.JDN_OFFSET - 0.5 + hour / 24
+
+
+def day_and_hour(jd: Column) -> Column:
+    """Struct of the day number and the hour of a Julian day."""
+    return F.struct((F.floor(jd + 0.5).cast("long") + cal.JDN_OFFSET).alias("rd"), (F.pmod(jd + 0.5, F.lit(1.0)) * 24).alias("hour"))
+
+
+def centuries(jd: Column) -> Column:
+    """Julian centuries from the year 2000."""
+    return (jd - 2451545.0) / 36525
+
+
 def wrap(degrees: Column) -> Column:
     return F.pmod(degrees.cast("double"), F.lit(360.0))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendars as cal
@@ -26,15 +26,51 @@ def i9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasons(years)
 
 
-_DT = "(62.92 + 0.32217 * (y - 2000) + 0.005589 * (y - 2000) * (y - 2000))"
+def _delta_t_sql(y: str) -> str:
+    """The same pieces as a DuckDB expression."""
 
+    def poly(origin: float, scale: float, powers: list[float]) -> str:
+        return " + ".join(f"({p!r})::DOUBLE * pow(({y} - {origin}) / {scale}.0, {k})" for k, p in enumerate(powers))
 
-@query("t2_delta_t", f"""
-SELECT o_orderkey, round(CASE WHEN y >= 2050 THEN NULL WHEN y >= 2005 THEN {_DT} ELSE 63.86 + 0.3345 * (y - 2000) - 0.060374 * (y - 2000) ** 2 + 0.0017275 * (y - 2000) ** 3 + 0.000651814 * (y - 2000) ** 4 + 0.00002373599 * (y - 2000) ** 5 END, 6) AS delta_t
-FROM (SELECT o_orderkey, year(o_orderdate) + (month(o_orderdate) - 0.5)::DOUBLE / 12 AS y FROM orders)""")
+    out = "CASE"
+    for start, origin, scale, powers in reversed(sky.DELTA_T):
+        value = poly(origin, scale, powers)
+        if start == 2005:
+            value = f"CASE WHEN {y} < 2050 THEN {value} ELSE {poly(1820, 100, [-20, 0, 32])} - 0.5628 * (2150 - {y}) END"
+        out += f" WHEN {y} >= {start!r} THEN {value}"
+    return out + " END"
+
+
+_SPREAD = "(o_orderkey % 4200 - 1800 + month(o_orderdate) / 12.0)::DOUBLE"
+
+
+def _spread() -> Column:
+    """Years from 1800 BCE to 2400 CE, so that every piece of the time scale is met."""
+    return (F.col("o_orderkey") % 4200 - 1800 + F.month("o_orderdate") / 12).cast("double")
+
+
+@query("t2_delta_t", f"SELECT o_orderkey, round({_delta_t_sql('y')}, 4) AS delta_t FROM (SELECT o_orderkey, {_SPREAD} AS y FROM orders)")
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sky.delta_t(sky.decimal_year(F.year(d), F.month(d))), 6).alias("delta_t"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sky.delta_t(_spread()), 4).alias("delta_t"))
+
+
+@query("t1_julian_days", """
+SELECT o_orderkey, round(jd, 6) AS jd, rd, round(h, 6) AS hour, round((jd - 2451545.0) / 36525, 9) AS centuries, round(2000 + (jd - 2451545.0) / 365.2425, 6) AS year
+FROM (SELECT *, rd + 1721425 - 0.5 + h / 24 AS jd FROM (SELECT o_orderkey, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) + 1 AS rd, (o_orderkey % 96)::DOUBLE / 4 AS h FROM orders))""")
+def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Julian days of an hour of each order's day, and back."""
+    jd = sky.jd_of(cal.rd_of_date(F.col("o_orderdate")), (F.col("o_orderkey") % 96).cast("double") / 4)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", jd.alias("jd"))
+    # a second is lost below the precision of a double: hours are read from a day rounded to it
+    back = sky.day_and_hour(F.round("jd", 6))
+    return rows.select("o_orderkey", F.round("jd", 6).alias("jd"), back["rd"].alias("rd"), F.round(F.round(back["hour"] * 4) / 4, 6).alias("hour"), F.round(sky.centuries(F.col("jd")), 9).alias("centuries"), F.round(sky.decimal_year_of(F.col("jd")), 6).alias("year"))
+
+
+@query("t4_time_scales", f"""
+SELECT o_orderkey, round(jd - {_delta_t_sql("y")} / 86400, 7) AS ut, round(jd + {_delta_t_sql("y")} / 86400, 7) AS tt FROM (SELECT o_orderkey, jd, 2000 + (jd - 2451545.0) / 365.2425 AS y FROM (SELECT o_orderkey, (2451545.0 - 1200000 + (o_orderkey * 37) % 1300000)::DOUBLE AS jd FROM orders))""")
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jd = (2451545.0 - 1200000 + (F.col("o_orderkey") * 37) % 1300000).cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sky.tt_to_ut(jd), 7).alias("ut"), F.round(sky.ut_to_tt(jd), 7).alias("tt"))
 
 
 @query("t5_separations", """

@@ -131,6 +131,18 @@ def timeline(docs: DataFrame, sky: bool = True) -> DataFrame:
     return first.select("doc_id", "year", "x.*")
 
 
+#: What is done with texts in each mode, in order. Unknown modes are done as "standard".
+MODES: dict[str, list] = {"quick": [claims_of_annotations], "standard": [claims_of_annotations, claims_of_sky]}
+
+
+def claims_by_mode(docs: DataFrame, mode: str | None = None) -> DataFrame:
+    """The claims of all stages of a mode, numbered in order of the stages. MODES may be extended."""
+    stages = MODES.get(mode or "standard", MODES["standard"])
+    parts = [stage(docs).withColumn("_stage", F.lit(k)) for k, stage in enumerate(stages)]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.withColumn("ordering", F.row_number().over(Window.partitionBy("doc_id").orderBy("_stage", "ordering"))).drop("_stage")
+
+
 _BEST = "greatest(" + ", ".join(tx.PROFILES) + ")"
 _ECLIPSE_FORMS = [f for f, _, _, kind in _ENTITIES_OF_FORMS if kind == "eclipse"]
 
@@ -156,7 +168,7 @@ def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All claims of whole documents, with those of the sky; SQL can't follow the patterns over arbitrary texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return claims_of_annotations(docs).unionByName(claims_of_sky(docs)).select("doc_id", "section", "claim_type", "statement", "confidence", "quoted_text", "start", "engine")
+    return claims_by_mode(docs).select("doc_id", "ordering", "section", "claim_type", "statement", "confidence", "quoted_text", "start", "engine")
 
 
 @query("m5_claims_of_sky")
