@@ -96,7 +96,7 @@ def page_text(html: Column) -> Column:
 
 def readable(html: Column) -> Column:
     """The readable part of a page: without navigation and forms, of its article, main element, main role, and what is
-    named or classed content the first that is long enough."""
+    named or classed content the first that is long enough. An element reaches to the last closing tag of its kind."""
     c = html
     for tag in _BLOCKS.split("|"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")

@@ -367,3 +367,24 @@ def test_account_states_stream_as_in_batch(spark):
     got = logs.replay(spark, DATA, "events", logs.stream_accounts, "complete")
     want = logs.s4(spark, DATA)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_readable_takes_the_marked_part(spark):
+    long = "words " * 50
+    pages = [
+        f"<body><nav>menu</nav><div role='main'><p>{long}</p></div><p>other</p></body>",
+        f"<body><div id=\"content\">{long}</div><footer>x</footer></body>",
+        f"<body><section class=\"wide content\">{long}</section><p>other</p></body>",
+        f"<body><main>short</main><p>{long}</p></body>",
+        f"<article>{long}</article><main>{long} more</main>",
+    ]
+    got = [r["t"] for r in spark.createDataFrame([(p,) for p in pages], "h string").select(intake.readable(F.col("h")).alias("t")).collect()]
+    assert all("other" not in t and "menu" not in t for t in got[:3]) and "short" in got[3] and "more" not in got[4]
+
+
+def test_stages_by_mode_and_lexicon_tables(spark):
+    docs = spark.createDataFrame([(1, "In 585 BC the sun was darkened. The gorgon came."), (2, None)], "doc_id long, text string")
+    quick, whole = statements.claims_by_mode(docs, "quick").collect(), statements.claims_by_mode(docs, "no such mode").collect()
+    assert 0 < len(quick) < len(whole) and sorted(r["ordering"] for r in whole) == list(range(1, len(whole) + 1))
+    entries = annotations.entries_of(annotations.lexicon_table(spark, [("Gorgon", "creature", ["gorgon"], None, None, None)]))
+    assert [(r["name"], r["kind"]) for r in annotations.entities(docs, entries).collect()] == [("Gorgon", "creature")]
