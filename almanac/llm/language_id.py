@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import held_out, read, trained_on
+from .common import cut, held_out, read, trained_on
 from .tables import Numbers
 
 #: Bounds of the training sample: distinct texts of each language, and how many of them are landmarks; texts of all
@@ -131,26 +131,32 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     return model
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int, keep: F.Column, together: int = TOGETHER, long: int = LONG, bytes_of_label: int = BYTES) -> list:
+def training_sample(docs: DataFrame, label: str, per_label: int, keep: F.Column, together: int = TOGETHER, long: int = LONG, bytes_of_label: int = BYTES, labels: DataFrame | None = None) -> list:
     """Rows (text, y) to learn from: of each label up to per_label different texts, those of smallest hash.
 
-    All labels that have a text are learnt; together bounds the texts of all labels, of which each label has one at
-    least. Texts of more than long bytes are taken only where a label has no others, and then one; the texts of a
-    label hold bytes_of_label bytes together, or are a single one. Null texts are left out. Copies count once, whatever
-    their ids, so neither repeated nor missing ids can empty or swell the sample. Only the sample and one count for
-    each label come to the driver.
+    label is a column of docs or, by doc_id, of labels. All labels that have a text are learnt; together bounds the
+    texts of all labels, of which each label has one at least. Texts of more than long bytes are taken only where a
+    label has no others, and then one; the texts of a label hold bytes_of_label bytes together, or are a single one.
+    Null texts are left out. Copies count once, whatever their ids, so neither repeated nor missing ids can empty or
+    swell the sample. Only hashes are shuffled, and only the sample and one count for each label come to the driver.
     """
-    rows = docs.where(keep & F.col(label).isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("text", F.col(label).alias("y"), F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)).alias("h"), (F.octet_length("text") > long).alias("long"))
-    counts = rows.groupBy("y").agg(F.approx_count_distinct(F.when(~F.col("long"), F.col("h")), 0.05).alias("n"), F.min(F.when(F.col("long"), F.col("h"))).alias("one")).collect()
+    full = F.xxhash64(F.lit(3), "text")
+    own = ["doc_id"] if labels is not None else [F.col(label).alias("y")]
+    keys = docs.where(keep & F.col("text").isNotNull()).select(*own, full.alias("full"), (F.octet_length("text") > long).alias("long"))
+    if labels is not None:
+        keys = keys.join(labels.select(F.col("doc_id").alias("of"), F.col(label).alias("y")), F.col("doc_id") == F.col("of"))
+    keys = cut(keys.where("y is not null").select("y", "full", "long", F.pmod("full", F.lit(1 << 30)).alias("h")))
+    counts = keys.groupBy("y").agg(F.approx_count_distinct(F.when(~F.col("long"), F.col("h")), 0.05).alias("n"), F.min(F.when(F.col("long"), F.col("h"))).alias("one")).collect()
     if not counts:
         return []
     per_label = max(1, min(per_label, together // len(counts)))
     # about twice as many as wanted pass by hash, then the first by hash stay
     bounds = [(r["y"], int((1 << 30) * min(1.0, (2 * per_label + 50) / r["n"])) if r["n"] else -1, None if r["n"] else r["one"]) for r in counts]
-    bounds = docs.sparkSession.createDataFrame(bounds, StructType([StructField("_y", rows.schema["y"].dataType), StructField("_below", LongType()), StructField("_one", LongType())]))
-    chosen = rows.join(F.broadcast(bounds), F.col("y") == F.col("_y")).where((~F.col("long") & (F.col("h") < F.col("_below"))) | (F.col("long") & (F.col("h") == F.col("_one"))))
-    found = sorted(chosen.select("y", "h", "text").distinct().collect(), key=lambda r: (r["h"], r["text"]))
+    bounds = docs.sparkSession.createDataFrame(bounds, StructType([StructField("_y", keys.schema["y"].dataType), StructField("_below", LongType()), StructField("_one", LongType())]))
+    chosen = keys.join(F.broadcast(bounds), F.col("y") == F.col("_y")).where((~F.col("long") & (F.col("h") < F.col("_below"))) | (F.col("long") & (F.col("h") == F.col("_one"))))
+    chosen = F.broadcast(chosen.select("y", "full", "h").distinct())  # at most about twice `together` rows
+    texts = docs.where("text is not null").select("text", full.alias("full"))
+    found = sorted(texts.join(chosen, "full").select("y", "h", "text").distinct().collect(), key=lambda r: (r["h"], r["text"]))
     left, room, out = {r["y"]: per_label for r in counts}, {r["y"]: bytes_of_label for r in counts}, []
     for r in found:
         size = len(r["text"].encode("utf-8", "surrogatepass"))

@@ -247,8 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, per_
 
     Where labels of one doc_id differ, 1 counts. Labels without a doc_id mark no document.
     """
-    marked = labels.groupBy(F.col("doc_id").alias("_of")).agg(F.max("toxic").alias("toxic")).where("toxic is not null and _of is not null")
-    rows = training_sample(docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_of")), "toxic", per_label, F.lit(True) if keep is None else keep)
+    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null and doc_id is not null")
+    rows = training_sample(docs, "toxic", per_label, F.lit(True) if keep is None else keep, labels=marked)
     return fit([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]])
 
 
