@@ -30,20 +30,20 @@ DELTA_T: list[tuple[float, float, float, list[float]]] = [
 
 # fixed values: mean times of equinoxes and solstices (Meeus, chapter 27), years before 1000 and from 1000, lowest power first
 SEASONS = ["march equinox", "june solstice", "september equinox", "december solstice"]
-_EARLY = [
+SEASONS_EARLY = [
     [1721139.29189, 365242.13740, 0.06134, 0.00111, -0.00071],
     [1721233.25401, 365241.72562, -0.05323, 0.00907, 0.00025],
     [1721325.70455, 365242.49558, -0.11677, -0.00297, 0.00074],
     [1721414.39987, 365242.88257, -0.00769, -0.00933, -0.00006],
 ]
-_LATE = [
+SEASONS_LATE = [
     [2451623.80984, 365242.37404, 0.05169, -0.00411, -0.00057],
     [2451716.56767, 365241.62603, 0.00325, 0.00888, -0.00030],
     [2451810.21715, 365242.01767, -0.11575, 0.00337, 0.00078],
     [2451900.05952, 365242.74049, -0.06223, -0.00823, 0.00032],
 ]
 # fixed values: periodic terms of the seasons as (A, B, C)
-_TERMS = [
+SEASON_TERMS = [
     (485, 324.96, 1934.136), (203, 337.23, 32964.467), (199, 342.08, 20.186), (182, 27.85, 445267.112), (156, 73.14, 45036.886), (136, 171.52, 22518.443),
     (77, 222.54, 65928.934), (74, 296.72, 3034.906), (70, 243.58, 9037.513), (58, 119.81, 33718.147), (52, 297.17, 150.678), (50, 21.02, 2281.226),
     (45, 247.54, 29929.562), (44, 325.15, 31555.956), (29, 60.93, 4443.417), (18, 155.12, 67555.328), (17, 288.79, 4562.452), (16, 198.04, 62894.029),
@@ -121,12 +121,12 @@ def sign(longitude: Column) -> Column:
 
 def season_jd(year: Column, which: int) -> Column:
     """JD (TT) of an equinox or solstice: 0 March, 1 June, 2 September, 3 December."""
-    jde = F.when(year < 1000, horner(year / 1000, _EARLY[which])).otherwise(horner((year - 2000) / 1000, _LATE[which]))
+    jde = F.when(year < 1000, horner(year / 1000, SEASONS_EARLY[which])).otherwise(horner((year - 2000) / 1000, SEASONS_LATE[which]))
 
     def corrected(j: Column) -> Column:
         t = (j - 2451545.0) / 36525
         w = F.radians(35999.373 * t - 2.47)
-        total = sum((a * F.cos(F.radians(b + c * t)) for a, b, c in _TERMS[1:]), _TERMS[0][0] * F.cos(F.radians(_TERMS[0][1] + _TERMS[0][2] * t)))
+        total = sum((a * F.cos(F.radians(b + c * t)) for a, b, c in SEASON_TERMS[1:]), SEASON_TERMS[0][0] * F.cos(F.radians(SEASON_TERMS[0][1] + SEASON_TERMS[0][2] * t)))
         return j + 0.00001 * total / (1 + 0.0334 * F.cos(w) + 0.0007 * F.cos(2 * w))
 
     return cal.let(jde, corrected)

@@ -18,14 +18,6 @@ def seasons(years: DataFrame) -> DataFrame:
     return out.withColumn("rd", F.floor(F.col("jd_ut") + 0.5).cast("long") + cal.JDN_OFFSET)
 
 
-@query("i9_seasons")
-def i9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seasons of the years that orders name, put into antiquity as well as today."""
-    y = F.year("o_orderdate").cast("long")
-    years = table(spark, sf_dir, "orders").select(F.explode(F.array(y, y - 2000)).alias("year")).distinct()
-    return seasons(years)
-
-
 def _delta_t_sql(y: str) -> str:
     """The same pieces as a DuckDB expression."""
 
@@ -41,6 +33,25 @@ def _delta_t_sql(y: str) -> str:
     return out + " END"
 
 
+def _seasons_sql() -> str:
+    """year, season, jd_tt of the years of a relation `years` (year) in DuckDB."""
+    poly = lambda x, powers: " + ".join(f"({p!r})::DOUBLE * pow({x}, {k})" for k, p in enumerate(powers))
+    mean = " UNION ALL ".join(
+        f"SELECT year, '{name}' AS season, CASE WHEN year < 1000 THEN {poly('(year / 1000.0::DOUBLE)', sky.SEASONS_EARLY[k])} ELSE {poly('((year - 2000) / 1000.0::DOUBLE)', sky.SEASONS_LATE[k])} END AS j FROM years" for k, name in enumerate(sky.SEASONS)
+    )
+    terms = " + ".join(f"{a} * cos(radians({b}::DOUBLE + {c}::DOUBLE * t))" for a, b, c in sky.SEASON_TERMS)
+    return f"SELECT year, season, j + 0.00001::DOUBLE * ({terms}) / (1 + 0.0334::DOUBLE * cos(w) + 0.0007::DOUBLE * cos(2 * w)) AS jd_tt FROM (SELECT *, radians(35999.373::DOUBLE * t - 2.47::DOUBLE) AS w FROM (SELECT *, (j - 2451545.0::DOUBLE) / 36525 AS t FROM ({mean})))"
+
+
+@query("i9_seasons", f"""WITH years AS (SELECT DISTINCT year(o_orderdate) - k AS year FROM orders, (VALUES (0), (2000)) AS t(k)), s AS ({_seasons_sql()}), u AS (SELECT *, jd_tt - ({_delta_t_sql("year")}) / 86400 AS jd_ut FROM s)
+SELECT year, season, round(jd_tt, 5) AS jd_tt, round(jd_ut, 5) AS jd_ut, CAST(floor(jd_ut + 0.5) AS BIGINT) - 1721425 AS rd FROM u""")
+def i9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons of the years that orders name, put into antiquity as well as today."""
+    y = F.year("o_orderdate").cast("long")
+    years = table(spark, sf_dir, "orders").select(F.explode(F.array(y, y - 2000)).alias("year")).distinct()
+    return seasons(years).withColumns({"jd_tt": F.round("jd_tt", 5), "jd_ut": F.round("jd_ut", 5)})
+
+
 _SPREAD = "(o_orderkey % 4200 - 1800 + month(o_orderdate) / 12.0)::DOUBLE"
 
 
