@@ -119,18 +119,52 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(total, distinct, {w: k for k, (w, _) in enumerate(top)}, c, ids, np.log10(c + 0.5) - log_all, inner, mass, shape, log_tail, log_all)
 
 
+_ENCODED = "row long, doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base double, inner double, ids binary, words array<binary>, times array<int>"
+
+
 def _encode(sent):
-    """doc_id and the ids of the words of each text, two bytes each."""
+    """Of each text the ids of its words, two bytes each, what its frequent words add to both scores, and its rarer
+    words with their numbers, whose counts are joined later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        first, done = TaskContext.get().partitionId() << 33, 0
+        end = own.mass[own.shape.end]
         for batch in batches:
-            ids = [own.ids_of(tokens(t))[1].astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            n = len(batch)
+            ids, size, known, base, inner = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            rare_words, rare_times, offsets = [], [], [0]
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                words = tokens(text)
+                place, own_ids = own.ids_of(words)
+                ids.append(own_ids.astype("<u2").tobytes())
+                frequent = place >= 0
+                size[k], known[k] = len(words) + 1, frequent.sum()
+                base[k], inner[k] = own.base[place[frequent]].sum(), own.inner[place[frequent]].sum()
+                left = np.nonzero(~frequent)[0]
+                if len(left):
+                    base[k] -= len(left) * own.log_all
+                    inner[k] -= own.log_tail[own_ids[left] - own.shape.words].sum()
+                    times = Counter([words[i] for i in left.tolist()])
+                    rare_words += times
+                    rare_times += times.values()
+                offsets.append(len(rare_words))
+            base += math.log10(end + 0.5) - own.log_all
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32()))]
+            columns = [pa.array(np.arange(first + done, first + done + n)), *(batch.column(c) for c in ("doc_id", "held_out", "learn"))]
+            columns += [pa.array(size), pa.array(known + (end > 0)), pa.array(base), pa.array(inner), pa.array(ids, pa.binary()), *lists]
+            done += n
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ENCODED.split(", ")])
 
     return run
 
 
+def encoded(docs: DataFrame, sent, learn: F.Column, held: F.Column) -> DataFrame:
+    """Each row of docs (doc_id, text) encoded, once for training and scoring."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), learn.alias("learn"))
+    return cut(source.mapInArrow(_encode(sent), _ENCODED))
+
+
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's texts as one row; as several where a repeated text makes the task larger than twice the wanted size.
     All rows of a task are of one slice."""
@@ -178,67 +212,38 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [rows["slot"].iloc[0]], "part": [0], "n": [rows["n"].sum()], "w": [w.astype(np.float32)]})
 
 
-def blocks(docs: DataFrame, own: Lexicon, sent) -> DataFrame:
-    """All of docs (doc_id, text) in rows of about TASK_WORDS words (fewer where that gives a row for each slice): the
+def blocks(rows: DataFrame, own: Lexicon) -> DataFrame:
+    """All of rows (doc_id, ids) in rows of about TASK_WORDS words (fewer where that gives a row for each slice): the
     ids of the words, the sizes of the texts, and the slice."""
     parts = max(1, math.ceil(own.total / TASK_WORDS), min(SLICES, own.total // SMALLEST))
-    ids = docs.select("doc_id", "text").mapInArrow(_encode(sent), "doc_id long, ids binary")
-    dealt = ids.select("ids", F.xxhash64(F.lit(12), "doc_id", "ids").alias("h")).repartition(parts, "h").sortWithinPartitions("h", "ids")
+    dealt = rows.select("ids", F.xxhash64(F.lit(12), "doc_id", "ids").alias("h")).repartition(parts, "h").sortWithinPartitions("h", "ids")
     return cut(dealt.select("ids").mapInArrow(_block, "ids binary, sizes array<int>, slice int"))
 
 
-def fit(docs: DataFrame, own: Lexicon, sent) -> np.ndarray:
-    """Network weights, learnt from every row of docs (doc_id, text) once. The blocks of a slice are trained on from the
+def fit(rows: DataFrame, own: Lexicon) -> np.ndarray:
+    """Network weights, learnt from every row of rows (doc_id, ids) once. The blocks of a slice are trained on from the
     weights that the slice before left, and the results are averaged by words learnt from, within a task, 64 tasks at
     a time and then all; only the averaged weights, whose size is fixed, come to the driver."""
     flat = recurrent.initial(own.shape, own.mass)
-    read_all = blocks(docs, own, sent)
+    read_all = blocks(rows, own)
     schema = "slot int, part int, n long, w array<float>"
     for number in sorted(r["slice"] for r in read_all.select("slice").distinct().collect()):
         some = read_all.where(F.col("slice") == number)
-        trained = some.mapInArrow(_learn(own.shape, docs.sparkSession.sparkContext.broadcast(flat)), schema)
+        trained = some.mapInArrow(_learn(own.shape, rows.sparkSession.sparkContext.broadcast(flat)), schema)
         some_means = trained.groupBy("slot", (F.col("part") % 64).alias("_p")).applyInPandas(_average, schema)
         means = some_means.groupBy("slot").applyInPandas(_average, schema).collect()
         flat = np.concatenate([np.array(r["w"], np.float32) for r in sorted(means, key=lambda r: r["slot"])])
     return flat
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, words array<binary>, times array<int>"
-
-
-def _score(sent, flat):
+def _score(shape: recurrent.Shape, flat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weights = sent.value, flat.value
-        first, done = TaskContext.get().partitionId() << 33, 0
+        weights = flat.value
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            ids, known, base, inner = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rare_words, rare_times, offsets = [], [], [0]
-            texts = batch.column("text")
-            for k in range(n):
-                words = tokens(texts[k].as_py())
-                place, own_ids = own.ids_of(words)
-                ids.append(own_ids.astype(np.int32))
-                frequent = place >= 0
-                known[k] = frequent.sum()
-                base[k], inner[k] = own.base[place[frequent]].sum(), own.inner[place[frequent]].sum()
-                left = np.nonzero(~frequent)[0]
-                if len(left):
-                    base[k] -= len(left) * own.log_all
-                    inner[k] -= own.log_tail[own_ids[left] - own.shape.words].sum()
-                    times = Counter([words[i] for i in left.tolist()])
-                    rare_words += times
-                    rare_times += times.values()
-                offsets.append(len(rare_words))
-            end = own.mass[own.shape.end]
-            base += math.log10(end + 0.5) - own.log_all
-            model = recurrent.score(own.shape, weights, ids) / math.log(10) + inner
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32()))]
-            columns = [pa.array(np.arange(first + done, first + done + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.array([len(x) + 1 for x in ids])), pa.array(known + (end > 0)), pa.array(base), pa.array(model), *lists]
-            done += n
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "words", "times"])
+            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column("ids").to_pylist()]
+            model = recurrent.score(shape, weights, ids) / math.log(10) + np.asarray(batch.column("inner"))
+            kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model)], names=[*kept, "model"])
 
     return run
 
@@ -254,17 +259,15 @@ def likelihoods(docs: DataFrame, learn_from: F.Column, held: F.Column) -> DataFr
     ignored.
     """
     context = docs.sparkSession.sparkContext
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), learn_from.alias("learn"))
-    training = source.where("learn")
-    counts = cut(word_counts(training))
+    counts = cut(word_counts(docs.where(learn_from)))
     own = lexicon(counts)
-    sent = context.broadcast(own)
-    flat = context.broadcast(fit(training.select("doc_id", "text"), own, sent))
-    scored = cut(source.drop("learn").mapInArrow(_score(sent, flat), _SCORED))
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rows = encoded(docs, context.broadcast(own), learn_from, held)
+    flat = context.broadcast(fit(rows.where("learn").select("doc_id", "ids"), own))
+    scored = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "ids").mapInArrow(_score(own.shape, flat), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
+    rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("seen"))
-    out = scored.drop("words", "times").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(own.total).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
 

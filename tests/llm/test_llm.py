@@ -316,7 +316,7 @@ def test_op6_network_learns_from_every_training_document(spark):
     training = docs.where("doc_id < 1000")
     own = lm_scoring.lexicon(lm_scoring.word_counts(training))
     sent = spark.sparkContext.broadcast(own)
-    dealt = [(np.frombuffer(r["ids"], "<u2").tolist(), r["sizes"]) for r in lm_scoring.blocks(training, own, sent).collect()]
+    dealt = [(np.frombuffer(r["ids"], "<u2").tolist(), r["sizes"]) for r in lm_scoring.blocks(lm_scoring.encoded(training, sent, F.lit(True), F.lit(False)), own).collect()]
     assert sum(len(sizes) for _, sizes in dealt) == 700 and sum(len(x) for x, _ in dealt) == own.total - 700
     got = by_id(lm_scoring.likelihoods(docs, F.col("doc_id") < 1000, F.col("doc_id") >= 1000))
     gain = {k: (got[k]["score"] - got[k]["base_score"]) / 1001 for k in (1000, 1001)}
