@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, cuckoo_dedup, embedding_dedup, language_id, lm_scoring, mixing, packing, simhash_dedup, source_divergence, suffix_dedup, token_counts, toxicity
+from . import conversation_repair, cuckoo_dedup, embedding_dedup, language_id, lm_scoring, mixing, packing, quality, simhash_dedup, source_divergence, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_quality": quality.op12_quality,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op8_exact_dedup": cuckoo_dedup.ORACLE,
     "op11_source_divergence": source_divergence.ORACLE,
+    "op12_quality": quality.op12_quality,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
