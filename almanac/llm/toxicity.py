@@ -2,8 +2,8 @@
 
 The kernel of two words sums, over all subsequences of three characters, the product of their weights in each: every
 occurrence weighs DECAY to the power of the stretch it covers, so inserted or dropped characters lower a match but
-don't lose it. Labels belong to whole texts, so training treats a text's sentences as bags of words: in a toxic text
-at least one word must score above the margin, in a clean text none may.
+don't lose it. Labels belong to whole texts, so training treats a text's sentences as bags of words: the words that tell
+toxic texts from clean ones beyond chance must score above the margin, and those of clean texts may not.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,10 @@ from .language_id import training_sample
 
 #: Bound of the training sample (texts of each label), landmarks, and negatives kept for a round of training.
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 1500, 256, 20_000, 4
+#: One text in FOLD of the sample is kept back to set the scores by; words of a text that count.
+FOLD, VOTES = 5, 3
+#: Where the cut lies between clean and toxic texts of the fold, if they are apart.
+NEAR = 0.25
 #: How much more than others the negatives count that came near the margin; how many times more often than in clean
 #: texts a word must occur in toxic ones to tell them.
 HARD, TIMES = 10.0, 8
@@ -87,13 +91,12 @@ def features(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclasses.dataclass
 class Model:
-    """The machine folded into one weight for each subsequence: f(w) = weights . features(w) + bias. slope and shift
-    turn the largest f of a text into a score."""
+    """The machine folded into one weight for each subsequence: f(w) = weights . features(w) + bias. votes turn the
+    largest f of a text and the sum of its VOTES largest, those above zero, into log odds; their last is the constant."""
 
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    votes: np.ndarray = dataclasses.field(default_factory=lambda: np.array([6.0, 0.0, 0.0]))
 
     @property
     def floor(self) -> float:
@@ -122,8 +125,22 @@ class Model:
                 np.maximum.at(out, np.array(of[lo : lo + 20_000])[reach], f)
         return out
 
+    def evidence(self, f: Iterable[float]) -> list[float]:
+        """The VOTES largest of the f of a text's different words, the floor where there are fewer."""
+        return (sorted(f, reverse=True)[:VOTES] + [self.floor] * VOTES)[:VOTES]
+
     def score(self, f: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * f + self.shift)))
+        """Scores of texts by their evidence, or by the largest f alone."""
+        f = np.asarray(f, float)
+        if f.ndim == 1:
+            f = np.hstack([f[:, None], np.full((len(f), VOTES - 1), self.floor)])
+        return 1 / (1 + np.exp(-np.clip(_tally(f) @ self.votes[:-1] + self.votes[-1], -500, 500)))
+
+
+def _tally(f: np.ndarray) -> np.ndarray:
+    """Of the evidence of texts the largest f and the sum, as far as they are above zero."""
+    f = np.maximum(f, 0)
+    return np.stack([f[:, 0], f.sum(axis=1)], axis=1)
 
 
 def _dense(items: list[str], marks: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -169,26 +186,35 @@ def _log_tail(n: int, total: int, share: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model | None:
-    """A model from texts of both labels; None if one label has none."""
+def proven(p: Counter, q: Counter, toxic: int, clean: int) -> set[str]:
+    """Words that chance would not put into so many of the toxic texts and so few of the clean ones, however many words
+    are tried. p and q: how many texts of either sort hold a word. Clean texts with a word count against it, but some of
+    them (a wrong label, a quotation) don't clear it; a word of a single text proves nothing."""
+    share, tried = toxic / (toxic + clean), sum(n > 1 for n in p.values())
+    often = [w for w, n in p.items() if n > 1 and n * clean >= TIMES * q[w] * toxic]
+    return {w for w in often if _log_tail(p[w], p[w] + q[w], share) < -np.log(20 * tried)}
+
+
+def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rarity: float = 1.0) -> Model | None:
+    """A model from texts of both labels; None if one label has none. rarity: how many clean texts there are for a toxic
+    one where the model is used.
+
+    Only proven words are positives, so a toxic text that has none stays unexplained and teaches nothing: its words are
+    as likely to be the harmless ones. Scores are set on a fold of the texts that nothing else has seen.
+    """
+    whole = len(toxic) >= FOLD and len(clean) >= FOLD
+    back = lambda texts: ([t for k, t in enumerate(texts) if not whole or k % FOLD < FOLD - 1], [t for k, t in enumerate(texts) if not whole or k % FOLD == FOLD - 1])
+    (toxic, high), (clean, low) = back(toxic), back(clean)
     clear = lambda t: {c for w in words(t) if len(c := _NOISE.sub("", w)) > 2 and len(c) <= WINDOW}
     bags, rest = [clear(t) for t in toxic], [clear(t) for t in clean]
     p, q = Counter(w for b in bags for w in b), Counter(w for b in rest for w in b)
     if not p or not q:
         return None
     odds = {w: np.log((n + 0.5) / (len(bags) + 1)) - np.log((q[w] + 0.5) / (len(rest) + 1)) for w, n in p.items()}
-    # words that chance would not put into so many toxic texts and so few clean ones, however many words are tried;
-    # besides, of each toxic text without such a word, the one that tells most. Clean texts with a word count against
-    # it, but some of them (a wrong label, a quotation) don't clear it
-    share = len(bags) / (len(bags) + len(rest))
-    tried = sum(n > 1 for n in p.values())
-    telling = lambda w: p[w] * len(rest) >= TIMES * q[w] * len(bags)
-    tells = {w: odds[w] * np.log1p(n) for w, n in p.items() if n > 1 and telling(w)}
-    positive = {w for w in tells if _log_tail(p[w], p[w] + q[w], share) < -np.log(20 * tried)}
-    positive |= {max(b & tells.keys(), key=lambda w: (tells[w], w)) for b in bags if b & tells.keys() and not b & positive and len(bags) > 200}
-    positive = positive or {max(p, key=lambda w: (odds[w], w))}
+    # of few texts nothing may be proven: then the word that tells most
+    positive = proven(p, q, len(bags), len(rest)) or {max(p, key=lambda w: (odds[w] * np.log1p(p[w]), w))}
     common = sorted(q, key=lambda w: (-q[w], w))
-    best = sorted(positive, key=lambda w: (-tells.get(w, 0), w))[: landmarks * 3 // 4]
+    best = sorted(positive, key=lambda w: (-p[w], w))[: landmarks * 3 // 4]
     marked = best + common[: max(8, landmarks - len(best))]
     who, what, weight = features(marked)
     used = np.unique(what)
@@ -201,30 +227,24 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
     spread = sorted(q, key=lambda w: hash_of(w))
     negative = set(spread[:NEGATIVES]) | set(common[:2000])
     everything, hard_ones = list(q), set(common[:2000])
+    # a word weighs by the toxic texts that hold it, a variant of it a third as much
+    mass = {v: p[w] / 3 for w in sorted(positive) for v in _variants(w)} | {w: float(p[w]) for w in positive}
+    pos = sorted(mass)
+    gain = np.array([mass[v] for v in pos])
     model = None
     for _ in range(ROUNDS):
-        # a word weighs by the toxic texts that hold it, a variant of it a third as much
-        mass = {v: p[w] / 3 for w in sorted(positive) for v in _variants(w)} | {w: float(p[w]) for w in positive}
-        pos = sorted(mass)
         neg = sorted(negative - set(pos))
         x = _dense(pos + neg, marks, row) @ root
         y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
         # negatives that came close to the margin weigh more
-        gain = np.array([mass[v] for v in pos])
         loss = np.array([HARD if v in hard_ones else 1.0 for v in neg])
         w, bias = _machine(x, y, np.concatenate([500 * gain / gain.sum(), 500 * loss / loss.sum()]))
         model = Model((marks @ (root @ w)).astype(np.float32)[row], bias)
         hard = np.array(everything)[np.argsort(-model.decide(everything), kind="stable")[:NEGATIVES]].tolist()
         hard_ones |= set(hard[: NEGATIVES // 20])
         negative |= set(hard[: NEGATIVES // 4])
-        for b in bags:
-            own = sorted(b)
-            f = model.decide(own)
-            if len(own) and f.max() > 0 and telling(own[f.argmax()]):
-                positive.add(own[f.argmax()])
-    top = lambda texts: np.array([model.decide(sorted(words(t))).max(initial=model.floor) for t in texts])
-    high, low = top(toxic), top(clean)
-    model.slope, model.shift = _calibrate(high, low)
+    seen = lambda texts: np.array([model.evidence(model.decide(sorted(words(t)))) for t in texts]).reshape(-1, VOTES)
+    model.votes = _calibrate(_tally(seen(high)), _tally(seen(low)), rarity)
     return model
 
 
@@ -233,13 +253,34 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def _calibrate(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
-    """Score 0.5 at the cut that gets most texts of the sample right; a fixed slope keeps the order."""
-    cuts = np.unique(np.concatenate([high, low]))
-    middle = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-    wrong = np.array([(high < c).mean() + 2 * (low >= c).mean() for c in middle])
-    best = middle[wrong <= wrong.min() + 1e-9]
-    return 6.0, float(-6.0 * best[len(best) // 2])
+def _calibrate(high: np.ndarray, low: np.ndarray, rarity: float) -> np.ndarray:
+    """Logistic regression on the evidence of texts, where `rarity` clean ones come on a toxic one: a word that now and
+    then stands in clean texts needs others beside it. More evidence never lowers a score."""
+    x = np.vstack([high, low])
+    y = np.append(np.ones(len(high)), np.zeros(len(low)))
+    weight = np.where(y > 0, 1 / len(high), rarity / len(low)) / (1 + rarity) * len(y)
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.hstack([x[:, used], np.ones((len(x), 1))])
+        w = np.zeros(z.shape[1])
+        ridge = np.append(np.full(len(used), 0.1), 1e-4)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all() or len(used) == 1:
+            break
+        used = [u for u, v in zip(used, w[:-1], strict=True) if v >= 0] or [0]
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = np.maximum(w[:-1], 0), w[-1]
+    below, above = (x[y == 0] @ out[:-1]).max(), (x[y > 0] @ out[:-1]).min()
+    if below < above:
+        # nothing in the fold contradicts any cut between them; it goes nearer to the clean texts, as insults that are
+        # seen for the first time have less evidence than those of the fold
+        out[-1] = -(below + NEAR * (above - below))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, per_label: int = SAMPLE) -> Model | None:
@@ -248,14 +289,16 @@ def train(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, per_
     Where labels of one doc_id differ, 1 counts. Labels without a doc_id mark no document.
     """
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null and doc_id is not null")
-    rows = training_sample(docs, "toxic", per_label, F.lit(True) if keep is None else keep, labels=marked)
-    return fit([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]])
+    allowed = F.lit(True) if keep is None else keep
+    many = {r["toxic"]: r["n"] for r in marked.where(allowed).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = training_sample(docs, "toxic", per_label, allowed, labels=marked)
+    return fit([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]], rarity=many.get(0, 0) / max(1, many.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with toxicity (0 to 1) and toxic_pred (1 if at least 0.5); columns of these names are replaced.
 
-    A text scores by its most toxic word. Null and empty texts score as a text of harmless words; without a model all
+    A text scores by its most toxic words. Null and empty texts score as a text of harmless words; without a model all
     texts score 0. Texts are read whole, and equal texts get equal scores.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -264,15 +307,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, known = sent.value, {}
         for texts in batches:
-            out = np.zeros(len(texts))
+            out = np.full((len(texts), VOTES), own.floor if own else 0.0)
             for lo in range(0, len(texts) if own else 0, 500):
                 bags = [words(t) for t in texts.iloc[lo : lo + 500]]
                 if len(known) > MEMORY:
                     known.clear()
                 new = list(set().union(*bags) - known.keys())
                 known.update(zip(new, own.decide(new).tolist(), strict=True))
-                out[lo : lo + len(bags)] = [max(map(known.__getitem__, b), default=own.floor) for b in bags]
-            yield pd.Series(own.score(out) if own else out)
+                out[lo : lo + len(bags)] = [own.evidence(map(known.__getitem__, b)) for b in bags]
+            yield pd.Series(own.score(out) if own else np.zeros(len(texts)))
 
     return docs.withColumn("toxicity", rate("text")).withColumn("toxic_pred", (F.col("toxicity") >= 0.5).cast("int"))
 

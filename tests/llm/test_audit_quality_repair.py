@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.llm import conversation_repair as cr
-from almanac.llm import quality, source_divergence
+from almanac.llm import quality, source_divergence, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n long, term string, p long"
 
@@ -275,3 +275,57 @@ def test_least_paths_by_ranks_equal_all_paths():
 
             assert ("".join(" DIKR"[k] for k in letters[c]), last[c]) == best(0, int(entry[c]), 0)[1:]
             assert math.isclose(cr.costs(rows, end)[first[c] + c, entry[c]], best(0, int(entry[c]), 0)[0]) and len(nodes[c]) == len(letters[c])
+
+
+# ---- toxicity
+
+
+def labelled(folder):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    marks = pq.read_table(f"{folder}/labels.parquet").to_pandas().groupby("doc_id").toxic.max()
+    return [(t or "", int(marks[d]), zlib.crc32(str(d).encode()) % 5 == 0) for d, t in zip(texts.doc_id, texts.text, strict=True) if d in marks.index]
+
+
+def test_toxicity_precision_and_recall_on_held_out_rows():
+    rows = labelled("/root/testdata/sf0.1")
+    pick = lambda y: list(dict.fromkeys(t for t, a, held in rows if a == y and not held))
+    toxic, clean = pick(1), pick(0)
+    model = toxicity.fit(toxic[: toxicity.SAMPLE], clean[: toxicity.SAMPLE], rarity=len(clean) / len(toxic))
+    test = [(t, y) for t, y, held in rows if held]
+    marked = model.score(np.array([model.evidence(model.decide(sorted(toxicity.words(t)))) for t, _ in test])) >= 0.5
+    hits, found = sum(m and y for m, (_, y) in zip(marked, test, strict=True)), int(marked.sum())
+    assert hits >= 0.8 * sum(y for _, y in test) and hits >= 0.85 * found
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(20))
+    model = toxicity.fit([f"{text()} blockhead {text()}" for _ in range(60)], [text() for _ in range(60)], rarity=3.0)
+
+    def plain(word):
+        word = re.sub(r"[\W_]+", "", word)
+        best = -1.0
+        for lo in range(0, max(1, len(word) - toxicity.WINDOW // 2), toxicity.WINDOW // 2):
+            part, sums = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37 for c in word[lo : lo + toxicity.WINDOW]], Counter()
+            for i, j, k in itertools.combinations(range(len(part)), 3):
+                if k - i < toxicity.REACH:
+                    sums[(part[i] * 64 + part[j]) * 64 + part[k]] += toxicity.DECAY ** (k - i + 1)
+            if sums:
+                best = max(best, sum(w * float(model.weights[c]) for c, w in sums.items()) / math.sqrt(sum(w * w for w in sums.values())) + model.bias)
+        return best
+
+    texts = ["what a blockhead", "b l o c k h e a d and a block-head", "nothing here", "", None, text(), "x" * 60 + "blockhead" * 4, "blok head é"]
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        f = [max(0.0, x) for x in sorted(map(plain, toxicity.words(t)), reverse=True)[:3]]
+        z = model.votes[0] * max(f, default=0.0) + model.votes[1] * sum(f) + model.votes[2]
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-6
+    assert got[0] > 0.5 > got[2] and (model.votes[:2] >= 0).all()
+
+
+def test_only_proven_words_are_learnt():
+    others = {f"w{k}": 3 for k in range(500)}  # the more words are tried, the more a word must show
+    p, q = Counter({"insult": 30, "chance": 3, "quoted": 30, "common": 60, "once": 1} | others), Counter({"quoted": 2, "common": 500, "chance": 1} | {w: 27 for w in others})
+    assert toxicity.proven(p, q, 100, 900) == {"insult", "quoted"}
