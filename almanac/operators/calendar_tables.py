@@ -153,31 +153,42 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_all(order_days(spark, sf_dir))
 
 
-_K14_SYSTEMS = ["gregorian", "julian", "islamic", "egyptian", "coptic", "ethiopic", "unknown", "gregorian"]
+def _persian_first_sql(y: str) -> str:
+    """Day number of the first day of a Persian year from 1 on, less one."""
+    cycle = f"CAST(floor(({y} - 474) / 2820.0) AS BIGINT)"
+    within = f"(474 + ({y} - 474) - 2820 * {cycle})"
+    return f"(226895 + 1029983 * {cycle} + 365 * ({within} - 1) + (682 * {within} - 110) // 2816)"
 
 
-@query("k14_any_system_to_rd", """
-SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN rd WHEN 1 THEN rd + 13 WHEN 2 THEN 227014 + (y - 1) * 354 + (3 + 11 * y) // 30 + 29 * (m - 1) + m // 2 + d WHEN 3 THEN -272788 + 365 * (y - 1) + 30 * (m - 1) + d
-  WHEN 4 THEN 103604 + 365 * (y - 1) + y // 4 + 30 * (m - 1) + d WHEN 5 THEN 2795 + 365 * (y - 1) + y // 4 + 30 * (m - 1) + d END AS rd
-FROM (SELECT o_orderkey, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) + 1 AS rd, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)""")
+_K14_SYSTEMS = ["gregorian", "julian", "islamic", "egyptian", "coptic", "ethiopic", "unknown", "gregorian", "hebrew", "persian"]
+
+
+@query("k14_any_system_to_rd", "WITH days AS (SELECT 0 AS rd)" + hebrew_years_sql(1990, 2010) + f""", hx AS ({_HEBREW_MONTHS}),
+o AS (SELECT o_orderkey, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) + 1 AS rd, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN o.rd WHEN 1 THEN o.rd + 13 WHEN 2 THEN 227014 + (o.y - 1) * 354 + (3 + 11 * o.y) // 30 + 29 * (m - 1) + m // 2 + d WHEN 3 THEN -272788 + 365 * (o.y - 1) + 30 * (m - 1) + d
+  WHEN 4 THEN 103604 + 365 * (o.y - 1) + o.y // 4 + 30 * (m - 1) + d WHEN 5 THEN 2795 + 365 * (o.y - 1) + o.y // 4 + 30 * (m - 1) + d WHEN 8 THEN hx.start + d - 1
+  WHEN 9 THEN {_persian_first_sql("o.y")} + CASE WHEN m <= 7 THEN 31 * (m - 1) ELSE 30 * (m - 1) + 6 END + d END AS rd
+FROM o LEFT JOIN hx ON hx.y = o.y AND hx.month = m AND len > 0""")
 def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("o_orderdate")
-    system = F.element_at(F.array(*map(F.lit, _K14_SYSTEMS)), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    day = F.when(F.col("o_orderkey") % 8 == 7, 0).otherwise(F.dayofmonth(d))
+    """Dates of each system, of one that is not known, and with a day that there isn't."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % len(_K14_SYSTEMS)
+    system = F.element_at(F.array(*map(F.lit, _K14_SYSTEMS)), (k + 1).cast("int"))
+    day = F.when(k == 7, 0).otherwise(F.dayofmonth(d))
     return table(spark, sf_dir, "orders").select("o_orderkey", cal.to_rd(system, F.year(d), F.month(d), day).alias("rd"))
 
 
-@query("k15_year_spans", "WITH days AS (SELECT 0 AS rd)" + hebrew_years_sql(1, 1502) + """, ys AS (SELECT DISTINCT 1 + o_orderkey % 1500 AS y FROM orders)
+@query("k15_year_spans", "WITH days AS (SELECT 0 AS rd)" + hebrew_years_sql(1, 1502) + f""", ys AS (SELECT DISTINCT 1 + o_orderkey % 1500 AS y FROM orders)
 SELECT 'islamic' AS system, y, 227015 + (y - 1) * 354 + (3 + 11 * y) // 30 AS first, 227014 + y * 354 + (14 + 11 * y) // 30 AS last, 354 + (14 + 11 * y) // 30 - (3 + 11 * y) // 30 AS days FROM ys
 UNION ALL SELECT 'egyptian', y, -272787 + 365 * (y - 1), -272788 + 365 * y, 365 FROM ys
 UNION ALL SELECT 'coptic', y, 103605 + 365 * (y - 1) + y // 4, 103604 + 365 * y + (y + 1) // 4, 365 + (y + 1) // 4 - y // 4 FROM ys
 UNION ALL SELECT 'ethiopic', y, 2796 + 365 * (y - 1) + y // 4, 2795 + 365 * y + (y + 1) // 4, 365 + (y + 1) // 4 - y // 4 FROM ys
 UNION ALL SELECT 'julian', y, -1 + 365 * (y - 1) + (y - 1) // 4, -2 + 365 * y + y // 4, 365 + y // 4 - (y - 1) // 4 FROM ys
+UNION ALL SELECT 'gregorian', y, first, last, last - first + 1 FROM (SELECT y, 1 + 365 * (y - 1) + (y - 1) // 4 - (y - 1) // 100 + (y - 1) // 400 AS first, 365 * y + y // 4 - y // 100 + y // 400 AS last FROM ys)
+UNION ALL SELECT 'persian', y, first, last, last - first + 1 FROM (SELECT y, {_persian_first_sql("y")} + 1 AS first, {_persian_first_sql("(y + 1)")} AS last FROM ys)
 UNION ALL SELECT 'hebrew', y, a.nisan, b.nisan - 1, b.nisan - a.nisan FROM ys JOIN hn a USING (y) JOIN hn b ON b.y = ys.y + 1""")
 def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "orders").select((1 + F.col("o_orderkey") % 1500).alias("y")).distinct()
-    systems = ["islamic", "egyptian", "coptic", "ethiopic", "julian", "hebrew"]
-    spans = F.array(*[F.struct(F.lit(s).alias("system"), cal.year_span(s, F.col("y")).alias("s")) for s in systems])
+    spans = F.array(*[F.struct(F.lit(s).alias("system"), cal.year_span(s, F.col("y")).alias("s")) for s in cal.SYSTEMS])
     return years.select("y", F.explode(spans).alias("x")).select("x.system", "y", "x.s.first", "x.s.last", "x.s.days")
 
 

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from ..functions import calendars as cal
 from ..plans import views
 from ..plans.registry import query, table
-from .annotations import dates, entities, place, resolve
+from .annotations import annotate, resolution, year_of
+from .calendar_tables import hebrew_years_sql
 from .catalogues import FIRST_YEAR, LAST_YEAR, comets
 from .claims import CAP
 from .joins import range_join
@@ -34,47 +35,52 @@ ECLIPSE_YEARS, PAIR_YEARS = 1200, 2000
 TOP = 10
 
 
-def criteria(docs: DataFrame) -> DataFrame:
-    """doc_id, eclipse (solar, lunar, either or null), total, bodies, sign, times, phase, comet, dark_days, season: what
-    each text of docs (doc_id, text) says of the sky. Texts that say nothing have a row of nulls."""
-    first = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when, F.col("start")))
-    kind, event = F.col("kind"), F.col("event")
-    bodies = F.array_sort(F.collect_set(F.when((kind == "planet") & F.col("body").isNotNull(), F.col("body"))))
-    found = entities(docs).groupBy("doc_id").agg(
-        F.bool_or(F.coalesce(event == "solar_eclipse", F.lit(False))).alias("solar"),
-        F.bool_or(F.coalesce(event == "lunar_eclipse", F.lit(False))).alias("lunar"),
-        bodies.alias("bodies"),
-        first("name", kind == "zodiac_sign").alias("sign"),
-        first("phase", (kind == "moon_phase") & F.col("phase").isNotNull()).alias("phase"),
-        F.bool_or(kind == "comet").alias("comet"),
-    )
+_CRITERIA = ["eclipse", "total", "bodies", "sign", "times", "phase", "comet", "dark_days", "season"]
+
+
+def searches(docs: DataFrame, cap: int = SPAN) -> DataFrame:
+    """doc_id with the columns of criteria() and spans(), a row for each row of docs, from one pass over its texts."""
     c = F.col("text")
-    read = docs.select("doc_id", claims_totality(c).alias("says_total"), repetitions(c).alias("says_times"), darkness_days(c).alias("dark_days"), season_word(c).alias("season"))
-    both = read.join(found, "doc_id", "left")
-    met = F.size("bodies") >= 2
+    given = [F.col(n).cast("long") if n in docs.columns else F.lit(None).cast("long") for n in ("given_first", "given_last")]
+    read = docs.select("doc_id", "text", claims_totality(c).alias("says_total"), repetitions(c).alias("says_times"), darkness_days(c).alias("dark_days"), season_word(c).alias("season"), *(g.alias(f"given_{k}") for k, g in enumerate(given)))
+    rows = annotate(read, "dates", "entities", keep=read.columns[2:])
+    any_ = lambda test: F.exists("entities", lambda e: F.coalesce(test(e), F.lit(False)))
+    first = lambda field, test: F.get(F.filter("entities", lambda e: F.coalesce(test(e), F.lit(False))), F.lit(0))[field]
+    solar, lunar = (any_(lambda e, k=k: e["event"] == f"{k}_eclipse") for k in ("solar", "lunar"))
+    bodies = F.array_sort(F.array_distinct(F.transform(F.filter("entities", lambda e: (e["kind"] == "planet") & e["body"].isNotNull()), lambda e: e["body"])))
+    found = F.transform("dates", lambda d: F.struct(*(v.alias(k) for k, v in resolution(d["kind"], d["groups"]).items())))
+    years = F.filter(F.transform(F.filter(found, lambda d: d["resolvable"]), lambda d: year_of(d["calendar"], d["year"]).cast("long")), lambda y: y.between(FIRST_YEAR, LAST_YEAR))
+    rows = rows.withColumns({
+        "solar": solar, "lunar": lunar, "met": bodies, "sign": first("name", lambda e: e["kind"] == "zodiac_sign"), "phase": first("phase", lambda e: (e["kind"] == "moon_phase") & e["phase"].isNotNull()),
+        "comet": any_(lambda e: e["kind"] == "comet"), "years": years,
+    })
     eclipse = F.when(F.col("solar") & F.col("lunar"), "either").when(F.col("solar"), "solar").when(F.col("lunar"), "lunar")
-    return both.select(
-        "doc_id", eclipse.alias("eclipse"), F.when(eclipse.isNotNull(), F.col("says_total")).alias("total"), F.when(met, F.col("bodies")).alias("bodies"), F.when(met, F.col("sign")).alias("sign"),
-        F.when(met, F.col("says_times")).alias("times"), "phase", F.coalesce("comet", F.lit(False)).alias("comet"), "dark_days", "season",
+    several, half = F.size("met") >= 2, min(cap, 2 * AROUND) // 2
+    centre = F.when(F.size("years") > 0, F.floor(F.aggregate("years", F.lit(0).cast("long"), lambda s, y: s + y) / F.size("years")).cast("long"))
+    asked = F.col("given_0").isNotNull() & F.col("given_1").isNotNull()
+    rows = rows.withColumns({
+        "low": F.when(asked, F.least("given_0", "given_1")).otherwise(F.coalesce(centre - half, F.lit(ERA[0]))).cast("long"),
+        "high": F.when(asked, F.greatest("given_0", "given_1")).otherwise(F.coalesce(centre + half, F.lit(ERA[1]))).cast("long"),
+    })
+    window = covered(F.col("low"), F.col("high"), F.lit(cap))
+    return rows.select(
+        "doc_id", eclipse.alias("eclipse"), F.when(eclipse.isNotNull(), F.col("says_total")).alias("total"), F.when(several, F.col("met")).alias("bodies"), F.when(several, F.col("sign")).alias("sign"),
+        F.when(several, F.col("says_times")).alias("times"), "phase", "comet", "dark_days", "season",
+        F.greatest(window["first"], F.lit(FIRST_YEAR)).alias("first"), F.least(window["last"], F.lit(LAST_YEAR)).alias("last"),
     )
 
 
+def criteria(docs: DataFrame) -> DataFrame:
+    """doc_id, eclipse (solar, lunar, either or null), total, bodies, sign, times, phase, comet, dark_days, season: what
+    each text of docs (doc_id, text) says of the sky. Texts that say nothing have a row of nulls."""
+    return searches(docs).select("doc_id", *_CRITERIA)
+
+
 def spans(docs: DataFrame, cap: int = SPAN) -> DataFrame:
     """doc_id, first, last: the years to search for each text of docs (doc_id, text, and optionally given_first and
     given_last): the given ones, else those around the mean of the years that the text names, else the default era; at
     most cap years about their middle, and within those that the series hold for."""
-    placed = place(resolve(dates(docs))).where("resolvable")
-    year = F.when(F.col("calendar").isin("julian", "olympiad"), F.col("year")).otherwise(cal.to_gregorian(F.col("first_rd"))["year"])
-    named = placed.select("doc_id", year.alias("year")).where(F.col("year").between(FIRST_YEAR, LAST_YEAR)).groupBy("doc_id").agg(F.floor(F.sum("year") / F.count("*")).cast("long").alias("centre"))
-    given = [F.col(c) if c in docs.columns else F.lit(None).cast("long") for c in ("given_first", "given_last")]
-    rows = docs.select("doc_id", *[g.alias(f"_{k}") for k, g in enumerate(given)]).join(named, "doc_id", "left")
-    half = min(cap, 2 * AROUND) // 2
-    asked = F.col("_0").isNotNull() & F.col("_1").isNotNull()
-    low = F.when(asked, F.least("_0", "_1")).otherwise(F.coalesce(F.col("centre") - half, F.lit(ERA[0])))
-    high = F.when(asked, F.greatest("_0", "_1")).otherwise(F.coalesce(F.col("centre") + half, F.lit(ERA[1])))
-    rows = rows.select("doc_id", low.cast("long").alias("low"), high.cast("long").alias("high"))
-    window = covered(F.col("low"), F.col("high"), F.lit(cap))
-    return rows.select("doc_id", F.greatest(window["first"], F.lit(FIRST_YEAR)).alias("first"), F.least(window["last"], F.lit(LAST_YEAR)).alias("last"))
+    return searches(docs, cap).select("doc_id", "first", "last")
 
 
 def covered(first: Column, last: Column, width: Column) -> Column:
@@ -121,28 +127,48 @@ def sky_days(spark: SparkSession, first: int, last: int) -> DataFrame:
     return out.select("day_id", "kind", "year", "month", "day", "is_total", "phase", season.alias("season"), F.col("comet_gap").cast("int").alias("comet_gap"))
 
 
+_NEAR = "struct<off:bigint,at:bigint,eclipse_id:bigint,whole:boolean>"
 _ASKED = ["eclipse", "total", "phase", "comet", "season", "dark_days", "bodies", "first", "last"]
 
 
+def near_eclipses(days: DataFrame) -> DataFrame:
+    """day_id, near_solar, near_lunar (days off, is_total) of the days of comets: the nearest eclipse of either body, if
+    there is one that can be the same occasion. Ties go to the earlier one."""
+    rd = cal.from_gregorian(F.col("year").cast("long"), F.col("month").cast("long"), F.col("day").cast("long"))
+    days = days.withColumn("rd", rd)
+    dark = days.where("kind <> 'comet'").select(F.col("kind").alias("body"), F.col("rd").alias("at"), F.col("is_total").alias("whole"), F.col("day_id").alias("eclipse_id"))
+    pairs = range_join(days.where("kind = 'comet'").select("day_id", "rd"), dark, "rd", "at", FAR)
+    nearest = F.struct(F.abs(F.col("rd") - F.col("at")).alias("off"), F.col("at"), F.col("eclipse_id"), F.col("whole"))
+    return pairs.groupBy("day_id").agg(*(F.min(F.when(F.col("body") == k, nearest)).alias(f"near_{k}") for k in ("solar", "lunar")))
+
+
 def candidates(asked: DataFrame, days: DataFrame, top: int = TOP) -> DataFrame:
     """The best days of each text: doc_id, place, day_id, kind, year, month, day, fit, matched, unmatched, unsearchable,
     siblings, weak and confidence.
 
     asked: doc_id with the columns of criteria() and spans(). Days are the eclipses of the wanted kind in the span; a
-    comet's days only where the text tells of no eclipse. fit is the weight of the matched criteria, each times its
-    strength, over that of all that can be searched. Ties go to the earlier day.
+    comet's days only where there are none, or the text asks for none. An eclipse matches a comet's day by the credit
+    of the nearest one. fit is the weight of the matched criteria, each times its strength, over that of all that can be
+    searched. Ties go to the earlier day.
     """
     keyed = asked.withColumn("search", F.xxhash64(*_ASKED))
     searches = keyed.where("eclipse is not null or comet").dropDuplicates(["search"]).select("search", *_ASKED)
-    century = lambda c: F.floor(F.col(c) / 100)
-    wide = searches.withColumn("_century", F.explode(F.sequence(century("first"), century("last"))))
+    decade = lambda c: F.floor(F.col(c) / 10)
+    wide = searches.withColumn("_decade", F.explode(F.sequence(decade("first"), decade("last"))))
     same_day = Window.partitionBy("year", "month", "day")
-    all_days = days.withColumn("siblings", F.count("*").over(same_day) - 1).withColumn("_in", century("year")).withColumnsRenamed({"phase": "moon", "season": "time_of_year"})
-    wanted = F.when(F.col("eclipse").isNotNull(), (F.col("kind") != "comet") & F.col("eclipse").isin("either", F.col("kind"))).otherwise(F.col("kind") == "comet")
-    pairs = wide.join(all_days, (F.col("_century") == F.col("_in")) & F.col("year").between(F.col("first"), F.col("last")) & wanted)
+    all_days = days.withColumn("siblings", F.count("*").over(same_day) - 1).withColumn("_in", decade("year")).withColumnsRenamed({"phase": "moon", "season": "time_of_year"})
+    meet = lambda left, right, on: left.join(right, (F.col("_decade") == F.col("_in")) & F.col("year").between(F.col("first"), F.col("last")) & on)
+    of_eclipses = meet(wide.where("eclipse is not null"), all_days.where("kind <> 'comet'"), F.col("eclipse").isin("either", F.col("kind")))
+    of_eclipses = of_eclipses.withColumns({f"near_{k}": F.lit(None).cast(_NEAR) for k in ("solar", "lunar")})
+    met = of_eclipses.select(F.col("search").alias("has")).distinct()
+    of_comets = meet(wide.where("comet").join(met, F.col("search") == F.col("has"), "left_anti"), all_days.where("kind = 'comet'").join(near_eclipses(days), "day_id", "left"), F.lit(True))
+    pairs = of_eclipses.unionByName(of_comets)
+    closest = F.when(F.col("kind") != "comet", F.struct(F.lit(0).cast("long").alias("off"), F.col("is_total").alias("whole"))).otherwise(
+        F.struct(*(F.when(F.col("eclipse") == "solar", F.col(f"near_solar.{c}")).when(F.col("eclipse") == "lunar", F.col(f"near_lunar.{c}")).otherwise(F.least("near_solar", "near_lunar")[c]).alias(c) for c in ("off", "whole")))
+    )
     # criterion -> (asked for, strength of the match, 0 if it fails)
     checks = {
-        "eclipse": (F.col("eclipse").isNotNull(), F.when(F.col("total") & ~F.col("is_total"), 0.7).otherwise(1.0)),
+        "eclipse": (F.col("eclipse").isNotNull(), F.coalesce(proximity(closest["off"]) * F.when(F.col("total") & ~closest["whole"], 0.7).otherwise(1.0), F.lit(0.0))),
         "moon_phase": (F.col("phase").isNotNull(), F.when(F.col("moon") == F.element_at(F.split("phase", "_"), 1), 1.0).otherwise(0.0)),
         "comet": (F.col("comet"), F.when(F.col("comet_gap").isNotNull(), 1 - 0.15 * F.least(F.col("comet_gap"), F.lit(3))).otherwise(0.0)),
         "season": (F.col("season").isNotNull(), F.when(F.col("season") == F.col("time_of_year"), 1.0).otherwise(0.0)),
@@ -169,15 +195,17 @@ def candidate_claims(found: DataFrame) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.dated(spark, sf_dir)
-    return criteria(docs).join(spans(docs), "doc_id")
+    return searches(views.dated(spark, sf_dir))
 
 
-_CRITERIA_SQL = views.WITH + """, criteria AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'lunar' WHEN 1 THEN 'solar' WHEN 6 THEN 'solar' END AS eclipse, CASE doc_id % 12 WHEN 0 THEN false WHEN 1 THEN true WHEN 6 THEN true END AS total,
+# the sentences with a Hebrew and an Islamic year have the mean of the years that these begin in
+_CRITERIA_SQL = views.WITH + hebrew_years_sql(300, 40000) + f""", two AS (SELECT doc_id, 227015 + (doc_id % 900) * 354 + CAST(floor((14 + 11 * (doc_id % 900)) / 30.0) AS BIGINT) AS rd FROM dated WHERE doc_id % 12 = 4
+  UNION ALL SELECT doc_id, nisan FROM dated JOIN hn ON y = CAST(concat('3', 1 + doc_id % 900, '0') AS BIGINT) WHERE doc_id % 12 = 4),
+means AS (SELECT doc_id, CAST(floor(sum(year)::DOUBLE / count(*)) AS BIGINT) AS mean FROM (SELECT doc_id, {views.gregorian_year_sql("rd")} AS year FROM two) WHERE year BETWEEN -3000 AND 3000 GROUP BY doc_id)""" + """, criteria AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'lunar' WHEN 1 THEN 'solar' WHEN 6 THEN 'solar' END AS eclipse, CASE doc_id % 12 WHEN 0 THEN false WHEN 1 THEN true WHEN 6 THEN true END AS total,
   CASE doc_id % 12 WHEN 0 THEN 'Jupiter,Saturn' WHEN 6 THEN 'Mars,Venus' WHEN 8 THEN 'Mars,Mercury,Venus' END AS bodies, CASE doc_id % 12 WHEN 0 THEN 'Pisces' WHEN 8 THEN 'Gemini' END AS sign,
   CASE doc_id % 12 WHEN 8 THEN 3 END AS times, CASE doc_id % 12 WHEN 3 THEN 'full' WHEN 9 THEN 'new' END AS phase, doc_id % 12 = 2 AS comet, CASE doc_id % 12 WHEN 1 THEN 2 END AS dark_days,
   CASE doc_id % 12 WHEN 5 THEN 'spring' WHEN 6 THEN 'winter' WHEN 9 THEN 'autumn' END AS season FROM dated),
-centres AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN - (doc_id % 900) WHEN 1 THEN 1 + doc_id % 900 WHEN 3 THEN 1 + doc_id % 900 WHEN 6 THEN -775 + (doc_id % 900) * 4 END AS centre FROM dated),
+centres AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN - (doc_id % 900) WHEN 1 THEN 1 + doc_id % 900 WHEN 3 THEN 1 + doc_id % 900 WHEN 6 THEN -775 + (doc_id % 900) * 4 ELSE mean END AS centre FROM dated LEFT JOIN means USING (doc_id)),
 spans AS (SELECT doc_id, CASE WHEN centre IS NULL THEN -550 ELSE greatest(centre - 200, -3000) END AS first, CASE WHEN centre IS NULL THEN -51 ELSE least(centre + 200, 3000) END AS last FROM centres)"""
 
 
@@ -186,18 +214,17 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return criteria(views.dated(spark, sf_dir)).withColumn("bodies", F.array_join("bodies", ","))
 
 
-# sentences with Hebrew and Islamic years are left to the tests: their years come from conversions
-@query("j2_spans", _CRITERIA_SQL + " SELECT * FROM spans WHERE doc_id % 12 <> 4")
+@query("j2_spans", _CRITERIA_SQL + " SELECT * FROM spans")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(views.dated(spark, sf_dir)).where("doc_id % 12 <> 4")
+    return spans(views.dated(spark, sf_dir))
 
 
 @query("j3_coverage", _CRITERIA_SQL + """
 SELECT doc_id, eclipse IS NOT NULL AS eclipses, bodies IS NOT NULL AS pairs, CASE WHEN eclipse IS NULL THEN NULL WHEN last - first + 1 <= 300 THEN first ELSE CAST(floor((first + last) / 2) AS BIGINT) - 150 END AS eclipse_first,
   CASE WHEN bodies IS NULL THEN NULL WHEN last - first + 1 <= w THEN last ELSE CAST(floor((first + last) / 2) AS BIGINT) - w // 2 + w - 1 END AS pair_last
-FROM (SELECT *, CASE WHEN doc_id % 12 = 8 THEN 333 ELSE 1000 END AS w FROM criteria JOIN spans USING (doc_id)) WHERE doc_id % 12 <> 4""")
+FROM (SELECT *, CASE WHEN doc_id % 12 = 8 THEN 333 ELSE 1000 END AS w FROM criteria JOIN spans USING (doc_id))""")
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = coverage(_asked(spark, sf_dir).where("doc_id % 12 <> 4"), 300, 1000)
+    out = coverage(_asked(spark, sf_dir), 300, 1000)
     return out.select("doc_id", F.col("eclipse").isNotNull().alias("eclipses"), F.col("bodies").isNotNull().alias("pairs"), F.col("eclipse_window.first").alias("eclipse_first"), F.col("pair_window.last").alias("pair_last"))
 
 
@@ -227,10 +254,10 @@ pairs AS (SELECT doc_id, day_id, kind, year, month, day, siblings, eclipse, come
 scored AS (SELECT *, CASE WHEN eclipse IS NULL THEN 0.0 WHEN total AND NOT is_total THEN 0.7 ELSE 1.0 END::DOUBLE AS e, CASE WHEN comet AND comet_gap IS NOT NULL THEN 1 - 0.15 * comet_gap ELSE 0 END::DOUBLE AS k, CASE WHEN wanted = got THEN 0.25 ELSE 0 END::DOUBLE AS s FROM pairs),
 fits AS (SELECT *, (e + 0.6 * k + s) / (CASE WHEN eclipse IS NULL THEN 0 ELSE 1 END + CASE WHEN comet THEN 0.6 ELSE 0 END + CASE WHEN wanted IS NULL THEN 0 ELSE 0.25 END)::DOUBLE AS fit FROM scored),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(fit, 9) DESC, year, month, day, day_id) AS place FROM fits)
-SELECT doc_id, CAST(place AS INT) AS place, day_id, year, month, day, round(fit, 6) AS fit, siblings, k = 0 AND (e > 0 OR s > 0) AS weak, round(fit * 0.55, 6) AS confidence FROM ranked WHERE place <= 10 AND doc_id % 12 <> 4""")
+SELECT doc_id, CAST(place AS INT) AS place, day_id, year, month, day, round(fit, 6) AS fit, siblings, k = 0 AND (e > 0 OR s > 0) AS weak, round(fit * 0.55, 6) AS confidence FROM ranked WHERE place <= 10""")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked candidates over a table of given days."""
-    found = candidates(_asked(spark, sf_dir).where("doc_id % 12 <> 4"), _given_days(spark, sf_dir))
+    found = candidates(_asked(spark, sf_dir), _given_days(spark, sf_dir))
     return found.select("doc_id", "place", "day_id", "year", "month", "day", F.round("fit", 6).alias("fit"), "siblings", "weak", F.round("confidence", 6).alias("confidence"))
 
 

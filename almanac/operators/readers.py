@@ -115,18 +115,3 @@ def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days from each new moon to the next over the years that orders span, by century so that no window is whole."""
     new = phases(spark, *_years(spark, sf_dir)).where("phase = 'new moon'").withColumn("century", F.floor(F.col("lunation") / 1237))
     return new.select("lunation", (F.lead("jd_tt").over(Window.partitionBy("century").orderBy("lunation")) - F.col("jd_tt")).alias("days"))
-
-
-@query("e12_owner_scoped", """
-SELECT a.o_orderkey AS query_id, b.o_orderkey AS hit_id FROM orders a JOIN orders b
-ON (CASE WHEN a.o_custkey % 50 = 0 THEN NULL ELSE a.o_custkey END) IS NOT DISTINCT FROM (CASE WHEN b.o_custkey % 50 = 0 THEN NULL ELSE b.o_custkey END)
-AND a.o_orderkey % 20 = 0 AND a.o_orderkey <> b.o_orderkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus""")
-def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits are of the query's own owner; queries without an owner only see rows without one."""
-    owner = F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", owner.alias("owner"), "o_orderpriority", "o_orderstatus")
-    asked = rows.where("o_orderkey % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in rows.columns])
-    same = F.col("owner").eqNullSafe(F.col("q_owner")) & (F.col("o_orderkey") != F.col("q_o_orderkey"))
-    for c in ("o_orderpriority", "o_orderstatus"):
-        same &= F.col(c) == F.col(f"q_{c}")
-    return rows.join(asked, same).select(F.col("q_o_orderkey").alias("query_id"), F.col("o_orderkey").alias("hit_id"))

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
-import unicodedata
 from collections.abc import Iterator
-from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -18,90 +13,19 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..plans.registry import query, table
+from ..plans.written import written
 from ..sources.intake import upsert
+from .lexical import Vectorizer, embed
 
-# fixed values: vector length, floors of cosine and overlap, and what makes a match strong or moderate
-DIMENSIONS, FLOOR, OVERLAP_FLOOR = 384, 0.18, 0.02
+# fixed values: floors of cosine and overlap, and what makes a match strong or moderate
+FLOOR, OVERLAP_FLOOR = 0.18, 0.02
 STRONG, STRONG_OVERLAP, MODERATE = 0.45, 0.20, 0.25
-#: Queries and rows of a tile of the exact search.
-QUERIES, ROWS = 512, 8192
+#: Queries and rows of a tile of the exact search, and queries whose scores are held at once.
+QUERIES, ROWS, SCORED = 512, 8192, 128
 #: Cells of the approximate search, the rows that they are fitted on at most, and cells that a query looks into.
 CELLS, FITTED, PROBES = 64, 4096, 24
-
-_TOKEN = re.compile(r"[\wͰ-῿Ⲁ-ⷿ]+")
-_STOP = frozenset(tx.STOP_WORDS)
-
-
-class Embedder(Protocol):
-    """What turns texts into vectors: any object that can be sent to tasks and has these."""
-
-    dimensions: int
-
-    def embed_batch(self, texts: list[str]) -> list[list[float]]: ...
-
-
-def tokens_of(text: str) -> list[str]:
-    """The tokens of functions.text.tokens(), for code inside tasks."""
-    return [t for t in _TOKEN.findall(unicodedata.normalize("NFKC", text).lower()) if t not in _STOP]
-
-
-def digest(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-
-
-class HashEmbedder:
-    """Words, word pairs and the character 4-grams of words of five letters or more, hashed with a sign to buckets.
-
-    A feature weighs 1 + ln(count), a 4-gram counts half; vectors have unit length, or are zero.
-    """
-
-    def __init__(self, dimensions: int = DIMENSIONS) -> None:
-        self.dimensions, self._places = dimensions, {}
-
-    def _place(self, feature: str) -> tuple[int, float]:
-        if feature not in self._places:
-            if len(self._places) > 200_000:
-                self._places.clear()
-            value = digest(feature)
-            self._places[feature] = value % self.dimensions, 1.0 if value >> 63 else -1.0
-        return self._places[feature]
-
-    def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        return [self._embed(t or "") for t in texts]
-
-    def _embed(self, text: str) -> list[float]:
-        words = tokens_of(text)
-        counts: dict[str, float] = {}
-        for f in [f"w:{w}" for w in words] + [f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False)]:
-            counts[f] = counts.get(f, 0.0) + 1.0
-        for w in words:
-            if len(w) >= 5:
-                padded = f"^{w}$"
-                for k in range(len(padded) - 3):
-                    f = f"c:{padded[k : k + 4]}"
-                    counts[f] = counts.get(f, 0.0) + 0.5
-        out = np.zeros(self.dimensions)
-        for f, n in counts.items():
-            at, sign = self._place(f)
-            out[at] += sign * (1.0 + math.log(n))
-        norm = math.sqrt(float(out @ out))
-        return (out / norm if norm else out).tolist()
-
-
-def embed(texts: DataFrame, key: str, embedder: Embedder | None = None, keep: list[str] | None = None) -> DataFrame:
-    """key, vector, tokens (hashes of the different tokens, sorted) and the kept columns for texts (key, text).
-
-    Null and blank texts have the zero vector and no tokens. Any Embedder takes the place of the hashing one.
-    """
-    own = embedder or HashEmbedder()
-
-    @F.pandas_udf("vector array<double>, tokens array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            sets = [sorted({digest(w) - (1 << 63) for w in tokens_of(t or "")}) for t in some]
-            yield pd.DataFrame({"vector": own.embed_batch(list(some)), "tokens": sets})
-
-    return texts.select(key, *(keep or []), run("text").alias("_e")).select(key, *(keep or []), "_e.vector", "_e.tokens")
+#: Fixed references that every document gets at most.
+FIXED = 1000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -121,80 +45,161 @@ def strength(score: Column, overlap: Column) -> Column:
     return F.when((score >= STRONG) & (overlap >= STRONG_OVERLAP), "strong").when(score >= MODERATE, "moderate").otherwise("weak")
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first, size) of lists; null ones are empty."""
+    lists = column.combine_chunks()
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    size = np.where(np.asarray(lists.is_valid()), np.diff(offsets), 0)
+    return lists.values.to_numpy(zero_copy_only=False), offsets[:-1], size
+
 
+def _unit(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    rows = values[first[:, None] + np.arange(size)].astype(np.float64)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=rows, where=norm > 0)
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
+
+class _Shared:
+    """How many tokens a query shares with each row of a tile: lists of rows by token, added up."""
+
+    def __init__(self, values: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        self.values, self.first, self.size = values, first, size
+
+    def of_rows(self, rows: np.ndarray) -> None:
+        size = self.size[rows]
+        self.rows, self.of = size, np.repeat(np.arange(len(rows)), size)
+        flat = self.values[np.repeat(self.first[rows], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.start = np.unique(flat[order], return_index=True)
+        self.many, self.of = np.diff(np.append(self.start, len(flat))), self.of[order]
+
+    def overlap(self, query: int) -> np.ndarray:
+        own = self.values[self.first[query] : self.first[query] + self.size[query]]
+        at = np.searchsorted(self.tokens, own)
+        at = at[at < len(self.tokens)] if not len(self.tokens) else at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == own]
+        many = self.many[at]
+        hit = self.of[np.repeat(self.start[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        both = np.bincount(hit, minlength=len(self.rows))
+        return both / np.maximum(1, len(own) + self.rows - both)
 
 
 def _tile(k: int, floor: float, overlap: float | None, itself: bool):
-    """The k best rows of a tile for each of its queries."""
+    """The k best rows of a tile for each of its queries, read from Arrow buffers."""
 
     def run(tile: pa.Table) -> pa.Table:
-        asked = np.asarray(tile["asked"])
-        ids = np.asarray(tile["id"])
-        vectors, tokens = tile["vector"].to_pylist(), tile["tokens"].to_pylist() if overlap is not None else None
-        out: list[tuple] = []
-        sizes = np.array([len(v or ()) for v in vectors])
-        for size in np.unique(sizes[asked]):
-            if not size:
-                continue
-            q, r = np.nonzero(asked & (sizes == size))[0], np.nonzero(~asked & (sizes == size))[0]
-            if not len(r):
+        asked = np.asarray(tile["asked"].combine_chunks())
+        ids = np.asarray(tile["row_id"].combine_chunks().fill_null(0))
+        names = tile["query_id"].combine_chunks()
+        own = np.asarray(tile["itself"].combine_chunks().fill_null(0)) if not itself else None
+        values, first, size = _matrix(tile["vector"])
+        shared = _Shared(*_matrix(tile["tokens"])) if overlap is not None else None
+        found: list[tuple[np.ndarray, ...]] = []
+        for n in np.unique(size[asked]):
+            q, r = np.nonzero(asked & (size == n))[0], np.nonzero(~asked & (size == n))[0]
+            if not n or not len(r):
                 continue
             r = r[np.argsort(ids[r], kind="stable")]
-            a, b = (np.array([vectors[x] for x in some], np.float64) for some in (q, r))
-            for m in (a, b):
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                np.divide(m, norm, out=m, where=norm > 0)
-            scores = np.round(np.clip(a @ b.T, -1, 1), 9)
-            for x, row in zip(q.tolist(), scores, strict=True):
-                row = np.where((ids[r] == ids[x]) & (not itself) | ~(row >= floor), -2.0, row)
-                if overlap is None and len(row) > k:  # no row below the k-th best can stay
-                    near = np.nonzero(row >= max(floor, np.partition(row, len(row) - k)[len(row) - k]))[0]
-                else:
-                    near = np.nonzero(row >= floor)[0]
-                kept = 0
-                for y in near[np.argsort(-row[near], kind="stable")].tolist():
-                    shared = None if overlap is None else _overlap(np.array(tokens[x]), np.array(tokens[r[y]]))
-                    if shared is None or shared >= overlap:
-                        out.append((ids[x], ids[r[y]], row[y], shared))
-                        kept += 1
-                        if kept == k:
-                            break
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
+            b = _unit(values, first[r], int(n))
+            if shared:
+                shared.of_rows(r)
+            for some in np.split(q, range(SCORED, len(q), SCORED)):
+                scores = np.round(np.clip(_unit(values, first[some], int(n)) @ b.T, -1, 1), 9)
+                for x, row in zip(some.tolist(), scores, strict=True):
+                    good = row >= floor
+                    if own is not None:
+                        good &= ids[r] != own[x]
+                    common = None
+                    if shared:
+                        common = shared.overlap(x)
+                        good &= common >= overlap
+                    near = np.nonzero(good)[0]
+                    if len(near) > k:  # no row below the k-th best can stay
+                        near = near[row[near] >= np.partition(row[near], len(near) - k)[len(near) - k]]
+                    near = near[np.argsort(-row[near], kind="stable")[:k]]
+                    found.append((np.full(len(near), x), ids[r[near]], row[near], common[near] if shared else np.full(len(near), np.nan)))
+        x, rows, score, common = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        out = [names.take(pa.array(x)), pa.array(rows), pa.array(score), pa.array(common, mask=np.isnan(common))]
+        return pa.Table.from_arrays(out, names=["query_id", "row_id", "score", "overlap"])
 
     return run
 
 
+_SIDE = ["query_id", "row_id", "itself", "vector", "tokens", "asked"]
+
+
+def _side(df: DataFrame, asked: bool, tokens: bool, kind: str, itself: bool) -> DataFrame:
+    null = lambda t: F.lit(None).cast(t)
+    own = F.col("id")
+    return df.withColumns({
+        "query_id": own.cast(kind) if asked else null(kind), "row_id": null("long") if asked else own.cast("long"), "itself": own.cast("long") if asked and not itself else null("long"),
+        "tokens": F.col("tokens") if tokens else null("array<long>"), "asked": F.lit(asked),
+    })
+
+
+def _searched(tiles: DataFrame, keys: list[str], kind: str, k: int, floor: float, overlap: float | None, itself: bool) -> DataFrame:
+    found = tiles.select(*keys, *_SIDE).groupBy(*keys).applyInArrow(_tile(k, floor, overlap, itself), f"query_id {kind}, row_id long, score double, overlap double")
+    return best(found, "query_id", [F.desc("score"), F.col("row_id")], k)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, by: str | None = None, overlap: float | None = None, itself: bool = False) -> DataFrame:
     """query_id, row_id, score (cosine, to nine digits), overlap, place: the k best of all rows for each query.
 
-    queries and rows: id long, vector, with `tokens` where a least overlap is asked for, and the column `by` where a
-    query only sees rows that are equal in it (null: rows without it). Both sides are dealt to blocks of bounded size;
-    every pair of blocks is one tile that keeps k rows a query, and the best of these are taken by a second grouping,
-    so neither a large table nor a hot group meets in one task. A row never answers a query of its id, unless
-    itself is set, as it is where queries and rows are of two tables. Ties go to the smaller id.
+    queries and rows: id (of queries: each its own), vector, with `tokens` where a least overlap is asked for, and the
+    column `by` where a query only sees rows that are equal in it (null: rows without it). Both sides are dealt to
+    blocks of bounded size; every pair of blocks is one tile that keeps k rows a query, and the best of these are taken
+    by a second grouping, so neither a large table nor a hot group meets in one task. A row never answers a query of
+    its id, unless itself is set, as it is where queries and rows are of two tables. Ties go to the smaller id.
     """
     group = F.col(by).cast("string") if by else F.lit(None).cast("string")
-    side = lambda df, asked: df.select("id", "vector", (F.col("tokens") if overlap is not None else F.lit(None).cast("array<long>")).alias("tokens"), group.alias("g"), F.lit(asked).alias("asked"))
-    q, r = side(queries, True), side(rows, False)
+    kind = queries.schema["id"].dataType.simpleString()
+    q, r = (_side(df.withColumn("g", group), asked, overlap is not None, kind, itself).select("g", "id", *_SIDE) for df, asked in ((queries, True), (rows, False)))
     blocks = lambda df, n, name: df.groupBy("g").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
     counts = blocks(q, QUERIES, "nq").withColumnRenamed("g", "gq").join(blocks(r, ROWS, "nr"), F.col("gq").eqNullSafe(F.col("g")), "inner").drop("g")
     counts = counts.withColumnRenamed("gq", "of")
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     with_counts = lambda df: df.join(counts, F.col("g").eqNullSafe(F.col("of"))).drop("of")
-    a = with_counts(q).withColumn("i", own("nq")).withColumn("j", every("nr"))
-    b = with_counts(r).withColumn("j", own("nr")).withColumn("i", every("nq"))
-    tiles = a.unionByName(b).drop("nq", "nr")
-    found = tiles.groupBy("g", "i", "j").applyInArrow(_tile(k, floor, overlap, itself), "query_id long, row_id long, score double, overlap double")
-    return best(found, "query_id", [F.desc("score"), F.col("row_id")], k)
+    a = with_counts(q).withColumn("i", own("nq")).withColumn("j", every("nr")).drop("id")
+    b = with_counts(r).withColumn("j", own("nr")).withColumn("i", every("nq")).drop("id")
+    return _searched(a.unionByName(b), ["g", "i", "j"], kind, k, floor, overlap, itself)
+
+
+def _blocks(works: DataFrame, rows: int) -> DataFrame:
+    """works (id, vector, tokens) with a block of about `rows` works of like vectors."""
+    n = works.count()
+    if n <= rows:
+        return works.withColumn("block", F.lit(0))
+    sample = works.select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
+    near = _nearest(works.sparkSession, _cells(np.array([r["vector"] for r in sample], np.float64), min(CELLS, -(-n // rows))))
+    placed = written(works.withColumn("cell", near(1)("vector")[0]))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    return placed.join(parts, "cell").withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("id", F.lit(6)), F.col("n")))).drop("cell", "n")
+
+
+def pruned_top_k(queries: DataFrame, works: DataFrame, k: int, floor: float = FLOOR, overlap: float = OVERLAP_FLOOR, size: int | None = None) -> DataFrame:
+    """As top_k() with a least overlap over queries and works (id, vector, tokens), but a query only meets the blocks of
+    works that can hold a hit for it.
+
+    Works lie in blocks of like vectors. An overlap of t with a work of a block needs t x max(tokens of the query, least
+    tokens of a work) tokens that occur in the block at all, and t x the query's tokens may not exceed the most that a
+    work has: lists of blocks by token count the first for all queries in one join, and blocks below the bound are
+    passed over. What is left is scored exactly, so nothing is lost.
+    """
+    rows = size or ROWS
+    kind = queries.schema["id"].dataType.simpleString()
+    queries = written(queries.select("id", "vector", "tokens").where("size(tokens) > 0"))
+    placed = written(_blocks(works.select("id", "vector", "tokens").where("size(tokens) > 0"), rows))
+    bounds = placed.groupBy("block").agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most"))
+    lists = placed.select(F.explode("tokens").alias("token"), "block").distinct()
+    met = queries.select("id", F.size("tokens").alias("own"), F.explode("tokens").alias("token")).join(lists, "token").groupBy("id", "own", "block").agg(F.count("*").alias("both"))
+    can = met.join(bounds, "block").where((F.col("both") >= F.lit(overlap) * F.greatest("own", "least") - 1e-9) & (F.lit(overlap) * F.col("own") <= F.col("most") + 1e-9))
+    can = written(can.select("id", "block"))
+    parts = can.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("n"))
+    asked = can.join(parts, "block").withColumn("i", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")).drop("n")
+    a = _side(queries.join(asked, "id"), True, True, kind, True)
+    b = _side(placed.join(parts, "block").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))), False, True, kind, True)
+    keys = ["block", "i"]
+    return _searched(a.select(*keys, *_SIDE).unionByName(b.select(*keys, *_SIDE)), keys, kind, k, floor, overlap, True)
 
 
 def best(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -215,13 +220,9 @@ def _cells(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
-def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """top_k() over an index: rows lie in the cell of their nearest centre, queries look into the cells of their
-    nearest ones and then rank exactly. The centres are fitted on FITTED rows by hash; every row is indexed."""
-    sample = rows.where("vector is not null").select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
-    if not sample:
-        return top_k(queries, rows, k, floor)
-    centres = rows.sparkSession.sparkContext.broadcast(_cells(np.array([r["vector"] for r in sample], np.float64), cells))
+def _nearest(spark: SparkSession, fitted: np.ndarray):
+    """A function of n: the column function that gives the n nearest of the fitted centres, nearest first."""
+    centres = spark.sparkContext.broadcast(fitted)
 
     def near(n: int):
         @F.pandas_udf("array<int>")
@@ -234,28 +235,41 @@ def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float
 
         return run
 
+    return near
+
+
+def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
+    """top_k() over an index: rows lie in the cell of their nearest centre, queries look into the cells of their
+    nearest ones and then rank exactly. The centres are fitted on FITTED rows by hash; every row is indexed."""
+    sample = rows.where("vector is not null").select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
+    if not sample:
+        return top_k(queries, rows, k, floor)
+    near = _nearest(rows.sparkSession, _cells(np.array([r["vector"] for r in sample], np.float64), cells))
     a = queries.withColumn("cell", F.explode(near(min(probes, cells))("vector")))
     b = rows.withColumn("cell", near(1)("vector")[0])
     # a row lies in one cell, so a query meets it once at most
     return top_k(a.select("id", "vector", "cell"), b.select("id", "vector", "cell"), k, floor, by="cell")
 
 
-def identify_sources(docs: DataFrame, corpus: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, item_id, place, score, overlap, strength, identified, claim_type, confidence: the works that each text of
-    docs (doc_id, text) may come from, of corpus (item_id, text).
+def identify_sources(docs: DataFrame, corpus: DataFrame, k: int = 4, vectorizer: Vectorizer | None = None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the kept columns, item_id, place, score, overlap, strength, identified, claim_type, confidence: the works
+    that each text of docs (doc_id, text) may come from, of corpus (item_id, text).
 
     Hits have a cosine of at least 0.18 and share at least 0.02 of their tokens. The best is an identification if it is
-    strong; the next three are named beside it. Texts without a hit have a row without an item. Equal corpus texts are
-    looked up once and all named.
+    strong; the next three are named beside it. Texts without a hit have a row without an item. Every row of docs gets
+    rows of its own, whatever its doc_id; equal texts are looked up once. Equal corpus texts are looked up once under
+    their smallest id; works without an id are not named.
     """
-    works = corpus.groupBy("text").agg(F.min("item_id").alias("id"))
-    hits = top_k(embed(docs.select(F.col("doc_id").alias("id"), "text"), "id"), embed(works, "id"), k, FLOOR, overlap=OVERLAP_FLOOR, itself=True)
-    found = docs.select("doc_id").distinct().join(hits, F.col("doc_id") == F.col("query_id"), "left")
+    works = corpus.where("item_id is not null").groupBy("text").agg(F.min("item_id").alias("id"))
+    named = docs.select("doc_id", *(keep or []), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("id", F.sha2("text", 256))
+    hits = pruned_top_k(embed(texts, "id", vectorizer), embed(works, "id", vectorizer), k)
+    found = named.join(hits, F.col("_key") == F.col("query_id"), "left")
     grade = strength(F.col("score"), F.col("overlap"))
     known = F.coalesce((F.col("place") == 1) & (grade == "strong"), F.lit(False))
     sure = F.when(F.col("row_id").isNull(), 0.8).when(F.col("place") == 1, F.least("score", F.lit(0.9))).otherwise(F.least("score", F.lit(0.5)))
     kind = F.when(F.col("row_id").isNull(), "uncertain").when(known, "scholarly_interpretation").otherwise("ai_hypothesis")
-    return found.select("doc_id", F.col("row_id").alias("item_id"), F.coalesce("place", F.lit(1)).alias("place"), "score", "overlap", F.when(F.col("row_id").isNotNull(), grade).alias("strength"), known.alias("identified"), kind.alias("claim_type"), sure.alias("confidence"))
+    return found.select("doc_id", *(keep or []), F.col("row_id").alias("item_id"), F.coalesce("place", F.lit(1)).alias("place"), "score", "overlap", F.when(F.col("row_id").isNotNull(), grade).alias("strength"), known.alias("identified"), kind.alias("claim_type"), sure.alias("confidence"))
 
 
 def chunks(passages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -277,16 +291,21 @@ def further_reading(hits: DataFrame, fixed: DataFrame) -> DataFrame:
     """Of hits (doc_id, citation, score) and fixed references (citation, place) each document's citations once, hits by
     score, then the fixed ones in their order."""
     named = hits.select("doc_id", "citation", F.struct(F.lit(0).alias("kind"), (-F.col("score")).alias("by")).alias("at"))
-    always = hits.select("doc_id").distinct().join(F.broadcast(fixed)).select("doc_id", "citation", F.struct(F.lit(1).alias("kind"), F.col("place").cast("double").alias("by")).alias("at"))
+    listed = fixed.select("citation", "place").limit(FIXED + 1).collect()
+    if len(listed) > FIXED:
+        raise ValueError(f"more than {FIXED} fixed references")
+    kept = F.explode(F.array(*(F.struct(F.lit(r["citation"]).alias("citation"), F.lit(r["place"]).alias("place")) for r in listed))) if listed else None
+    always = hits.select("doc_id").distinct().select("doc_id", kept.alias("f")).select("doc_id", "f.*") if listed else hits.limit(0).select("doc_id", "citation", F.lit(0).alias("place"))
+    always = always.select("doc_id", "citation", F.struct(F.lit(1).alias("kind"), F.col("place").cast("double").alias("by")).alias("at"))
     first = named.unionByName(always).groupBy("doc_id", "citation").agg(F.min("at").alias("at"))
     return first.select("doc_id", "citation", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "citation")).alias("place"))
 
 
-def refreshed(index: DataFrame, analyses: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+def refreshed(index: DataFrame, analyses: DataFrame, vectorizer: Vectorizer | None = None) -> DataFrame:
     """The index (analysis_id, vector) with the vectors of title and summary of the given analyses, one row each; those
     that were there are replaced."""
     texts = analyses.select("analysis_id", F.concat_ws(". ", "title", "summary").alias("text"))
-    return upsert(index, embed(texts, "analysis_id", embedder).select("analysis_id", "vector"), ["analysis_id"])
+    return upsert(index, embed(texts, "analysis_id", vectorizer).select("analysis_id", "vector"), ["analysis_id"])
 
 
 _WORDS = lambda t, k: f"SELECT DISTINCT {k}, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x NOT IN ({', '.join(repr(w) for w in tx.STOP_WORDS)}))) AS token FROM {t}"

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 _WORD = re.compile(r"\w+")
 _PLAIN = re.compile(r"[\w' ]+")
@@ -82,6 +82,39 @@ def apart(spans: Iterable[Span], group: Callable[[int], object] = lambda k: None
             yield span
 
 
+def annotated(docs: DataFrame, readers: dict[str, tuple[Callable[[str], Iterable[tuple]], str, str | None]], keep: Iterable[str] = ()) -> DataFrame:
+    """doc_id, the kept columns, and for each reader (read, fields, needed) an array of structs: all that they make of a
+    text of docs (doc_id, text), in one pass over it. Null texts have empty arrays.
+
+    needed: a pattern that every text holds of which the reader makes anything.
+    """
+    kept = ["doc_id", *keep]
+    arrays = [StructField(name, ArrayType(StructType.fromDDL(fields))) for name, (_, fields, _) in readers.items()]
+    schema = StructType([*(docs.schema[c] for c in kept), *arrays])
+    needs = {name: needed and re.compile(needed) for name, (_, _, needed) in readers.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(StructType(arrays))
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            columns = [batch.column(c) for c in kept]
+            for field, (name, (read, _, _)) in zip(arrow, readers.items(), strict=True):
+                need, sizes, rows = needs[name], [0], []
+                for text in texts:
+                    if text and (not need or need.search(text)):
+                        rows.extend(read(text))
+                    sizes.append(len(rows))
+                kind = field.type.value_type
+                parts = list(zip(*rows, strict=True)) if rows else [()] * kind.num_fields
+                cells = pa.StructArray.from_arrays([pa.array(list(c), kind.field(k).type) for k, c in enumerate(parts)], fields=[kind.field(k) for k in range(kind.num_fields)])
+                columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), cells))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *readers])
+
+    return docs.select(*kept, docs["text"].alias("_text")).mapInArrow(run, schema)
+
+
 def scanned(docs: DataFrame, read: Callable[[str], Iterable[tuple]], fields: str, prefilter: str | None = None) -> DataFrame:
     """doc_id and fields, a row for each tuple that read makes of a text of docs (doc_id, text).
 

@@ -25,6 +25,8 @@ SECTIONS = [
     "traditional_interpretations", "scholarly_views", "alternative_interpretations", "evidence", "confidence_ratings", "references", "further_reading",
 ]
 _SECTION_CASE = "CASE l_partkey % 19 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SECTIONS)) + " END"
+#: Of lines that agree in order, line, part and supplier each has a number of its own; equal lines are interchangeable.
+_CLAIM_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_shipdate, l_quantity)) AS claim_id"
 _TYPE_CASE = "CASE l_partkey % 9 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(CLAIM_TYPES)) + " END"
 
 ANALYSES = """
@@ -36,7 +38,7 @@ SELECT o_orderkey AS analysis_id, o_custkey AS owner_id,
 FROM orders"""
 
 CLAIMS = f"""
-SELECT l_orderkey AS analysis_id, l_linenumber AS ordering, {_TYPE_CASE} AS claim_type,
+SELECT {_CLAIM_ID}, l_orderkey AS analysis_id, l_linenumber AS ordering, {_TYPE_CASE} AS claim_type,
        CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence,
        CASE WHEN l_suppkey % 2 = 1 THEN NULL ELSE 'series' END AS engine,
        CAST(l_suppkey % 3 AS INT) AS n_citations,
@@ -50,9 +52,9 @@ SELECT l_orderkey AS analysis_id, l_linenumber AS ordering, {_TYPE_CASE} AS clai
 FROM lineitem"""
 
 #: Citations of claims: none, one or two for each.
-CITATIONS = """
-SELECT l_orderkey AS analysis_id, l_linenumber AS ordering, l_partkey AS part, k AS place, concat('work ', l_suppkey + k) AS citation, (l_suppkey + k) % 2 = 0 AS verified
-FROM lineitem {explode} WHERE k < l_suppkey % 3"""
+CITATIONS = f"""
+SELECT claim_id, analysis_id, ordering, part, k AS place, concat('work ', supp + k) AS citation, (supp + k) % 2 = 0 AS verified
+FROM (SELECT {_CLAIM_ID}, l_orderkey AS analysis_id, l_linenumber AS ordering, l_partkey AS part, l_suppkey AS supp FROM lineitem) AS cited {{explode}} WHERE k < supp % 3"""
 
 REQUESTS = "SELECT event_id, user_id AS identity, event_type AS bucket, ts FROM events"
 
@@ -80,6 +82,13 @@ CITATIONS_SQL = CITATIONS.format(explode="CROSS JOIN (VALUES (0), (1)) AS t(k)")
 WITH = f"WITH analyses AS ({ANALYSES}), claims AS ({CLAIMS}), requests AS ({REQUESTS}), dated AS ({DATED.format(text='VARCHAR')})"
 
 
+def gregorian_year_sql(rd: str) -> str:
+    """DuckDB expression of the Gregorian year that a day number falls in: guessed, then put right by its first day."""
+    first = lambda y: f"(365 * ({y} - 1) + CAST(floor(({y} - 1) / 4.0) AS BIGINT) - CAST(floor(({y} - 1) / 100.0) AS BIGINT) + CAST(floor(({y} - 1) / 400.0) AS BIGINT) + 1)"
+    guess = f"(CAST(floor(({rd} - 1) / 365.2425) AS BIGINT) + 1)"
+    return f"(CASE WHEN {rd} < {first(guess)} THEN {guess} - 1 WHEN {rd} >= {first(f'({guess} + 1)')} THEN {guess} + 1 ELSE {guess} END)"
+
+
 def expected(rows: list[tuple], columns: str) -> str:
     """A DuckDB query over `dated`: for each text the rows (form, surface, ...) of its sentence form, with the surface's
     first place in the text and num, the text's number."""

@@ -1,13 +1,52 @@
-"""Queries over corpus bundles: reading them back, and what is wrong with them."""
+"""Corpus bundles: reading them back, what is wrong with them, and loading them into a store, whole or not at all."""
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.registry import query, table
-from ..streaming.logs import shared_folder
-from .intake import bundle, violations
+from ..plans.written import shared_dir, written
+from .intake import BUNDLE, bundle, violations
+from .store import BUCKETS, Kept, Outcome, Store
+
+
+
+def corpus_tables() -> dict[str, Kept]:
+    """The tables of a corpus, with the fields of bundles and the columns that name a row."""
+    kinds = {f.name: getattr(f.dataType, "elementType", f.dataType) for f in StructType.fromDDL(BUNDLE)}
+    keys = {"sources": ("slug",), "passages": ("source_slug", "reference_label"), "events": ("designation",), "datasets": ("key",)}
+    return {name: Kept(kinds["dataset" if name == "datasets" else name], k) for name, k in keys.items()}
+
+
+@dataclasses.dataclass(frozen=True)
+class Load:
+    """What came of a load: the problems that it was refused for (a table, empty where it wasn't), and the change."""
+
+    problems: DataFrame
+    refused: int
+    change: Outcome | None
+
+
+def corpus_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Store:
+    """A store of sources, passages, events and datasets."""
+    return Store(spark, root, corpus_tables(), buckets)
+
+
+def load(store: Store, path: str, dry_run: bool = False) -> Load:
+    """Load the bundles of a path (a JSON object a file) into a store: all of them, or none where anything is wrong with
+    any. Rows replace those of their keys; loading the same bundle again changes nothing that a reader sees. A dry run
+    only looks for problems."""
+    parts = {k: written(v) for k, v in bundle(store.spark, path).items()}
+    problems = written(violations(parts))
+    refused = problems.count()
+    if not parts["sources"].take(1):
+        problems, refused = store.spark.createDataFrame([("sources", None, "no sources")], problems.schema), max(1, refused)
+    return Load(problems, refused, None if refused or dry_run else store.put(parts))
 
 
 @query("a1_corpus_bundles", "SELECT n_name AS dataset, 's' || s_suppkey AS slug, s_name AS title, CAST(-(s_suppkey % 900) AS INT) AS earliest FROM supplier JOIN nation ON n_nationkey = s_nationkey")
@@ -17,22 +56,24 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.struct(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("title"), (-(F.col("s_suppkey") % 900)).cast("int").alias("composition_earliest_year"), F.col("n_name").alias("tradition"))
     rows = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("n_name", "s_nationkey", source.alias("source"))
     files = rows.groupBy("s_nationkey", "n_name").agg(F.to_json(F.struct(F.struct(F.col("n_name").alias("key")).alias("dataset"), F.collect_list("source").alias("sources"))).alias("value"))
-    path = f"{shared_folder(spark)}/bundles"
+    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
     files.select("s_nationkey", "value").write.partitionBy("s_nationkey").text(path)
     found = bundle(spark, f"{path}/*")["sources"]
     return found.select(F.col("tradition").alias("dataset"), "slug", "title", F.col("composition_earliest_year").alias("earliest"))
 
 
-_PARTS = """s AS (SELECT CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE concat('s', s_suppkey % 90) END AS slug, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS title, CAST(s_suppkey % 7 AS INT) AS composition_earliest_year, CAST(s_suppkey % 5 AS INT) AS composition_latest_year FROM supplier),
-p AS (SELECT concat('s', l_suppkey % 95) AS source_slug, concat(l_orderkey % 4000, '.', l_linenumber) AS reference_label, CASE WHEN l_partkey % 29 = 0 THEN ' ' ELSE 'x' END AS translation FROM lineitem),
-e AS (SELECT concat('e', event_id % 5000) AS designation, event_type = 'view' AS is_computed, CASE WHEN user_id % 3 = 0 THEN concat('s', user_id % 100) END AS source_slug FROM events)"""
+_PARTS = """s AS (SELECT CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE concat('s', s_suppkey % 90) END AS slug, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS title, CASE WHEN s_suppkey % 11 = 0 THEN ' ' ELSE s_name END AS canonical_citation, 'free' AS license, CAST(s_suppkey % 7 AS INT) AS composition_earliest_year, CAST(s_suppkey % 5 AS INT) AS composition_latest_year FROM supplier),
+p AS (SELECT concat('s', l_suppkey % 95) AS source_slug, concat(l_orderkey % 4000, '.', l_linenumber) AS reference_label, CASE WHEN l_partkey % 29 = 0 THEN ' ' ELSE 'x' END AS translation, CASE WHEN l_partkey % 31 > 0 THEN 'own' END AS translation_credit FROM lineitem),
+e AS (SELECT concat('e', event_id % 5000) AS designation, event_type, CASE WHEN event_id % 101 > 0 THEN 'an event' END AS label, event_type = 'view' AS is_computed, CASE WHEN user_id % 3 = 0 THEN concat('s', user_id % 100) END AS source_slug FROM events)"""
 
 
 @query("m11_bundle_violations", f"""WITH {_PARTS}, slugs AS (SELECT DISTINCT slug FROM s WHERE slug IS NOT NULL)
-SELECT 'sources' AS part, title AS name, 'slug missing' AS problem FROM s WHERE slug IS NULL UNION ALL SELECT 'sources', slug, 'title missing' FROM s WHERE title = ''
+SELECT 'sources' AS part, nullif(title, '') AS name, 'slug missing' AS problem FROM s WHERE slug IS NULL UNION ALL SELECT 'sources', slug, 'title missing' FROM s WHERE title = '' UNION ALL SELECT 'sources', coalesce(slug, nullif(title, '')), 'canonical_citation missing' FROM s WHERE trim(canonical_citation) = ''
 UNION ALL SELECT 'sources', slug, 'slug repeated' FROM s WHERE slug IS NOT NULL GROUP BY slug HAVING count(*) > 1 UNION ALL SELECT 'sources', slug, 'earliest after latest' FROM s WHERE composition_earliest_year > composition_latest_year
-UNION ALL SELECT 'passages', reference_label, 'translation missing' FROM p WHERE trim(translation) = '' UNION ALL SELECT 'passages', reference_label, 'label repeated' FROM p GROUP BY source_slug, reference_label HAVING count(*) > 1
+UNION ALL SELECT 'passages', reference_label, 'translation missing' FROM p WHERE trim(translation) = '' UNION ALL SELECT 'passages', reference_label, 'translation_credit missing' FROM p WHERE translation_credit IS NULL
+UNION ALL SELECT 'passages', reference_label, 'label repeated' FROM p GROUP BY source_slug, reference_label HAVING count(*) > 1
 UNION ALL SELECT 'passages', reference_label, 'source undefined' FROM p WHERE source_slug NOT IN (SELECT slug FROM slugs) UNION ALL SELECT 'events', designation, 'designation repeated' FROM e GROUP BY designation HAVING count(*) > 1
+UNION ALL SELECT 'events', designation, 'label missing' FROM e WHERE label IS NULL
 UNION ALL SELECT 'events', designation, 'recorded event without source' FROM e WHERE NOT is_computed AND source_slug IS NULL UNION ALL SELECT 'events', designation, 'source undefined' FROM e WHERE source_slug IS NOT NULL AND source_slug NOT IN (SELECT slug FROM slugs)""")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a load of these sources, passages and events would be refused for; nothing is loaded (a dry run)."""
@@ -42,3 +83,45 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = _PARTS.split(f"{short} AS (", 1)[1].split(f"FROM {names[short]})", 1)[0]
         parts[part] = spark.sql(f"{body} FROM {{rows}}", rows=table(spark, sf_dir, names[short]))
     return violations(parts)
+
+
+def _bundles(spark: SparkSession, sf_dir: str, revised: bool) -> str:
+    """A folder of bundles, one for each nation: its suppliers as sources, their lines as passages, and the events of
+    users of a supplier's number. Of the revised ones only the suppliers in debt, under other titles, with new events."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey")
+    suppliers = suppliers.where("s_acctbal < 0") if revised else suppliers
+    slug = F.concat(F.lit("s"), "s_suppkey")
+    title = F.concat("s_name", F.lit(", revised" if revised else ""))
+    source = suppliers.select("s_nationkey", F.struct(slug.alias("slug"), title.alias("title"), F.col("s_name").alias("canonical_citation"), F.lit("free").alias("license"), F.col("n_name").alias("tradition")).alias("x"))
+    own = suppliers.select("s_nationkey", F.col("s_suppkey").alias("l_suppkey"), slug.alias("source_slug"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part")).join(own, "l_suppkey")
+    passage = lines.select("s_nationkey", F.struct("source_slug", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("reference_label"), F.concat(F.lit("part "), "part").alias("translation"), F.lit("own").alias("translation_credit")).alias("x"))
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("l_suppkey"), "event_id", "event_type").distinct().join(own, "l_suppkey")
+    event = seen.select("s_nationkey", F.struct(F.concat(F.lit("e"), F.col("event_id") + (10**9 if revised else 0)).alias("designation"), "event_type", F.concat(F.lit("seen by "), "source_slug").alias("label"), "source_slug").alias("x"))
+    listed = lambda df, name: df.groupBy("s_nationkey").agg(F.collect_list("x").alias(name))
+    whole = listed(source, "sources").join(listed(passage, "passages"), "s_nationkey", "left").join(listed(event, "events"), "s_nationkey", "left")
+    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    dataset = F.struct(F.concat(F.lit("nation "), "s_nationkey").alias("key"), F.lit("suppliers").alias("name"), F.lit("free").alias("license"))
+    whole.select(F.to_json(F.struct(dataset.alias("dataset"), "sources", "passages", "events")).alias("value"), "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return f"{path}/*"
+
+
+_OWN = "s_suppkey, concat('s', s_suppkey) AS slug, s_name, s_acctbal < 0 AS revised, s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"
+
+
+@query("u5_loaded_bundles", f"""WITH s AS (SELECT {_OWN}), e AS (SELECT DISTINCT event_id, event_type, user_id FROM events)
+SELECT 'sources' AS part, slug AS name, CASE WHEN revised THEN concat(s_name, ', revised') ELSE s_name END AS content FROM s
+UNION ALL SELECT 'passages', concat(slug, ' ', l_orderkey, '.', l_linenumber), concat('part ', max(l_partkey)) FROM s JOIN lineitem ON l_suppkey = s_suppkey GROUP BY slug, l_orderkey, l_linenumber
+UNION ALL SELECT 'events', concat('e', event_id), concat('seen by ', slug) FROM s JOIN e ON user_id = s_suppkey
+UNION ALL SELECT 'events', concat('e', event_id + 1000000000), concat('seen by ', slug) FROM s JOIN e ON user_id = s_suppkey WHERE revised
+UNION ALL SELECT DISTINCT 'datasets', concat('nation ', s_nationkey), 'suppliers' FROM s""")
+def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after a load of all bundles and one of the revised ones, whose rows replace those of their keys."""
+    store = corpus_store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8)
+    load(store, _bundles(spark, sf_dir, False))
+    load(store, _bundles(spark, sf_dir, True))
+    s, p, e, d = (store.read(t) for t in ("sources", "passages", "events", "datasets"))
+    show = lambda df, part, name, content: df.select(F.lit(part).alias("part"), name.alias("name"), F.col(content).alias("content"))
+    rows = show(s, "sources", F.col("slug"), "title").unionByName(show(p, "passages", F.concat_ws(" ", "source_slug", "reference_label"), "translation"))
+    return rows.unionByName(show(e, "events", F.col("designation"), "label")).unionByName(show(d, "datasets", F.col("key"), "name"))

@@ -114,29 +114,46 @@ events array<struct<designation:string,event_type:string,label:string,year:int,m
 
 
 def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """sources, passages and events of corpus bundles (one JSON object a file)."""
+    """sources, passages, events and datasets of corpus bundles (one JSON object a file)."""
     found = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
-    return {part: found.select(F.explode(part).alias("x")).select("x.*") for part in ("sources", "passages", "events")}
+    parts = {part: found.select(F.explode(part).alias("x")).select("x.*") for part in ("sources", "passages", "events")}
+    return parts | {"datasets": found.where("dataset is not null").select("dataset.*")}
+
+
+# fixed values: what rows of a bundle must have
+REQUIRED = {
+    "sources": ["slug", "title", "canonical_citation", "license"], "passages": ["source_slug", "reference_label", "translation", "translation_credit"],
+    "events": ["designation", "event_type", "label"], "datasets": ["key", "name", "license"],
+}
+_NAMES = {"sources": ["slug", "title"], "passages": ["reference_label", "source_slug"], "events": ["designation", "label"], "datasets": ["key", "name"]}
 
 
 def violations(parts: dict[str, DataFrame]) -> DataFrame:
-    """Everything wrong with a bundle (part, name, problem); it is loaded only where this is empty."""
-    s, p, e = (parts[k] for k in ("sources", "passages", "events"))
+    """Everything wrong with a bundle (part, name, problem); it is loaded only where this is empty. parts may lack
+    events and datasets. Of what repeats, each value is named once."""
     say = lambda df, part, name, problem: df.select(F.lit(part).alias("part"), name.cast("string").alias("name"), F.lit(problem).alias("problem"))
-    twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
+    twice = lambda df, *keys: df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).count().where("count > 1")
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    found = []
+    for part, df in parts.items():
+        lacks = F.array_compact(F.array(*(F.when(blank(c), F.lit(f"{c} missing")) for c in REQUIRED[part])))
+        first, second = (F.when(~blank(c), F.col(c)) for c in _NAMES[part])
+        found.append(df.select(F.lit(part).alias("part"), F.coalesce(first, second).cast("string").alias("name"), F.explode(lacks).alias("problem")))
+    s, p = parts["sources"], parts["passages"]
     slugs = s.select(F.col("slug").alias("source_slug")).where("source_slug is not null").distinct()
-    found = [
-        say(s.where("slug is null or trim(slug) = ''"), "sources", F.col("title"), "slug missing"),
-        say(s.where("title is null or trim(title) = ''"), "sources", F.col("slug"), "title missing"),
-        say(twice(s.where("slug is not null"), "slug"), "sources", F.col("slug"), "slug repeated"),
+    found += [
+        say(twice(s, "slug"), "sources", F.col("slug"), "slug repeated"),
         say(s.where("composition_earliest_year > composition_latest_year"), "sources", F.col("slug"), "earliest after latest"),
-        say(p.where("translation is null or trim(translation) = ''"), "passages", F.col("reference_label"), "translation missing"),
         say(twice(p, "source_slug", "reference_label"), "passages", F.col("reference_label"), "label repeated"),
-        say(p.join(slugs, "source_slug", "left_anti"), "passages", F.col("reference_label"), "source undefined"),
-        say(twice(e, "designation"), "events", F.col("designation"), "designation repeated"),
-        say(e.where("not coalesce(is_computed, false) and source_slug is null"), "events", F.col("designation"), "recorded event without source"),
-        say(e.where("source_slug is not null").join(slugs, "source_slug", "left_anti"), "events", F.col("designation"), "source undefined"),
+        say(p.where("source_slug is not null").join(slugs, "source_slug", "left_anti"), "passages", F.col("reference_label"), "source undefined"),
     ]
+    if "events" in parts:
+        e = parts["events"]
+        found += [
+            say(twice(e, "designation"), "events", F.col("designation"), "designation repeated"),
+            say(e.where("not coalesce(is_computed, false) and source_slug is null"), "events", F.col("designation"), "recorded event without source"),
+            say(e.where("source_slug is not null").join(slugs, "source_slug", "left_anti"), "events", F.col("designation"), "source undefined"),
+        ]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -181,12 +198,14 @@ def cited(citations: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, F.array_join(F.transform("x", lambda r: r["line"]), " | ").alias("citations"))
 
 
-def claim_lines(claims: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the thirteen columns of the CSV export, all text; write without the keys, with option quoteAll."""
+def claim_lines(claims: DataFrame, citations: DataFrame, key: str, more: list[str]) -> DataFrame:
+    """The key of each claim, more of its columns, and the thirteen of the CSV export, all text; write only these, with
+    option quoteAll. key must be a claim's own: a place in an analysis may be taken twice, and then two claims would get
+    each other's citations."""
     evidence = F.when(F.col("claim_type").isin("source_text", "verified_history", "astronomical_calculation"), "yes").otherwise("no")
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return claims.join(cited(citations, keys), keys, "left").select(
-        *keys, "section", "claim_type", label(F.col("claim_type")).alias("claim_type_label"), evidence.alias("is_evidence"), "statement", text("reasoning"), F.format_string("%.3f", "confidence").alias("confidence"),
+    return claims.join(cited(citations, [key]), key, "left").select(
+        key, *more, "section", "claim_type", label(F.col("claim_type")).alias("claim_type_label"), evidence.alias("is_evidence"), "statement", text("reasoning"), F.format_string("%.3f", "confidence").alias("confidence"),
         text("confidence_basis"), "produced_by", text("engine"), text("algorithm_reference"), F.substring(F.coalesce("quoted_text", F.lit("")), 1, 2000).alias("quoted_text"), text("citations"),
     )
 
@@ -291,12 +310,13 @@ _WITH = views.WITH + f", citations AS ({views.CITATIONS_SQL})"
 _LABEL = "CASE claim_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
 
 
-@query("a8_claim_csv", _WITH + f""", x AS (SELECT analysis_id, ordering, part, string_agg(concat(citation, CASE WHEN verified THEN '' ELSE ' [unverified]' END), ' | ' ORDER BY place) AS citations FROM citations GROUP BY ALL)
-SELECT analysis_id, ordering, part, section, claim_type, {_LABEL} AS claim_type_label, CASE WHEN claim_type IN ('source_text', 'verified_history', 'astronomical_calculation') THEN 'yes' ELSE 'no' END AS is_evidence, statement, coalesce(reasoning, '') AS reasoning,
+@query("a8_claim_csv", _WITH + f""", l AS (SELECT claim_id, place, concat(citation, CASE WHEN verified THEN '' ELSE ' [unverified]' END) AS line FROM citations),
+x AS (SELECT claim_id, string_agg(line, ' | ' ORDER BY place, line) AS citations FROM l GROUP BY ALL)
+SELECT claim_id, analysis_id, ordering, part, section, claim_type, {_LABEL} AS claim_type_label, CASE WHEN claim_type IN ('source_text', 'verified_history', 'astronomical_calculation') THEN 'yes' ELSE 'no' END AS is_evidence, statement, coalesce(reasoning, '') AS reasoning,
   printf('%.3f', confidence) AS confidence, coalesce(confidence_basis, '') AS confidence_basis, produced_by, coalesce(engine, '') AS engine, coalesce(algorithm_reference, '') AS algorithm_reference, coalesce(quoted_text, '') AS quoted_text, coalesce(citations, '') AS citations
-FROM claims LEFT JOIN x USING (analysis_id, ordering, part)""")
+FROM claims LEFT JOIN x USING (claim_id)""")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claim_lines(views.claims(spark, sf_dir), views.citations(spark, sf_dir), ["analysis_id", "ordering", "part"])
+    return claim_lines(views.claims(spark, sf_dir), views.citations(spark, sf_dir), "claim_id", ["analysis_id", "ordering", "part"])
 
 
 _ENTITIES = "SELECT l_orderkey AS analysis_id, l_returnflag AS name, l_linestatus AS kind, count(*) AS mentions FROM lineitem GROUP BY ALL"

@@ -1,18 +1,18 @@
 """Golden values, round trips, stream and batch equality, intake."""
 
-import hashlib
 import math
 import random
 import re
 import unicodedata
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from almanac.functions import calendars as cal
 from almanac.functions import sky
 from almanac.functions import text as tx
-from almanac.operators import annotations, catalogues, claims, dating, joins, lunations, readers, retrieval, sky_tables, statements
+from almanac.operators import annotations, catalogues, claims, dating, joins, large_lexicon, lexical, lunations, readers, retrieval, sky_tables, statements
 from almanac.sources import intake
 from almanac.streaming import logs
 
@@ -143,34 +143,100 @@ def test_future_claims_and_caps(spark):
     assert got == [("uncertain", 0.55, 2), ("ai_hypothesis", 0.5, 1), ("source_text", 1.0, 0)]
 
 
-def plain_vector(text, dimensions=384):
+M64 = (1 << 64) - 1
+
+
+def plain_scrambled(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_vector(text, size=384):
     words = [w for w in re.findall(r"[\wͰ-῿Ⲁ-ⷿ]+", unicodedata.normalize("NFKC", text).lower()) if w not in tx.STOP_WORDS]
+    number = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+
+    def run(four):
+        x = 0
+        for c in four:
+            x = (x * 0xA0761D6478BD642F + ord(c) + 1) & M64
+        return plain_scrambled(x)
+
     counts = {}
-    for f, n in [(f"w:{w}", 1) for w in words] + [(f"b:{a}_{b}", 1) for a, b in zip(words, words[1:], strict=False)] + [(f"c:{f'^{w}$'[k : k + 4]}", 0.5) for w in words if len(w) > 4 for k in range(len(w) - 1)]:
+    for f, n in [(number(w), 1) for w in words] + [(plain_scrambled((number(a) * 0xD6E8FEB86659FD93 + number(b)) & M64), 1) for a, b in zip(words, words[1:], strict=False)] + [(run(f"^{w}$"[k : k + 4]), 0.5) for w in words if len(w) > 4 for k in range(len(w) - 1)]:
         counts[f] = counts.get(f, 0) + n
-    out = [0.0] * dimensions
+    out = [0.0] * size
     for f, n in counts.items():
-        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
-        out[h % dimensions] += (1 if h >> 63 else -1) * (1 + math.log(n))
+        out[f % size] += (1 if f >> 63 else -1) * (1 + math.log(n))
     norm = math.sqrt(sum(v * v for v in out))
     return [v / norm for v in out] if norm else out, set(words)
 
 
 def test_vectors_equal_a_plain_version(spark):
-    texts = ["the moon shall be darkened", "ΛΌΓΟΣ ﬁnal Nebuchadnezzar", "", None, "moon moon moon"]
-    got = {r["k"]: r for r in retrieval.embed(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k").collect()}
-    for k, t in enumerate(texts):
-        want, words = plain_vector(t or "")
-        assert all(abs(a - b) < 1e-12 for a, b in zip(got[k]["vector"], want, strict=True)) and len(got[k]["tokens"]) == len(words)
+    texts = ["the moon shall be darkened", "ΛΌΓΟΣ ﬁnal Nebuchadnezzar", "", None, "moon moon moon", "Babylon babylonian babylons " * 40, "a", "x y"]
+    for together in (lexical.TOGETHER, 10):
+        old, lexical.TOGETHER = lexical.TOGETHER, together
+        got = {r["k"]: r for r in lexical.embed(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k").collect()}
+        lexical.TOGETHER = old
+        for k, t in enumerate(texts):
+            want, words = plain_vector(t or "")
+            assert all(abs(a - b) < 1e-12 for a, b in zip(got[k]["vector"], want, strict=True)) and len(got[k]["tokens"]) == len(words)
+            assert got[k]["tokens"] == sorted(got[k]["tokens"])
+    assert lexical.embed(spark.createDataFrame([], "k int, text string"), "k").count() == 0
 
     class Lengths:
-        dimensions = 1
+        size = 1
+
+        def vectors(self, texts):
+            return np.array([[float(len(t))] for t in texts])
+
+    own = lexical.embed(spark.createDataFrame([(1, "abc", "z"), (2, None, None)], "k int, text string, other string"), "k", Lengths(), ["other"]).collect()
+    assert [(r["k"], r["other"], r["vector"]) for r in own] == [(1, "z", [3.0]), (2, None, [0.0])]
+
+
+def test_pruned_search_equals_all_pairs(spark):
+    rng = random.Random(8)
+    tongues = [[f"{a}{b}{k}" for a in "klmn" for b in "aeiou"] for k in range(4)]
+    works = spark.createDataFrame([(k, " ".join(rng.choices(tongues[k % 4], k=rng.choice([3, 20, 80])))) for k in range(90)], "id long, text string")
+    texts = [" ".join(rng.choices(tongues[k % 4] if k % 5 else sum(tongues, []), k=rng.choice([1, 15, 200]))) for k in range(60)] + ["", "zz"]
+    w, q = lexical.embed(works, "id"), lexical.embed(spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(texts)], "id string, text string"), "id")
+    want = retrieval.top_k(q, w, 4, overlap=0.02, itself=True)
+    for size in (10, 1000):
+        got = retrieval.pruned_top_k(q, w, 4, size=size)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    # with works of like words together, a text meets the blocks of its own words only
+    placed = retrieval._blocks(w, 10)
+    assert placed.count() == 90 and placed.select("block").distinct().count() > 4
+    assert retrieval.pruned_top_k(q.limit(0), w, 4).count() == 0 and retrieval.pruned_top_k(q, w.limit(0), 4).count() == 0
+
+
+def test_sources_of_rows_with_null_and_repeated_ids(spark):
+    works = [(k, f"{w} {w}s of the {w} king and his {w} house") for k, w in enumerate("moon river temple lamb".split())] + [(None, "no id")]
+    docs = [(None, works[1][1], "a"), (None, works[2][1], "b"), (7, works[3][1], "c"), (7, works[0][1], "d"), (7, works[0][1], "e"), (8, None, "f")]
+    got = {}
+    for r in retrieval.identify_sources(spark.createDataFrame(docs, "doc_id long, text string, mark string"), spark.createDataFrame(works, "item_id long, text string"), keep=["mark"]).where("place = 1").collect():
+        assert r["mark"] not in got
+        got[r["mark"]] = (r["doc_id"], r["item_id"], r["identified"])
+    assert got == {"a": (None, 1, True), "b": (None, 2, True), "c": (7, 3, True), "d": (7, 0, True), "e": (7, 0, True), "f": (8, None, False)}
 
-        def embed_batch(self, texts):
-            return [[float(len(t or ""))] for t in texts]
 
-    own = retrieval.embed(spark.createDataFrame([(1, "abc")], "k int, text string"), "k", Lengths()).first()
-    assert own["vector"] == [3.0]
+def test_claim_lines_of_repeated_places(spark, tmp_path):
+    """Two lines of one order, line and part keep their own citations, in Spark and in SQL."""
+    import duckdb
+
+    from almanac import plans
+
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").limit(40)
+    twice = rows.unionByName(rows.withColumn("l_suppkey", F.col("l_suppkey") + 1)).unionByName(rows).unionByName(rows.withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 1 day")))
+    twice.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{DATA}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "events"):
+        con.sql(f"create view {t} as select * from '{DATA if t == 'events' else tmp_path}/{t}.parquet{'' if t == 'events' else '/*.parquet'}'")
+    names = ["claim_id", "ordering", "part", "statement", "engine", "citations"]
+    got = sorted(tuple(r[n] for n in names) for r in plans.QUERIES["a8_claim_csv"](spark, str(tmp_path)).collect())
+    want = sorted(map(tuple, con.sql(plans.ORACLE_SQL["a8_claim_csv"]).df()[names].itertuples(index=False, name=None)))
+    assert len(got) == 160 and len({r[0] for r in got}) == 160 and got == want
 
 
 def test_sources_equal_brute_force(spark):
@@ -231,7 +297,7 @@ def test_file_types(spark, tmp_path):
 
 
 def test_bundles(spark, tmp_path):
-    good = '{"dataset": {"key": "k"}, "sources": [{"slug": "s", "title": "t"}], "passages": [{"source_slug": "s", "reference_label": "1", "translation": "x"}], "events": [{"designation": "e", "is_computed": true}]}'
+    good = '{"dataset": {"key": "k", "name": "n", "license": "l"}, "sources": [{"slug": "s", "title": "t", "canonical_citation": "c", "license": "l"}], "passages": [{"source_slug": "s", "reference_label": "1", "translation": "x", "translation_credit": "w"}], "events": [{"designation": "e", "event_type": "comet", "label": "l", "is_computed": true}]}'
     (tmp_path / "good.json").write_text(good)
     (tmp_path / "bad.json").write_text(good.replace('"source_slug": "s"', '"source_slug": "none"').replace('"is_computed": true', '"is_computed": false'))
     assert intake.violations(intake.bundle(spark, f"file://{tmp_path}/good.json")).count() == 0
@@ -388,3 +454,148 @@ def test_stages_by_mode_and_lexicon_tables(spark):
     assert 0 < len(quick) < len(whole) and sorted(r["ordering"] for r in whole) == list(range(1, len(whole) + 1))
     entries = annotations.entries_of(annotations.lexicon_table(spark, [("Gorgon", "creature", ["gorgon"], None, None, None)]))
     assert [(r["name"], r["kind"]) for r in annotations.entities(docs, entries).collect()] == [("Gorgon", "creature")]
+
+
+def test_annotations_in_one_pass(spark, tmp_path):
+    real = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()][:20]
+    some = TEXTS + real + [None]
+    docs = spark.createDataFrame([(k, t, f"m{k}") for k, t in enumerate(some)], "doc_id long, text string, mark string").repartition(3)
+    rows = {r["doc_id"]: r for r in annotations.annotate(docs, keep=["mark"]).collect()}
+    assert len(rows) == len(some) and all(r["mark"] == f"m{k}" for k, r in rows.items())
+    for name, alone in (("numbers", annotations.numbers), ("markers", annotations.markers), ("dates", annotations.dates), ("entities", annotations.entities)):
+        want = {}
+        for r in alone(docs).collect():
+            want.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+        assert {k: [tuple(x) for x in r[name]] for k, r in rows.items() if r[name]} == want
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    read = spark.read.parquet(f"file://{tmp_path}/docs")
+    for made in (statements.claims_of_annotations(read), dating.searches(read), statements.timeline(read, sky=False)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    assert "Exchange" not in statements.claims_of_annotations(read)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_years_in_arrays_equal_placed_dates(spark):
+    texts = [f"In A.M. {y} and A.H. {y % 1500 + 1}; {y} BC, Olympiad {y % 300 + 1}." for y in range(1, 9999, 37)] + ["12.19.6.15.2 and A.M. 99"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = annotations.place(annotations.resolve(annotations.dates(docs))).where("resolvable")
+    year = F.when(F.col("calendar").isin("julian", "olympiad"), F.col("year")).otherwise(cal.to_gregorian(F.col("first_rd"))["year"])
+    want = {}
+    for r in placed.select("doc_id", "start", year.alias("y")).where("y between -3000 and 3000").orderBy("start").collect():
+        want.setdefault((r["doc_id"], r["y"]), r["start"])
+    got = {(r["doc_id"], r["year"]): r["start"] for r in statements.named_years(docs).collect()}
+    assert got == want and len(got) > 300
+    # the years that Hebrew and Islamic years begin in, against the day numbers of their first days
+    years = spark.range(1, 40_000, 3).select(F.col("id").alias("year"), F.explode(F.array(F.lit("hebrew"), F.lit("islamic"))).alias("calendar"))
+    begins = annotations.place(years).withColumn("want", cal.to_gregorian(F.col("first_rd"))["year"])
+    assert begins.where(annotations.year_of(F.col("calendar"), F.col("year")) != F.col("want")).count() == 0
+
+
+def test_claims_of_rows_with_null_and_repeated_ids(spark):
+    many = "Seven and 40, 12, 3, 4, 7, 10, 50, 70, 144, 153, 216, 360, 432, 666. " + "Thus saith the Lord. " * 12
+    docs = spark.createDataFrame([(None, many), (None, "585 BC."), (4, many), (4, "In 585 BC the sun was darkened."), (4, None)], "doc_id long, text string")
+    rows = {}
+    for r in statements.claims_of_annotations(docs).collect():
+        rows.setdefault((r["doc_id"], r["text_key"]), []).append(r)
+    assert len(rows) == 4 and all(sorted(r["ordering"] for r in v) == list(range(1, len(v) + 1)) for v in rows.values())
+    full = [v for v in rows.values() if len(v) > 20]
+    assert len(full) == 2 and all(sum(r["section"] == "symbolism" for r in v) == 12 and sum(r["confidence"] == 0.85 and r["section"] == "key_entities" for r in v) == 10 for v in full)
+    modes = statements.claims_by_mode(docs).collect()
+    assert sum(r["statement"].startswith("The text, as it was given") for r in modes) == 4 and any("eclipse on -584-05-22" in r["statement"] for r in modes)
+    line = statements.timeline(docs, sky=False).collect()
+    assert sorted((r["doc_id"] or 0, r["year"]) for r in line if r["description"] == "585 BC") == [(0, -584), (4, -584)]
+
+
+def test_comets_near_eclipses_get_credit(spark):
+    asked = spark.createDataFrame([(1, "solar", True, True, 0, 100), (2, "lunar", False, True, 0, 100), (3, "either", False, True, 0, 100), (4, "solar", False, True, 200, 300)], "doc_id long, eclipse string, total boolean, comet boolean, first long, last long")
+    asked = asked.selectExpr("*", "cast(null as array<string>) bodies", "cast(null as string) phase", "cast(null as int) dark_days", "cast(null as string) season")
+    day = "day_id long, kind string, year long, month int, day int, is_total boolean, phase string, season string, comet_gap int"
+    comet = (1, "comet", 50, 1, 1, False, None, None, 0)
+    # no eclipse in the span: days of comets, with the nearest eclipse of the wanted body by its distance
+    outside = [(2, "solar", 101, 1, 1, False, None, None, None), (3, "lunar", 250, 1, 1, False, None, None, None)]
+    near = {r["day_id"]: r for r in dating.near_eclipses(spark.createDataFrame([comet, (4, "solar", 49, 12, 2, False, None, None, None), (5, "lunar", 50, 5, 31, True, None, None, None), (6, "solar", 50, 9, 1, True, None, None, None)], day)).collect()}
+    assert (near[1]["near_solar"]["off"], near[1]["near_solar"]["whole"], near[1]["near_lunar"]["off"]) == (30, False, 150)
+    got = {r["doc_id"]: r for r in dating.candidates(asked, spark.createDataFrame([comet, *outside], day)).collect()}
+    assert set(got) == {1, 2, 3} and all(r["unmatched"] == ["eclipse"] and abs(r["fit"] - 0.6 / 1.6) < 1e-9 for r in got.values())
+    # the last day of the span has an eclipse a month after a comet of its own
+    late = (7, "comet", 100, 12, 15, False, None, None, 0)
+    found = {r["doc_id"]: r for r in dating.candidates(asked.where("doc_id < 3"), spark.createDataFrame([late, *outside[:1]], day)).collect()}
+    credit = (1 - 0.6 * (17 - 15) / 165) * 0.7
+    assert abs(found[1]["fit"] - (credit + 0.6) / 1.6) < 1e-9 and found[1]["matched"] == ["eclipse", "comet"] and found[2]["matched"] == ["comet"]
+    # where the span has an eclipse, comets are no days of their own
+    both = dating.candidates(asked, spark.createDataFrame([comet, (8, "solar", 60, 1, 1, True, None, None, None)], day)).collect()
+    assert {(r["doc_id"], r["kind"]) for r in both} == {(1, "solar"), (2, "comet"), (3, "solar")}
+
+
+def test_stage_runs_count_while_they_write(spark):
+    docs = spark.createDataFrame([(1, "In 585 BC the sun was darkened. Seven seals."), (2, "The moon became as blood."), (3, None)], "doc_id long, text string")
+
+    def broken(docs):
+        return docs.select("doc_id", F.raise_error(F.lit("no such sky")).cast("string").alias("claim_type"), F.lit(0.5).alias("confidence"))
+
+    found, runs = statements.run_mode(docs, stages=[statements.claims_of_annotations, broken, statements.claims_of_sky])
+    assert [r.status for r in runs] == ["completed", "failed", "completed"] and statements.outcome(runs) == "partial" and "no such sky" in runs[1].error
+    for run, stage in ((runs[0], statements.claims_of_annotations), (runs[2], statements.claims_of_sky)):
+        rows = stage(docs).collect()
+        grade = {"source_text", "verified_history", "astronomical_calculation"}
+        assert (run.claims, run.evidence) == (len(rows), sum(r["claim_type"] in grade for r in rows)) and abs(run.confidence - sum(r["confidence"] for r in rows) / len(rows)) < 1e-9
+    want = statements.claims_by_mode(docs).select(*found.columns)
+    assert found.count() == want.count() and found.exceptAll(want).count() == 0
+    none, failed = statements.run_mode(docs, stages=[broken])
+    assert none.count() == 0 and statements.outcome(failed) == "failed" and statements.trace_table(spark, failed).first()["outcome"] == "failed"
+
+
+def test_large_lexicon_equals_plain_patterns(spark):
+    rng = random.Random(12)
+    words = ["sun", "moon", "sun's", "red", "the", "of", "Été", "łódź", "x1", "_", "star-fire", "İz"]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    entries = [(f"n{k}", rng.choice("ab"), [make(rng.randint(1, 4)) for _ in range(rng.randint(0, 3))]) for k in range(300)] + [("odd", "a", ["!sun", "moon.", "", None]), ("twin", "a", ["the moon"]), ("twin", "b", ["the moon", "THE  Moon"])]
+    texts = [rng.choice(["", "(", "\n"]) + rng.choice([" ", "  ", " ", ", "]).join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(80)] + [None, "", "The Moon of the moon's", "SUN SUN", make(3000)]
+    docs = spark.createDataFrame([(None if k % 9 == 0 else k % 40, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = large_lexicon.mentions(docs, spark.createDataFrame(entries, "name string, kind string, phrases array<string>"))
+    got = sorted(tuple((x is not None, x) for x in r) for r in found.collect())
+    want = set()
+    for k, t in enumerate(texts):
+        low = large_lexicon._lowered(t or "")
+        for kind in "ab":
+            spans = {(m.start(), -m.end(1), name) for name, g, ps in entries if g == kind for p in ps if p and re.fullmatch(r"\w(.*\w)?", q := re.sub(r"\s+", " ", p.lower().strip())) for m in re.finditer(rf"(?<!\w)(?=({re.escape(q)})(?!\w))", low)}
+            stop = 0
+            for a, b, name in sorted(spans):
+                if a >= stop:
+                    stop = -b
+                    want.add((k, a, stop, t[a:stop], name, kind))
+    seen = {(None if k % 9 == 0 else k % 40, texts[k], *r) for k, *r in want}
+    want = sorted(tuple((x is not None, x) for x in (d, *r)) for d, _, *r in seen)
+    assert [x for x in want if x not in got] == [] and [x for x in got if x not in want] == [] and got == want and len(got) > 200
+    assert large_lexicon.mentions(docs.limit(0), spark.createDataFrame(entries, "name string, kind string, phrases array<string>")).count() == 0
+    many = spark.range(100_000).select(F.concat(F.lit("entry "), "id").alias("name"), F.lit("k").alias("kind"), F.array(F.concat(F.lit("name "), "id", F.lit(" of things"))).alias("phrases"))
+    few = large_lexicon.mentions(spark.createDataFrame([(1, "Name 77 of things, name 99999 of things; name 100000 of things")], "doc_id long, text string"), many)
+    assert sorted((r["start"], r["name"]) for r in few.collect()) == [(0, "entry 77"), (19, "entry 99999")]
+
+
+def test_claims_of_sources_tell_of_disputed_dates(spark):
+    works = [(k, f"{w} {w}s of the {w} king and his {w} house", n) for k, (w, n) in enumerate([("moon", "before or after the fall"), ("river", None), ("temple", " ")])]
+    docs = spark.createDataFrame([(1, works[0][1]), (None, works[1][1]), (None, works[2][1]), (4, "quite other things"), (5, None)], "doc_id long, text string")
+    got = {}
+    for r in statements.claims_of_sources(docs, spark.createDataFrame(works, "item_id long, text string, dating_note string")).orderBy("ordering").collect():
+        got.setdefault((r["doc_id"], r["text_key"]), []).append((r["ordering"], r["claim_type"], r["statement"]))
+    assert len(got) == 4 and all([x[0] for x in v] == list(range(1, len(v) + 1)) for v in got.values())
+    last = {v[0][2]: v[-1] for v in got.values()}
+    assert last["The text corresponds to work 0."][1:] == ("scholarly_interpretation", "The date of work 0: before or after the fall")
+    assert not any("date of work" in x[2] for v in got.values() for x in v if "work 0" not in v[0][2])
+    assert ("uncertain", "No work of the corpus is close to this text.") in {x[1:] for v in got.values() for x in v}
+
+
+def test_pages_filter_by_owner_project_and_tag(spark):
+    from almanac.operators import reports
+
+    rows = [(k, k % 3, k % 2, "ab"[k % 2], k % 4 == 0, f"Title_{k % 5}%", k // 2) for k in range(60)]
+    analyses = spark.createDataFrame(rows, "analysis_id long, owner_id long, project_id long, status string, is_favorite boolean, title string, created_at long")
+    tags = spark.createDataFrame([(k, "sky") for k in range(0, 60, 3)] * 2 + [(1, "sea")], "analysis_id long, slug string")
+    for asked, keep in (
+        ({"owner": 1}, lambda r: r[1] == 1), ({"project": 0, "favourite": True}, lambda r: r[2] == 0 and r[4]), ({"tag": "sky", "status": "b"}, lambda r: r[0] % 3 == 0 and r[3] == "b"), ({"title": "LE_3%"}, lambda r: r[5] == "Title_3%"),
+        ({"tag": "none"}, lambda r: False), ({}, lambda r: True),
+    ):
+        want = sorted((r for r in rows if keep(r)), key=lambda r: (-r[6], r[0]))
+        got = reports.analyses_page(analyses, tags, limit=5, offset=2, **asked).collect()
+        assert [r["analysis_id"] for r in got] == [r[0] for r in want[2:7]] and all(r["total"] == len(want) for r in got)
