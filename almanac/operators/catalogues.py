@@ -96,10 +96,17 @@ def near_dates(dates: DataFrame) -> DataFrame:
     return found.unionByName(novae).unionByName(shown)
 
 
+# fixed values: seconds that the time of an event may be off, as (from this year on, seconds, more for each year, before
+# this year), and for all years before
+CLOCK_OFF = [(1955, 0.1, 0.0, 1955), (1600, 2.0, 0.0, 1600), (1000, 20.0, 0.5, 1600), (0, 320.0, 1.2, 1000)]
+CLOCK_OFF_LEAST, CLOCK_OFF_FROM, CLOCK_OFF_SQUARE = 600.0, 1820, 0.8 * 32 * 0.25
+
+
 def time_uncertainty(year: Column) -> Column:
     """Struct of ΔT, its uncertainty in seconds, that of the longitude in degrees, and which of three cases holds."""
-    before_0 = F.greatest(F.lit(600.0), 0.8 * F.pow((year - 1820) / 100, F.lit(2)) * 32 * 0.25)
-    seconds = F.when(year >= 1955, 0.1).when(year >= 1600, 2.0).when(year >= 1000, 20 + (1600 - year) * 0.5).when(year >= 0, 320 + (1000 - year) * 1.2).otherwise(before_0)
+    seconds = F.greatest(F.lit(CLOCK_OFF_LEAST), CLOCK_OFF_SQUARE * F.pow((year - CLOCK_OFF_FROM) / 100, F.lit(2)))
+    for first, base, more, before in reversed(CLOCK_OFF):
+        seconds = F.when(year >= first, base + (before - year) * more if more else F.lit(base)).otherwise(seconds)
     degrees = seconds / 3600 * 15
     case = F.when(seconds < 1, "exact").when(degrees < 1, "under a degree").otherwise("place unsettled")
     return F.struct(sky.delta_t(year).alias("delta_t"), seconds.alias("seconds"), degrees.alias("degrees"), case.alias("note"))

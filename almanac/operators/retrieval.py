@@ -22,8 +22,10 @@ FLOOR, OVERLAP_FLOOR = 0.18, 0.02
 STRONG, STRONG_OVERLAP, MODERATE = 0.45, 0.20, 0.25
 #: Queries and rows of a tile of the exact search, and queries whose scores are held at once.
 QUERIES, ROWS, SCORED = 512, 8192, 128
-#: Cells of the approximate search, the rows that they are fitted on at most, and cells that a query looks into.
-CELLS, FITTED, PROBES = 64, 4096, 24
+#: Of the approximate search: cells at most (about the root of the rows), rows for a cell that centres are fitted on,
+#: share of the nearest rows of the sample that the cells of a query must hold, steps of a code, and candidates that are
+#: ranked exactly for each row that is asked for.
+CELLS, FITTED, HELD, LEVELS, OVERFETCH = 4096, 16, 0.97, 7, 8
 #: Fixed references that every document gets at most.
 FIXED = 1000
 
@@ -169,8 +171,9 @@ def _blocks(works: DataFrame, rows: int) -> DataFrame:
     n = works.count()
     if n <= rows:
         return works.withColumn("block", F.lit(0))
-    sample = works.select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
-    near = _nearest(works.sparkSession, _cells(np.array([r["vector"] for r in sample], np.float64), min(CELLS, -(-n // rows))))
+    cells = min(CELLS, -(-n // rows))
+    sample = works.select("vector").orderBy(F.xxhash64("id")).limit(FITTED * cells).collect()
+    near = _nearest(works.sparkSession, _cells(np.array([r["vector"] for r in sample], np.float64), cells))
     placed = written(works.withColumn("cell", near(1)("vector")[0]))
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
     return placed.join(parts, "cell").withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("id", F.lit(6)), F.col("n")))).drop("cell", "n")
@@ -238,17 +241,104 @@ def _nearest(spark: SparkSession, fitted: np.ndarray):
     return near
 
 
-def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """top_k() over an index: rows lie in the cell of their nearest centre, queries look into the cells of their
-    nearest ones and then rank exactly. The centres are fitted on FITTED rows by hash; every row is indexed."""
-    sample = rows.where("vector is not null").select("vector").orderBy(F.xxhash64("id")).limit(FITTED).collect()
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, held: float) -> int:
+    """How many of its nearest cells a query must look into to meet `held` of its k nearest rows, measured on the sample."""
+    x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    own = (x @ centres.T).argmax(axis=1)
+    some = np.random.default_rng(2).permutation(len(x))[:256]
+    scores = x[some] @ x.T
+    scores[np.arange(len(some)), some] = -2
+    best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = np.argsort(-(x[some] @ centres.T), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centres))[None].repeat(len(some), 0), axis=1)
+    needed = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(held * len(needed))))]) + 1 if len(needed) else 1
+
+
+def _coded(centres):
+    """Unit vectors -> cell of the nearest centre, and the rest in bytes of few steps with its scale."""
+
+    @F.pandas_udf("cell int, code binary, scale double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = centres.value
+        for some in batches:
+            fits = np.array([v is not None and len(v) == own.shape[1] for v in some])
+            x = np.array([v if f else np.zeros(own.shape[1]) for v, f in zip(some, fits, strict=True)], np.float64).reshape(len(some), -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            cell = (x @ own.T).argmax(axis=1)
+            rest = x - own[cell]
+            scale = np.maximum(np.abs(rest).max(axis=1), 1e-12)
+            code = np.rint(rest / scale[:, None] * LEVELS).astype(np.int8)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "code": [c.tobytes() if f else None for c, f in zip(code, fits, strict=True)], "scale": scale / LEVELS})
+
+    return run
+
+
+def _coded_tile(centres, k: int, itself: bool):
+    """The k rows of a tile that are nearest to each of its queries by their codes."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        own = centres.value
+        asked = np.asarray(tile["asked"].combine_chunks())
+        ids, names = np.asarray(tile["row_id"].combine_chunks().fill_null(0)), tile["query_id"].combine_chunks()
+        same = np.asarray(tile["itself"].combine_chunks().fill_null(0))
+        q, r = np.nonzero(asked)[0], np.nonzero(~asked)[0]
+        x, rows, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(q) and len(r):
+            code = np.frombuffer(b"".join(tile["code"].take(pa.array(r)).to_pylist()), np.int8).reshape(len(r), -1)
+            cell, scale = (np.asarray(tile[c].combine_chunks().fill_null(0))[r] for c in ("cell", "scale"))
+            near = (own[cell] + code * scale[:, None]).astype(np.float32)
+            values, first, size = _matrix(tile["vector"])
+            asks = _unit(values, first[q], int(size[q[0]])).astype(np.float32)
+            for lo in range(0, len(q), SCORED):
+                scores = asks[lo : lo + SCORED] @ near.T
+                if not itself:
+                    scores[same[q[lo : lo + SCORED]][:, None] == ids[r][None]] = -2
+                best = np.argpartition(-scores, min(k, len(r)) - 1, axis=1)[:, :k]
+                x.append(np.repeat(q[lo : lo + SCORED], best.shape[1]))
+                rows.append(ids[r][best].ravel())
+                score.append(np.take_along_axis(scores, best, 1).ravel().astype(np.float64))
+        return pa.Table.from_arrays([names.take(pa.array(np.concatenate(x))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(score))], names=["query_id", "row_id", "score"])
+
+    return run
+
+
+def approximate_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = FLOOR, cells: int | None = None, held: float = HELD, itself: bool = False) -> DataFrame:
+    """As top_k() over an index, with few rows read in full: query_id, row_id, score (exact), place.
+
+    Rows lie in the cell of their nearest centre, about as many cells as the root of the rows, fitted on FITTED rows a
+    cell by hash. Of each a short code is kept, a byte for a number of what the centre leaves. A query looks at the codes
+    of as many cells as the sample shows to hold `held` of the nearest rows: few where vectors lie in groups, most where
+    they lie evenly. Its OVERFETCH x k nearest by code are then read and ranked exactly. Every row is indexed; hot cells
+    and the queries of a cell are dealt to tiles of bounded size. Vectors of another length than the sample's, null and
+    zero ones are not found. Ties go to the smaller id.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    cells = cells or max(1, min(CELLS, round(n**0.5)))
+    sample = [r["vector"] for r in rows.where("vector is not null").select("vector").orderBy(F.xxhash64("id")).limit(FITTED * cells).collect()]
+    sample = [v for v in sample if len(v) == len(sample[0])]
     if not sample:
-        return top_k(queries, rows, k, floor)
-    near = _nearest(rows.sparkSession, _cells(np.array([r["vector"] for r in sample], np.float64), cells))
-    a = queries.withColumn("cell", F.explode(near(min(probes, cells))("vector")))
-    b = rows.withColumn("cell", near(1)("vector")[0])
-    # a row lies in one cell, so a query meets it once at most
-    return top_k(a.select("id", "vector", "cell"), b.select("id", "vector", "cell"), k, floor, by="cell")
+        return top_k(queries, rows, k, floor).drop("overlap")
+    x = np.array(sample, np.float64)
+    fitted = _cells(x, min(cells, len(x)))
+    centres, probes = spark.sparkContext.broadcast(fitted), _probes(x, fitted, k, held)
+    kind, size = queries.schema["id"].dataType.simpleString(), F.size("vector") == x.shape[1]
+    some = written(rows.where(F.col("vector").isNotNull() & size).withColumn("c", _coded(centres)("vector")).select("id", "c.*"))
+    asks = queries.where(F.col("vector").isNotNull() & size)
+    a = _side(asks.withColumn("cell", F.explode(_nearest(spark, fitted)(probes)("vector"))), True, False, kind, itself).withColumns({"code": F.lit(None).cast("binary"), "scale": F.lit(None).cast("double")})
+    b = _side(some.withColumn("vector", F.lit(None).cast("array<double>")), False, False, kind, itself)
+    blocks = lambda df, m, name: df.groupBy("cell").agg(F.ceil(F.count("*") / m).cast("int").alias(name))
+    counts = blocks(a, QUERIES, "nq").join(blocks(b, ROWS, "nr"), "cell")
+    own, every = (lambda m: F.pmod(F.xxhash64("id", F.lit(5)), F.col(m)).cast("int")), (lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    keys, columns = ["cell", "i", "j"], ["query_id", "row_id", "itself", "vector", "asked", "code", "scale"]
+    left = a.join(counts, "cell").withColumn("i", own("nq")).withColumn("j", every("nr")).select(*keys, *columns)
+    right = b.join(counts, "cell").withColumn("j", own("nr")).withColumn("i", every("nq")).select(*keys, *columns)
+    found = left.unionByName(right).groupBy(*keys).applyInArrow(_coded_tile(centres, OVERFETCH * k, itself), f"query_id {kind}, row_id long, score double")
+    close = best(found, "query_id", [F.desc("score"), F.col("row_id")], OVERFETCH * k).select("query_id", "row_id")
+    exact = close.join(rows.select(F.col("id").cast("long").alias("row_id"), F.col("vector").alias("v")), "row_id").join(asks.select(F.col("id").alias("query_id"), F.col("vector").alias("u")), "query_id")
+    scored = exact.select("query_id", "row_id", F.round(cosine(F.col("u"), F.col("v")), 9).alias("score")).where(F.col("score") >= floor)
+    return best(scored, "query_id", [F.desc("score"), F.col("row_id")], k)
 
 
 def identify_sources(docs: DataFrame, corpus: DataFrame, k: int = 4, vectorizer: Vectorizer | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 from ..operators.statements import claims_of_annotations
 from ..plans import views
 from ..plans.registry import query, table
+from ..plans.written import shared_dir
 
 # fixed values: requests an hour by role
 LIMITS = {"anonymous": 10, "user": 120, "admin": 1000}
@@ -20,10 +20,8 @@ LATE = "1 hour"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's state and rows, where driver and executors reach it."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:

@@ -599,3 +599,28 @@ def test_pages_filter_by_owner_project_and_tag(spark):
         want = sorted((r for r in rows if keep(r)), key=lambda r: (-r[6], r[0]))
         got = reports.analyses_page(analyses, tags, limit=5, offset=2, **asked).collect()
         assert [r["analysis_id"] for r in got] == [r[0] for r in want[2:7]] and all(r["total"] == len(want) for r in got)
+
+
+def test_index_reads_few_rows_in_full_and_finds_most(spark):
+    real = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    pairs = lambda found: {(r["query_id"], r["row_id"]): r["score"] for r in found.collect()}
+    asks = real.where("id % 20 = 0")
+    exact, near = pairs(retrieval.top_k(asks, real, 5)), pairs(retrieval.approximate_top_k(asks, real, 5))
+    assert len(exact.keys() & near.keys()) >= 0.95 * len(exact) and all(abs(exact[x] - near[x]) < 1e-8 for x in exact.keys() & near.keys())
+    assert 5 * retrieval.OVERFETCH < 0.1 * real.count()  # what a query reads in full
+    # where vectors lie in groups, a query looks into few cells
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    rows = [(k, (base[k % 40] + 0.2 * rng.normal(size=16)).tolist()) for k in range(1600)] + [(5000, None), (5001, [1.0]), (5002, [0.0] * 16)]
+    x = np.array([v for _, v in rows[:1600]])
+    centres = retrieval._cells(x, 40)
+    assert retrieval._probes(x, centres, 5, 0.97) <= 8 and retrieval._probes(rng.normal(size=(640, 64)), retrieval._cells(rng.normal(size=(640, 64)), 40), 5, 0.97) > 20
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    old = retrieval.QUERIES, retrieval.ROWS
+    retrieval.QUERIES, retrieval.ROWS = 7, 20
+    try:
+        exact, near = pairs(retrieval.top_k(df.where("id % 10 = 0"), df, 5)), pairs(retrieval.approximate_top_k(df.where("id % 10 = 0"), df, 5))
+    finally:
+        retrieval.QUERIES, retrieval.ROWS = old
+    assert len(exact.keys() & near.keys()) >= 0.95 * len(exact)
+    assert retrieval.approximate_top_k(df.limit(0), df, 5).count() == 0 and retrieval.approximate_top_k(df, df.limit(0), 5).count() == 0
