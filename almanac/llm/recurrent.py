@@ -75,9 +75,10 @@ def initial(shape: Shape, mass: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probability of each row's goal, and the exponentials of x (in its place) and their sums."""
-    if np.abs(x).max(initial=0) > 60:
+def _softmax(x: np.ndarray, goal: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each row's goal, and the exponentials of x (in its place) and their sums. most: a bound of x,
+    beyond which rows are moved before the exponential."""
+    if most > 60:
         x -= x.max(axis=1, keepdims=True)
     picked = x[np.arange(len(x)), goal]
     e = np.exp(x, out=x)
@@ -88,7 +89,11 @@ def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _outputs(shape: Shape, p: dict, h: np.ndarray, goal: np.ndarray, grad: dict | None = None):
     """Natural log probability of each goal given its state; with grad, gradients are added and that of h returned."""
     kind = shape.class_of(goal)
-    out, d, total = _softmax(h @ p["wc"] + p["bc"], kind)
+    # states lie between -1 and 1, so the weights bound all outputs, without a look at them
+    x = h @ p["wc"]
+    x += p["bc"]
+    out, d, total = _softmax(x, kind, float((np.abs(p["wc"]).sum(axis=0) + np.abs(p["bc"])).max()))
+    most = (np.abs(p["ww"]).sum(axis=1) + np.abs(p["bw"])).max(axis=1).tolist()
     dh = None
     if grad is not None:
         d /= total[:, None]
@@ -102,7 +107,9 @@ def _outputs(shape: Shape, p: dict, h: np.ndarray, goal: np.ndarray, grad: dict
     for k in np.nonzero(np.diff(edges))[0].tolist():
         lo, hi = edges[k], edges[k + 1]
         own = sorted_h[lo:hi]
-        got, d, total = _softmax(own @ p["ww"][k] + p["bw"][k], word[lo:hi])
+        x = own @ p["ww"][k]
+        x += p["bw"][k]
+        got, d, total = _softmax(x, word[lo:hi], most[k])
         out[order[lo:hi]] += got
         if grad is not None:
             d /= total[:, None]
