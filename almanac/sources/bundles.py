@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,11 @@ def corpus_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Stor
     return Store(spark, root, corpus_tables(), buckets)
 
 
-def load(store: Store, path: str, dry_run: bool = False) -> Load:
-    """Load the bundles of a path (a JSON object a file) into a store: all of them, or none where anything is wrong with
-    any. Rows replace those of their keys; loading the same bundle again changes nothing that a reader sees. A dry run
-    only looks for problems."""
-    parts = {k: written(v) for k, v in bundle(store.spark, path).items()}
+def load(store: Store, path: str, dry_run: bool = False, lines: bool = False) -> Load:
+    """Load the bundles of a path (a JSON object a file, or a line) into a store: all of them, or none where anything is
+    wrong with any. Rows replace those of their keys; loading the same bundle again changes nothing that a reader sees. A
+    dry run only looks for problems."""
+    parts = {k: written(v) for k, v in bundle(store.spark, path, lines).items()}
     problems = written(violations(parts))
     refused = problems.count()
     if not parts["sources"].take(1):
@@ -85,26 +86,34 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(parts)
 
 
-def _bundles(spark: SparkSession, sf_dir: str, revised: bool) -> str:
-    """A folder of bundles, one for each nation: its suppliers as sources, their lines as passages, and the events of
-    users of a supplier's number. Of the revised ones only the suppliers in debt, under other titles, with new events."""
+#: About how many rows a bundle holds at most; what belongs to a dataset is dealt to as many bundles as that takes.
+ROWS = 25_000
+
+
+def _bundles(spark: SparkSession, sf_dir: str, revised: bool, most: int = ROWS) -> str:
+    """A folder of bundles, one a line: of each nation its suppliers as sources, their lines as passages, and the events of
+    users of a supplier's number. Of the revised ones only the suppliers in debt, under other titles, with new events.
+
+    A nation's rows are dealt to bundles by their hash, so that none grows with the tables, whatever a nation holds."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey")
     suppliers = suppliers.where("s_acctbal < 0") if revised else suppliers
     slug = F.concat(F.lit("s"), "s_suppkey")
     title = F.concat("s_name", F.lit(", revised" if revised else ""))
-    source = suppliers.select("s_nationkey", F.struct(slug.alias("slug"), title.alias("title"), F.col("s_name").alias("canonical_citation"), F.lit("free").alias("license"), F.col("n_name").alias("tradition")).alias("x"))
+    source = suppliers.select("s_nationkey", F.struct(slug.alias("slug"), title.alias("title"), F.col("s_name").alias("canonical_citation"), F.lit("free").alias("license"), F.col("n_name").alias("tradition")).alias("sources"))
     own = suppliers.select("s_nationkey", F.col("s_suppkey").alias("l_suppkey"), slug.alias("source_slug"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part")).join(own, "l_suppkey")
-    passage = lines.select("s_nationkey", F.struct("source_slug", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("reference_label"), F.concat(F.lit("part "), "part").alias("translation"), F.lit("own").alias("translation_credit")).alias("x"))
+    passage = lines.select("s_nationkey", F.struct("source_slug", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("reference_label"), F.concat(F.lit("part "), "part").alias("translation"), F.lit("own").alias("translation_credit")).alias("passages"))
     seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("l_suppkey"), "event_id", "event_type").distinct().join(own, "l_suppkey")
-    event = seen.select("s_nationkey", F.struct(F.concat(F.lit("e"), F.col("event_id") + (10**9 if revised else 0)).alias("designation"), "event_type", F.concat(F.lit("seen by "), "source_slug").alias("label"), "source_slug").alias("x"))
-    listed = lambda df, name: df.groupBy("s_nationkey").agg(F.collect_list("x").alias(name))
-    whole = listed(source, "sources").join(listed(passage, "passages"), "s_nationkey", "left").join(listed(event, "events"), "s_nationkey", "left")
+    event = seen.select("s_nationkey", F.struct(F.concat(F.lit("e"), F.col("event_id") + (10**9 if revised else 0)).alias("designation"), "event_type", F.concat(F.lit("seen by "), "source_slug").alias("label"), "source_slug").alias("events"))
+    n = -(-sum(table(spark, sf_dir, t).count() for t in ("supplier", "lineitem", "events")) // most) or 1
+    dealt = lambda df, x: df.withColumn("_piece", F.pmod(F.xxhash64(x), F.lit(n)))
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (dealt(source, "sources"), dealt(passage, "passages"), dealt(event, "events")))
+    whole = rows.groupBy("s_nationkey", "_piece").agg(*(F.collect_list(x).alias(x) for x in ("sources", "passages", "events")))
     path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
     dataset = F.struct(F.concat(F.lit("nation "), "s_nationkey").alias("key"), F.lit("suppliers").alias("name"), F.lit("free").alias("license"))
-    whole.select(F.to_json(F.struct(dataset.alias("dataset"), "sources", "passages", "events")).alias("value"), "s_nationkey").write.partitionBy("s_nationkey").text(path)
-    return f"{path}/*"
+    whole.select(F.to_json(F.struct(dataset.alias("dataset"), "sources", "passages", "events")).alias("value")).write.text(path)
+    return path
 
 
 _OWN = "s_suppkey, concat('s', s_suppkey) AS slug, s_name, s_acctbal < 0 AS revised, s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"
@@ -119,8 +128,8 @@ UNION ALL SELECT DISTINCT 'datasets', concat('nation ', s_nationkey), 'suppliers
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store after a load of all bundles and one of the revised ones, whose rows replace those of their keys."""
     store = corpus_store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8)
-    load(store, _bundles(spark, sf_dir, False))
-    load(store, _bundles(spark, sf_dir, True))
+    load(store, _bundles(spark, sf_dir, False), lines=True)
+    load(store, _bundles(spark, sf_dir, True), lines=True)
     s, p, e, d = (store.read(t) for t in ("sources", "passages", "events", "datasets"))
     show = lambda df, part, name, content: df.select(F.lit(part).alias("part"), name.alias("name"), F.col(content).alias("content"))
     rows = show(s, "sources", F.col("slug"), "title").unionByName(show(p, "passages", F.concat_ws(" ", "source_slug", "reference_label"), "translation"))

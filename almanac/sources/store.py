@@ -21,6 +21,8 @@ from ..plans.written import written
 
 #: Buckets of a table; the manifest has a line for each, and the driver reads these.
 BUCKETS = 64
+#: Up to how many tasks write the rows of a bucket.
+PARTS = 32
 _MANIFEST = "version long, name string, bucket int, folder string"
 
 
@@ -100,7 +102,9 @@ class Store:
                 same &= F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
             stays = old.alias("o").join(new.alias("n"), same, "left_anti").withColumn("_bucket", self._bucket(name))
             folder = f"{self.root}/{name}/v{version}-{mark}"
-            stays.select(*new.columns).unionByName(new).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            # a bucket is dealt to several tasks; Spark puts small ones together again
+            rows_of = stays.select(*new.columns).unionByName(new).repartition("_bucket", F.pmod(F.xxhash64(*kept.keys, F.lit(7)), F.lit(PARTS)))
+            rows_of.write.partitionBy("_bucket").parquet(folder)
             folders |= {(name, b): f"{folder}/_bucket={b}" for b in counts}
         if not folders:
             return Outcome(None, rows, touched)
