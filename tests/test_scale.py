@@ -19,3 +19,28 @@ def test_bundles_are_bounded_and_whole(spark):
     assert parts["passages"].count() == lines.join(own, "l_suppkey").count() > 3000
     # a nation has more than a thousand rows, a bundle at most about 500
     assert max(sizes) < 600
+
+
+def test_days_that_no_search_can_tell_apart_are_bounded(spark):
+    from almanac.operators import dating
+
+    row = "'solar' AS kind, 100 AS year, 1 AS month, CAST(1 + id % 20 AS INT) AS day, false AS is_total, 'new' AS moon, 'spring' AS time_of_year, CAST(NULL AS INT) AS comet_gap"
+    days = spark.range(5000).selectExpr("id AS day_id", row)
+    assert sorted(r["day_id"] for r in dating.foremost(days, [], 10).collect()) == list(range(0, 200, 20))
+
+
+def test_equal_texts_are_read_once_by_a_task(spark):
+    from almanac.operators.scanning import annotated
+
+    def read(text):
+        import uuid
+
+        return [(text, uuid.uuid4().hex)]
+
+    docs = spark.range(30_000, numPartitions=1).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('text ', id % 5) END AS text")
+    rows = annotated(docs, {"found": (read, "said string, made string", None)})
+    seen = rows.selectExpr("doc_id", "explode(found) AS f").selectExpr("doc_id", "f.said", "f.made").toPandas()
+    assert len(seen) == sum(k % 7 > 0 for k in range(30_000))
+    assert (seen["said"] == "text " + (seen["doc_id"] % 5).astype(str)).all()
+    # before, each row was read for itself
+    assert seen["made"].nunique() == 5
