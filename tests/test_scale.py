@@ -25,7 +25,7 @@ def test_days_that_no_search_can_tell_apart_are_bounded(spark):
     from almanac.operators import dating
 
     row = "'solar' AS kind, 100 AS year, 1 AS month, CAST(1 + id % 20 AS INT) AS day, false AS is_total, 'new' AS moon, 'spring' AS time_of_year, CAST(NULL AS INT) AS comet_gap"
-    days = spark.range(5000).selectExpr("id AS day_id", row)
+    days = spark.range(5000).selectExpr("id AS day_id", *row.split(", "))
     assert sorted(r["day_id"] for r in dating.foremost(days, [], 10).collect()) == list(range(0, 200, 20))
 
 
