@@ -44,3 +44,17 @@ def test_equal_texts_are_read_once_by_a_task(spark):
     assert (seen["said"] == "text " + (seen["doc_id"] % 5).astype(str)).all()
     # before, each row was read for itself
     assert seen["made"].nunique() == 5
+
+
+def test_a_join_by_keys_and_range_sends_few_rows_twice(spark):
+    from almanac.operators import joins
+
+    left = spark.range(600).selectExpr("id % 3 AS k", "id AS a", "id * 7 % 901 / 2 - 200 AS x")
+    right = spark.range(600).selectExpr("id % 3 AS k", "id AS b", "id * 11 % 907 / 2 - 200 AS y")
+    pairs = joins.range_join(left, right, "x", "y", 10, ["k"])
+    lefts, rights = left.collect(), right.collect()
+    near = sorted((p["a"], q["b"]) for p in lefts for q in rights if p["k"] == q["k"] and abs(p["x"] - q["y"]) <= 10)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == near
+    low, high = ((q["y"] - 15) // (10 * joins.REACH) for q in rights), ((q["y"] + 15) // (10 * joins.REACH) for q in rights)
+    # before, every row of the right side was sent three times
+    assert sum(h - a + 1 for a, h in zip(low, high)) < 1.6 * len(rights)
