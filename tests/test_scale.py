@@ -58,3 +58,47 @@ def test_a_join_by_keys_and_range_sends_few_rows_twice(spark):
     low, high = ((q["y"] - 15) // (10 * joins.REACH) for q in rights), ((q["y"] + 15) // (10 * joins.REACH) for q in rights)
     # before, every row of the right side was sent three times
     assert sum(h - a + 1 for a, h in zip(low, high)) < 1.6 * len(rights)
+
+
+def test_the_state_calls_of_a_run_do_not_grow_with_its_rows():
+    from almanac.streaming.stateful import STALE, Sweep
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("appendList", "put"):
+                    self.held = [*(self.held if name == "appendList" else []), *args[0]]
+                elif name == "update":
+                    self.held = [args[0]]
+                elif name == "clear":
+                    self.held = []
+                return {"exists": bool(self.held), "get": iter(self.held)}.get(name)
+
+            return call
+
+    class Run(State):
+        def get(self):
+            return self.held[0]
+
+    class Handle:
+        getListState = getMapState = lambda self, *a: State()
+        getValueState = lambda self, *a: Run()
+        registerTimer = lambda self, at: calls.append("timer")
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 10 * STALE
+
+    sweep = Sweep()
+    sweep.init(Handle())
+    # the last of a thousand rows stands still; each row comes twice
+    rows = [{"at": k, "event_id": k, "status": "running", "attempts": 1, "most": 3} for k in range(1000)] * 2
+    assert list(sweep.handleInputRows((7,), iter(rows), None)) == []
+    out = list(sweep.handleExpiredTimer((7,), Now(), None))
+    assert [(r.job_id, r.at, r.verdict) for r in out] == [(7, 999 + STALE, "retrying")]
+    assert len(calls) < 12
