@@ -120,13 +120,42 @@ class LexicalVectors:
         return out / np.where(norm > 0, norm, 1)
 
 
-def embed(texts: DataFrame, key: str, vectorizer: Vectorizer | None = None, keep: list[str] | None = None) -> DataFrame:
+#: A vector without its zeros.
+SPARSE = [T.StructField("size", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
+#: Numbers of vectors that are filled at once.
+FILLED = 1 << 20
+
+
+def dense(rows: DataFrame) -> DataFrame:
+    """rows with vector in place of size, places and weights."""
+    names = [n for n in rows.columns if n not in {f.name for f in SPARSE}]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            largest = max(batch.column("size").to_pylist(), default=0)
+            step = max(1, FILLED // max(1, largest))
+            for k in range(0, len(batch), step):
+                part = batch.slice(k, step)
+                start = np.concatenate([[0], np.cumsum(np.asarray(part.column("size"), np.int64))])
+                places = part.column("places")
+                at = np.repeat(start[:-1], np.asarray(places.value_lengths())) + np.asarray(places.flatten())
+                out = np.zeros(start[-1])
+                out[at] = np.asarray(part.column("weights").flatten())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(out))], names=schema.names)
+
+    return rows.select(*names, *(f.name for f in SPARSE)).mapInArrow(run, schema)
+
+
+def embed(texts: DataFrame, key: str, vectorizer: Vectorizer | None = None, keep: list[str] | None = None, sparse: bool = False) -> DataFrame:
     """key, the kept columns, vector and tokens (numbers of the different words, sorted) for texts (key, text).
 
-    Null and blank texts have the zero vector and no tokens. Any Vectorizer takes the place of the lexical one.
+    Null and blank texts have the zero vector and no tokens. Any Vectorizer takes the place of the lexical one. sparse:
+    instead of vector its size, and places and weights of what isn't zero in it; dense() makes vectors of these.
     """
     own, names = vectorizer or LexicalVectors(), [key, *(keep or [])]
-    schema = T.StructType([*(texts.schema[n] for n in names), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    made = SPARSE if sparse else [T.StructField("vector", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*(texts.schema[n] for n in names), *made, T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         start = total = 0
@@ -145,7 +174,12 @@ def embed(texts: DataFrame, key: str, vectorizer: Vectorizer | None = None, keep
                 read = Batch(all_[a:b])
                 rows = own.vectors(all_[a:b], read) if isinstance(own, LexicalVectors) else np.asarray(own.vectors([t or "" for t in all_[a:b]]), np.float64)
                 offsets, tokens = read.sets()
-                vector = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * own.size), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), vector, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))], names=[*names, "vector", "tokens"])
+                if sparse:
+                    at, places = np.nonzero(rows)
+                    ends = pa.array(np.searchsorted(at, np.arange(b - a + 1)).astype(np.int32))
+                    vector = [pa.array(np.full(b - a, own.size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(places.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(rows[at, places].astype(np.float64)))]
+                else:
+                    vector = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * own.size), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), *vector, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))], names=schema.names)
 
     return texts.select(*names, texts["text"].alias("_text")).mapInArrow(run, schema)

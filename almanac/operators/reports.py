@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import views
 from ..plans.registry import query, table
 from ..plans.written import shared_dir
 from ..sources.store import Kept, Outcome, Store
-from .lexical import BUCKETS, Vectorizer, embed
+from .lexical import BUCKETS, SPARSE, Vectorizer, dense, embed
 from .pages import page
 from .summaries import is_evidence
 
@@ -63,16 +64,21 @@ def summary(words: Column, language: Column, title: Column, identified: Column,
 
 
 def summary_store(spark: SparkSession, root: str, buckets: int = 64) -> Store:
-    """A store of one row for each analysis: analysis_id, title, vector."""
-    empty = spark.createDataFrame([], "analysis_id long, title string, vector array<double>")
-    return Store(spark, root, {"summaries": Kept(empty.schema, ("analysis_id",))}, buckets)
+    """A store of one row for each analysis: analysis_id, title, and its vector without the zeros."""
+    named = [T.StructField("analysis_id", T.LongType()), T.StructField("title", T.StringType())]
+    return Store(spark, root, {"summaries": Kept(T.StructType([*named, *SPARSE]), ("analysis_id",))}, buckets)
+
+
+def stored_summaries(store: Store) -> DataFrame:
+    """analysis_id, title and vector of all that is stored."""
+    return dense(store.read("summaries"))
 
 
 def refresh_summaries(store: Store, analyses: DataFrame, vectorizer: Vectorizer | None = None) -> Outcome:
     """Put the vectors of title and summary of analyses (analysis_id, title, summary) in place of older ones; the other
     buckets of the store stay as they are."""
     texts = analyses.select("analysis_id", "title", F.concat_ws(". ", "title", "summary").alias("text"))
-    return store.put({"summaries": embed(texts, "analysis_id", vectorizer, ["title"]).drop("tokens")})
+    return store.put({"summaries": embed(texts, "analysis_id", vectorizer, ["title"], sparse=True).drop("tokens")})
 
 
 _PROJECT = "analysis_id % 5"
@@ -121,4 +127,4 @@ def e13_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("summary"))
     refresh_summaries(store, rows)
     refresh_summaries(store, rows.where("analysis_id % 50 = 0").withColumn("title", F.concat("title", F.lit(", revised"))))
-    return store.read("summaries").select("analysis_id", "title", F.size("vector").alias("size"))
+    return stored_summaries(store).select("analysis_id", "title", F.size("vector").alias("size"))

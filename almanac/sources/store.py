@@ -14,11 +14,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..plans.written import written
-
 #: Buckets of a table; the manifest has a line for each, and the driver reads these.
 BUCKETS = 64
 #: Up to how many tasks write the rows of a bucket.
@@ -90,21 +88,23 @@ class Store:
             kept = self.tables[name]
             given = {c.lower() for c in new.columns}
             new = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name.lower() in given else F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema))
-            order = Window.partitionBy(*kept.keys).orderBy(F.xxhash64(*kept.schema.names), *(F.to_json(F.struct(c)) if f.dataType.typeName() == "map" else F.col(c) for c, f in zip(kept.schema.names, kept.schema, strict=True)))
-            new = written(new.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").withColumn("_bucket", self._bucket(name)))
-            counts = {r["_bucket"]: r["n"] for r in new.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+            part = F.pmod(F.xxhash64(*kept.keys, F.lit(7)), F.lit(PARTS))
+            order = Window.partitionBy("_bucket", "_part", *kept.keys)
+            first = order.orderBy(F.xxhash64(*kept.schema.names), *(F.to_json(F.struct(c)) if f.dataType.typeName() == "map" else F.col(c) for c, f in zip(kept.schema.names, kept.schema, strict=True)))
+            # rows move once, to the tasks that write them: a bucket is dealt to several, and Spark puts small ones together
+            dealt = lambda df: df.withColumns({"_bucket": self._bucket(name), "_part": part}).repartition("_bucket", "_part")  # noqa: E731, B023
+            folder = f"{self.root}/{name}/v{version}-{mark}"
+            dealt(new).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_part").write.partitionBy("_bucket").parquet(folder)
+            put = self.spark.read.schema(StructType([*kept.schema, StructField("_bucket", IntegerType())])).parquet(folder)
+            counts = {r["_bucket"]: r["n"] for r in put.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
             rows[name], touched[name] = sum(counts.values()), len(counts)
             if not counts:
                 continue
-            old = self._read(name, held, counts)
-            same = F.lit(True)
-            for k in kept.keys:
-                same &= F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-            stays = old.alias("o").join(new.alias("n"), same, "left_anti").withColumn("_bucket", self._bucket(name))
-            folder = f"{self.root}/{name}/v{version}-{mark}"
-            # a bucket is dealt to several tasks; Spark puts small ones together again
-            rows_of = stays.select(*new.columns).unionByName(new).repartition("_bucket", F.pmod(F.xxhash64(*kept.keys, F.lit(7)), F.lit(PARTS)))
-            rows_of.write.partitionBy("_bucket").parquet(folder)
+            if any((name, b) in held for b in counts):
+                # of the new rows only the keys are needed to tell which old ones stay
+                both = self._read(name, held, counts).withColumn("_new", F.lit(False)).unionByName(put.select(*kept.keys, F.lit(True).alias("_new")), allowMissingColumns=True)
+                stays = dealt(both).withColumn("_gone", F.bool_or("_new").over(order)).where("NOT _gone").drop("_new", "_gone", "_part")
+                stays.write.mode("append").partitionBy("_bucket").parquet(folder)
             folders |= {(name, b): f"{folder}/_bucket={b}" for b in counts}
         if not folders:
             return Outcome(None, rows, touched)

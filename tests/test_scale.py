@@ -102,3 +102,30 @@ def test_the_state_calls_of_a_run_do_not_grow_with_its_rows():
     out = list(sweep.handleExpiredTimer((7,), Now(), None))
     assert [(r.job_id, r.at, r.verdict) for r in out] == [(7, 999 + STALE, "retrying")]
     assert len(calls) < 12
+
+
+def shuffled(spark):
+    return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_stored_summaries_move_once_and_without_zeros(spark, tmp_path):
+    import numpy as np
+
+    from almanac import plans
+    from almanac.operators import lexical, reports
+
+    rows = [(1, "a", "the moon was seen over Babylon"), (2, None, None), (3, "", ""), (4, "d", "the moon was seen"), (4, "d", "the moon was seen")]
+    store = reports.summary_store(spark, f"file://{tmp_path}/store", 4)
+    assert reports.refresh_summaries(store, spark.createDataFrame(rows, "analysis_id long, title string, summary string")).rows == {"summaries": 4}
+    reports.refresh_summaries(store, spark.createDataFrame([(1, "new", "comet"), (None, "n", "x")], "analysis_id long, title string, summary string"))
+    got = {r["analysis_id"]: r for r in reports.stored_summaries(store).collect()}
+    texts = {1: "new. comet", 2: "", 3: ". ", 4: "d. the moon was seen", None: "n. x"}
+    assert {k: r["title"] for k, r in got.items()} == {1: "new", 2: None, 3: "", 4: "d", None: "n"}
+    for k, text in texts.items():
+        assert np.array_equal(got[k]["vector"], lexical.LexicalVectors().vectors([text])[0])
+    # before, every vector was written with its zeros
+    assert all(len(r["places"]) == len(r["weights"]) < 40 for r in store.read("summaries").collect())
+    orders, before = table(spark, DATA, "orders").count(), shuffled(spark)
+    assert plans.QUERIES["e13_stored_summaries"](spark, DATA).count() == orders
+    # before, 530 bytes a row at five times sf0.1
+    assert (shuffled(spark) - before) / orders < 400
