@@ -156,3 +156,20 @@ def test_claim_lines_send_narrow_rows_once(spark, tmp_path):
     assert plans.QUERIES["a8_claim_csv"](spark, DATA).write.format("noop").mode("overwrite").save() is None
     # before, 252 bytes a row at five times sf0.1
     assert (shuffled(spark) - before) / lines.count() < 100
+
+
+def test_report_lines_are_dealt_once(spark):
+    from almanac.sources.intake import report_text
+
+    claims = [(1, "evidence", 2, "source_text", "b", 0.5), (1, "evidence", 2, "source_text", "b", 0.5), (1, "evidence", 1, "uncertain", None, 0.5), (1, "translation", 1, "uncertain", "t", 0.25), (1, None, 1, "uncertain", "none", 1.0), (2, "odd_one", 1, "uncertain", "o", 1.0)]
+    claims = spark.createDataFrame(claims, "analysis_id long, section string, ordering int, claim_type string, statement string, confidence double")
+    events = spark.createDataFrame([(1, 7, "e"), (1, None, None), (3, 5, "only")], "analysis_id long, year int, description string")
+    trace = spark.createDataFrame([(1, "s", 4)], "analysis_id long, stage string, claims long")
+    whole = report_text(claims, events, trace)
+    assert {r["analysis_id"]: r["report"].split("\n") for r in whole.collect()} == {
+        1: ["**[Uncertain]** none (1.00)", "# Analysis 1", "## Translation", "**[Uncertain]** t (0.25)", "## Evidence", "**[Source text]** b (0.50)", "**[Source text]** b (0.50)", "| Year | Event |", "|---|---|", "| null | null |", "| 7 | e |", "## How this report was produced", "- s (4 claims)"],
+        2: ["## Odd One", "# Analysis 2", "**[Uncertain]** o (1.00)"],
+        3: ["| Year | Event |", "|---|---|", "| 5 | only |"],
+    }
+    # before, seven kinds of lines were made by passes of their own, three of them distinct
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + whole._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 3
