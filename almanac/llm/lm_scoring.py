@@ -6,12 +6,12 @@ import dataclasses
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +26,8 @@ WORDS, PER_CLASS, TAILS, HIDDEN = 2000, 50, 32, 16
 #: Words of a block of training documents; slices of the training documents, each of which is learnt from once: after
 #: each the weights of its blocks are averaged, and the next slice goes on from there; words that make a block anyway.
 TASK_WORDS, SLICES, SMALLEST = 400_000, 8, 25_000
-#: Counts held before they are sent on; tokens whose words are held at once.
-FLUSH, TOKENS = 200_000, 1_000_000
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Bytes of text whose words are held at once; a longer text is held alone.
+HELD = 8 << 20
 
 
 def tail_of(word: bytes) -> int:
@@ -39,21 +35,31 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+def _held(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where stretches of texts of about HELD bytes begin and end."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64) // HELD
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return ((lo, hi) for lo, hi in itertools.pairwise(edges) if lo < hi)
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-        held.clear()
-        return out
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (null: none), in lower case and one after another, and where those of each text begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten().cast(pa.binary()), np.asarray(lists.offsets, np.int64)
+    # white space at the ends of a text leaves empty words
+    filled = np.asarray(pc.binary_length(words)) > 0
+    if not filled.all():
+        words, offsets = words.filter(pa.array(filled)), np.append(0, np.cumsum(filled))[offsets]
+    return words, offsets
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(tokens(text))
-            held[b""] += 1
-            if len(held) > FLUSH:
-                yield flush()
-    yield flush()
+        texts = batch.column(0)
+        for lo, hi in _held(texts):
+            counts = pc.value_counts(_words(texts.slice(lo, hi - lo))[0])
+            ends = pa.array([b""], pa.binary()), pa.array([hi - lo], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([counts.field(k), end]) for k, end in enumerate(ends)], names=["word", "c"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -67,7 +73,7 @@ class Lexicon:
 
     total: int
     distinct: int
-    index: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray
     ids: np.ndarray
     base: np.ndarray
@@ -77,22 +83,25 @@ class Lexicon:
     log_tail: np.ndarray
     log_all: float
 
-    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word among the frequent ones (-1: not there) and its id for the network."""
-        place = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))
         ids = self.ids[place]
-        rare = np.nonzero(place < 0)[0]
-        ids[rare] = [self.shape.words + tail_of(words[k]) for k in rare.tolist()]
+        rare = np.flatnonzero(place < 0)
+        ends = pc.binary_slice(words.take(pa.array(rare)), -3).dictionary_encode()
+        tails = np.array([tail_of(x) for x in ends.dictionary.to_pylist()], np.int64)
+        ids[rare] = self.shape.words + tails[np.asarray(ends.indices)]
         return place, ids
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the frequent words: whole steps of a fine scale of counts, as many as hold HEAD words at most, so that no more
     # than these words come to the driver, however many tasks hold the counts
     step = F.floor(F.log2("c") * 64).cast("int")
     low, room = 1 << 20, HEAD
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
+    total, distinct = sum(r["c"] for r in steps), sum(r["n"] for r in steps)
+    for r in sorted(steps, key=lambda r: -r["step"]):
         room -= r["n"]
         if room < 0:
             break
@@ -116,7 +125,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     log_all = math.log10(total + 0.5 * (distinct + 1))
     log_tail = np.log10(tail)
     inner = np.where(ids < shape.words, 0.0, np.log10(c + 0.5) - log_tail[np.maximum(ids - shape.words, 0)])
-    return Lexicon(total, distinct, {w: k for k, (w, _) in enumerate(top)}, c, ids, np.log10(c + 0.5) - log_all, inner, mass, shape, log_tail, log_all)
+    return Lexicon(total, distinct, pa.array([w for w, _ in top], pa.binary()), c, ids, np.log10(c + 0.5) - log_all, inner, mass, shape, log_tail, log_all)
 
 
 _ENCODED = "row long, doc_id long, held_out boolean, learn boolean, n_tokens long, n_known long, base double, inner double, ids binary, words array<binary>, times array<int>"
@@ -131,30 +140,28 @@ def _encode(sent):
         first, done = TaskContext.get().partitionId() << 33, 0
         end = own.mass[own.shape.end]
         for batch in batches:
-            n = len(batch)
-            ids, size, known, base, inner = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rare_words, rare_times, offsets = [], [], [0]
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words = tokens(text)
+            for lo, hi in _held(batch.column("text")):
+                part, n = batch.slice(lo, hi - lo), hi - lo
+                words, offsets = _words(part.column("text"))
+                # different words are looked up once
+                words = words.dictionary_encode()
+                code, words = np.asarray(words.indices), words.dictionary
                 place, own_ids = own.ids_of(words)
-                ids.append(own_ids.astype("<u2").tobytes())
                 frequent = place >= 0
-                size[k], known[k] = len(words) + 1, frequent.sum()
-                base[k], inner[k] = own.base[place[frequent]].sum(), own.inner[place[frequent]].sum()
-                left = np.nonzero(~frequent)[0]
-                if len(left):
-                    base[k] -= len(left) * own.log_all
-                    inner[k] -= own.log_tail[own_ids[left] - own.shape.words].sum()
-                    times = Counter([words[i] for i in left.tolist()])
-                    rare_words += times
-                    rare_times += times.values()
-                offsets.append(len(rare_words))
-            base += math.log10(end + 0.5) - own.log_all
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32()))]
-            columns = [pa.array(np.arange(first + done, first + done + n)), *(batch.column(c) for c in ("doc_id", "held_out", "learn"))]
-            columns += [pa.array(size), pa.array(known + (end > 0)), pa.array(base), pa.array(inner), pa.array(ids, pa.binary()), *lists]
-            done += n
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ENCODED.split(", ")])
+                text = np.repeat(np.arange(n), np.diff(offsets))
+                tails = np.where(frequent, 0, own_ids - own.shape.words)
+                base = np.bincount(text, np.where(frequent, own.base[place], -own.log_all)[code], n) + math.log10(end + 0.5) - own.log_all
+                inner = np.bincount(text, np.where(frequent, own.inner[place], -own.log_tail[tails])[code], n)
+                known = np.bincount(text, frequent[code], n).astype(np.int64) + (end > 0)
+                left = np.flatnonzero(~frequent[code])
+                rare, times = np.unique(text[left] * len(words) + code[left], return_counts=True)
+                starts = pa.array(np.searchsorted(rare, np.arange(n + 1) * len(words)), pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, x) for x in (words.take(pa.array(rare % max(1, len(words)))), pa.array(times, pa.int32()))]
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(own_ids.astype("<u2")[code])])
+                columns = [pa.array(np.arange(first + done, first + done + n)), *(part.column(c) for c in ("doc_id", "held_out", "learn"))]
+                columns += [pa.array(np.diff(offsets) + 1), pa.array(known), pa.array(base), pa.array(inner), ids, *lists]
+                done += n
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ENCODED.split(", ")])
 
     return run
 
@@ -230,7 +237,7 @@ def fit(rows: DataFrame, own: Lexicon) -> np.ndarray:
     for number in sorted(r["slice"] for r in read_all.select("slice").distinct().collect()):
         some = read_all.where(F.col("slice") == number)
         trained = some.mapInArrow(_learn(own.shape, rows.sparkSession.sparkContext.broadcast(flat)), schema)
-        some_means = trained.groupBy("slot", (F.col("part") % 64).alias("_p")).applyInPandas(_average, schema)
+        some_means = trained.groupBy("slot", F.floor(F.col("part") / 64).alias("_p")).applyInPandas(_average, schema)
         means = some_means.groupBy("slot").applyInPandas(_average, schema).collect()
         flat = np.concatenate([np.array(r["w"], np.float32) for r in sorted(means, key=lambda r: r["slot"])])
     return flat

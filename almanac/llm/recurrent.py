@@ -6,15 +6,10 @@ import dataclasses
 
 import numpy as np
 
-#: Steps that the state is carried on for scoring before the outputs are worked out, and the words that make it worth
-#: while: with few texts left, more steps; steps and most lanes of a training window; learning rate.
-WINDOW, WORTH, STEPS, LANES, RATE = 8, 16_384, 20, 384, 0.3
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.exp(-x)
-    out += 1
-    return np.divide(1, out, out=out)
+#: Texts that are scored side by side; steps that their state is carried on before the outputs are worked out, and the
+#: words that make it worth while: with few texts left, more steps; rows whose class outputs are worked out together, so
+#: that they stay in a core's cache; steps and most lanes of a training window; learning rate.
+ABREAST, WINDOW, WORTH, ROWS, STEPS, LANES, RATE = 1024, 8, 16_384, 1024, 20, 384, 0.3
 
 
 @dataclasses.dataclass
@@ -75,140 +70,203 @@ def initial(shape: Shape, mass: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _softmax(x: np.ndarray, goal: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probability of each row's goal, and the exponentials of x (in its place) and their sums. most: a bound of x,
-    beyond which rows are moved before the exponential."""
+def _exponentials(x: np.ndarray, bias: np.ndarray, factor: np.ndarray, most: float, goal: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray]:
+    """Puts exponentials in the place of x, outputs without their bias; returns the logarithm of each row's goal, where
+    goals are given, and what the exponentials of a column are to be multiplied by: factor, the exponential of the bias.
+    most: a bound of the outputs, beyond which rows are moved before the exponential."""
     if most > 60:
+        x += bias
         x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), goal]
-    e = np.exp(x, out=x)
-    total = e @ np.ones(x.shape[1], x.dtype)
-    return picked - np.log(total), e, total
+        bias, factor = np.zeros_like(bias), np.ones_like(factor)
+    picked = None if goal is None else x.ravel().take(np.arange(0, x.size, x.shape[1]) + goal) + bias[goal]
+    np.exp(x, out=x)
+    return picked, factor
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows (in columns: numbers x rows) of each id."""
+    return np.stack([np.bincount(ids, x, n) for x in rows], axis=1)
 
 
 def _outputs(shape: Shape, p: dict, h: np.ndarray, goal: np.ndarray, grad: dict | None = None):
-    """Natural log probability of each goal given its state; with grad, gradients are added and that of h returned."""
-    kind = shape.class_of(goal)
+    """Natural log probability of each goal given its state; or, with grad, the gradient of h, all others being added to grad.
+
+    Rows are ordered by goal, so that those of a class lie together. With e the exponentials of a softmax, f the factor
+    of its columns and t = e f, the gradients are products of e with f w and of e with the states by t, less what the
+    goals themselves take away: the exponentials needn't be scaled one by one.
+    """
+    n, k = h.shape
+    order = np.argsort(goal.astype(np.uint16), kind="stable")
+    goal = goal[order]
+    kind, word = shape.class_of(goal), goal % shape.per
+    h = h.take(order, axis=0)
+    wc, bc, ww, bw = p["wc"], p["bc"], p["ww"], p["bw"]
     # states lie between -1 and 1, so the weights bound all outputs, without a look at them
-    x = h @ p["wc"]
-    x += p["bc"]
-    out, d, total = _softmax(x, kind, float((np.abs(p["wc"]).sum(axis=0) + np.abs(p["bc"])).max()))
-    most = (np.abs(p["ww"]).sum(axis=1) + np.abs(p["bw"])).max(axis=1).tolist()
-    dh = None
+    most = float((np.abs(wc).sum(axis=0) + np.abs(bc)).max())
+    most_in = (np.abs(ww).sum(axis=1) + np.abs(bw)).max(axis=1).tolist()
+    outer, inner = np.exp(np.minimum(bc, 60)), np.exp(np.minimum(bw, 60))
+    edges = np.searchsorted(kind, np.arange(shape.heads + 1)).tolist()
+    own = edges[-1]
+    stretches = [(None, lo, min(lo + ROWS, n)) for lo in range(0, n, ROWS)]
+    stretches += [(c, lo, hi) for c, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if lo < hi]
+    out, dh = np.zeros(n, h.dtype), np.zeros((n, k), h.dtype)
     if grad is not None:
-        d /= total[:, None]
-        d[np.arange(len(goal)), kind] -= 1
-        grad["wc"] += h.T @ d
-        grad["bc"] += d.sum(axis=0)
-        dh = d @ p["wc"].T
-    order = np.argsort(kind.astype(np.uint16), kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(shape.heads + 1))
-    sorted_h, word = h[order], goal[order] % shape.per
-    for k in np.nonzero(np.diff(edges))[0].tolist():
-        lo, hi = edges[k], edges[k + 1]
-        own = sorted_h[lo:hi]
-        x = own @ p["ww"][k]
-        x += p["bw"][k]
-        got, d, total = _softmax(x, word[lo:hi], most[k])
-        out[order[lo:hi]] += got
-        if grad is not None:
-            d /= total[:, None]
-            d[np.arange(hi - lo), word[lo:hi]] -= 1
-            grad["ww"][k] += own.T @ d
-            grad["bw"][k] += d.sum(axis=0)
-            dh[order[lo:hi]] += d @ p["ww"][k].T
-    return out, dh
-
-
-def _step(p: dict, hidden: int, ids: np.ndarray, h: np.ndarray):
-    a, g = p["wx"][ids], h @ p["u"]
-    gates = _sigmoid(a[:, : 2 * hidden] + g[:, : 2 * hidden])
-    r, z = gates[:, :hidden], gates[:, hidden:]
-    c = np.tanh(a[:, 2 * hidden :] + r * g[:, 2 * hidden :])
-    return c + z * (h - c), (r, z, c, g[:, 2 * hidden :])
+        one = np.ones((n, k + 1), h.dtype)
+        one[:, :k] = h
+    for c, lo, hi in stretches:
+        inside = c is not None
+        w, b, f, bound, at = (ww[c], bw[c], inner[c], most_in[c], word) if inside else (wc, bc, outer, most, kind)
+        e = h[lo:hi] @ w
+        if grad is None:
+            picked, f = _exponentials(e, b, f, bound, at[lo:hi])
+            picked -= np.log(e @ f)
+            out[lo:hi] += picked
+            continue
+        _, f = _exponentials(e, b, f, bound, None)
+        back = np.empty((len(f), k + 1), h.dtype)
+        np.multiply(w.T, f[:, None], out=back[:, :k])
+        back[:, k] = f
+        back = e @ back
+        total = back[:, k:].copy()
+        back /= total
+        dh[lo:hi] += back[:, :k]
+        g = (one[lo:hi] / total).T @ e
+        g *= f
+        if inside:
+            grad["ww"][c] += g[:k]
+            grad["bw"][c] += g[k]
+        else:
+            grad["wc"] += g[:k]
+            grad["bc"] += g[k]
+    if grad is None:
+        given = np.empty_like(out)
+        given[order] = out
+        return given, None
+    # what the goals take away
+    by_goal = _sums(goal, one.T, shape.start)
+    kinds = shape.class_of(np.arange(shape.start))
+    by_class = np.add.reduceat(by_goal, np.flatnonzero(np.diff(kinds, prepend=-1)))
+    grad["wc"] -= by_class[:, :k].T
+    grad["bc"] -= by_class[:, k]
+    by_word = np.zeros((shape.heads * shape.per, k + 1))
+    by_word[: shape.words] = by_goal[: shape.words]
+    by_word = by_word.reshape(shape.heads, shape.per, k + 1)
+    grad["ww"] -= by_word[:, :, :k].transpose(0, 2, 1)
+    grad["bw"] -= by_word[:, :, k]
+    dh -= np.ascontiguousarray(wc.T)[kind]
+    dh[:own] -= np.ascontiguousarray(ww.transpose(0, 2, 1)).reshape(-1, k)[goal[:own]]
+    given = np.empty_like(dh)
+    given[order] = dh
+    return None, given
 
 
 @np.errstate(over="ignore")
 def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of whole texts (arrays of word ids, without the end). All texts advance together, the
-    longest first; the state is carried from window to window to the end of each."""
-    p = unpack(shape, flat)
+    """Natural log probability of whole texts (arrays of word ids, without the end). Texts of like length advance
+    together, the longest first; the state is carried from window to window to the end of each."""
+    p, k = unpack(shape, flat), shape.hidden
     n = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(-n, kind="stable")
-    steps = n[order] + 1
-    base = np.concatenate([[0], np.cumsum(steps[:-1])]) if len(steps) else np.zeros(0, np.int64)
-    goals = np.full(int(steps.sum()), shape.end, np.int32)
-    for k, b in zip(order.tolist(), base.tolist(), strict=True):
-        goals[b : b + n[k]] = texts[k]
-    h, total = np.zeros((len(texts), shape.hidden), np.float32), np.zeros(len(texts))
-    now = np.full(len(texts), shape.start)
-    t0, last = 0, int(steps.max(initial=0))
-    while t0 < last:
-        states, wanted, rows = [], [], []
-        first, t0 = t0, t0 + max(WINDOW, WORTH // int(np.searchsorted(-steps, -t0, side="left")))
-        for t in range(first, min(t0, last)):
-            live = int(np.searchsorted(-steps, -t, side="left"))
-            h[:live], _ = _step(p, shape.hidden, now[:live], h[:live])
-            goal = goals[base[:live] + t]
-            states.append(h[:live].copy())
-            wanted.append(goal)
-            rows.append(np.arange(live))
-            now = goal
-        got, _ = _outputs(shape, p, np.concatenate(states), np.concatenate(wanted))
-        total += np.bincount(np.concatenate(rows), got, len(texts))
-    out = np.empty(len(texts))
-    out[order] = total
+    order, out = np.argsort(-n, kind="stable"), np.empty(len(texts))
+    # the gates' weights are negative, as their exponentials take them; in parts of their own, so that rows lie together
+    wx, u = ((-p[w][:, : 2 * k], np.ascontiguousarray(p[w][:, 2 * k :])) for w in ("wx", "u"))
+    for lo in range(0, len(texts), ABREAST):
+        some = order[lo : lo + ABREAST]
+        out[some] = _abreast(shape, p, wx, u, [texts[i] for i in some.tolist()], n[some] + 1)
     return out
 
 
+def _abreast(shape: Shape, p: dict, wx: tuple, u: tuple, texts: list[np.ndarray], steps: np.ndarray) -> np.ndarray:
+    """score() of a few texts, the longest first. steps: their words and the end."""
+    k = shape.hidden
+    goals = np.full((int(steps[0]), len(texts)), shape.end, np.int32)
+    for i, text in enumerate(texts):
+        goals[: len(text), i] = text
+    h, total = np.zeros((len(texts), k), p["wx"].dtype), np.zeros(len(texts))
+    now, left = np.full(len(texts), shape.start), np.searchsorted(-steps, -np.arange(int(steps[0])), side="left").tolist()
+    t0 = 0
+    while t0 < len(goals):
+        first, t0 = t0, t0 + max(WINDOW, WORTH // left[t0])
+        states, wanted = [], []
+        for t, live in enumerate(left[first:t0], first):
+            h, now = h[:live], now[:live]
+            gates = h @ u[0]
+            gates += wx[0].take(now, axis=0)
+            # far below zero the exponential overflows to infinity, and the gate is zero
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            own = h @ u[1]
+            own *= gates[:, :k]
+            own += wx[1].take(now, axis=0)
+            np.tanh(own, out=own)
+            h = own + gates[:, k:] * (h - own)
+            now = goals[t, :live]
+            states.append(h)
+            wanted.append(now)
+        got, _ = _outputs(shape, p, np.concatenate(states), np.concatenate(wanted))
+        total += np.bincount(np.concatenate([np.arange(len(x)) for x in wanted]), got, len(texts))
+    return total
+
+
 @np.errstate(over="ignore")
 def gradients(shape: Shape, p: dict, inputs: np.ndarray, goals: np.ndarray, valid: np.ndarray, h: np.ndarray, grad: dict) -> np.ndarray:
     """Adds the gradients of minus the log probability of a window (steps x lanes) to grad; returns the state after it.
 
-    States are columns here (hidden x lanes), so that the parts of the gates are whole rows. A lane's state is zero
-    where its input is the start of a text, and no gradient flows back over that place.
+    States are columns here (hidden x steps x lanes), so that the parts of the gates are whole rows. A lane's state is
+    zero where its input is the start of a text, and no gradient flows back over that place.
     """
-    n, k = len(inputs), shape.hidden
-    given = np.ascontiguousarray(p["wx"][inputs].transpose(0, 2, 1))
-    keep, u = (inputs != shape.start).astype(h.dtype), np.ascontiguousarray(p["u"].T)
-    before, states, gates, rest = (np.empty((n, m, inputs.shape[1]), h.dtype) for m in (k, k, 2 * k, k))
-    own = np.empty_like(states)
+    (n, lanes), k = inputs.shape, shape.hidden
+    # the gates' weights are negative, as their exponentials take them
+    wx, u = (np.ascontiguousarray(p[w].T) for w in ("wx", "u"))
+    wx[: 2 * k] *= -1
+    u_gates, u_own = -u[: 2 * k], u[2 * k :]
+    ids = inputs.ravel()
+    # what the inputs add; in its place, step by step, the gates and the new part of the state
+    given = wx.take(ids, axis=1).reshape(3 * k, n, lanes)
+    keep = (inputs != shape.start).astype(h.dtype)
+    before, states, rest = (np.empty((k, n, lanes), h.dtype) for _ in range(3))
+    r, z, own = given[:k], given[k : 2 * k], given[2 * k :]
     for t in range(n):
-        np.multiply(h, keep[t], out=before[t])
-        g = u @ before[t]
-        np.add(given[t, : 2 * k], g[: 2 * k], out=gates[t])
+        last, gates, new = before[:, t], given[: 2 * k, t], own[:, t]
+        np.multiply(h, keep[t], out=last)
+        gates += u_gates @ last
         # far below zero the exponential overflows to infinity, and the gate is zero
-        gate = np.exp(-gates[t])
-        gate += 1
-        np.divide(1, gate, out=gates[t])
-        rest[t] = g[2 * k :]
-        np.tanh(given[t, 2 * k :] + gates[t, :k] * rest[t], out=own[t])
-        h = own[t] + gates[t, k:] * (before[t] - own[t])
-        states[t] = h
-    r, z = gates[:, :k], gates[:, k:]
-    dh_all = np.zeros((*inputs.shape, k), h.dtype)
-    by_word = np.ascontiguousarray(states.transpose(0, 2, 1))
-    if valid.all():
-        dh_all = _outputs(shape, p, by_word.reshape(-1, k), goals.ravel(), grad)[1].reshape(dh_all.shape)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.matmul(u_own, last, out=rest[:, t])
+        new += r[:, t] * rest[:, t]
+        np.tanh(new, out=new)
+        h = last - new
+        h *= z[:, t]
+        h += new
+        states[:, t] = h
+    by_word, dh_all = np.ascontiguousarray(states.reshape(k, -1).T), np.zeros((n * lanes, k), h.dtype)
+    use = valid.ravel()
+    if use.all():
+        dh_all = _outputs(shape, p, by_word, goals.ravel(), grad)[1]
     else:
-        _, dh_all[valid] = _outputs(shape, p, by_word[valid], goals[valid], grad)
-    dh_all = np.ascontiguousarray(dh_all.transpose(0, 2, 1))
-    # what a state's gradient is multiplied by, for all steps at once
-    to_own = (1 - z) * (1 - own * own)
-    factor = np.concatenate([to_own * rest * r * (1 - r), (before - own) * z * (1 - z), to_own], axis=1).reshape(n, 3, k, -1)
-    dh, da, back = np.zeros_like(h), np.empty_like(factor), np.ascontiguousarray(p["u"])
-    dg = np.empty_like(given)
+        _, dh_all[use] = _outputs(shape, p, by_word[use], goals.ravel()[use], grad)
+    dh_all = np.ascontiguousarray(dh_all.T).reshape(k, n, lanes)
+    # what a state's gradient is multiplied by, for all steps at once; in its place, step by step, the gradients
+    da = np.empty((3, k, n, lanes), h.dtype)
+    np.multiply(1 - z, 1 - own * own, out=da[2])
+    np.multiply(da[2] * rest, r * (1 - r), out=da[0])
+    np.multiply(before - own, z * (1 - z), out=da[1])
+    dh, back_gates, back_own, through = np.zeros_like(h), np.ascontiguousarray(u[: 2 * k].T), np.ascontiguousarray(u_own.T), rest
+    flat = da.reshape(3 * k, n, lanes)
     for t in reversed(range(n)):
-        dh = dh + dh_all[t]
-        np.multiply(factor[t], dh, out=da[t])
-        dg[t, : 2 * k] = da[t, :2].reshape(2 * k, -1)
-        np.multiply(da[t, 2], r[t], out=dg[t, 2 * k :])
-        dh = (dh * z[t] + back @ dg[t]) * keep[t]
-    grad["u"] += before.transpose(1, 0, 2).reshape(k, -1) @ dg.transpose(1, 0, 2).reshape(3 * k, -1).T
-    ids, rows = inputs.ravel(), da.reshape(n, 3 * k, -1).transpose(0, 2, 1).reshape(-1, 3 * k)
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    first = np.nonzero(np.append(True, ids[order][1:] != ids[order][:-1]))[0]
-    grad["wx"][ids[order][first]] += np.add.reduceat(rows[order], first)
+        dh = dh + dh_all[:, t]
+        da[:, :, t] *= dh
+        np.multiply(da[2, :, t], r[:, t], out=through[:, t])
+        dh *= z[:, t]
+        dh += back_gates @ flat[: 2 * k, t]
+        dh += back_own @ through[:, t]
+        dh *= keep[t]
+    held = before.reshape(k, -1)
+    grad["u"][:, : 2 * k] += held @ flat[: 2 * k].reshape(2 * k, -1).T
+    grad["u"][:, 2 * k :] += held @ through.reshape(k, -1).T
+    grad["wx"] += _sums(ids, flat.reshape(3 * k, -1), shape.start + 1)
     return h
 
 

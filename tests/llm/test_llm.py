@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -323,6 +326,91 @@ def test_op6_network_learns_from_every_training_document(spark):
     assert gain[1000] > 0.4 > 0.2 > abs(gain[1001])
 
 
+def encodings(texts_, lexicon):
+    """What the encoding makes of one batch of texts."""
+    n = len(texts_)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts_, pa.string()), *[pa.array([True] * n)] * 2], names=["doc_id", "text", "held_out", "learn"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+        return list(lm_scoring._encode(SimpleNamespace(value=lexicon))([batch]))
+
+
+def test_op6_words_of_odd_texts_in_stretches(spark, monkeypatch):
+    rng = random.Random(4)
+    pieces = ["a", "B", "zz", "\xc7", "\xe9", "\x85", "\xa0", "\x1c", "\x00", "\u2003", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    odd = ["", None, " ", "\n\n", *("".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(300))]
+    words = [(t or "").encode().lower().split() for t in odd]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm_scoring, "HELD", 200)
+    assert len(list(lm_scoring._held(pa.array(odd)))) > 20
+    c = Counter(w for ws in words for w in [*ws, b""])
+    assert Counter({bytes(r["word"]): r["c"] for r in lm_scoring.word_counts(docs).collect()}) == c
+    # only half of the words are among the frequent ones
+    monkeypatch.setattr(lm_scoring, "HEAD", len(c) // 2)
+    own = lm_scoring.lexicon(lm_scoring.word_counts(docs))
+    place = {w: k for k, w in enumerate(own.words.to_pylist())}
+    assert 0 < len(place) < len(c) - 1
+    got = [r for b in encodings(odd, own) for r in b.to_pylist()]
+    assert [r["row"] for r in got] == [(3 << 33) + k for k in range(len(odd))]
+    for r, ws in zip(got, words, strict=True):
+        ids = [own.ids[place[w]] if w in place else own.shape.words + lm_scoring.tail_of(w) for w in ws]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == ids
+        assert dict(zip(r["words"], r["times"], strict=True)) == Counter(w for w in ws if w not in place) and len(r["words"]) == len({*ws} - {*place})
+        assert (r["n_tokens"], r["n_known"]) == (len(ws) + 1, sum(w in place for w in ws) + 1)
+        base = sum(math.log10(c[w] + 0.5) for w in [*ws, b""] if w in place or not w) - (len(ws) + 1) * own.log_all
+        assert abs(r["base"] - base) < 1e-9 * max(1, abs(base))
+
+
+def test_op6_encoding_looks_different_words_up_once():
+    # below what splitting and looking up word by word takes: 2000 texts of 300 words, of which few differ
+    rng = random.Random(5)
+    many = [f"word{k}" for k in range(20_000)]
+    long = [" ".join(rng.choices(many, k=300)) for _ in range(2000)]
+    shape = recurrent.Shape(2000, 50, 32, 16)
+    index = {w.encode(): k for k, w in enumerate(many[:15_000])}
+    zeros, ids = np.zeros(len(index) + 1), np.array([*np.minimum(np.arange(len(index)), 1999), 0])
+    own = lm_scoring.Lexicon(9, 9, pa.array(list(index), pa.binary()), zeros, ids, zeros, zeros, np.ones(shape.start), shape, np.zeros(32), 1.0)
+
+    def plainly():
+        for t in long:
+            np.fromiter((index.get(w, -1) for w in t.encode().lower().split()), np.int64)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(seconds(lambda: encodings(long, own)) for _ in range(3)) < min(seconds(plainly) for _ in range(3))
+
+
+def test_op6_large_weights():
+    # outputs beyond what an exponential can hold: probabilities add up, and gradients are those of differences
+    shape, rng = recurrent.Shape(6, 3, 2, 3), np.random.default_rng(2)
+    flat = rng.normal(0, 60, sum(int(np.prod(s)) for s in shape.sizes().values()))
+    h, goals = rng.uniform(-1, 1, (1, 3)), np.arange(shape.start)
+    for kind, near in ((np.float32, 1e-3), (np.float64, 1e-9)):
+        got = recurrent._outputs(shape, recurrent.unpack(shape, flat.astype(kind)), np.repeat(h, shape.start, axis=0).astype(kind), goals)[0]
+        assert np.isfinite(got).all() and abs(np.exp(got.astype(np.float64)).sum() - 1) < near
+    for scale in (1, 0.02):
+        own, h, goals = flat * scale, rng.uniform(-1, 1, (40, 3)), rng.integers(0, shape.start, 40)
+        grad = np.zeros_like(own)
+        recurrent._outputs(shape, recurrent.unpack(shape, own), h, goals, recurrent.unpack(shape, grad))
+        loss = lambda f: -recurrent._outputs(shape, recurrent.unpack(shape, f), h, goals)[0].sum()  # noqa: B023, E731
+        for k in range(len(own)):
+            step = np.zeros_like(own)
+            step[k] = 1e-5
+            assert abs((loss(own + step) - loss(own - step)) / 2e-5 - grad[k]) < 1e-4
+
+
+def test_op6_many_texts_side_by_side(monkeypatch):
+    shape, rng = recurrent.Shape(40, 10, 4, 5), np.random.default_rng(3)
+    flat = rng.normal(0, 0.5, sum(int(np.prod(s)) for s in shape.sizes().values())).astype(np.float32)
+    some = [rng.integers(0, shape.end, n) for n in [*rng.integers(0, 60, 50), 0, 0, 300]]
+    whole = recurrent.score(shape, flat, some)
+    monkeypatch.setattr(recurrent, "ABREAST", 7)
+    assert np.allclose(recurrent.score(shape, flat, some), whole, rtol=1e-5) and len(recurrent.score(shape, flat, [])) == 0
+
+
 def test_op6_network_is_normalised_and_learns():
     shape = recurrent.Shape(10, 4, 3, 5)
     flat = recurrent.initial(shape, np.ones(shape.start))
