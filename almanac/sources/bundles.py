@@ -12,9 +12,8 @@ from pyspark.sql.types import StructType
 
 from ..plans.registry import query, table
 from ..plans.written import shared_dir, written
-from .intake import BUNDLE, bundle, violations
-from .store import BUCKETS, Kept, Outcome, Store
-
+from .intake import BUNDLE, bundle, lacking, violations
+from .store import BUCKETS, Kept, Outcome, Staged, Store
 
 
 def corpus_tables() -> dict[str, Kept]:
@@ -41,13 +40,29 @@ def corpus_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Stor
 def load(store: Store, path: str, dry_run: bool = False, lines: bool = False) -> Load:
     """Load the bundles of a path (a JSON object a file, or a line) into a store: all of them, or none where anything is
     wrong with any. Rows replace those of their keys; loading the same bundle again changes nothing that a reader sees. A
-    dry run only looks for problems."""
-    parts = {k: written(v) for k, v in bundle(store.spark, path, lines).items()}
+    dry run only looks for problems.
+
+    Rows go straight to where the store keeps them, counted by key on the way, and are checked there; only if something is
+    wrong are they read again, to say all of it. The files of a refused load are in no version, so nobody reads them."""
+    found = bundle(store.spark, path, lines)
+    if not dry_run:
+        staged = store.stage(found, copies=True)
+        if _sound(staged, found["datasets"]):
+            return Load(store.spark.createDataFrame([], "part string, name string, problem string"), 0, store.commit(staged))
+    parts = {k: written(v) for k, v in found.items()}
     problems = written(violations(parts))
     refused = problems.count()
     if not parts["sources"].take(1):
         problems, refused = store.spark.createDataFrame([("sources", None, "no sources")], problems.schema), max(1, refused)
-    return Load(problems, refused, None if refused or dry_run else store.put(parts))
+    return Load(problems, refused, None if refused or dry_run else store.commit(staged))
+
+
+def _sound(staged: Staged, datasets: DataFrame) -> bool:
+    """Whether there are sources, and nothing that violations() would name: every key once, no row that lacks something.
+    Datasets may repeat, so all their rows are looked at, not only those that stay."""
+    rows = staged.tables | {"datasets": datasets}
+    again = [rows[t].where("_copies > 1").select(F.lit(t).alias("part")) for t in ("sources", "passages", "events")]
+    return bool(staged.counts["sources"]) and functools.reduce(DataFrame.unionByName, again, lacking(rows).select("part")).count() == 0
 
 
 @query("a1_corpus_bundles", "SELECT n_name AS dataset, 's' || s_suppkey AS slug, s_name AS title, CAST(-(s_suppkey % 900) AS INT) AS earliest FROM supplier JOIN nation ON n_nationkey = s_nationkey")
@@ -94,25 +109,33 @@ def _bundles(spark: SparkSession, sf_dir: str, revised: bool, most: int = ROWS)
     """A folder of bundles, one a line: of each nation its suppliers as sources, their lines as passages, and the events of
     users of a supplier's number. Of the revised ones only the suppliers in debt, under other titles, with new events.
 
-    A nation's rows are dealt to bundles by their hash, so that none grows with the tables, whatever a nation holds."""
+    A nation's rows are dealt to bundles by their hash, so that none grows with the tables, whatever a nation holds. They
+    move once, as numbers, and become texts only within their bundle; equal rows meet there."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey")
     suppliers = suppliers.where("s_acctbal < 0") if revised else suppliers
-    slug = F.concat(F.lit("s"), "s_suppkey")
-    title = F.concat("s_name", F.lit(", revised" if revised else ""))
-    source = suppliers.select("s_nationkey", F.struct(slug.alias("slug"), title.alias("title"), F.col("s_name").alias("canonical_citation"), F.lit("free").alias("license"), F.col("n_name").alias("tradition")).alias("sources"))
-    own = suppliers.select("s_nationkey", F.col("s_suppkey").alias("l_suppkey"), slug.alias("source_slug"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part")).join(own, "l_suppkey")
-    passage = lines.select("s_nationkey", F.struct("source_slug", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("reference_label"), F.concat(F.lit("part "), "part").alias("translation"), F.lit("own").alias("translation_credit")).alias("passages"))
-    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("l_suppkey"), "event_id", "event_type").distinct().join(own, "l_suppkey")
-    event = seen.select("s_nationkey", F.struct(F.concat(F.lit("e"), F.col("event_id") + (10**9 if revised else 0)).alias("designation"), "event_type", F.concat(F.lit("seen by "), "source_slug").alias("label"), "source_slug").alias("events"))
+    own = suppliers.select("s_nationkey", "s_suppkey")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber", "l_partkey").join(own, "s_suppkey")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("s_suppkey"), "event_id", "event_type").join(own, "s_suppkey")
+    kinds = {"sources": suppliers.select("s_nationkey", "s_suppkey", "s_name", "n_name"), "passages": line, "events": seen}
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("_kind", F.lit(k)) for k, df in enumerate(kinds.values())))
     n = -(-sum(table(spark, sf_dir, t).count() for t in ("supplier", "lineitem", "events")) // most) or 1
-    dealt = lambda df, x: df.withColumn("_piece", F.pmod(F.xxhash64(x), F.lit(n)))
-    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (dealt(source, "sources"), dealt(passage, "passages"), dealt(event, "events")))
-    whole = rows.groupBy("s_nationkey", "_piece").agg(*(F.collect_list(x).alias(x) for x in ("sources", "passages", "events")))
-    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    piece = F.pmod(F.xxhash64("s_suppkey", "_kind", "l_orderkey", "l_linenumber", "event_id", "event_type"), F.lit(n))
+    key = ["s_nationkey", "_piece", "_kind", "s_suppkey", "l_orderkey", "l_linenumber", "event_id", "event_type", "s_name", "n_name"]
+    once = rows.repartition("s_nationkey", piece).withColumn("_piece", piece).groupBy(*key).agg(F.max("l_partkey").alias("part"), F.count("*").alias("_times"))
+    # sorted, for lines of one order side by side pack well
+    held = lambda k, *c: F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.struct("s_suppkey", *c))))
+    whole = once.groupBy("s_nationkey", "_piece").agg(held(0, "s_name", "n_name", "_times").alias("s"), held(1, "l_orderkey", "l_linenumber", "part").alias("p"), held(2, "event_id", "event_type").alias("e"))
+    slug = lambda x: F.concat(F.lit("s"), x["s_suppkey"])
+    source = lambda x: F.struct(slug(x).alias("slug"), F.concat(x["s_name"], F.lit(", revised" if revised else "")).alias("title"), x["s_name"].alias("canonical_citation"), F.lit("free").alias("license"), x["n_name"].alias("tradition"))
+    passage = lambda x: F.struct(slug(x).alias("source_slug"), F.concat_ws(".", x["l_orderkey"], x["l_linenumber"]).alias("reference_label"), F.concat(F.lit("part "), x["part"]).alias("translation"), F.lit("own").alias("translation_credit"))
+    event = lambda x: F.struct(F.concat(F.lit("e"), x["event_id"] + (10**9 if revised else 0)).alias("designation"), x["event_type"].alias("event_type"), F.concat(F.lit("seen by "), slug(x)).alias("label"), slug(x).alias("source_slug"))
     dataset = F.struct(F.concat(F.lit("nation "), "s_nationkey").alias("key"), F.lit("suppliers").alias("name"), F.lit("free").alias("license"))
-    whole.select(F.to_json(F.struct(dataset.alias("dataset"), "sources", "passages", "events")).alias("value")).write.text(path)
+    # a supplier that occurs twice stays twice, which a load refuses
+    sources = F.flatten(F.transform("s", lambda x: F.array_repeat(source(x), x["_times"].cast("int"))))
+    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    lines = whole.select(F.to_json(F.struct(dataset.alias("dataset"), sources.alias("sources"), F.transform("p", passage).alias("passages"), F.transform("e", event).alias("events"))).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
     return path
 
 

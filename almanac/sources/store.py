@@ -14,13 +14,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window, WindowSpec
 
 #: Buckets of a table; the manifest has a line for each, and the driver reads these.
 BUCKETS = 64
 #: Up to how many tasks write the rows of a bucket.
 PARTS = 32
+#: Each version of a bucket is a file of its own that stays, so files are packed as tightly as parquet can.
+CODEC = "zstd"
 _MANIFEST = "version long, name string, bucket int, folder string"
 
 
@@ -41,6 +43,17 @@ class Outcome:
     buckets: dict[str, int]
 
 
+@dataclasses.dataclass(frozen=True)
+class Staged:
+    """New rows of tables, written but seen by no reader: what a store held when they were, a mark that is in the names of
+    their folders, the rows, and how many there are in each bucket."""
+
+    held: dict[tuple[str, int], str]
+    mark: str
+    tables: dict[str, DataFrame]
+    counts: dict[str, dict[int, int]]
+
+
 class Store:
     """A folder with tables. root: a path that the driver and all executors reach; one process changes it at a time."""
 
@@ -82,30 +95,50 @@ class Store:
         Of several new rows of one key the first in the order of all columns stays. Columns that a table doesn't have
         are left out, those that a change lacks are null. A change without rows makes no version.
         """
-        held, folders, rows, touched = self._manifest(), {}, {}, {}
-        version, mark = held["", 0] + 1, uuid.uuid4().hex[:12]
+        return self.commit(self.stage(changes))
+
+    def _dealt(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows by the tasks that write them: a bucket is dealt to several, and Spark puts small ones together. What deals
+        them is worked out again behind the shuffle, which it would only make larger."""
+        bucket, part = self._bucket(name), F.pmod(F.xxhash64(*self.tables[name].keys, F.lit(7)), F.lit(PARTS))
+        return df.repartition(bucket, part).withColumns({"_bucket": bucket, "_part": part})
+
+    def _of_key(self, name: str) -> WindowSpec:
+        return Window.partitionBy("_bucket", "_part", *self.tables[name].keys)
+
+    def stage(self, changes: dict[str, DataFrame], copies: bool = False) -> Staged:
+        """The rows of put() are moved once and written beside the tables, where no reader looks before commit(). With
+        copies they hold how many rows were given of each key (_copies)."""
+        held = self._manifest()
+        version, mark, tables, counts = held["", 0] + 1, uuid.uuid4().hex[:12], {}, {}
         for name, new in changes.items():
             kept = self.tables[name]
             given = {c.lower() for c in new.columns}
             new = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name.lower() in given else F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema))
-            part = F.pmod(F.xxhash64(*kept.keys, F.lit(7)), F.lit(PARTS))
-            order = Window.partitionBy("_bucket", "_part", *kept.keys)
+            order = self._of_key(name)
             first = order.orderBy(F.xxhash64(*kept.schema.names), *(F.to_json(F.struct(c)) if f.dataType.typeName() == "map" else F.col(c) for c, f in zip(kept.schema.names, kept.schema, strict=True)))
-            # rows move once, to the tasks that write them: a bucket is dealt to several, and Spark puts small ones together
-            dealt = lambda df: df.withColumns({"_bucket": self._bucket(name), "_part": part}).repartition("_bucket", "_part")  # noqa: E731, B023
+            more = {"_copies": F.count("*").over(order)} if copies else {}
             folder = f"{self.root}/{name}/v{version}-{mark}"
-            dealt(new).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_part").write.partitionBy("_bucket").parquet(folder)
-            put = self.spark.read.schema(StructType([*kept.schema, StructField("_bucket", IntegerType())])).parquet(folder)
-            counts = {r["_bucket"]: r["n"] for r in put.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-            rows[name], touched[name] = sum(counts.values()), len(counts)
-            if not counts:
-                continue
+            one = self._dealt(name, new).withColumns({"_n": F.row_number().over(first)} | more).where("_n = 1").drop("_n", "_part")
+            one.write.option("compression", CODEC).partitionBy("_bucket").parquet(folder)
+            extra = [StructField(c, LongType()) for c in more] + [StructField("_bucket", IntegerType())]
+            tables[name] = self.spark.read.schema(StructType([*kept.schema, *extra])).parquet(folder)
+            counts[name] = {r["_bucket"]: r["n"] for r in tables[name].groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        return Staged(held, mark, tables, counts)
+
+    def commit(self, staged: Staged) -> Outcome:
+        """The staged rows and those of before that they don't replace become the newest version."""
+        held, version, folders = staged.held, staged.held["", 0] + 1, {}
+        for name, counts in staged.counts.items():
+            folder = f"{self.root}/{name}/v{version}-{staged.mark}"
             if any((name, b) in held for b in counts):
                 # of the new rows only the keys are needed to tell which old ones stay
-                both = self._read(name, held, counts).withColumn("_new", F.lit(False)).unionByName(put.select(*kept.keys, F.lit(True).alias("_new")), allowMissingColumns=True)
-                stays = dealt(both).withColumn("_gone", F.bool_or("_new").over(order)).where("NOT _gone").drop("_new", "_gone", "_part")
-                stays.write.mode("append").partitionBy("_bucket").parquet(folder)
+                new = staged.tables[name].select(*self.tables[name].keys, F.lit(True).alias("_new"))
+                both = self._read(name, held, counts).withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+                stays = self._dealt(name, both).withColumn("_gone", F.bool_or("_new").over(self._of_key(name))).where("NOT _gone").drop("_new", "_gone", "_part")
+                stays.write.mode("append").option("compression", CODEC).partitionBy("_bucket").parquet(folder)
             folders |= {(name, b): f"{folder}/_bucket={b}" for b in counts}
+        rows, touched = {t: sum(n.values()) for t, n in staged.counts.items()}, {t: len(n) for t, n in staged.counts.items()}
         if not folders:
             return Outcome(None, rows, touched)
         lines = [(version, t, b, f) for (t, b), f in ({k: v for k, v in held.items() if k[0]} | folders).items()]

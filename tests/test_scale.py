@@ -23,6 +23,46 @@ def test_bundles_are_bounded_and_whole(spark):
     assert max(sizes) < 600
 
 
+def test_bundles_are_packed_and_their_rows_move_once(spark, tmp_path):
+    from pathlib import Path
+
+    from almanac import plans
+    from almanac.sources import bundles
+
+    lines, before = table(spark, DATA, "lineitem").count(), shuffled(spark)
+    assert plans.QUERIES["u5_loaded_bundles"](spark, DATA).count() > lines
+    # before, 93 bytes a line here and 196 at ten times sf0.1
+    assert (shuffled(spark) - before) / lines < 60
+    path = bundles._bundles(spark, DATA, False)
+    plain = sum(len(r["value"]) for r in spark.read.text(path).collect())
+    packed = sum(f.stat().st_size for f in Path(path.removeprefix("file://")).glob("part-*"))
+    # before, as many bytes as the texts have
+    assert packed < plain / 4
+
+
+def test_rows_that_a_store_would_drop_are_checked_too(spark, tmp_path):
+    from almanac.sources import bundles
+
+    def put(name, *lines):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, lines)))
+        return f"file://{tmp_path}/{name}"
+
+    source = {"slug": "s", "title": "t", "canonical_citation": "c", "license": "l"}
+    passage = {"source_slug": "s", "reference_label": "1", "translation": "x", "translation_credit": "w"}
+    named, bare = {"key": "k", "name": "n", "license": "l"}, {"key": "k", "name": "n"}
+    store = bundles.corpus_store(spark, f"file://{tmp_path}/corpus", 4)
+    for n in range(6):
+        # whichever of the rows of a key would stay
+        done = bundles.load(store, put(f"datasets{n}", {"dataset": named | {"name": f"n{n}"}, "sources": [source]}, {"dataset": bare}), lines=True)
+        assert [tuple(r) for r in done.problems.collect()] == [("datasets", "k", "license missing")] and done.refused == 1 and done.change is None
+    done = bundles.load(store, put("twice", {"dataset": named, "sources": [source], "passages": [passage] * 3}), lines=True)
+    assert [tuple(r) for r in done.problems.collect()] == [("passages", "1", "label repeated")] and done.change is None and store.version() == 0
+    done = bundles.load(store, put("good", {"dataset": named, "sources": [source], "passages": [passage]}, {"dataset": named}), lines=True)
+    assert done.refused == 0 and done.problems.count() == 0 and done.change.rows == {"sources": 1, "passages": 1, "events": 0, "datasets": 1}
+    # a row of a store holds what its schema has, not the count of its copies
+    assert store.version() == 1 and store.read("passages").columns == store.tables["passages"].schema.names
+
+
 def test_days_that_no_search_can_tell_apart_are_bounded(spark):
     from almanac.operators import dating
 
