@@ -395,6 +395,23 @@ def test_dating_over_real_eclipses(spark):
     assert dating.candidates(asked.limit(0), days).count() == 0
 
 
+def test_whole_spans_are_searched(spark, tmp_path):
+    from almanac import plans
+
+    texts = [(1, "A comet was seen.", None, None), (2, "A comet in 66 AD.", None, None), (3, "The sun was darkened.", 1500, -900), (4, "The sun was darkened.", -9000, 9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, given_first int, given_last int")
+    found = {r["doc_id"]: (r["first"], r["last"]) for r in dating.searches(docs).collect()}
+    assert found == {1: (-800, 200), 2: (-134, 266), 3: (-900, 1500), 4: (-3000, 3000)}
+    assert found == {r["doc_id"]: (r["first"], r["last"]) for r in dating.spans(docs, None).collect()}
+    # a cap is only what is asked for
+    assert {r["doc_id"]: (r["first"], r["last"]) for r in dating.spans(docs).collect()} == {1: (-550, -51), 2: (-134, 266), 3: (50, 549), 4: (-250, 249)}
+    spark.createDataFrame([(k,) for k in range(12)], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    claims_ = plans.QUERIES["j15_candidates_of_eclipses"](spark, str(tmp_path)).where("doc_id = 2").orderBy("ordering").collect()
+    # a comet without a year: all that are recorded from -800 to 200 in order of time; before, none after -51
+    years = [int(r["statement"].split("-01-01 ")[0]) for r in claims_]
+    assert years == sorted(c[2] for c in catalogues.COMETS if -800 <= c[2] <= 200) and max(years) == 141 and len(years) == 7
+
+
 def test_catalogues_and_facts_of_dates(spark):
     dates = spark.createDataFrame([(1, 1066, 1, 1), (2, 1604, 8, 12), (3, 500, 2, 10)], "date_id long, year int, month int, day int")
     got = {}
