@@ -103,6 +103,8 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: About how many rows a bundle holds at most; what belongs to a dataset is dealt to as many bundles as that takes.
 ROWS = 25_000
+#: Up to how many suppliers are broadcast to the lines and events that they are looked up for: numbers, some 20 MB.
+FEW = 1_000_000
 
 
 def _bundles(spark: SparkSession, sf_dir: str, revised: bool, most: int = ROWS) -> str:
@@ -115,6 +117,7 @@ def _bundles(spark: SparkSession, sf_dir: str, revised: bool, most: int = ROWS)
     suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey")
     suppliers = suppliers.where("s_acctbal < 0") if revised else suppliers
     own = suppliers.select("s_nationkey", "s_suppkey")
+    own = F.broadcast(own) if own.count() <= FEW else own  # Spark takes the join with nations for large, and would move all lines
     line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber", "l_partkey").join(own, "s_suppkey")
     seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("s_suppkey"), "event_id", "event_type").join(own, "s_suppkey")
     kinds = {"sources": suppliers.select("s_nationkey", "s_suppkey", "s_name", "n_name"), "passages": line, "events": seen}

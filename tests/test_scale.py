@@ -40,6 +40,24 @@ def test_bundles_are_packed_and_their_rows_move_once(spark, tmp_path):
     assert packed < plain / 4
 
 
+def test_lines_do_not_move_to_meet_few_suppliers(spark):
+    from almanac.sources import bundles
+
+    lines, before = table(spark, DATA, "lineitem").count(), shuffled(spark)
+    own, few = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), bundles.FEW
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many suppliers, of which Spark only knows a bound
+    try:
+        path, moved = bundles._bundles(spark, DATA, False), shuffled(spark) - before
+        # before, 34 bytes a line
+        assert moved / lines < 25
+        bundles.FEW = 0
+        joined = bundles._bundles(spark, DATA, False)
+    finally:
+        bundles.FEW = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == sorted(r["value"] for r in spark.read.text(joined).collect())
+
+
 def test_rows_that_a_store_would_drop_are_checked_too(spark, tmp_path):
     from almanac.sources import bundles
 
